@@ -18,7 +18,7 @@ from fleetline.sources.tables import read_table
 # Fixed values for the fixtures.
 FIXTURE_SECRET = "fleetline-fixture-secret"
 AS_OF = "2024-01-31 00:00:00"
-SERVICES = ("acs-ingest", "cpemon-writer", "cpemon-api")
+SERVICES = ("acs-ingest", "queue-writer", "status-api")
 CODE_BY_TYPE = {"error": "500", "signup": "400", "click": "401", "view": "200", "purchase": "202"}
 RFC3339_US = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 RFC3339_S = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -89,3 +89,163 @@ def webhook_arrivals(spark: SparkSession, sf_dir: str, secret: str = FIXTURE_SEC
     sig = (F.when(F.col("_t") == "click", F.lit("deadbeef"))
            .when(F.col("_t") == "purchase", hmac_sha256_hex("body", secret)))
     return b.select("seq", "received_at", "body", sig.alias("signature"))
+
+
+def writer_activity(keyed: DataFrame) -> DataFrame:
+    """Transitions log of a writer over the queue ids in ``keyed`` (output of
+    ``queue.keyed_arrivals``): by ``id % 5``: 0 claimed then done; 1 claimed
+    then failed once; 2 claimed and failed five times (dead); 3 claimed and
+    left processing; 4 untouched.  The n-th action of an id happens
+    ``n + 1`` minutes after the id was created.  Failures follow the writer
+    policy (``queue.failure_state``)."""
+    from fleetline.operators.queue import failure_state
+
+    m = F.col("id") % 5
+    count = (F.when(m == 0, 2).when(m == 1, 2).when(m == 2, 10).when(m == 3, 1).otherwise(0))
+    t = keyed.select("id", "created_raw", count.alias("_c"))
+    t = t.where(F.col("_c") > 0).select(
+        "id", "created_raw", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)).alias("n"))
+    t = t.select(
+        "id", F.col("n").cast("long").alias("seq"),
+        (F.col("created_raw") + F.make_dt_interval(mins=F.col("n") + 1)).alias("at"),
+        (F.col("n") % 2 == 0).alias("_claim"),
+        ((F.floor(F.col("n") / 2)) + 1).cast("int").alias("attempts"),
+        (F.col("id") % 5 == 0).alias("_ok"))
+    f_status, f_next = failure_state("attempts", "at", "writer")
+    status = (F.when(F.col("_claim"), F.lit("processing"))
+              .when(F.col("_ok"), F.lit("done")).otherwise(f_status))
+    fails = ~F.col("_claim") & ~F.col("_ok")
+    return t.select(
+        "id", "at", "seq", status.alias("status"), "attempts",
+        F.when(fails, f_next).alias("next_at"),
+        F.when(fails, F.lit("processing_error")).alias("reason"))
+
+
+# ------------------------------------------------------------- samples
+# Deployments watched by the replica alerts and the namespace.
+REPLICA_DEPLOYMENTS = ("acs-ingest", "queue-writer", "database")
+NAMESPACE = "fleet"
+WEBHOOK_COUNTER = "acs_webhook_requests_total"
+
+
+def _pick(values, idx):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+
+
+def _code_of_type():
+    m = F.create_map(*[x for kv in CODE_BY_TYPE.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    return m[F.col("event_type")]
+
+
+def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Webhook request counter scraped at each event: series
+    ``(metric, code, instance)``; the value is the running count of the
+    series within the day (it restarts from 1 at midnight, like a process
+    restart)."""
+    from fleetline.operators.series import running_count
+
+    e = base_events(spark, sf_dir)
+    s = e.select(F.lit(WEBHOOK_COUNTER).alias("metric"), _code_of_type().alias("code"),
+                 (F.col("event_id") % 2).cast("string").alias("instance"), "ts", "event_id",
+                 F.to_date("ts").alias("_day"))
+    rc = running_count(s, ["metric", "code", "instance", "_day"], "ts", tiebreak="event_id",
+                       split_seconds=3_600, name="_n")
+    return rc.select("metric", "code", "instance", "ts", F.col("_n").cast("double").alias("value"))
+
+
+def replica_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Available-replica gauge: deployment by ``user_id % 3``; 0 for error and
+    signup events, else 1."""
+    e = base_events(spark, sf_dir)
+    return e.select(
+        "ts", F.lit(NAMESPACE).alias("namespace"),
+        _pick(REPLICA_DEPLOYMENTS, F.col("user_id") % 3).alias("deployment"),
+        F.when(F.col("event_type").isin("error", "signup"), F.lit(0.0)).otherwise(F.lit(1.0)).alias("value"))
+
+
+def up_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target-up gauge per ``(service, instance)``: service by ``user_id % 3``,
+    instance = pod ``<service>-<user_id % 4>``."""
+    e = base_events(spark, sf_dir)
+    svc = _pick(SERVICES, F.col("user_id") % 3)
+    return e.select(
+        "ts", F.lit(NAMESPACE).alias("namespace"), svc.alias("service"),
+        F.concat(svc, F.lit("-"), (F.col("user_id") % 4).cast("string")).alias("instance"),
+        F.when(F.col("event_type") == "error", F.lit(0.0)).otherwise(F.lit(1.0)).alias("value"))
+
+
+def connection_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two gauges sampled together per database instance: connections in
+    use (2k) and the connection limit (160 + 20 * (user_id % 3))."""
+    e = base_events(spark, sf_dir)
+    inst = F.concat(F.lit("db-"), (F.col("user_id") % 3).cast("string")).alias("instance")
+    used = e.select(inst, "ts", (F.col("k") * 2).cast("double").alias("used"))
+    limit = e.select(inst, "ts", (F.lit(160) + (F.col("user_id") % 3) * 20).cast("double").alias("limit"))
+    return used, limit
+
+
+# ------------------------------------------------------------- logs
+LOG_SERVICES = ("status-api", "acs-ingest", "queue-writer")
+
+
+def container_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, ts, line)``: one line per event in one of the three service
+    formats (by ``event_id % 3``), JSON-wrapped for even event ids."""
+    e = base_events(spark, sf_dir)
+    kind = F.col("event_id") % 3
+    svc = _pick(LOG_SERVICES, kind)
+    pod = F.concat(svc, F.lit("-"), (F.col("user_id") % 4).cast("string"))
+    path = F.concat(F.lit("/var/log/containers/"), pod, F.lit(f"_{NAMESPACE}_"), svc, F.lit("-"),
+                    F.md5(F.col("user_id").cast("string")), F.lit(".log"))
+    k = F.col("k").cast("string")
+    hour = F.date_format(_hour("ts"), RFC3339_S)
+    msg = (F.when(kind == 0, F.concat(
+        F.lit("heartbeat updated: sn="), device_sn(), F.lit(" wan_ip=10.0."),
+        (F.col("user_id") % 256).cast("string"), F.lit("."), k, F.lit(" sw_version=v1."),
+        (F.col("k") % 3).cast("string"), F.lit(" cpu="), k, F.lit(" mem="),
+        (F.lit(99) - F.col("k")).cast("string")))
+        .when(kind == 1, F.concat(F.lit("enqueued event for SN="), device_sn(), F.lit(" at "), hour,
+                                  F.lit(" in "), k, F.lit(".5ms")))
+        .otherwise(F.concat(F.lit("processing ingest_event id="), F.col("event_id").cast("string"),
+                            F.lit(" sn="), device_sn(), F.lit(" event_ts="), hour)))
+    text = F.concat(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit(" "), msg)
+    line = F.when(F.col("event_id") % 2 == 0,
+                  F.concat(F.lit('{"message":"'), text, F.lit('","level":"info"}'))).otherwise(text)
+    return e.select(path.alias("path"), "ts", line.alias("line"))
+
+
+def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pod dimension ``(namespace, pod, app, node)``: pods 0-2 of each
+    service (pod 3 is missing, so some log lines find no metadata)."""
+    e = base_events(spark, sf_dir).where(F.col("user_id") % 4 < 3)
+    svc = _pick(LOG_SERVICES, F.col("event_id") % 3)
+    idx = F.col("user_id") % 4
+    return e.select(
+        F.lit(NAMESPACE).alias("namespace"),
+        F.concat(svc, F.lit("-"), idx.cast("string")).alias("pod"), svc.alias("app"),
+        F.concat(F.lit("node-"), (idx % 2).cast("string")).alias("node")).distinct()
+
+
+# ------------------------------------------------------------- snapshots
+def snapshot_manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Source and mirror manifests ``(rel_path, path, bytes, modified_at)``:
+    one nightly dump per day with events (size = 100 bytes per event, taken
+    at 02:00).  The mirror lacks the days divisible by 3, holds a stale size
+    on days divisible by 5 and keeps an extra legacy file every 7th day."""
+    e = base_events(spark, sf_dir)
+    days = e.groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    ds = F.date_format("d", "yyyy-MM-dd")
+    rel = F.concat(ds, F.lit("/fleet-"), ds, F.lit("-020000.parquet"))
+    at = (F.col("d").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(2)))
+    src = days.select(rel.alias("rel_path"), F.concat(F.lit("backups/"), rel).alias("path"),
+                      (F.col("n") * 100).alias("bytes"), at.alias("modified_at"))
+    dom = F.dayofmonth("d")
+    mirror = days.where(dom % 3 != 0).select(
+        rel.alias("rel_path"), F.concat(F.lit("mirror/"), rel).alias("path"),
+        (F.col("n") * 100 + F.when(dom % 5 == 0, 1).otherwise(0)).alias("bytes"),
+        at.alias("modified_at"))
+    extra = days.where(dom % 7 == 0).select(
+        F.concat(F.lit("legacy/"), ds, F.lit(".sql.gz")).alias("rel_path"),
+        F.concat(F.lit("mirror/legacy/"), ds, F.lit(".sql.gz")).alias("path"),
+        F.col("n").alias("bytes"), at.alias("modified_at"))
+    return src, mirror.unionByName(extra)
