@@ -35,36 +35,232 @@ CTE["ev"] = """ev AS (
               ELSE 'CPE-' || lpad(CAST(user_id AS VARCHAR), 5, '0') END AS sn
   FROM events)"""
 # heartbeats as the handler sees them after decoding (last_seen fallback applied)
-CTE["hb"] = """hb AS (
-  SELECT event_id AS seq, ts AS received_at, sn,
-         CASE WHEN event_type = 'signup' THEN ts ELSE ts - to_seconds(k) END AS last_seen,
+def _hb(name: str, received: str) -> str:
+    return f"""{name} AS (
+  SELECT event_id AS seq, {received} AS received_at, sn,
+         CASE WHEN event_type = 'signup' THEN {received} ELSE ts - to_seconds(k) END AS last_seen,
          CASE WHEN event_type <> 'view'
               THEN '10.0.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(k AS VARCHAR) END AS wan_ip,
          'v1.' || CAST(k % 3 AS VARCHAR) AS sw_version,
          CASE WHEN event_type <> 'error' THEN k END AS cpu_pct,
          CASE WHEN event_type <> 'click' THEN 99 - k END AS mem_pct
   FROM ev)"""
-CTE["hbc"] = """hbc AS (
-  SELECT seq, date_trunc('hour', received_at) AS received_at, sn,
-         CASE WHEN last_seen = received_at THEN date_trunc('hour', received_at) ELSE last_seen END AS last_seen,
-         wan_ip, sw_version, cpu_pct, mem_pct
-  FROM hb)"""
-CTE["status"] = f"""status AS (
+
+
+def _status(name: str, src: str) -> str:
+    return f"""{name} AS (
   SELECT f.sn, {rms('l.last_seen')} AS last_seen, l.wan_ip, l.sw_version,
          CAST(l.cpu_pct AS TINYINT) AS cpu_pct, CAST(l.mem_pct AS TINYINT) AS mem_pct,
          {rs('l.received_at')} AS updated_at
-  FROM (SELECT *, row_number() OVER (PARTITION BY lower(sn) ORDER BY seq DESC) AS rn FROM hb) l
-  JOIN (SELECT *, row_number() OVER (PARTITION BY lower(sn) ORDER BY seq) AS rn FROM hb) f
+  FROM (SELECT *, row_number() OVER (PARTITION BY lower(sn) ORDER BY seq DESC) AS rn FROM {src}) l
+  JOIN (SELECT *, row_number() OVER (PARTITION BY lower(sn) ORDER BY seq) AS rn FROM {src}) f
     ON lower(l.sn) = lower(f.sn) AND f.rn = 1
   WHERE l.rn = 1)"""
-CTE["hist"] = f"""hist AS (
+
+
+def _hist(name: str, src: str) -> str:
+    return f"""{name} AS (
   SELECT sn, event_ts, {rms('last_seen')} AS last_seen, wan_ip, sw_version,
          CAST(cpu_pct AS TINYINT) AS cpu_pct, CAST(mem_pct AS TINYINT) AS mem_pct
   FROM (SELECT *, {rms('received_at')} AS event_ts,
                row_number() OVER (PARTITION BY lower(sn), {rms('received_at')} ORDER BY seq) AS rn
-        FROM hb) WHERE rn = 1)"""
+        FROM {src}) WHERE rn = 1)"""
+
+
+AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
+HMAC = _hmac_sql("body")
 
-DEPS = {"ev": [], "hb": ["ev"], "hbc": ["hb"], "status": ["hb"], "hist": ["hb"]}
+CTE["hb"] = _hb("hb", "ts")
+CTE["hbc"] = _hb("hbc", "date_trunc('hour', ts)")
+CTE["status"] = _status("status", "hb")
+CTE["statusc"] = _status("statusc", "hbc")
+CTE["hist"] = _hist("hist", "hb")
+CTE["histc"] = _hist("histc", "hbc")
+CTE["hbo"] = f"""hbo AS (
+  SELECT seq, received_at, CASE WHEN rn = 1 THEN 202 ELSE 500 END AS code,
+         CASE WHEN rn = 1 THEN NULL ELSE 'history_conflict' END AS reason
+  FROM (SELECT *, row_number() OVER (PARTITION BY lower(sn), {rms('received_at')} ORDER BY seq) AS rn
+        FROM hbc))"""
+CTE["whc"] = f"""wh AS (
+  SELECT event_id AS seq, ts AS received_at, event_type, sn, k,
+         CASE WHEN k % 10 = 0 THEN 'not-a-time'
+              ELSE strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') END AS ets
+  FROM ev),
+whb AS (
+  SELECT seq, received_at, event_type,
+         CASE event_type WHEN 'error' THEN 'this-is-not-json'
+              WHEN 'signup' THEN '{{"event_ts":"' || ets || '"}}'
+              ELSE '{{"sn":"' || sn || '","event_ts":"' || ets || '","k":' || CAST(k AS VARCHAR) || '}}' END AS body
+  FROM wh),
+whs AS (
+  SELECT seq, received_at, body,
+         CASE event_type WHEN 'click' THEN 'deadbeef' WHEN 'purchase' THEN {HMAC} END AS signature
+  FROM whb),
+whv AS (
+  SELECT *, json_valid(body) AS jv,
+         CASE WHEN json_valid(body) THEN json_type(CASE WHEN json_valid(body) THEN body ELSE 'null' END) END AS jt,
+         json_extract_string(CASE WHEN json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE 'null' END) = 'OBJECT'
+                                  THEN body ELSE '{{}}' END, '$.sn') AS jsn,
+         json_extract_string(CASE WHEN json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE 'null' END) = 'OBJECT'
+                                  THEN body ELSE '{{}}' END, '$.event_ts') AS jets
+  FROM whs),
+whc AS (
+  SELECT seq, received_at, body, signature,
+         CASE WHEN coalesce(signature, '') <> '' AND signature <> {HMAC} THEN 401
+              WHEN NOT jv OR jt NOT IN ('OBJECT', 'NULL') THEN 400
+              WHEN coalesce(jsn, '') = '' THEN 400 ELSE 202 END AS code,
+         CASE WHEN coalesce(signature, '') <> '' AND signature <> {HMAC} THEN 'invalid_signature'
+              WHEN NOT jv OR jt NOT IN ('OBJECT', 'NULL') THEN 'invalid_json'
+              WHEN coalesce(jsn, '') = '' THEN 'missing_sn' END AS reason,
+         jsn, {rms("coalesce(try_strptime(jets, '%Y-%m-%dT%H:%M:%SZ'), received_at)")} AS jevent_ts
+  FROM whv)"""
+CTE["qk"] = """qa AS (
+  SELECT seq, received_at, jsn AS sn, jevent_ts AS event_ts, body AS payload FROM whc WHERE code = 202),
+qk AS (
+  SELECT lower(sn) AS k, event_ts, min(seq) AS id, arg_min(sn, seq) AS sn,
+         arg_min(received_at, seq) AS created_raw, arg_max(received_at, seq) AS last_at,
+         arg_max(payload, seq) AS payload
+  FROM qa GROUP BY lower(sn), event_ts)"""
+CTE["qt"] = """qt AS (
+  SELECT id, CAST(n AS BIGINT) AS seq, created_raw + to_minutes(n + 1) AS "at",
+         CASE WHEN n % 2 = 0 THEN 'processing' WHEN id % 5 = 0 THEN 'done'
+              WHEN n // 2 + 1 >= 5 THEN 'dead' ELSE 'queued' END AS status,
+         CAST(n // 2 + 1 AS INTEGER) AS attempts,
+         CASE WHEN n % 2 = 1 AND id % 5 <> 0 AND n // 2 + 1 < 5
+              THEN created_raw + to_minutes(n + 1) + to_seconds(LEAST(300, 5 * (1 << (n // 2 + 1)))) END AS next_at,
+         CASE WHEN n % 2 = 1 AND id % 5 <> 0 THEN 'processing_error' END AS reason
+  FROM (SELECT id, created_raw,
+               unnest(generate_series(0, (CASE id % 5 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 10
+                                                      WHEN 3 THEN 1 ELSE 0 END) - 1)) AS n
+        FROM qk))"""
+CTE["queue"] = f"""qe AS (
+  SELECT qk.id, a.received_at AS "at", 0 AS src, a.seq AS s, 'queued' AS status, 0 AS attempts,
+         a.received_at AS next_at
+  FROM qa a JOIN qk ON lower(a.sn) = qk.k AND a.event_ts = qk.event_ts
+  UNION ALL
+  SELECT id, "at", 1, seq, status, attempts, next_at FROM qt),
+qlast AS (
+  SELECT id, status, attempts, "at" FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY "at" DESC, src DESC, s DESC) AS rn FROM qe)
+  WHERE rn = 1),
+qnext AS (
+  SELECT id, next_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY "at" DESC, src DESC, s DESC) AS rn
+    FROM qe WHERE next_at IS NOT NULL) WHERE rn = 1),
+queue AS (
+  SELECT qk.id, 'acs' AS source, qk.sn, qk.event_ts, qk.payload, qlast.status,
+         CAST(qlast.attempts AS INTEGER) AS attempts, {rs('qnext.next_at')} AS next_at,
+         {rs('qk.created_raw')} AS created_at, {rs('qlast."at"')} AS updated_at
+  FROM qk JOIN qlast USING (id) JOIN qnext USING (id))"""
+
+
+def _backlog(name: str, step_us: int) -> str:
+    return f"""{name}_e AS (
+  SELECT min(seq) OVER (PARTITION BY lower(sn), event_ts) AS id, received_at AS "at", 0 AS src, seq,
+         TRUE AS is_open FROM qa
+  UNION ALL
+  SELECT id, "at", 1, seq, status IN ('queued', 'processing') FROM qt),
+{name}_d AS (
+  SELECT "at", CAST(is_open AS INTEGER)
+             - CAST(coalesce(lag(is_open) OVER (PARTITION BY id ORDER BY "at", src, seq), FALSE) AS INTEGER) AS delta
+  FROM {name}_e),
+{name}_b AS (
+  SELECT make_timestamp((epoch_us("at") // {step_us}) * {step_us} + {step_us}) AS bucket_end,
+         CAST(sum(CASE WHEN delta > 0 THEN 1 ELSE 0 END) AS BIGINT) AS opened,
+         CAST(sum(CASE WHEN delta < 0 THEN 1 ELSE 0 END) AS BIGINT) AS closed
+  FROM {name}_d WHERE delta <> 0 GROUP BY 1),
+{name} AS (
+  SELECT bucket_end, opened, closed,
+         CAST(sum(opened - closed) OVER (ORDER BY bucket_end ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open_events
+  FROM {name}_b)"""
+
+
+CTE["backlog_day"] = _backlog("backlog_day", 86_400_000_000)
+CTE["backlog_hour"] = _backlog("backlog_hour", 3_600_000_000)
+
+CTE["samples"] = """samples AS (
+  SELECT 'acs_webhook_requests_total' AS metric,
+         CASE event_type WHEN 'error' THEN '500' WHEN 'signup' THEN '400' WHEN 'click' THEN '401'
+              WHEN 'view' THEN '200' WHEN 'purchase' THEN '202' END AS code,
+         CAST(event_id % 2 AS VARCHAR) AS instance, ts,
+         CAST(count(*) OVER (PARTITION BY event_type, event_id % 2, CAST(ts AS DATE)
+                             ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS value
+  FROM ev)"""
+CTE["replicas"] = """replicas AS (
+  SELECT ts, 'fleet' AS namespace, (['acs-ingest', 'queue-writer', 'database'])[user_id % 3 + 1] AS deployment,
+         CASE WHEN event_type IN ('error', 'signup') THEN 0.0 ELSE 1.0 END::DOUBLE AS value
+  FROM ev)"""
+CTE["ups"] = """ups AS (
+  SELECT ts, 'fleet' AS namespace, (['acs-ingest', 'queue-writer', 'status-api'])[user_id % 3 + 1] AS service,
+         (['acs-ingest', 'queue-writer', 'status-api'])[user_id % 3 + 1] || '-' || CAST(user_id % 4 AS VARCHAR) AS instance,
+         CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END::DOUBLE AS value
+  FROM ev)"""
+CTE["conns"] = """conns AS (
+  SELECT u.instance, u.ts, u.used, l."limit" FROM
+    (SELECT 'db-' || CAST(user_id % 3 AS VARCHAR) AS instance, ts, CAST(k * 2 AS DOUBLE) AS used FROM ev) u
+  JOIN (SELECT 'db-' || CAST(user_id % 3 AS VARCHAR) AS instance, ts,
+               CAST(160 + (user_id % 3) * 20 AS DOUBLE) AS "limit" FROM ev) l
+    ON u.instance = l.instance AND u.ts = l.ts)"""
+CTE["logs"] = r"""cl AS (
+  SELECT ev.*, event_id % 3 AS kind,
+         (['status-api', 'acs-ingest', 'queue-writer'])[event_id % 3 + 1] AS svc,
+         strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS hour
+  FROM ev),
+cl2 AS (
+  SELECT *, svc || '-' || CAST(user_id % 4 AS VARCHAR) AS pod0,
+         strftime(ts, '%Y/%m/%d %H:%M:%S') || ' ' ||
+         CASE kind
+           WHEN 0 THEN 'heartbeat updated: sn=' || sn || ' wan_ip=10.0.' || CAST(user_id % 256 AS VARCHAR) || '.'
+                       || CAST(k AS VARCHAR) || ' sw_version=v1.' || CAST(k % 3 AS VARCHAR) || ' cpu='
+                       || CAST(k AS VARCHAR) || ' mem=' || CAST(99 - k AS VARCHAR)
+           WHEN 1 THEN 'enqueued event for SN=' || sn || ' at ' || hour || ' in ' || CAST(k AS VARCHAR) || '.5ms'
+           ELSE 'processing ingest_event id=' || CAST(event_id AS VARCHAR) || ' sn=' || sn || ' event_ts=' || hour
+         END AS text
+  FROM cl),
+rawlogs AS (
+  SELECT '/var/log/containers/' || pod0 || '_fleet_' || svc || '-' || md5(CAST(user_id AS VARCHAR)) || '.log' AS path,
+         ts, CASE WHEN event_id % 2 = 0 THEN '{"message":"' || text || '","level":"info"}' ELSE text END AS line
+  FROM cl2),
+pods AS (
+  SELECT DISTINCT 'fleet' AS namespace,
+         (['status-api', 'acs-ingest', 'queue-writer'])[event_id % 3 + 1] || '-' || CAST(user_id % 4 AS VARCHAR) AS pod,
+         (['status-api', 'acs-ingest', 'queue-writer'])[event_id % 3 + 1] AS app,
+         'node-' || CAST((user_id % 4) % 2 AS VARCHAR) AS node
+  FROM ev WHERE user_id % 4 < 3),
+jlogs AS (
+  SELECT *, json_valid(line) AND json_type(CASE WHEN json_valid(line) THEN line ELSE 'null' END) = 'OBJECT' AS decoded
+  FROM rawlogs),
+dlogs AS (
+  SELECT path, ts, line,
+         coalesce(json_extract_string(CASE WHEN decoded THEN line ELSE '{}' END, '$.message'), line) AS message,
+         json_extract_string(CASE WHEN decoded THEN line ELSE '{}' END, '$.level') AS level,
+         decoded
+  FROM jlogs),
+elogs AS (
+  SELECT x.*, p.app, p.node FROM (
+    SELECT *, nullif(regexp_extract(path, '^/var/log/containers/([^_]+)_([^_]+)_(.+)-([0-9a-f]+)\.log$', 1), '') AS pod,
+              nullif(regexp_extract(path, '^/var/log/containers/([^_]+)_([^_]+)_(.+)-([0-9a-f]+)\.log$', 2), '') AS namespace,
+              nullif(regexp_extract(path, '^/var/log/containers/([^_]+)_([^_]+)_(.+)-([0-9a-f]+)\.log$', 3), '') AS container
+    FROM dlogs) x
+  LEFT JOIN pods p ON x.namespace = p.namespace AND x.pod = p.pod)"""
+CTE["manifests"] = """days AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM ev GROUP BY 1),
+src AS (
+  SELECT strftime(d, '%Y-%m-%d') || '/fleet-' || strftime(d, '%Y-%m-%d') || '-020000.parquet' AS rel_path,
+         'backups/' || strftime(d, '%Y-%m-%d') || '/fleet-' || strftime(d, '%Y-%m-%d') || '-020000.parquet' AS path,
+         n * 100 AS bytes, CAST(d AS TIMESTAMP) + INTERVAL 2 HOUR AS modified_at, d AS snapshot_date
+  FROM days),
+dst AS (
+  SELECT strftime(d, '%Y-%m-%d') || '/fleet-' || strftime(d, '%Y-%m-%d') || '-020000.parquet' AS rel_path,
+         n * 100 + CASE WHEN day(d) % 5 = 0 THEN 1 ELSE 0 END AS bytes
+  FROM days WHERE day(d) % 3 <> 0
+  UNION ALL
+  SELECT 'legacy/' || strftime(d, '%Y-%m-%d') || '.sql.gz', n FROM days WHERE day(d) % 7 = 0)"""
+
+DEPS = {"ev": [], "hb": ["ev"], "hbc": ["ev"], "status": ["hb"], "statusc": ["hbc"],
+        "hist": ["hb"], "histc": ["hbc"], "hbo": ["hbc"], "whc": ["ev"], "qk": ["whc"],
+        "qt": ["qk"], "queue": ["qt"], "backlog_day": ["qt"], "backlog_hour": ["qt"],
+        "samples": ["ev"], "replicas": ["ev"], "ups": ["ev"], "conns": ["ev"], "logs": ["ev"],
+        "manifests": ["ev"]}
 
 
 def with_ctes(names: list[str], body: str) -> str:
@@ -81,9 +277,250 @@ def with_ctes(names: list[str], body: str) -> str:
     return "WITH " + ",\n".join(CTE[n] for n in order) + "\n" + body
 
 
+def grid(ts: str, window_s: int, step_s: int) -> tuple[str, str]:
+    """(join clause, T expression): every grid point T whose window
+    (T - w, T] holds ``ts``."""
+    w, s = window_s * 1_000_000, step_s * 1_000_000
+    join = f"CROSS JOIN range(0, {window_s // step_s}) AS g(j)"
+    t = f"make_timestamp(((epoch_us({ts}) - 1) // {s}) * {s} - g.j * {s} + {w})"
+    return join, t
+
+
+def acore(src: str, series: list[str], ts: str, cond: str, for_s: float) -> str:
+    """Gaps and islands, brute force with unbounded windows per series."""
+    ser = ", ".join(series)
+    part = f"PARTITION BY {ser}" if series else ""
+    part_isl = f"PARTITION BY {ser}, isl" if series else "PARTITION BY isl"
+    grp = f"{ser}, pend" if series else "pend"
+    return f"""a0 AS (SELECT {ser + ',' if series else ''} {ts} AS ts, coalesce({cond}, FALSE) AS c FROM {src}),
+a1 AS (SELECT *, lag(c) OVER w AS pc, lag(ts) OVER w AS pts, lead(ts) OVER w AS nts
+       FROM a0 WINDOW w AS ({part} ORDER BY ts)),
+a2 AS (SELECT *, sum(CASE WHEN pts IS NULL OR pc <> c THEN 1 ELSE 0 END)
+                   OVER ({part} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS isl FROM a1),
+a3 AS (SELECT *, min(ts) OVER ({part_isl}) AS pend, max(ts) OVER ({part_isl}) AS lastt FROM a2 WHERE c)
+SELECT {ser + ',' if series else ''} pend AS pending_at,
+       min(CASE WHEN epoch_us(ts) - epoch_us(pend) >= {int(for_s * 1_000_000)} THEN ts END) AS fired_at,
+       max(ts) AS last_true_at, max(CASE WHEN ts = lastt THEN nts END) AS resolved_at
+FROM a3 GROUP BY {grp}
+HAVING min(CASE WHEN epoch_us(ts) - epoch_us(pend) >= {int(for_s * 1_000_000)} THEN ts END) IS NOT NULL"""
+
+
+HB_LINE = r"heartbeat updated: sn=(\S*) wan_ip=(\S*) sw_version=(\S*) cpu=(-?\d+) mem=(-?\d+)"
+ENQ_LINE = r"enqueued event for SN=(\S*) at (\S+) in (\S+)"
+PROC_LINE = r"processing ingest_event id=(\d+) sn=(\S*) event_ts=(\S+)"
+DASH = "https://dashboards.example/d/device?var-sn="
+LOGS_URL = "https://logs.example/app/discover?q=sn%3D"
+
+
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
+    A = AS_OF_SQL
+    WIN, STEP = 6 * 3600, 3600
+    # ---- H / R
     q["h1_latest_state"] = with_ctes(["status"], "SELECT * FROM status")
-    q["r1_page"] = with_ctes(["status"], """
-SELECT * FROM status ORDER BY lower(sn), sn LIMIT 50 OFFSET 100""")
+    q["r1_page"] = with_ctes(["status"], "SELECT * FROM status ORDER BY lower(sn), sn LIMIT 50 OFFSET 100")
+    q["h2_history"] = with_ctes(["hist"], "SELECT * FROM hist")
+    q["h2_history_collisions"] = with_ctes(["histc"], "SELECT * FROM histc")
+    q["h3_outcomes_collisions"] = with_ctes(["hbo"], "SELECT seq, code, reason FROM hbo")
+    q["h3_latest_state_collisions"] = with_ctes(["statusc"], "SELECT * FROM statusc")
+    q["h4_merge_state"] = with_ctes(["status"], "SELECT * FROM status")
+    q["r2_lookup"] = with_ctes(["status"], """
+SELECT r.request_sn, s.sn IS NOT NULL AS found, s.sn, s.last_seen, s.wan_ip, s.sw_version, s.cpu_pct,
+       s.mem_pct, s.updated_at
+FROM (SELECT DISTINCT lower('CPE-' || lpad(CAST(user_id * 2 AS VARCHAR), 5, '0')) AS request_sn
+      FROM ev WHERE event_type = 'view') r
+LEFT JOIN status s ON lower(r.request_sn) = lower(s.sn)""")
+    q["r3_current_view"] = with_ctes(["status"], """
+SELECT sn, wan_ip, sw_version, cpu_pct, mem_pct, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_heartbeat_at
+FROM status""")
+    q["r4_latest_history_one"] = with_ctes(["hist"], """
+SELECT * FROM hist WHERE lower(sn) = 'cpe-00007' ORDER BY event_ts DESC LIMIT 20""")
+    q["r6_device_report"] = with_ctes(["status", "hist"], f"""
+, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(sn) ORDER BY event_ts DESC) AS rk
+                         FROM hist) WHERE rk <= 20)
+SELECT coalesce(s.sn, t.sn) AS device, s.sn IS NOT NULL AS found,
+       CASE WHEN s.sn IS NULL THEN 'SN not found' END AS error,
+       s.wan_ip, s.sw_version, s.cpu_pct, s.mem_pct,
+       strftime(s.last_seen, '%Y-%m-%d %H:%M:%S') AS last_heartbeat_at,
+       CAST(t.rk AS INTEGER) AS rank, strftime(t.event_ts, '%Y-%m-%d %H:%M:%S') AS heartbeat_at,
+       t.wan_ip AS h_wan_ip, t.cpu_pct AS h_cpu_pct, t.mem_pct AS h_mem_pct,
+       '{DASH}' || replace(url_encode(coalesce(s.sn, t.sn)), '%20', '+') AS dashboard_url,
+       '{LOGS_URL}' || replace(url_encode(coalesce(s.sn, t.sn)), '%20', '+') AS logs_url
+FROM status s FULL OUTER JOIN top t ON lower(s.sn) = lower(t.sn)""")
+    # ---- V / M
+    q["v1_hmac"] = with_ctes(["whc"], f"SELECT seq, {HMAC} AS hmac FROM whb")
+    q["v8_webhook_outcomes"] = with_ctes(["whc"], """
+SELECT seq, code, reason, CASE WHEN code IN (202, 500) THEN jsn END AS sn,
+       CASE WHEN code IN (202, 500) THEN jevent_ts END AS event_ts FROM whc""")
+    q["v9_heartbeat_outcomes"] = with_ctes(["hb"], f"""
+SELECT seq, 202 AS code, sn, {rms('last_seen')} AS last_seen, wan_ip, sw_version,
+       CAST(cpu_pct AS BIGINT) AS cpu_pct, CAST(mem_pct AS BIGINT) AS mem_pct FROM hb""")
+    q["m1_webhook_requests"] = with_ctes(["whc"], "SELECT code, count(*) AS requests FROM whc GROUP BY code")
+    q["m2_webhook_errors"] = with_ctes(["whc"], """
+SELECT reason, count(*) AS errors FROM whc WHERE reason IS NOT NULL GROUP BY reason""")
+    q["m3_api_requests"] = with_ctes(["hbo"], "SELECT code, count(*) AS requests FROM hbo GROUP BY code")
+    q["m4_heartbeats_per_device"] = with_ctes(["hb"], "SELECT sn, count(*) AS heartbeats FROM hb GROUP BY sn")
+    q["m5_m6_gauges"] = with_ctes(["hb"], """
+SELECT sn, CAST(arg_max(cpu_pct, seq) FILTER (WHERE cpu_pct IS NOT NULL) AS BIGINT) AS cpu_pct,
+       CAST(arg_max(mem_pct, seq) FILTER (WHERE mem_pct IS NOT NULL) AS BIGINT) AS mem_pct
+FROM hb GROUP BY sn""")
+    # ---- Q
+    q["q1_enqueue"] = with_ctes(["qk"], f"""
+SELECT id, 'acs' AS source, sn, event_ts, payload, 'queued' AS status, CAST(0 AS INTEGER) AS attempts,
+       {rs('last_at')} AS next_at, {rs('created_raw')} AS created_at, {rs('last_at')} AS updated_at
+FROM qk""")
+    q["q_fold"] = with_ctes(["queue"], "SELECT * FROM queue")
+    q["q2_ready"] = with_ctes(["queue"], f"""
+SELECT * FROM queue WHERE status = 'queued' AND next_at <= {A} ORDER BY id LIMIT 50""")
+    q["q3_claim"] = with_ctes(["queue"], f"""
+, c AS (SELECT DISTINCT id FROM (
+    SELECT id FROM (SELECT id FROM queue WHERE status = 'queued' AND next_at <= {A} ORDER BY id LIMIT 500)
+    UNION ALL SELECT id FROM queue WHERE status = 'done'))
+SELECT q.id, {A} AS "at", CAST(0 AS BIGINT) AS seq, 'processing' AS status,
+       CAST(q.attempts + 1 AS INTEGER) AS attempts, CAST(NULL AS TIMESTAMP) AS next_at,
+       CAST(NULL AS VARCHAR) AS reason
+FROM c JOIN queue q USING (id) WHERE q.status = 'queued'""")
+    q["q5_fail_writer"] = with_ctes(["queue"], f"""
+SELECT id, {A} AS "at", CAST(1 AS BIGINT) AS seq,
+       CASE WHEN attempts >= 5 THEN 'dead' ELSE 'queued' END AS status, CAST(attempts AS INTEGER) AS attempts,
+       CASE WHEN attempts < 5 THEN {A} + to_seconds(LEAST(300, 5 * (1 << attempts))) END AS next_at,
+       'timeout' AS reason
+FROM queue WHERE status = 'processing'""")
+    q["q7_fail_queue"] = with_ctes(["queue"], f"""
+SELECT id, {A} AS "at", CAST(1 AS BIGINT) AS seq,
+       CASE WHEN attempts + 1 >= 5 THEN 'dead' ELSE 'queued' END AS status,
+       CAST(attempts + 1 AS INTEGER) AS attempts,
+       CASE WHEN attempts + 1 < 5 THEN {A} + to_seconds(5 * (1 << attempts)) END AS next_at,
+       'timeout' AS reason
+FROM queue WHERE status = 'processing'""")
+    q["q8_drain"] = with_ctes(["queue"], f"""
+, r AS (SELECT * FROM queue WHERE status = 'queued' AND next_at <= {A} ORDER BY id LIMIT 50)
+SELECT id, {A} AS "at", CAST(0 AS BIGINT) AS seq, 'processing' AS status, CAST(attempts + 1 AS INTEGER) AS attempts,
+       CAST(NULL AS TIMESTAMP) AS next_at, CAST(NULL AS VARCHAR) AS reason FROM r
+UNION ALL
+SELECT id, {A}, CAST(1 AS BIGINT), 'done', CAST(attempts + 1 AS INTEGER), CAST(NULL AS TIMESTAMP),
+       CAST(NULL AS VARCHAR) FROM r""")
+    q["q9_depth"] = with_ctes(["queue"], f"""
+SELECT status, count(*) AS events, count(*) FILTER (WHERE status = 'queued' AND next_at <= {A}) AS ready
+FROM queue GROUP BY status""")
+    q["q10_lag"] = with_ctes(["queue"], f"""
+SELECT count(*) AS open_events, min(created_at) AS oldest_created_at,
+       CAST(epoch({A}) - epoch(min(created_at)) AS BIGINT) AS lag_seconds
+FROM queue WHERE status IN ('queued', 'processing')""")
+    q["q11_backlog"] = with_ctes(["backlog_day"], "SELECT * FROM backlog_day")
+    q["q12_purge"] = with_ctes(["queue"], f"""
+SELECT id, status, updated_at,
+       CASE WHEN status = 'done' AND updated_at < {A} - INTERVAL 14 DAY THEN 'archive' ELSE 'keep' END AS action
+FROM queue""")
+    q["m8_m10_writer_counters"] = with_ctes(["qt"], """
+SELECT 'writer_events_processed_total' AS metric, '' AS label, count(*) AS value
+FROM qt WHERE status = 'done' HAVING count(*) > 0
+UNION ALL
+SELECT 'writer_events_failed_total', reason, count(*) FROM qt WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL
+SELECT 'writer_events_dead_total', '', count(*) FROM qt WHERE status = 'dead' HAVING count(*) > 0""")
+    # ---- W
+    j, t = grid("received_at", WIN, STEP)
+    q["w1_rate_by_code_events"] = with_ctes(["whc"], f"""
+SELECT {t} AS t, CAST(code AS VARCHAR) AS code, count(*) / {float(WIN)} AS rate
+FROM whc {j} GROUP BY 1, 2""")
+    q["w2_rate_by_reason"] = with_ctes(["whc"], f"""
+SELECT {t} AS t, reason, count(*) / {float(WIN)} AS rate
+FROM whc {j} WHERE reason IS NOT NULL GROUP BY 1, 2""")
+    q["w3_api_rate_by_code"] = with_ctes(["hbo"], f"""
+SELECT {t} AS t, CAST(code AS VARCHAR) AS code, count(*) / {float(WIN)} AS rate
+FROM hbo {j} GROUP BY 1, 2""")
+    q["w6_error_pct"] = with_ctes(["hbo"], f"""
+SELECT {t} AS t, count(*) FILTER (WHERE regexp_full_match(CAST(code AS VARCHAR), '5..'))::DOUBLE
+                 / count(*)::DOUBLE * 100.0 AS pct
+FROM hbo {j} GROUP BY 1""")
+    jt, tt = grid('"at"', WIN, STEP)
+    q["w4_writer_increase"] = with_ctes(["qt"], f"""
+, x AS (SELECT "at", CASE status WHEN 'done' THEN 'processed' WHEN 'dead' THEN 'dead' END AS metric
+        FROM qt WHERE status IN ('done', 'dead')
+        UNION ALL SELECT "at", 'failed' FROM qt WHERE reason IS NOT NULL)
+SELECT {tt} AS t, metric, CAST(count(*) AS DOUBLE) AS increase FROM x {jt} GROUP BY 1, 2""")
+    js, ts_ = grid("ts", WIN, STEP)
+    q["w1_rate_by_code_samples"] = with_ctes(["samples"], f"""
+, d AS (SELECT *, lag(ts) OVER w AS prev_ts,
+               CASE WHEN lag(value) OVER w IS NULL THEN NULL
+                    WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END AS delta
+        FROM samples WINDOW w AS (PARTITION BY metric, code, instance ORDER BY ts)),
+ps AS (SELECT {ts_} AS t, code, instance, count(*) AS n,
+              sum(CASE WHEN prev_ts > {ts_} - INTERVAL {WIN} SECOND THEN delta END) AS inc
+       FROM d {js} GROUP BY 1, 2, 3)
+SELECT t, code, sum(coalesce(inc, 0.0)) / {float(WIN)} AS rate FROM ps WHERE n >= 2 GROUP BY t, code""")
+    ju, tu = grid("ts", 3600, 3600)
+    q["w5_service_up"] = with_ctes(["ups"], f"""
+, per AS (SELECT {tu} AS t, namespace, service, instance, arg_max(value, ts) AS v
+          FROM ups {ju} WHERE namespace = 'fleet'
+            AND regexp_full_match(service, 'acs-ingest|queue-writer|status-api') GROUP BY 1, 2, 3, 4)
+SELECT t, service, sum(v) AS up FROM per GROUP BY t, service""")
+    # ---- A
+    q["a1_service_down"] = with_ctes(["replicas"], ", " + acore(
+        "(SELECT * FROM replicas WHERE namespace = 'fleet' AND deployment IN ('acs-ingest', 'queue-writer'))",
+        ["namespace", "deployment"], "ts", "value < 1", 60))
+    q["a3_database_down"] = with_ctes(["replicas"], ", " + acore(
+        "(SELECT * FROM replicas WHERE namespace = 'fleet' AND deployment = 'database')",
+        ["namespace", "deployment"], "ts", "value < 1", 120))
+    q["a5_connections_high"] = with_ctes(["conns"], ", " + acore(
+        "conns", ["instance"], "ts", "used / \"limit\" > 0.8", 300))
+    q["a2_high_error_rate"] = with_ctes(["hbo"], f"""
+, pct AS (SELECT 'HighErrorRate' AS rule, {t} AS t,
+                 count(*) FILTER (WHERE regexp_full_match(CAST(code AS VARCHAR), '5..'))::DOUBLE
+                 / count(*)::DOUBLE * 100.0 AS pct FROM hbo {j} GROUP BY 2),
+""" + acore("pct", ["rule"], "t", "pct > 5", 600))
+    q["a4_backlog_high"] = with_ctes(["backlog_hour"], """
+, bl AS (SELECT 'QueueBacklog' AS rule, * FROM backlog_hour),
+""" + acore("bl", ["rule"], "bucket_end", "open_events > 40", 3 * 3600))
+    q["a6_rendered_annotations"] = q["a1_service_down"].replace(
+        "SELECT namespace, deployment, pend AS pending_at,",
+        "SELECT namespace, deployment, pend AS pending_at, 'Deployment ' || namespace || '/' || deployment"
+        " || ' has 0 available pods for more than 1 minute.' AS description, ")
+    q["a6_rendered_annotations"] = ("SELECT namespace, deployment, pending_at, description FROM ("
+                                    + q["a6_rendered_annotations"] + ")")
+    # ---- L
+    q["l1_l2_decoded_enriched"] = with_ctes(["logs"], """
+SELECT path, ts, message, level, decoded, namespace, pod, container, app, node FROM elogs""")
+    q["l4_search_prefix"] = with_ctes(["logs"], """
+SELECT ts, pod, message FROM elogs
+WHERE namespace = 'fleet' AND starts_with(pod, 'acs-ingest-')
+  AND regexp_matches(message, '(?i)(^|[^A-Za-z0-9_])enqueued')
+ORDER BY ts DESC LIMIT 5""")
+    q["l5_search_sn"] = with_ctes(["logs"], f"""
+SELECT ts, pod, message FROM elogs
+WHERE ts > {A} - INTERVAL 3 DAY AND ts <= {A}
+  AND regexp_matches(message, '(?i)(^|[^A-Za-z0-9_.-])sn=CPE-00001($|[^A-Za-z0-9_.-])')""")
+    q["l6_extract"] = with_ctes(["logs"], f"""
+SELECT path, ts,
+       CASE WHEN regexp_matches(message, '{HB_LINE}') THEN 'heartbeat'
+            WHEN regexp_matches(message, '{ENQ_LINE}') THEN 'enqueue'
+            WHEN regexp_matches(message, '{PROC_LINE}') THEN 'process' END AS kind,
+       coalesce(nullif(regexp_extract(message, '{HB_LINE}', 1), ''),
+                nullif(regexp_extract(message, '{ENQ_LINE}', 1), ''),
+                nullif(regexp_extract(message, '{PROC_LINE}', 2), '')) AS sn,
+       nullif(regexp_extract(message, '{HB_LINE}', 2), '') AS wan_ip,
+       nullif(regexp_extract(message, '{HB_LINE}', 3), '') AS sw_version,
+       TRY_CAST(nullif(regexp_extract(message, '{HB_LINE}', 4), '') AS INTEGER) AS cpu,
+       TRY_CAST(nullif(regexp_extract(message, '{HB_LINE}', 5), '') AS INTEGER) AS mem,
+       TRY_CAST(nullif(regexp_extract(message, '{PROC_LINE}', 1), '') AS BIGINT) AS event_id,
+       coalesce(nullif(regexp_extract(message, '{ENQ_LINE}', 2), ''),
+                nullif(regexp_extract(message, '{PROC_LINE}', 3), '')) AS event_time
+FROM dlogs""")
+    q["l8_index_sizes"] = with_ctes(["logs"], """
+SELECT CAST(ts AS DATE) AS log_date, count(*) AS docs, CAST(sum(strlen(line)) AS BIGINT) AS bytes
+FROM rawlogs GROUP BY 1""")
+    q["l7_expired_indices"] = with_ctes(["logs"], f"""
+SELECT * FROM (SELECT CAST(ts AS DATE) AS log_date, count(*) AS docs, CAST(sum(strlen(line)) AS BIGINT) AS bytes
+               FROM rawlogs GROUP BY 1)
+WHERE log_date < CAST({A} AS DATE) - INTERVAL 14 DAY""")
+    # ---- K
+    q["k3_expired_snapshots"] = with_ctes(["manifests"], f"""
+SELECT path, bytes, modified_at FROM src WHERE modified_at < {A} - INTERVAL 7 DAY""")
+    q["k4_mirror_plan"] = with_ctes(["manifests"], """
+SELECT s.rel_path, s.bytes,
+       CASE WHEN d.bytes IS NULL THEN 'copy_new' WHEN d.bytes <> s.bytes THEN 'overwrite' ELSE 'skip' END AS action
+FROM src s LEFT JOIN dst d ON s.rel_path = d.rel_path""")
+    q["s6_latest_snapshot"] = with_ctes(["manifests"], """
+SELECT path, snapshot_date FROM src ORDER BY snapshot_date DESC, modified_at DESC, path DESC LIMIT 1""")
     return q
