@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetline.operators.series import last_marked, neighbors
+from fleetline.operators.series import islands
 
 
 def for_duration(samples: DataFrame, series: list[str], condition: Column, for_seconds: float,
@@ -25,18 +25,15 @@ def for_duration(samples: DataFrame, series: list[str], condition: Column, for_s
     after the island (NULL while still firing).  Islands that never reach
     ``for`` are not returned.  A NULL condition counts as false."""
     d = samples.select(*series, ts, F.coalesce(condition, F.lit(False)).alias("_c"))
-    n = neighbors(d, series, ts, ["_c"], split_seconds=split_seconds,
-                  want_prev=True, want_next=True)
-    n = n.withColumn("_start", F.col(f"prev_{ts}").isNull() | (F.col("_c") != F.col("prev__c")))
-    m = last_marked(n, series, ts, "_start", ts, name="_island")
+    m = islands(d, series, ts, "_c", split_seconds)
     held = (F.unix_micros(F.col(ts).cast("timestamp"))
-            - F.unix_micros(F.col("_island").cast("timestamp"))) >= int(for_seconds * 1_000_000)
-    g = m.where("_c").groupBy(*series, "_island").agg(
+            - F.unix_micros(F.col("island").cast("timestamp"))) >= int(for_seconds * 1_000_000)
+    g = m.where("_c").groupBy(*series, "island").agg(
         F.min(F.when(held, F.col(ts))).alias("fired_at"),
         F.max(ts).alias("last_true_at"),
-        F.max_by(F.col(f"next_{ts}"), F.col(ts)).alias("resolved_at"))
+        F.max_by(F.col("next_ts"), F.col(ts)).alias("resolved_at"))
     return g.where(F.col("fired_at").isNotNull()).select(
-        *series, F.col("_island").alias("pending_at"), "fired_at", "last_true_at", "resolved_at")
+        *series, F.col("island").alias("pending_at"), "fired_at", "last_true_at", "resolved_at")
 
 
 _LABEL = re.compile(r"\{\{\s*\$labels\.([A-Za-z_][A-Za-z0-9_]*)\s*\}\}")

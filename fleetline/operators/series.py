@@ -4,11 +4,15 @@ Ordered per-series work (previous/next sample, running counts, islands)
 normally means ``Window.partitionBy(series).orderBy(ts)``, which puts a whole
 series on one task.  When one series holds a third of all rows that task
 becomes the job.  Here each series is split into time buckets: the window
-runs per ``(series, bucket)`` in parallel, and the values that cross a bucket
-boundary come from a per-bucket summary table (one row per series and
-bucket, orders of magnitude smaller than the samples) that is joined back on
-the same ``(series, bucket)`` key the windowed side is already partitioned
-by.
+runs per ``(series, bucket)`` in parallel, and what crosses a bucket
+boundary comes from a per-bucket summary (one row per series and bucket,
+orders of magnitude smaller than the samples) that is joined back on the
+same ``(series, bucket)`` key.
+
+The summary is aggregated from the *windowed* rows, so both branches read
+the same shuffle of the samples (Spark reuses the exchange) and the
+aggregation needs no shuffle of its own: the samples cross the network
+once.
 """
 
 from __future__ import annotations
@@ -19,55 +23,59 @@ from pyspark.sql import functions as F
 from fleetline.functions.exprs import idiv
 
 BUCKET = "_bucket"
+_ROW, _CNT = "_rn", "_cnt"
 
 
-def _bucket(ts: str, split_seconds: int):
+def bucket_of(ts: str, split_seconds: int):
     return idiv(F.unix_micros(F.col(ts).cast("timestamp")), split_seconds * 1_000_000)
 
 
+def _windowed(df: DataFrame, series: list[str], order: list[str], split_seconds: int,
+              extra) -> tuple[DataFrame, Window, Window]:
+    d = df.withColumn(BUCKET, bucket_of(order[0], split_seconds))
+    w = Window.partitionBy(*series, BUCKET).orderBy(*order)
+    wp = Window.partitionBy(*series, BUCKET)
+    ws = Window.partitionBy(*series).orderBy(BUCKET)
+    cols = [F.col(c) for c in d.columns] + [
+        F.row_number().over(w).alias(_ROW), F.count(F.lit(1)).over(wp).alias(_CNT)] + extra(w)
+    return d.select(*cols), w, ws
+
+
 def neighbors(df: DataFrame, series: list[str], ts: str, cols: list[str],
               tiebreak: str | None = None, split_seconds: int = 86_400,
               want_prev: bool = True, want_next: bool = False) -> DataFrame:
-    """Add ``prev_<c>``/``next_<c>`` (and ``prev_<ts>``/``next_<ts>``) from
-    the neighbouring row of the same series in ``(ts, tiebreak)`` order.
-    Adds the bucket column ``_bucket`` (kept: later per-bucket windows reuse
-    the partitioning)."""
+    """Add ``prev_<c>``/``next_<c>`` for ``c`` in ``[ts] + cols`` from the
+    neighbouring row of the same series in ``(ts, tiebreak)`` order."""
     order = [ts] + ([tiebreak] if tiebreak else [])
-    carried = list(dict.fromkeys([ts] + cols + ([tiebreak] if tiebreak else [])))
-    d = df.withColumn(BUCKET, _bucket(ts, split_seconds))
-    w = Window.partitionBy(*series, BUCKET).orderBy(*order)
-    rn = F.row_number().over(w)
-    proj = [F.col(c) for c in d.columns]
-    if want_prev:
-        proj += [F.lag(F.col(c)).over(w).alias(f"_lp_{c}") for c in carried]
-        proj.append((rn == 1).alias("_is_first"))
-    if want_next:
-        proj += [F.lead(F.col(c)).over(w).alias(f"_ln_{c}") for c in carried]
-        proj.append((F.count(F.lit(1)).over(Window.partitionBy(*series, BUCKET)) == rn).alias("_is_last"))
-    d = d.select(*proj)
-
-    # d is hash-partitioned by (series, bucket) after the window: this
-    # aggregation and the join below add no shuffle of the samples.
+    carried = list(dict.fromkeys([ts] + cols))
+    every = [c for c in df.columns if c not in series]
+
+    def extra(w):
+        out = []
+        if want_prev:
+            out += [F.lag(F.col(c)).over(w).alias(f"_lp_{c}") for c in carried]
+        if want_next:
+            out += [F.lead(F.col(c)).over(w).alias(f"_ln_{c}") for c in carried]
+        return out
+
+    d, w, ws = _windowed(df, series, order, split_seconds, extra)
+    # Every input column goes into the summary structs so both branches
+    # project the same columns before the shared exchange.
+    row = F.struct(*[F.col(c) for c in every])
     s = d.groupBy(*series, BUCKET).agg(
-        F.max_by(F.struct(*carried), F.struct(*order)).alias("_last"),
-        F.min_by(F.struct(*carried), F.struct(*order)).alias("_first"))
-    ws = Window.partitionBy(*series).orderBy(BUCKET)
-    cproj = [F.col(c) for c in series] + [F.col(BUCKET)]
-    if want_prev:
-        cproj.append(F.lag("_last").over(ws).alias("_cp"))
-    if want_next:
-        cproj.append(F.lead("_first").over(ws).alias("_cn"))
-    carry = s.select(*cproj)
+        F.max_by(row, F.when(F.col(_ROW) == F.col(_CNT), F.lit(1))).alias("_last"),
+        F.max_by(row, F.when(F.col(_ROW) == 1, F.lit(1))).alias("_first"))
+    carry = s.select(*series, BUCKET,
+                     *([F.lag("_last").over(ws).alias("_cp")] if want_prev else []),
+                     *([F.lead("_first").over(ws).alias("_cn")] if want_next else []))
     j = d.join(carry, series + [BUCKET], "left")
-
-    out = [F.col(c) for c in d.columns
-           if not c.startswith(("_lp_", "_ln_")) and c not in ("_is_first", "_is_last")]
+    out = [F.col(c) for c in df.columns] + [F.col(BUCKET)]
     for c in carried:
         if want_prev:
-            out.append(F.when(F.col("_is_first"), F.col(f"_cp.{c}"))
+            out.append(F.when(F.col(_ROW) == 1, F.col(f"_cp.{c}"))
                        .otherwise(F.col(f"_lp_{c}")).alias(f"prev_{c}"))
         if want_next:
-            out.append(F.when(F.col("_is_last"), F.col(f"_cn.{c}"))
+            out.append(F.when(F.col(_ROW) == F.col(_CNT), F.col(f"_cn.{c}"))
                        .otherwise(F.col(f"_ln_{c}")).alias(f"next_{c}"))
     return j.select(*out)
 
@@ -75,36 +83,52 @@ def neighbors(df: DataFrame, series: list[str], ts: str, cols: list[str],
 def running_count(df: DataFrame, partition: list[str], ts: str, tiebreak: str | None = None,
                   split_seconds: int = 3_600, name: str = "running_count") -> DataFrame:
     """1-based running count of rows per ``partition`` in ``(ts, tiebreak)``
-    order: local row number per ``(partition, bucket)`` plus the rows of the
-    earlier buckets from a running sum over the per-bucket counts."""
+    order: row number within ``(partition, bucket)`` plus the rows of the
+    earlier buckets (running sum over the per-bucket counts)."""
     order = [ts] + ([tiebreak] if tiebreak else [])
-    d = df.withColumn(BUCKET, _bucket(ts, split_seconds))
-    w = Window.partitionBy(*partition, BUCKET).orderBy(*order)
-    d = d.withColumn("_local", F.row_number().over(w))
-    s = d.groupBy(*partition, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    ws = Window.partitionBy(*partition).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    s = s.select(*partition, BUCKET, F.coalesce(F.sum("_n").over(ws), F.lit(0)).alias("_before"))
+    d, w, ws = _windowed(df, partition, order, split_seconds, lambda w: [])
+    s = d.groupBy(*partition, BUCKET).agg(F.max(_CNT).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = s.select(*partition, BUCKET, before.alias("_before"))
     j = d.join(s, partition + [BUCKET], "left")
-    return j.select(*[c for c in df.columns],
-                    (F.col("_local") + F.col("_before")).cast("long").alias(name))
+    return j.select(*[F.col(c) for c in df.columns],
+                    (F.col(_ROW) + F.col("_before")).cast("long").alias(name))
 
 
-def last_marked(df: DataFrame, series: list[str], ts: str, mark: str, value: str,
-                tiebreak: str | None = None, name: str = "last_marked") -> DataFrame:
-    """For each row: ``value`` of the latest row at or before it (same series)
-    whose ``mark`` is true.  Requires ``_bucket`` (from ``neighbors``); the
-    per-bucket window reuses that partitioning, the carry over buckets
-    comes from a summary table."""
-    order = [ts] + ([tiebreak] if tiebreak else [])
-    w = (Window.partitionBy(*series, BUCKET).orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    local = F.last(F.when(F.col(mark), F.col(value)), ignorenulls=True).over(w)
-    d = df.withColumn("_loc", local)
-    s = df.groupBy(*series, BUCKET).agg(
-        F.max_by(F.col(value), F.when(F.col(mark), F.struct(*order))).alias("_lm"))
-    ws = (Window.partitionBy(*series).orderBy(BUCKET)
-          .rowsBetween(Window.unboundedPreceding, -1))
-    s = s.select(*series, BUCKET, F.last("_lm", ignorenulls=True).over(ws).alias("_carry"))
+def islands(df: DataFrame, series: list[str], ts: str, flag: str,
+            split_seconds: int = 86_400) -> DataFrame:
+    """Runs of equal ``flag`` per series in ``ts`` order, in one windowed
+    pass.  Adds ``island`` (ts of the run's first row) and ``next_ts`` (ts
+    of the following row of the series, NULL for the last one).
+
+    Per bucket the window finds local run starts (excluding the bucket's
+    first row); the summary says whether the first row continues the
+    previous bucket's run, and the island of a bucket's last row is the
+    last non-null "anchor" over the buckets so far."""
+    u = Window.unboundedPreceding
+
+    def extra(w):
+        return [F.lag(F.col(flag)).over(w).alias("_pf"), F.lead(F.col(ts)).over(w).alias("_nts")]
+
+    d, w, ws = _windowed(df, series, [ts], split_seconds, extra)
+    start = F.when((F.col(_ROW) > 1) & (F.col(flag) != F.col("_pf")), F.col(ts))
+    d = d.withColumn("_ls", start)
+    d = d.withColumn("_lls", F.last("_ls", ignorenulls=True).over(w.rowsBetween(u, 0)))
+    s = d.groupBy(*series, BUCKET).agg(
+        F.min(ts).alias("_fts"),
+        F.max_by(F.col(flag), F.when(F.col(_ROW) == 1, F.lit(1))).alias("_ff"),
+        F.max_by(F.col(flag), F.when(F.col(_ROW) == F.col(_CNT), F.lit(1))).alias("_lf"),
+        F.max("_ls").alias("_lastls"))
+    s = s.select("*", F.lag("_lf").over(ws).alias("_plf"), F.lead("_fts").over(ws).alias("_nfts"))
+    cont = F.col("_plf").isNotNull() & (F.col("_plf") == F.col("_ff"))
+    s = s.withColumn("_cont", cont).withColumn(
+        "_anchor", F.coalesce(F.col("_lastls"), F.when(~cont, F.col("_fts"))))
+    s = s.withColumn("_isl_last", F.last("_anchor", ignorenulls=True).over(ws.rowsBetween(u, 0)))
+    s = s.select(*series, BUCKET, "_nfts",
+                 F.when(F.col("_cont"), F.lag("_isl_last").over(ws))
+                 .otherwise(F.col("_fts")).alias("_isl_first"))
     j = d.join(s, series + [BUCKET], "left")
-    return j.select(*[c for c in df.columns],
-                    F.coalesce(F.col("_loc"), F.col("_carry")).alias(name))
+    return j.select(*[F.col(c) for c in df.columns],
+                    F.coalesce(F.col("_lls"), F.col("_isl_first")).alias("island"),
+                    F.when(F.col(_ROW) == F.col(_CNT), F.col("_nfts"))
+                    .otherwise(F.col("_nts")).alias("next_ts"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetline.functions.exprs import hmac_sha256_hex
-from fleetline.sources.tables import read_table
+from fleetline.sources.tables import read_table, spread
 
 # Fixed values for the fixtures.
 FIXTURE_SECRET = "fleetline-fixture-secret"
@@ -29,8 +29,8 @@ def as_of_col():
 
 
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events")
-    return e.select(
+    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    return spread(e).select(
         "event_id", "ts", "user_id", "event_type",
         F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 

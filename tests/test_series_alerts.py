@@ -56,3 +56,36 @@ def test_alert_for_duration(spark):
     assert fire(spark, [(0, 1), (30, 0), (50, 1), (100, 1)], 60) == []
     pts = [(i * 15, 1 if (i // 7) % 2 == 0 else 0) for i in range(400)]
     assert sorted(map(tuple, fire(spark, pts, 60))) == sorted(map(tuple, fire(spark, pts, 60, split=120)))
+
+
+def brute_force_alerts(pts, for_s):
+    """Row-by-row state machine over one series."""
+    out, start, fired, last = [], None, None, None
+    for i, (t, v) in enumerate(pts):
+        if v > 0:
+            if start is None:
+                start, fired = t, None
+            if fired is None and t - start >= for_s:
+                fired = t
+            last = t
+        else:
+            if start is not None and fired is not None:
+                out.append((start, fired, last, t))
+            start, fired = None, None
+    if start is not None and fired is not None:
+        out.append((start, fired, last, None))
+    return out
+
+
+def test_alerts_random_against_state_machine(spark):
+    rnd = random.Random(11)
+    t, pts = 0, []
+    for _ in range(600):
+        t += rnd.choice([5, 15, 15, 30, 400])
+        pts.append((t, 1 if rnd.random() < 0.6 else 0))
+    want = brute_force_alerts(pts, 60)
+    for split in (60, 900, 86400):
+        got = fire(spark, pts, 60, split=split)
+        sec = lambda x: None if x is None else int((x - T0).total_seconds())
+        assert sorted((sec(r["pending_at"]), sec(r["fired_at"]), sec(r["last_true_at"]),
+                       sec(r["resolved_at"])) for r in got) == sorted(want)
