@@ -254,3 +254,9 @@ def writer_counters(transitions: DataFrame) -> DataFrame:
         F.lit("writer_events_dead_total").alias("metric"), F.lit("").alias("label"))
     return (done.unionByName(failed).unionByName(dead)
             .groupBy("metric", "label").agg(F.count(F.lit(1)).alias("value")))
+
+
+def writer_runs(ticks: DataFrame) -> DataFrame:
+    """M7: writer ticks (one row per tick in the tick log, empty ticks
+    included)."""
+    return ticks.agg(F.count(F.lit(1)).alias("writer_runs_total"))

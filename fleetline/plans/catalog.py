@@ -324,6 +324,14 @@ def w4_writer_increase(spark, sf_dir):
     return metrics.increase_from_events(ev.unionByName(failed), "at", ["metric"], WIN, STEP)
 
 
+@plan("w8_last_day_rate")
+def w8_last_day_rate(spark, sf_dir):
+    """Dashboard time range: only (as_of - 1 day, as_of], then the rate."""
+    w = metrics.time_range(webhooks(spark, sf_dir), "received_at", fx.AS_OF, "1 day")
+    w = w.select("received_at", F.col("code").cast("string").alias("code"))
+    return metrics.rate_from_events(w, "received_at", ["code"], WIN, STEP)
+
+
 @plan("w5_service_up")
 def w5_service_up(spark, sf_dir):
     """sum by (service) (up{namespace="fleet", service=~"..."}), 1 h lookback."""

@@ -424,6 +424,9 @@ SELECT 'writer_events_dead_total', '', count(*) FROM qt WHERE status = 'dead' HA
     q["w1_rate_by_code_events"] = with_ctes(["whc"], f"""
 SELECT {t} AS t, CAST(code AS VARCHAR) AS code, count(*) / {float(WIN)} AS rate
 FROM whc {j} GROUP BY 1, 2""")
+    q["w8_last_day_rate"] = with_ctes(["whc"], f"""
+SELECT {t} AS t, CAST(code AS VARCHAR) AS code, count(*) / {float(WIN)} AS rate
+FROM whc {j} WHERE received_at > {A} - INTERVAL 1 DAY AND received_at <= {A} GROUP BY 1, 2""")
     q["w2_rate_by_reason"] = with_ctes(["whc"], f"""
 SELECT {t} AS t, reason, count(*) / {float(WIN)} AS rate
 FROM whc {j} WHERE reason IS NOT NULL GROUP BY 1, 2""")

@@ -1,2 +1,3 @@
-from fleetline.streaming.streams import (heartbeat_stream, process_heartbeat_batch,  # noqa: F401
+from fleetline.streaming.streams import (drain_batch, drain_stream,  # noqa: F401
+                                         heartbeat_stream, process_heartbeat_batch,
                                          process_webhook_batch, rate_stream, webhook_stream)

@@ -102,6 +102,43 @@ def process_webhook_batch(batch: DataFrame, batch_id: int, sink_root: str, secre
     _write_partition(arr, f"{sink_root}/queue_arrivals", batch_id)
 
 
+def drain_batch(spark: SparkSession, sink_root: str, as_of, batch_id: int, limit: int = 50) -> DataFrame:
+    """Q8 as one writer tick over the stored logs: fold the queue from the
+    arrivals and transitions written so far (transitions of this batch id
+    excluded, so a re-run is idempotent), drain up to ``limit`` ready
+    events, append the transitions and one tick row under ``batch_id``."""
+    from fleetline.operators import queue
+
+    ensure_semantics(spark)
+    arr_path, tr_path = f"{sink_root}/queue_arrivals", f"{sink_root}/transitions"
+    arrivals = spark.read.parquet(arr_path).drop("batch_id")
+    trans = None
+    if _exists(spark, tr_path):
+        trans = spark.read.parquet(tr_path).where(F.col("batch_id") != batch_id).drop("batch_id")
+    q = queue.fold(arrivals, trans)
+    out = queue.drain(q, as_of, limit).withColumn("seq", F.col("seq") + F.lit(batch_id) * 2)
+    _write_partition(out, tr_path, batch_id)
+    tick = spark.range(1).select(F.lit(as_of).cast("timestamp_ntz").alias("at"),
+                                 F.lit(limit).alias("batch_size"))
+    _write_partition(tick, f"{sink_root}/ticks", batch_id)
+    return out
+
+
+def drain_stream(spark: SparkSession, sink_root: str, checkpoint: str, limit: int = 50,
+                 interval: str = "1 second"):
+    """The writer loop as a stream: one micro-batch per trigger interval
+    (a rate source supplies the tick times), each running ``drain_batch``."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def run(df, batch_id):
+        last = df.agg(F.max("timestamp").alias("t")).first()["t"]
+        if last is not None:
+            drain_batch(spark, sink_root, last, batch_id, limit)
+
+    return (ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(processingTime=interval).start())
+
+
 def _start(df: DataFrame, fn, checkpoint: str, available_now: bool, processing_time: str | None):
     w = df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 second")

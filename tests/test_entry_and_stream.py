@@ -60,3 +60,45 @@ def test_stream_equals_batch(spark, tmp_path):
     hist = spark.read.parquet(f"{sink}/history").drop("batch_id", "event_date")
     want_h = state.history(ingest.classify_heartbeat(fx.heartbeat_arrivals(spark, SF_SMALL)))
     assert hist.count() == want_h.count()
+
+
+def test_webhook_stream_then_drain_ticks(spark, tmp_path):
+    """Webhooks streamed into the arrivals log, then three writer ticks of 40:
+    each tick drains the lowest ready ids, none twice, re-running a tick
+    changes nothing."""
+    from fleetline.sources import fixtures as fx
+    from fleetline.streaming import drain_batch, webhook_stream
+
+    w = fx.webhook_arrivals(spark, SF_SMALL)
+    src = tmp_path / "wh"
+    w.coalesce(2).write.parquet(str(src / "p0"))
+    sink = str(tmp_path / "sink")
+    q = webhook_stream(spark, str(src / "*"), sink, str(tmp_path / "ck"), fx.FIXTURE_SECRET)
+    q.awaitTermination(600)
+    accepted = spark.read.parquet(f"{sink}/queue_arrivals").count()
+    assert accepted == w.where(F.col("signature").isNull() | (F.col("signature") != "deadbeef")).count() \
+        - spark.read.parquet(f"{sink}/webhook_outcomes").where("code = 400").count()
+    done = []
+    for b, t in enumerate(["2024-02-01 00:00:00", "2024-02-01 00:00:01", "2024-02-01 00:00:02"]):
+        out = drain_batch(spark, sink, t, b, 40)
+        done += [r["id"] for r in out.where("status = 'done'").collect()]
+    drain_batch(spark, sink, "2024-02-01 00:00:02", 2, 40)  # re-run of tick 2
+    assert len(done) == len(set(done)) == 120
+    trans = spark.read.parquet(f"{sink}/transitions")
+    assert trans.where("status = 'done'").count() == 120
+    assert spark.read.parquet(f"{sink}/ticks").count() == 3
+
+
+def test_container_log_files(spark, tmp_path):
+    from fleetline.sources.feeds import read_container_logs
+    d = tmp_path / "containers"
+    d.mkdir()
+    (d / "api-0_fleet_api-0abc.log").write_text(
+        "2024-01-01T00:00:01.5Z stdout F heartbeat updated: sn=CPE-1 wan_ip= sw_version= cpu=0 mem=0\n"
+        "not a cri line\n")
+    rows = read_container_logs(spark, str(d / "*.log")).collect()
+    assert len(rows) == 2
+    assert rows[0]["path"].endswith("api-0_fleet_api-0abc.log")
+    got = {r["line"]: r["ts"] for r in rows}
+    assert got["heartbeat updated: sn=CPE-1 wan_ip= sw_version= cpu=0 mem=0"] is not None
+    assert got["not a cri line"] is None
