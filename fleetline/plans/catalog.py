@@ -113,9 +113,13 @@ def m2_webhook_errors(spark, sf_dir):
 
 @plan("m3_api_requests")
 def m3_api_requests(spark, sf_dir):
-    """API requests by code: heartbeat outcomes after history conflicts."""
+    """API requests by code: heartbeats (after history conflicts) and
+    device lookups (200 found / 404 not found)."""
     o = state.heartbeat_outcomes(heartbeats(spark, sf_dir, collisions=True))
-    return metrics.counter(o.where(F.col("code") != 413), ["code"], "requests")
+    o = o.where(F.col("code") != 413).select("code")
+    look = reads.lookup(status_table(spark, sf_dir), lookup_requests(spark, sf_dir))
+    g = look.select(F.when(F.col("found"), F.lit(200)).otherwise(F.lit(404)).alias("code"))
+    return metrics.counter(o.unionByName(g), ["code"], "requests")
 
 
 @plan("m4_heartbeats_per_device")

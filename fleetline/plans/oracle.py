@@ -358,7 +358,12 @@ SELECT seq, 202 AS code, sn, {rms('last_seen')} AS last_seen, wan_ip, sw_version
     q["m1_webhook_requests"] = with_ctes(["whc"], "SELECT code, count(*) AS requests FROM whc GROUP BY code")
     q["m2_webhook_errors"] = with_ctes(["whc"], """
 SELECT reason, count(*) AS errors FROM whc WHERE reason IS NOT NULL GROUP BY reason""")
-    q["m3_api_requests"] = with_ctes(["hbo"], "SELECT code, count(*) AS requests FROM hbo GROUP BY code")
+    q["m3_api_requests"] = with_ctes(["hbo", "status"], """
+, lk AS (SELECT CASE WHEN s.sn IS NULL THEN 404 ELSE 200 END AS code
+         FROM (SELECT DISTINCT lower('CPE-' || lpad(CAST(user_id * 2 AS VARCHAR), 5, '0')) AS request_sn
+               FROM ev WHERE event_type = 'view') r
+         LEFT JOIN status s ON lower(r.request_sn) = lower(s.sn))
+SELECT code, count(*) AS requests FROM (SELECT code FROM hbo UNION ALL SELECT code FROM lk) GROUP BY code""")
     q["m4_heartbeats_per_device"] = with_ctes(["hb"], "SELECT sn, count(*) AS heartbeats FROM hb GROUP BY sn")
     q["m5_m6_gauges"] = with_ctes(["hb"], """
 SELECT sn, CAST(arg_max(cpu_pct, seq) FILTER (WHERE cpu_pct IS NOT NULL) AS BIGINT) AS cpu_pct,
