@@ -185,10 +185,22 @@ def fail(queue: DataFrame, failures: DataFrame, as_of, policy: str = "writer",
 
 def drain(queue: DataFrame, as_of, limit=DEFAULT_BATCH) -> DataFrame:
     """Q8: one writer tick: ready batch -> claim -> process -> done, as the
-    transitions it writes (two per processed event, no per-row loop)."""
-    batch = ready(queue, as_of, limit)
-    claimed = claim(queue, batch, as_of, seq=0)
-    return claimed.unionByName(complete(claimed, as_of, seq=1))
+    transitions it writes (two per processed event, no per-row loop).
+
+    The batch is selected from the same queue snapshot in the same job, so
+    every claim's compare-and-set succeeds: both transitions are produced
+    from the ready rows in one pass (``claim`` is for claim sets that come
+    from elsewhere)."""
+    batch = ready(queue, as_of, limit).select("id", "attempts")
+    n = (F.col("attempts") + 1).cast("int")
+    steps = F.explode(F.array(
+        F.struct(F.lit(0).cast("long").alias("seq"), F.lit("processing").alias("status")),
+        F.struct(F.lit(1).cast("long").alias("seq"), F.lit("done").alias("status"))))
+    t = batch.select("id", n.alias("attempts"), steps.alias("_s"))
+    return t.select(
+        "id", _ts(as_of).alias("at"), F.col("_s.seq").alias("seq"), F.col("_s.status").alias("status"),
+        "attempts", F.lit(None).cast("timestamp_ntz").alias("next_at"),
+        F.lit(None).cast("string").alias("reason"))
 
 
 def depth(queue: DataFrame, as_of) -> DataFrame:

@@ -30,6 +30,24 @@ SCALE_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+                 executors_cores: int | None = None) -> dict:
+    """Settings for a cluster job over ``input_bytes`` of input: scan splits
+    and post-shuffle partitions of about ``target_partition_bytes`` (they fit
+    executor memory and spill cleanly), and at least one shuffle partition
+    per core; adaptive execution then coalesces small ones and splits
+    skewed ones."""
+    parts = max(1, input_bytes // target_partition_bytes)
+    if executors_cores:
+        parts = max(parts, executors_cores)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        **SCALE_CONF,
+    }
+
+
 def ensure_semantics(spark: SparkSession) -> SparkSession:
     for k, v in SEMANTIC_CONF.items():
         if spark.conf.get(k, None) != v:
