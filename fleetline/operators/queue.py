@@ -219,21 +219,28 @@ def lag(queue: DataFrame, as_of) -> DataFrame:
     return a.select("open_events", "oldest_created_at", secs.alias("lag_seconds"))
 
 
-def backlog(arrivals: DataFrame, transitions: DataFrame, step: str = "1 hour") -> DataFrame:
-    """Q11: open events over time.  Per id the open/closed flag is replayed
-    over its events (window per id: an id has few events); each change is
+def backlog(arrivals: DataFrame, transitions: DataFrame, step: str = "1 hour",
+            split_seconds: int = 86_400) -> DataFrame:
+    """Q11: open events over time.  Per queue key the open/closed flag is
+    replayed over its events in ``(at, src, seq)`` order; each change is
     +1/-1 at its time, summed per step bucket, then a running sum over the
-    bucket table, which has one row per step."""
-    w_key = Window.partitionBy(sn_key("sn"), "event_ts")
+    bucket table (one row per step).
+
+    The replay uses the time-bucketed ``neighbors``: a key that is re-sent
+    a third of all times is spread over many tasks.  Transitions find their
+    key through a join with the one-row-per-id key table."""
+    from fleetline.operators.series import neighbors
+
+    keys = keyed_arrivals(arrivals).select("id", F.col("sn").alias("_ksn"), "event_ts")
     a = arrivals.select(
-        F.min("seq").over(w_key).alias("id"),
-        F.col("received_at").alias("at"), F.lit(0).alias("src"), "seq",
-        F.lit(True).alias("is_open"))
-    t = transitions.select("id", "at", F.lit(1).alias("src"), "seq",
-                           F.col("status").isin(*OPEN).alias("is_open"))
-    e = a.unionByName(t)
-    w = Window.partitionBy("id").orderBy("at", "src", "seq")
-    prev = F.coalesce(F.lag("is_open").over(w), F.lit(False))
+        sn_key("sn").alias("_k"), "event_ts", F.col("received_at").alias("at"),
+        F.lit(0).alias("src"), F.col("seq").cast("long").alias("seq"), F.lit(True).alias("is_open"))
+    t = transitions.join(keys, "id").select(
+        sn_key("_ksn").alias("_k"), "event_ts", "at", F.lit(1).alias("src"),
+        F.col("seq").cast("long").alias("seq"), F.col("status").isin(*OPEN).alias("is_open"))
+    e = neighbors(a.unionByName(t), ["_k", "event_ts"], "at", ["is_open"],
+                  tiebreak=["src", "seq"], split_seconds=split_seconds)
+    prev = F.coalesce(F.col("prev_is_open"), F.lit(False))
     d = e.select("at", (F.col("is_open").cast("int") - prev.cast("int")).alias("delta"))
     d = d.where(F.col("delta") != 0)
     b = d.groupBy(F.window("at", step).end.cast("timestamp_ntz").alias("bucket_end")).agg(

@@ -41,12 +41,18 @@ def _windowed(df: DataFrame, series: list[str], order: list[str], split_seconds:
     return d.select(*cols), w, ws
 
 
+def _order(ts: str, tiebreak) -> list[str]:
+    if not tiebreak:
+        return [ts]
+    return [ts] + ([tiebreak] if isinstance(tiebreak, str) else list(tiebreak))
+
+
 def neighbors(df: DataFrame, series: list[str], ts: str, cols: list[str],
-              tiebreak: str | None = None, split_seconds: int = 86_400,
+              tiebreak: str | list[str] | None = None, split_seconds: int = 86_400,
               want_prev: bool = True, want_next: bool = False) -> DataFrame:
     """Add ``prev_<c>``/``next_<c>`` for ``c`` in ``[ts] + cols`` from the
-    neighbouring row of the same series in ``(ts, tiebreak)`` order."""
-    order = [ts] + ([tiebreak] if tiebreak else [])
+    neighbouring row of the same series in ``(ts, *tiebreak)`` order."""
+    order = _order(ts, tiebreak)
     carried = list(dict.fromkeys([ts] + cols))
     every = [c for c in df.columns if c not in series]
 
@@ -80,12 +86,13 @@ def neighbors(df: DataFrame, series: list[str], ts: str, cols: list[str],
     return j.select(*out)
 
 
-def running_count(df: DataFrame, partition: list[str], ts: str, tiebreak: str | None = None,
+def running_count(df: DataFrame, partition: list[str], ts: str,
+                  tiebreak: str | list[str] | None = None,
                   split_seconds: int = 3_600, name: str = "running_count") -> DataFrame:
     """1-based running count of rows per ``partition`` in ``(ts, tiebreak)``
     order: row number within ``(partition, bucket)`` plus the rows of the
     earlier buckets (running sum over the per-bucket counts)."""
-    order = [ts] + ([tiebreak] if tiebreak else [])
+    order = _order(ts, tiebreak)
     d, w, ws = _windowed(df, partition, order, split_seconds, lambda w: [])
     s = d.groupBy(*partition, BUCKET).agg(F.max(_CNT).alias("_n"))
     before = F.coalesce(F.sum("_n").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

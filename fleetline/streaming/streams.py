@@ -179,11 +179,17 @@ def rate_stream(spark: SparkSession, source_dir: str, checkpoint: str, sink_path
     can no longer change."""
     ensure_semantics(spark)
     src = spark.readStream.schema(S.WEBHOOK_ARRIVAL_SCHEMA).parquet(source_dir)
+    # The grid covers (T - w, T]: shift by 1 µs *before* the watermark so the
+    # window groups directly on the watermarked column.
     c = ingest.classify_webhook(src, secret).select(
-        F.col("received_at").cast("timestamp").alias("received_at"),
+        (F.col("received_at").cast("timestamp") - F.expr("INTERVAL '0.000001' SECOND")).alias("_t"),
         F.col("code").cast("string").alias("code"))
-    c = c.withWatermark("received_at", watermark)
-    agg = metrics.rate_from_events(c, "received_at", ["code"], window, step)
+    c = c.withWatermark("_t", watermark)
+    g = c.groupBy(F.window("_t", window, step).alias("_w"), "code").agg(
+        F.count(F.lit(1)).alias("_n"))
+    secs = metrics._seconds(window)
+    agg = g.select(F.col("_w.end").cast("timestamp_ntz").alias("t"), "code",
+                   (F.col("_n").cast("double") / secs).alias("rate"))
     w = (agg.writeStream.outputMode("append").format("parquet").option("path", sink_path)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")

@@ -102,3 +102,24 @@ def test_container_log_files(spark, tmp_path):
     got = {r["line"]: r["ts"] for r in rows}
     assert got["heartbeat updated: sn=CPE-1 wan_ip= sw_version= cpu=0 mem=0"] is not None
     assert got["not a cri line"] is None
+
+
+def test_rate_stream_matches_batch(spark, tmp_path):
+    """Windows the watermark has closed equal the batch rates."""
+    from fleetline.operators import ingest, metrics
+    from fleetline.sources import fixtures as fx
+    from fleetline.streaming import rate_stream
+
+    w = fx.webhook_arrivals(spark, SF_SMALL)
+    src = tmp_path / "wh"
+    w.coalesce(1).write.parquet(str(src / "p0"))
+    out = str(tmp_path / "rates")
+    q = rate_stream(spark, str(src / "*"), str(tmp_path / "ck"), out, window="6 hours",
+                    step="1 hour", watermark="1 hour", secret=fx.FIXTURE_SECRET)
+    q.awaitTermination(600)
+    got = {(r["t"], r["code"]): r["rate"] for r in spark.read.parquet(out).collect()}
+    c = ingest.classify_webhook(w, fx.FIXTURE_SECRET).select(
+        "received_at", F.col("code").cast("string").alias("code"))
+    want = {(r["t"], r["code"]): r["rate"]
+            for r in metrics.rate_from_events(c, "received_at", ["code"], "6 hours", "1 hour").collect()}
+    assert got and all(want[k] == v for k, v in got.items())
