@@ -1,0 +1,43 @@
+"""Per-session reuse of shared input definitions.
+
+Plans share inputs (the decoded heartbeats, the queue logs, ...).  A
+DataFrame is an immutable, lazily evaluated plan, so the same definition can
+back many queries, like a view registered once.  Building it through Py4J
+takes longer than running it on small inputs, so shared definitions are
+built once per Spark session and input folder.  Nothing is cached in memory
+on the executors: every query still reads and computes its inputs.
+"""
+
+from __future__ import annotations
+
+import functools
+from collections import OrderedDict
+
+_MAX = 128
+_store: OrderedDict = OrderedDict()
+
+
+def _session_key(spark) -> tuple:
+    return (spark.sparkContext.applicationId, id(spark._jsparkSession))
+
+
+def shared(fn):
+    """Memoise ``fn(spark, sf_dir, *args)`` per session and arguments."""
+    @functools.wraps(fn)
+    def wrapper(spark, sf_dir, *args, **kwargs):
+        key = (fn.__module__, fn.__qualname__, _session_key(spark), sf_dir, args,
+               tuple(sorted(kwargs.items())))
+        hit = _store.get(key)
+        if hit is not None:
+            _store.move_to_end(key)
+            return hit
+        df = fn(spark, sf_dir, *args, **kwargs)
+        _store[key] = df
+        while len(_store) > _MAX:
+            _store.popitem(last=False)
+        return df
+    return wrapper
+
+
+def clear() -> None:
+    _store.clear()
