@@ -60,6 +60,14 @@ def current_status(spark: SparkSession, sink_root: str, before: int | None = Non
     return spark.read.parquet(f"{root}/v={vs[-1]}")
 
 
+def status_versions_to_drop(spark: SparkSession, sink_root: str, keep: int = 2) -> list[str]:
+    """Complete status versions older than the newest ``keep`` (readers use
+    the newest; the one before it stays for a batch that is re-run).  The
+    caller deletes them with its filesystem client."""
+    vs = _versions(spark, f"{sink_root}/status")
+    return [f"{sink_root}/status/v={v}" for v in vs[:-keep]] if keep > 0 else []
+
+
 def process_heartbeat_batch(batch: DataFrame, batch_id: int, sink_root: str) -> None:
     """One micro-batch of heartbeats: classify, history (deduplicated within
     the batch and against stored history of the same days), outcomes, and a

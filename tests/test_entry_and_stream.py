@@ -57,6 +57,8 @@ def test_stream_equals_batch(spark, tmp_path):
     got = current_status(spark, sink).drop("received_at", "seq", "first_seq")
     want = state.latest_state(ingest.classify_heartbeat(fx.heartbeat_arrivals(spark, SF_SMALL)))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    from fleetline.streaming import status_versions_to_drop
+    assert len(status_versions_to_drop(spark, sink, keep=2)) == 2      # 4 batches, keep the last two
     hist = spark.read.parquet(f"{sink}/history").drop("batch_id", "event_date")
     want_h = state.history(ingest.classify_heartbeat(fx.heartbeat_arrivals(spark, SF_SMALL)))
     assert hist.count() == want_h.count()

@@ -86,6 +86,17 @@ def test_claim_ready_and_drain(spark):
                                                          (2, "done"), (2, "processing")]
 
 
+def test_complete_is_unconditional(spark):
+    a = arrivals(spark, [(1, T0, "s1", T0, "p")])
+    q = queue.fold(a)
+    claimed = queue.claim(q, spark.createDataFrame([(1,)], "id long"), T0)
+    done = queue.complete(claimed, T0 + dt.timedelta(seconds=1))
+    r = queue.fold(a, claimed.unionByName(done)).first()
+    assert (r["status"], r["attempts"]) == ("done", 1)
+    again = queue.complete(claimed, T0 + dt.timedelta(seconds=2))   # no state check
+    assert queue.fold(a, claimed.unionByName(done).unionByName(again)).first()["status"] == "done"
+
+
 def test_failure_policies(spark):
     a = arrivals(spark, [(i, T0, f"s{i}", T0, "p") for i in range(1, 6)])
     t = transitions(spark, [(i, T0, 0, "processing", i, None, None) for i in range(1, 6)])
