@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetline.functions.exprs import parse_json_body
+
 # Container log path layout and the three service log formats.
 PATH_PATTERN = r"^/var/log/containers/([^_]+)_([^_]+)_(.+)-([0-9a-f]+)\.log$"
 HEARTBEAT_LINE = r"heartbeat updated: sn=(\S*) wan_ip=(\S*) sw_version=(\S*) cpu=(-?\d+) mem=(-?\d+)"
@@ -13,17 +15,20 @@ PROCESS_LINE = r"processing ingest_event id=(\d+) sn=(\S*) event_ts=(\S+)"
 
 
 def decode(lines: DataFrame, field: str = "line") -> DataFrame:
-    """L1: a line holding a JSON object is decoded one level deep; its
-    ``message`` and ``level`` keys overwrite the raw values.  Arrays,
-    scalars and non-JSON lines pass unchanged."""
-    v = F.try_parse_json(F.col(field))
-    obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    """L1: a line that is exactly one JSON object is decoded one level deep:
+    ``fields`` holds every top-level key (nested values as JSON text) and
+    its ``message`` and ``level`` keys overwrite the raw values.  Arrays,
+    scalars, non-JSON lines and objects followed by other text pass
+    unchanged (``decoded`` false, ``fields`` NULL)."""
+    ok, v = parse_json_body(F.col(field), strict_tail=True)
+    obj = ok & F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     msg = F.when(obj, F.try_variant_get(v, "$.message", "string"))
     lvl = F.when(obj, F.try_variant_get(v, "$.level", "string"))
+    fields = F.when(obj, F.try_variant_get(v, "$", "map<string,string>"))
     return lines.select(
         *[c for c in lines.columns],
         F.coalesce(msg, F.col(field)).alias("message"),
-        lvl.alias("level"), obj.alias("decoded"))
+        lvl.alias("level"), obj.alias("decoded"), fields.alias("fields"))
 
 
 def enrich(logs: DataFrame, pods: DataFrame, path: str = "path") -> DataFrame:

@@ -15,6 +15,10 @@ def test_sn_phrase_and_decode(spark):
     d = logs.decode(df)
     hits = logs.search_sn(d, "CPE-1", T0, 10).collect()
     assert sorted(r["message"] for r in hits) == ["heartbeat updated: sn=CPE-1 wan_ip=x", "x sn=cpe-1"]
+    js = [r for r in d.collect() if r["line"].startswith("{")][0]
+    assert js["fields"] == {"message": "x sn=cpe-1", "level": "warn"}
+    trailing = logs.decode(spark.createDataFrame([('{"message":"m"} tail',)], "line string")).first()
+    assert not trailing["decoded"] and trailing["message"] == '{"message":"m"} tail'
     arr = [r for r in d.collect() if r["path"] == "odd-path.log"][0]
     assert arr["message"] == '["message","array"]' and not arr["decoded"]
     pods = spark.createDataFrame([("fleet", "api-0", "api", "n1")], "namespace string, pod string, app string, node string")
