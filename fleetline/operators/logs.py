@@ -113,3 +113,29 @@ def expired_days(index_sizes: DataFrame, as_of, days: int) -> DataFrame:
     """Daily indices older than ``days`` (to delete)."""
     end = F.to_date(F.lit(as_of).cast("timestamp_ntz")) if isinstance(as_of, str) else F.to_date(as_of)
     return index_sizes.where(F.col("log_date") < F.date_sub(end, days))
+
+
+def heartbeat_lines(classified: DataFrame) -> DataFrame:
+    """The line the status service logs for each accepted heartbeat (after
+    both table writes): missing strings print empty, missing numbers 0.
+    Pass final outcomes (``state.heartbeat_outcomes``) so arrivals that lost
+    their history key, which end as 500, log nothing."""
+    ok = classified.where(F.col("code") == 202)
+    line = F.format_string(
+        "heartbeat updated: sn=%s wan_ip=%s sw_version=%s cpu=%d mem=%d",
+        F.col("sn"), F.coalesce(F.col("wan_ip"), F.lit("")), F.coalesce(F.col("sw_version"), F.lit("")),
+        F.coalesce(F.col("cpu_pct"), F.lit(0)), F.coalesce(F.col("mem_pct"), F.lit(0)))
+    return ok.select(F.col("received_at").alias("ts"), F.lit("status-api").alias("service"),
+                     line.alias("message"))
+
+
+def process_lines(transitions: DataFrame, queue: DataFrame) -> DataFrame:
+    """The line the writer logs for each event it claimed: id, sn and the
+    event time in RFC 3339 with nanosecond trimming."""
+    from fleetline.functions.exprs import format_rfc3339_nano
+
+    c = transitions.where(F.col("status") == "processing").select("id", "at")
+    j = c.join(queue.select("id", "sn", "event_ts"), "id")
+    line = F.format_string("processing ingest_event id=%d sn=%s event_ts=%s",
+                           F.col("id"), F.col("sn"), format_rfc3339_nano("event_ts"))
+    return j.select(F.col("at").alias("ts"), F.lit("queue-writer").alias("service"), line.alias("message"))

@@ -417,6 +417,15 @@ def log_table(spark, sf_dir) -> DataFrame:
     return logs.enrich(logs.decode(fx.container_logs(spark, sf_dir)), fx.pods(spark, sf_dir))
 
 
+@plan("l0_service_log_lines")
+def l0_service_log_lines(spark, sf_dir):
+    """Log lines the services write: one per accepted heartbeat, one per
+    event the writer claimed (from the writer's transitions log)."""
+    hb = logs.heartbeat_lines(state.heartbeat_outcomes(heartbeats(spark, sf_dir)))
+    _, tr = queue_logs(spark, sf_dir)
+    return hb.unionByName(logs.process_lines(tr, queue_table(spark, sf_dir)))
+
+
 @plan("l1_l2_decoded_enriched")
 def l1_l2_decoded_enriched(spark, sf_dir):
     return log_table(spark, sf_dir).select(

@@ -488,6 +488,17 @@ SELECT t, service, sum(v) AS up FROM per GROUP BY t, service""")
     q["a6_rendered_annotations"] = ("SELECT namespace, deployment, pending_at, description FROM ("
                                     + q["a6_rendered_annotations"] + ")")
     # ---- L
+    q["l0_service_log_lines"] = with_ctes(["hb", "queue"], """
+SELECT received_at AS ts, 'status-api' AS service,
+       'heartbeat updated: sn=' || sn || ' wan_ip=' || coalesce(wan_ip, '') || ' sw_version='
+       || coalesce(sw_version, '') || ' cpu=' || CAST(coalesce(cpu_pct, 0) AS VARCHAR)
+       || ' mem=' || CAST(coalesce(mem_pct, 0) AS VARCHAR) AS message
+FROM hb
+UNION ALL
+SELECT t."at", 'queue-writer',
+       'processing ingest_event id=' || CAST(t.id AS VARCHAR) || ' sn=' || q.sn || ' event_ts='
+       || regexp_replace(strftime(q.event_ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || 'Z'
+FROM qt t JOIN queue q USING (id) WHERE t.status = 'processing'""")
     q["l1_l2_decoded_enriched"] = with_ctes(["logs"], """
 SELECT path, ts, message, level, decoded, namespace, pod, container, app, node FROM elogs""")
     q["l4_search_prefix"] = with_ctes(["logs"], """
