@@ -49,41 +49,69 @@ def arrivals_from(classified_webhooks: DataFrame) -> DataFrame:
             .select("seq", "received_at", "sn", "event_ts", "payload"))
 
 
-def keyed_arrivals(arrivals: DataFrame) -> DataFrame:
+def keyed_arrivals(arrivals: DataFrame, prev: DataFrame | None = None) -> DataFrame:
     """Q1 core: one row per key ``(sn collated, event_ts)`` with the queue
     id (seq of the first arrival), first spelling, ``created_at`` and the
-    last arrival (its time, seq and payload)."""
-    g = arrivals.groupBy(sn_key("sn").alias("_k"), F.col("event_ts")).agg(
-        F.min_by(F.struct("seq", "sn", "received_at"), "seq").alias("_f"),
-        F.max_by(F.struct("seq", "received_at", "payload"), "seq").alias("_l"))
+    last arrival (its time, seq and payload).  ``prev`` (a queue state kept
+    with its order columns) contributes the keys and first arrivals already
+    known, so a re-sent event keeps its id."""
+    rows = arrivals.select(
+        sn_key("sn").alias("_k"), "event_ts",
+        F.struct(F.col("seq").cast("long").alias("seq"), F.col("sn").alias("sn"),
+                 F.col("received_at").alias("at")).alias("_first"),
+        F.struct(F.col("seq").cast("long").alias("seq"), F.col("received_at").alias("at"),
+                 F.col("payload").alias("payload")).alias("_last"))
+    if prev is not None:
+        rows = rows.unionByName(prev.select(
+            sn_key("sn").alias("_k"), "event_ts",
+            F.struct(F.col("id").alias("seq"), F.col("sn").alias("sn"),
+                     F.col("created_raw").alias("at")).alias("_first"),
+            F.struct(F.col("last_arrival_seq").alias("seq"), F.col("last_arrival_at").alias("at"),
+                     F.col("payload").alias("payload")).alias("_last")))
+    g = rows.groupBy("_k", "event_ts").agg(
+        F.min_by("_first", F.col("_first.seq")).alias("_f"),
+        F.max_by("_last", F.col("_last.seq")).alias("_l"))
     return g.select(
         F.col("_f.seq").alias("id"),
         F.lit("acs").alias("source"),
         plain(F.col("_f.sn")).alias("sn"),
         "event_ts",
-        F.col("_f.received_at").alias("created_raw"),
-        F.col("_l.received_at").alias("last_arrival_at"),
+        F.col("_f.at").alias("created_raw"),
+        F.col("_l.at").alias("last_arrival_at"),
         F.col("_l.seq").alias("last_arrival_seq"),
         F.col("_l.payload").alias("payload"),
     )
 
 
+STATE_COLUMNS = ("created_raw", "last_arrival_at", "last_arrival_seq", "next_raw", "last_order")
+
+
 def fold(arrivals: DataFrame, transitions: DataFrame | None = None,
-         keep_order_columns: bool = False) -> DataFrame:
-    """Current queue table from the two logs (Q1 with Q3-Q7 applied)."""
-    k = keyed_arrivals(arrivals)
+         keep_order_columns: bool = False, prev: DataFrame | None = None) -> DataFrame:
+    """Current queue table from the two logs (Q1 with Q3-Q7 applied).
+
+    ``prev``: an earlier result of ``fold(..., keep_order_columns=True)``;
+    the logs then hold only what was appended after it, and the result
+    equals the fold of the complete logs (incremental compaction)."""
+    k = keyed_arrivals(arrivals, prev)
+    a_struct = F.struct("source", "sn", "event_ts", "payload", "created_raw",
+                        "last_arrival_at", "last_arrival_seq")
     a = k.select(
         "id", _ord("last_arrival_at", 0, "last_arrival_seq").alias("_o"),
         F.lit("queued").alias("status"), F.lit(0).alias("attempts"),
-        F.col("last_arrival_at").alias("next_at"),
-        F.struct("source", "sn", "event_ts", "payload", "created_raw").alias("_a"))
+        F.col("last_arrival_at").alias("next_at"), a_struct.alias("_a"))
+    none_a = F.lit(None).cast(a.schema["_a"].dataType).alias("_a")
     parts = a
     if transitions is not None:
         t = transitions.select(
             "id", _ord("at", 1, "seq").alias("_o"), "status",
-            F.col("attempts").cast("int").alias("attempts"), "next_at",
-            F.lit(None).cast(a.schema["_a"].dataType).alias("_a"))
-        parts = a.unionByName(t)
+            F.col("attempts").cast("int").alias("attempts"), "next_at", none_a)
+        parts = parts.unionByName(t)
+    if prev is not None:
+        p = prev.select("id", F.col("last_order").alias("_o"), "status",
+                        F.col("attempts").cast("int").alias("attempts"),
+                        F.col("next_raw").alias("next_at"), none_a)
+        parts = parts.unionByName(p)
     g = parts.groupBy("id").agg(
         F.max_by(F.struct("status", "attempts"), "_o").alias("_s"),
         F.max_by("next_at", F.when(F.col("next_at").isNotNull(), F.col("_o"))).alias("next_raw"),
@@ -97,8 +125,11 @@ def fold(arrivals: DataFrame, transitions: DataFrame | None = None,
         round_s(F.col("next_raw")).alias("next_at"),
         round_s(F.col("_a.created_raw")).alias("created_at"),
         round_s(F.col("_last.at")).alias("updated_at"),
-        F.col("_last").alias("last_order"))
-    return out if keep_order_columns else out.drop("last_order")
+        F.col("_a.created_raw").alias("created_raw"),
+        F.col("_a.last_arrival_at").alias("last_arrival_at"),
+        F.col("_a.last_arrival_seq").alias("last_arrival_seq"),
+        "next_raw", F.col("_last").alias("last_order"))
+    return out if keep_order_columns else out.drop(*STATE_COLUMNS)
 
 
 def enqueue(arrivals: DataFrame, prev_transitions: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-from fleetline.streaming.streams import (drain_batch, drain_stream,  # noqa: F401
+from fleetline.streaming.streams import (compact_queue, drain_batch, drain_stream,  # noqa: F401
                                          heartbeat_stream, process_heartbeat_batch,
                                          process_webhook_batch, rate_stream,
                                          status_versions_to_drop, webhook_stream)

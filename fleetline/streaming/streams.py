@@ -110,22 +110,88 @@ def process_webhook_batch(batch: DataFrame, batch_id: int, sink_root: str, secre
     _write_partition(arr, f"{sink_root}/queue_arrivals", batch_id)
 
 
+def _batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """``batch_id=<n>`` partitions present under ``path`` (a directory
+    listing, no data read)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return sorted(int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(p)
+                  if st.getPath().getName().startswith("batch_id="))
+
+
+def _queue_snapshots(spark: SparkSession, sink_root: str) -> list[tuple[int, int, str]]:
+    """Complete queue state snapshots as ``(tick, arrivals_upto, path)``."""
+    root = f"{sink_root}/queue_state"
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("tick=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            tick, arr = name[len("tick="):].split("_arr=")
+            out.append((int(tick), int(arr), f"{root}/{name}"))
+    return sorted(out)
+
+
+def _queue_inputs(spark: SparkSession, sink_root: str, before_tick: int, upto_tick: int | None = None,
+                  upto_arrivals: int | None = None):
+    """(prev snapshot or None, new arrivals, new transitions): the latest
+    snapshot older than ``before_tick`` and the log partitions after it
+    (partition pruning on ``batch_id``)."""
+    arr_path, tr_path = f"{sink_root}/queue_arrivals", f"{sink_root}/transitions"
+    snaps = [x for x in _queue_snapshots(spark, sink_root) if x[0] < before_tick]
+    prev, t0, a0 = None, -1, -1
+    if snaps:
+        t0, a0, path = snaps[-1]
+        prev = spark.read.parquet(path)
+    arrivals = spark.read.parquet(arr_path).where(F.col("batch_id") > a0)
+    if upto_arrivals is not None:
+        arrivals = arrivals.where(F.col("batch_id") <= upto_arrivals)
+    trans = None
+    if _exists(spark, tr_path):
+        trans = spark.read.parquet(tr_path).where(
+            (F.col("batch_id") > t0) & (F.col("batch_id") < (upto_tick + 1 if upto_tick is not None
+                                                            else before_tick)))
+        trans = trans.drop("batch_id")
+    return prev, arrivals.drop("batch_id"), trans
+
+
+def compact_queue(spark: SparkSession, sink_root: str, tick: int) -> str:
+    """Write the queue state as of writer tick ``tick`` (all transitions up
+    to it, all arrival batches present now) as a snapshot, folded from the
+    previous snapshot and the log partitions after it.  Later ticks then
+    read only the snapshot and newer partitions instead of the whole logs.
+    Re-running the same tick rewrites the same snapshot."""
+    ensure_semantics(spark)
+    arrivals_upto = max(_batch_ids(spark, f"{sink_root}/queue_arrivals"), default=-1)
+    prev, arrivals, trans = _queue_inputs(spark, sink_root, before_tick=tick, upto_tick=tick,
+                                          upto_arrivals=arrivals_upto)
+    from fleetline.operators import queue
+    state = queue.fold(arrivals, trans, keep_order_columns=True, prev=prev)
+    path = f"{sink_root}/queue_state/tick={tick}_arr={arrivals_upto}"
+    state.write.mode("overwrite").parquet(path)
+    return path
+
+
 def drain_batch(spark: SparkSession, sink_root: str, as_of, batch_id: int, limit: int = 50) -> DataFrame:
     """Q8 as one writer tick over the stored logs: fold the queue from the
-    arrivals and transitions written so far (transitions of this batch id
-    excluded, so a re-run is idempotent), drain up to ``limit`` ready
-    events, append the transitions and one tick row under ``batch_id``."""
+    latest compacted snapshot older than this tick plus the arrivals and
+    transitions written after it (transitions of this batch id excluded, so
+    a re-run is idempotent), drain up to ``limit`` ready events, append the
+    transitions and one tick row under ``batch_id``."""
     from fleetline.operators import queue
 
     ensure_semantics(spark)
-    arr_path, tr_path = f"{sink_root}/queue_arrivals", f"{sink_root}/transitions"
-    arrivals = spark.read.parquet(arr_path).drop("batch_id")
-    trans = None
-    if _exists(spark, tr_path):
-        trans = spark.read.parquet(tr_path).where(F.col("batch_id") != batch_id).drop("batch_id")
-    q = queue.fold(arrivals, trans)
+    prev, arrivals, trans = _queue_inputs(spark, sink_root, before_tick=batch_id)
+    q = queue.fold(arrivals, trans, prev=prev)
     out = queue.drain(q, as_of, limit).withColumn("seq", F.col("seq") + F.lit(batch_id) * 2)
-    _write_partition(out, tr_path, batch_id)
+    _write_partition(out, f"{sink_root}/transitions", batch_id)
     tick = spark.range(1).select(F.lit(as_of).cast("timestamp_ntz").alias("at"),
                                  F.lit(limit).alias("batch_size"))
     _write_partition(tick, f"{sink_root}/ticks", batch_id)
@@ -133,15 +199,18 @@ def drain_batch(spark: SparkSession, sink_root: str, as_of, batch_id: int, limit
 
 
 def drain_stream(spark: SparkSession, sink_root: str, checkpoint: str, limit: int = 50,
-                 interval: str = "1 second"):
+                 interval: str = "1 second", compact_every: int = 60):
     """The writer loop as a stream: one micro-batch per trigger interval
-    (a rate source supplies the tick times), each running ``drain_batch``."""
+    (a rate source supplies the tick times), each running ``drain_batch``;
+    every ``compact_every`` ticks the queue state is compacted."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def run(df, batch_id):
         last = df.agg(F.max("timestamp").alias("t")).first()["t"]
         if last is not None:
             drain_batch(spark, sink_root, last, batch_id, limit)
+            if compact_every and batch_id % compact_every == compact_every - 1:
+                compact_queue(spark, sink_root, batch_id)
 
     return (ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(processingTime=interval).start())

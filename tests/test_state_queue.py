@@ -117,3 +117,17 @@ def test_paging(spark):
     assert reads.page(s, 100, 10).count() == 0
     assert reads.page(s, -1, 501).count() == 30
     assert [r["sn"] for r in reads.page_after(s, "D004", 2).collect()] == ["d005", "d006"]
+
+
+def test_incremental_fold_equals_full(spark):
+    from fleetline.plans import catalog
+    from tests.conftest import SF_SMALL
+    arr, tr = catalog.queue_logs(spark, SF_SMALL)
+    full = sorted(map(tuple, queue.fold(arr, tr).collect()))
+    for cut in ("2024-01-08 00:00:00", "2024-01-20 13:00:00"):
+        c = F.lit(cut).cast("timestamp_ntz")
+        prev = queue.fold(arr.where(F.col("received_at") < c), tr.where(F.col("at") < c),
+                          keep_order_columns=True)
+        prev = spark.createDataFrame(prev.collect(), prev.schema)   # as if read back from storage
+        inc = queue.fold(arr.where(F.col("received_at") >= c), tr.where(F.col("at") >= c), prev=prev)
+        assert sorted(map(tuple, inc.collect())) == full
