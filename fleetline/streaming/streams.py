@@ -79,7 +79,11 @@ def process_heartbeat_batch(batch: DataFrame, batch_id: int, sink_root: str) ->
         hist_path = f"{sink_root}/history"
         new_hist = state.history(c).withColumn("event_date", F.to_date("event_ts"))
         if _exists(spark, hist_path):
-            old = (spark.read.parquet(hist_path).where(F.col("batch_id") != batch_id)
+            # Only the days this batch touches are read (partition pruning on
+            # event_date); a micro-batch spans a handful of days.
+            days = [r[0] for r in new_hist.select("event_date").distinct().collect()]
+            old = (spark.read.parquet(hist_path)
+                   .where(F.col("event_date").isin(days) & (F.col("batch_id") != batch_id))
                    .select(sn_key("sn").alias("_k"), "event_ts", "event_date"))
             new_hist = new_hist.join(
                 old, (sn_key(new_hist["sn"]) == old["_k"]) & (new_hist["event_ts"] == old["event_ts"])

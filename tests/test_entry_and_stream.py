@@ -36,32 +36,37 @@ def test_every_plan_matches_duckdb_at_sf0001(spark):
     assert bad == []
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("collisions", [False, True])
+def test_stream_equals_batch(spark, tmp_path, collisions):
     """Heartbeats streamed in several micro-batches give the same latest
-    state and history as one batch over all arrivals."""
+    state and history as one batch over all arrivals (with collisions, a
+    history key first seen in one batch rejects its repeats in later ones)."""
     from fleetline.operators import ingest, state
     from fleetline.sources import fixtures as fx
     from fleetline.streaming import heartbeat_stream
     from fleetline.streaming.streams import current_status
 
-    arr = fx.heartbeat_arrivals(spark, SF_SMALL).toPandas()
+    arr = fx.heartbeat_arrivals(spark, SF_SMALL, collisions).toPandas()
     src = tmp_path / "src"
     src.mkdir()
-    for i, part in enumerate([arr.iloc[j::4] for j in range(4)]):
-        part = part.sort_values("seq")
+    # Micro-batches follow arrival order, as a feed delivers them: the
+    # first arrival processed for a history key is also the lowest seq.
+    arr = arr.sort_values("seq")
+    n = len(arr)
+    for i, part in enumerate([arr.iloc[j * n // 4:(j + 1) * n // 4] for j in range(4)]):
         spark.createDataFrame(part, "seq long, received_at timestamp_ntz, body string") \
             .coalesce(1).write.parquet(str(src / f"part{i}"))
     sink = str(tmp_path / "sink")
     q = heartbeat_stream(spark, str(src / "*"), sink, str(tmp_path / "ckpt"), max_files_per_trigger=1)
     q.awaitTermination(600)
     got = current_status(spark, sink).drop("received_at", "seq", "first_seq")
-    want = state.latest_state(ingest.classify_heartbeat(fx.heartbeat_arrivals(spark, SF_SMALL)))
+    want = state.latest_state(ingest.classify_heartbeat(fx.heartbeat_arrivals(spark, SF_SMALL, collisions)))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
     from fleetline.streaming import status_versions_to_drop
     assert len(status_versions_to_drop(spark, sink, keep=2)) == 2      # 4 batches, keep the last two
     hist = spark.read.parquet(f"{sink}/history").drop("batch_id", "event_date")
-    want_h = state.history(ingest.classify_heartbeat(fx.heartbeat_arrivals(spark, SF_SMALL)))
-    assert hist.count() == want_h.count()
+    want_h = state.history(ingest.classify_heartbeat(fx.heartbeat_arrivals(spark, SF_SMALL, collisions)))
+    assert sorted(map(tuple, hist.select(*want_h.columns).collect())) == sorted(map(tuple, want_h.collect()))
 
 
 def test_webhook_stream_then_drain_ticks(spark, tmp_path):
