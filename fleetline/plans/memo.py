@@ -18,7 +18,10 @@ _store: OrderedDict = OrderedDict()
 
 
 def _session_key(spark) -> tuple:
-    return (spark.sparkContext.applicationId, id(spark._jsparkSession))
+    try:
+        return (spark.sparkContext.applicationId, id(spark._jsparkSession))
+    except Exception:  # noqa: BLE001  (a client session without JVM handles)
+        return ("session", id(spark))
 
 
 def shared(fn):
