@@ -252,24 +252,27 @@ def lag(queue: DataFrame, as_of) -> DataFrame:
 
 def backlog(arrivals: DataFrame, transitions: DataFrame, step: str = "1 hour",
             split_seconds: int = 86_400) -> DataFrame:
-    """Q11: open events over time.  Per queue key the open/closed flag is
+    """Q11: open events over time.  Per queue id the open/closed flag is
     replayed over its events in ``(at, src, seq)`` order; each change is
     +1/-1 at its time, summed per step bucket, then a running sum over the
     bucket table (one row per step).
 
-    The replay uses the time-bucketed ``neighbors``: a key that is re-sent
-    a third of all times is spread over many tasks.  Transitions find their
-    key through a join with the one-row-per-id key table."""
+    The replay uses the time-bucketed ``neighbors`` per queue id (a long
+    key, so the windowed rows keep their partitioning through the
+    per-bucket carry join): an id re-sent a third of all times is spread
+    over many tasks.  Arrivals find their id through one join with the
+    one-row-per-key table (adaptive skew-join splits a hot key)."""
     from fleetline.operators.series import neighbors
 
-    keys = keyed_arrivals(arrivals).select("id", F.col("sn").alias("_ksn"), "event_ts")
-    a = arrivals.select(
-        sn_key("sn").alias("_k"), "event_ts", F.col("received_at").alias("at"),
-        F.lit(0).alias("src"), F.col("seq").cast("long").alias("seq"), F.lit(True).alias("is_open"))
-    t = transitions.join(keys, "id").select(
-        sn_key("_ksn").alias("_k"), "event_ts", "at", F.lit(1).alias("src"),
-        F.col("seq").cast("long").alias("seq"), F.col("status").isin(*OPEN).alias("is_open"))
-    e = neighbors(a.unionByName(t), ["_k", "event_ts"], "at", ["is_open"],
+    keys = keyed_arrivals(arrivals).select("id", sn_key("sn").alias("_kk"), F.col("event_ts").alias("_ke"))
+    a = arrivals.select(sn_key("sn").alias("_k"), "event_ts", "received_at", "seq")
+    a = a.join(keys, (a["_k"] == keys["_kk"]) & (a["event_ts"] == keys["_ke"])).select(
+        "id", F.col("received_at").alias("at"), F.lit(0).alias("src"),
+        F.col("seq").cast("long").alias("seq"), F.lit(True).alias("is_open"))
+    t = transitions.select(
+        "id", "at", F.lit(1).alias("src"), F.col("seq").cast("long").alias("seq"),
+        F.col("status").isin(*OPEN).alias("is_open"))
+    e = neighbors(a.unionByName(t), ["id"], "at", ["is_open"],
                   tiebreak=["src", "seq"], split_seconds=split_seconds)
     prev = F.coalesce(F.col("prev_is_open"), F.lit(False))
     d = e.select("at", (F.col("is_open").cast("int") - prev.cast("int")).alias("delta"))
