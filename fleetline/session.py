@@ -27,6 +27,10 @@ SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # Coalescing never merges shuffle partitions below this size into one;
+    # only small shuffles are affected (large ones follow the advisory
+    # partition size), so small stages keep using all cores instead of one.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
 }
 
 
