@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, quality
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns.unionByName(extra)))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -40,6 +44,7 @@ FROM t GROUP BY conv_id
 
 PLANS = {
     "op1_chat_format": op1_chat_format,
+    "op5_quality": op5_quality,
 }
 
 ORACLES = {
