@@ -8,10 +8,11 @@ those that SQL expresses; the others are held against brute force in
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality
+from . import chat, decontaminate, packing, quality
 from .common import table
 
 
@@ -28,6 +29,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.piece_digests(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    bench = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.contamination_digests(decontaminate.find_contamination(docs, bench))
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -45,6 +57,8 @@ FROM t GROUP BY conv_id
 PLANS = {
     "op1_chat_format": op1_chat_format,
     "op5_quality": op5_quality,
+    "op7_best_fit": op7_best_fit,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES = {
