@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality
+from . import chat, decontaminate, packing, quality, toxicity
 from .common import table
 
 
@@ -25,6 +25,14 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns.unionByName(extra)))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = toxicity.training_labels(table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.score_toxicity(docs, labels)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -56,6 +64,7 @@ FROM t GROUP BY conv_id
 
 PLANS = {
     "op1_chat_format": op1_chat_format,
+    "op2_toxicity": op2_toxicity,
     "op5_quality": op5_quality,
     "op7_best_fit": op7_best_fit,
     "op10_decontaminate": op10_decontaminate,
