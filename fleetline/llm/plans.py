@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, toxicity
+from . import chat, decontaminate, packing, pii, quality, toxicity
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     bench = table(spark, sf_dir, "benchmark", "item_id", "text")
@@ -67,6 +71,7 @@ PLANS = {
     "op2_toxicity": op2_toxicity,
     "op5_quality": op5_quality,
     "op7_best_fit": op7_best_fit,
+    "op8_pii": op8_pii,
     "op10_decontaminate": op10_decontaminate,
 }
 
