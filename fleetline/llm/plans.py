@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pii, quality, toxicity
+from . import chat, decontaminate, html_text, packing, pii, quality, toxicity
 from .common import table
 
 
@@ -33,6 +33,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"),
+                        "boilerplate_words", "repeated_words")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -69,6 +75,7 @@ FROM t GROUP BY conv_id
 PLANS = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
     "op5_quality": op5_quality,
     "op7_best_fit": op7_best_fit,
     "op8_pii": op8_pii,
