@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, packing, pii, quality, toxicity
+from . import chat, decontaminate, html_text, near_dup, packing, pii, quality, toxicity
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     bench = table(spark, sf_dir, "benchmark", "item_id", "text")
@@ -79,6 +83,7 @@ PLANS = {
     "op5_quality": op5_quality,
     "op7_best_fit": op7_best_fit,
     "op8_pii": op8_pii,
+    "op9_near_dup": op9_near_dup,
     "op10_decontaminate": op10_decontaminate,
 }
 
