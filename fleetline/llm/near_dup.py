@@ -12,9 +12,9 @@ register, which is what makes it quick.
 Signatures are banded; texts that are equal word for word are one class from
 the start.  In each bucket every member is compared with the bucket's least
 member (a star, not all pairs), the links make components, and only where a
-bucket still holds several components are pairs across them compared, as far
-as the triangle inequality of the Jaccard distance and the sizes leave them
-possible.  Every comparison is exact, on the multisets of the whole texts.
+bucket still holds several components are its members compared across them,
+in pairs of bounded blocks that emit only links which join components.  Every
+comparison counts the whole texts' multisets.
 
 Defined results: a null or empty text has no shingle and is alone in its class;
 a text of fewer than five words is one shingle; repeated rows share a class;
@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,6 +42,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 BATCH_WORDS = 400_000
 CACHED_WORDS = 300_000
+BLOCK = 512
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
 
@@ -157,9 +159,8 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / union if union else 0.0
 
 
-def compare_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def compare_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows ``(a, b, similarity)``: the exact weighted Jaccard of each pair's whole texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -177,39 +178,95 @@ def compare_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, similarity double")
 
 
+def links_across(ids: list[int], classes: list[int], texts: list[str], similarity: float) -> list[tuple[int, int]]:
+    """Links of at least ``similarity`` that join different classes of one block,
+    without those that others imply.  Overlaps of a text with all others are
+    summed over the shingles' postings."""
+    words = [(t or "").split() for t in texts]
+    cache = WordHash()
+    flat = np.array([cache[w] for t in words for w in t], U64)
+    number, shingles = shingle_hashes(flat, np.array([len(t) for t in words]))
+    order = np.lexsort((number, shingles))
+    number, shingles = number[order], shingles[order]
+    first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (shingles[1:] != shingles[:-1])])
+    weight = np.diff(np.r_[first, len(number)])
+    number, shingles = number[first], shingles[first]  # postings: by shingle, then text
+    size = np.bincount(number, weights=weight, minlength=len(ids))
+    starts = np.flatnonzero(np.r_[True, shingles[1:] != shingles[:-1]])
+    length = np.diff(np.r_[starts, len(shingles)])
+    of = np.repeat(np.arange(len(starts)), length)
+    mine = np.argsort(number, kind="stable")
+    edges = np.searchsorted(number[mine], np.arange(len(ids) + 1))
+    root = {c: c for c in classes}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    links = []
+    for i in range(len(ids)):
+        own = mine[edges[i]:edges[i + 1]]
+        n = length[of[own]]
+        if not len(own):
+            continue
+        at = np.repeat(starts[of[own]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        both = np.bincount(number[at], weights=np.minimum(np.repeat(weight[own], n), weight[at]), minlength=len(ids))
+        near = np.flatnonzero(both >= similarity * (size[i] + size - both) - 1e-9)
+        for j in near[near > i].tolist():
+            a, b = top(classes[i]), top(classes[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((ids[i], ids[j]))
+    return links
+
+
+def compare_mixed(shared: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between members of one bucket that are in different
+    components.  A bucket is cut into blocks of ``BLOCK`` members and its pairs
+    of blocks are dealt out, so a task holds two blocks and emits fewer links
+    than members.  Of buckets with the same members one is compared."""
+    placed = shared.join(classes.select(F.col("id").alias("doc_id"), "class_id"), "doc_id", "left").withColumn(
+        "class_id", F.coalesce("class_id", "doc_id"))
+    # the least member was compared with all others before
+    other = F.when(F.col("doc_id") > F.col("lead"), F.col("class_id"))
+    mixed = placed.groupBy("key").agg(
+        F.count("*").alias("n"), F.min(other).alias("x"), F.max(other).alias("y"),
+        F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).where("x < y").groupBy("n", "members").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = placed.join(mixed.select("key", blocks.alias("blocks")), "key").select(
+        "key", "doc_id", "class_id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc_id", "class_id")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.drop_duplicates("doc_id").sort_values("doc_id")
+        found = links_across(block["doc_id"].tolist(), block["class_id"].tolist(), block["text"].tolist(), similarity)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.join(texts, "doc_id").groupBy("key", "p", "q").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows ``(doc_id, class_id)`` for every document; the class is named by its least doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = checkpointed(document_signatures(docs, bands, rows))
     some = signed.where("doc_id is not null and n > 0")
     copies = some.groupBy("content").agg(F.min("doc_id").alias("rep"))
-    keyed = some.join(copies, "content")
+    keyed = some.select("doc_id", "content", "keys").join(copies, "content")
     rep_of = keyed.select("doc_id", "rep")
-    members = keyed.where("doc_id = rep").select("doc_id", "n", F.explode("keys").alias("key"))
+    members = keyed.where("doc_id = rep").select("doc_id", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
     shared = checkpointed(members.join(buckets.select("key", "lead"), "key").distinct())
+    asked = shared.select("doc_id").distinct()
+    texts = checkpointed(docs.join(asked, "doc_id"))  # only of documents that share a bucket
     stars = shared.where("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    compared = checkpointed(compare_pairs(stars, docs).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
-    links = compared.where(F.col("similarity") >= similarity).select("a", "b")
+    links = checkpointed(compare_pairs(stars, texts).where(F.col("similarity") >= similarity).select("a", "b"))
     classes = connected_components(links)
-
-    # members of one bucket in different components: the pairs not yet compared
-    placed = shared.join(classes.select(F.col("id").alias("doc_id"), "class_id"), "doc_id", "left").withColumn(
-        "class_id", F.coalesce("class_id", "doc_id"))
-    mixed = placed.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("key")
-    rest = placed.join(mixed, "key", "left_semi").where("doc_id > lead").join(
-        compared.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), "similarity"), ["lead", "doc_id"])
-    one, two = (rest.select("key", F.col("doc_id").alias(d), F.col("n").alias(f"n_{d}"), F.col("class_id").alias(f"c_{d}"),
-                            F.col("similarity").alias(f"s_{d}")) for d in ("a", "b"))
-    near = 1 - similarity
-    across = one.join(two, "key").where(
-        (F.col("c_a") != F.col("c_b")) & (F.col("a") < F.col("b"))
-        & (F.abs(F.col("s_a") - F.col("s_b")) <= near + 1e-9)
-        & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
-    across = checkpointed(across.join(compared.select("a", "b"), ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        more = compare_pairs(across, docs).where(F.col("similarity") >= similarity).select("a", "b")
-        classes = connected_components(checkpointed(links.unionAll(more)))
+    more = checkpointed(compare_mixed(shared, classes, texts, similarity))
+    if not more.isEmpty():
+        classes = connected_components(links.unionAll(more))
     named = rep_of.join(classes.select(F.col("id").alias("rep"), "class_id"), "rep", "left").select(
         "doc_id", F.coalesce("class_id", "rep").alias("class_id"))
     # rows of one doc_id with several texts are one document
