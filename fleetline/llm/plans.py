@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, near_dup, packing, pii, quality, toxicity
+from . import chat, decontaminate, html_text, near_dup, packing, passages, pii, quality, toxicity
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "boilerplate_words", "repeated_words")
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_digests(*passages.near_duplicate_passages(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -80,6 +84,7 @@ PLANS = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
     "op3_html_text": op3_html_text,
+    "op4_passages": op4_passages,
     "op5_quality": op5_quality,
     "op7_best_fit": op7_best_fit,
     "op8_pii": op8_pii,
