@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, near_dup, packing, passages, pii, quality, toxicity
+from . import chat, decontaminate, html_text, near_dup, packing, passages, pii, quality, repeats, toxicity
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digests(repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.piece_digests(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -86,6 +90,7 @@ PLANS = {
     "op3_html_text": op3_html_text,
     "op4_passages": op4_passages,
     "op5_quality": op5_quality,
+    "op6_repeats": op6_repeats,
     "op7_best_fit": op7_best_fit,
     "op8_pii": op8_pii,
     "op9_near_dup": op9_near_dup,
