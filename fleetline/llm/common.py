@@ -8,6 +8,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 
@@ -27,6 +28,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept_columns(docs: DataFrame, keep: tuple[str, ...]) -> Column:
+    """Columns that pass through an operator untouched, as one struct ``kept``."""
+    return F.struct(*[docs[k] for k in keep] or [F.lit(True).alias("row")]).alias("kept")
+
+
+def with_kept(ddl: str, d: DataFrame) -> StructType:
+    """The given columns and ``kept`` as ``d`` has it."""
+    return StructType([*StructType.fromDDL(ddl).fields, d.schema["kept"]])
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once per row: the optimizer
     does not copy an expression into the places where a lambda names it."""

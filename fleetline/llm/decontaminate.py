@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, kept_columns, with_kept
 
 WINDOW = 10
 MAX_WINDOWS = 500_000
@@ -103,7 +103,7 @@ def scan_text(text: str | None, automaton: ahocorasick.Automaton) -> tuple[int,
 
 
 def _scan(docs: DataFrame, windows: list) -> DataFrame:
-    """``docs`` (doc_id, uid, text) with the hits of one block of windows."""
+    """``docs`` (doc_id, uid, text, kept) with the hits of one block of windows."""
     held = docs.sparkSession.sparkContext.broadcast(windows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,20 +115,21 @@ def _scan(docs: DataFrame, windows: list) -> DataFrame:
                 b.column(0), b.column(1), pa.array([g[0] for g in got], pa.int64()),
                 pa.array([[{"first": i, "last": j} for i, j in g[1]] for g in got], pair("first", "last")),
                 pa.array([[{"start": i, "end": j} for i, j in g[2]] for g in got], pair("start", "end")),
-                pa.array([g[3] for g in got], pa.list_(pa.string()))],
-                ["doc_id", "uid", "n_words", "words", "spans", "items"])
+                pa.array([g[3] for g in got], pa.list_(pa.string())), b.column(3)],
+                ["doc_id", "uid", "n_words", "words", "spans", "items", "kept"])
 
-    return docs.mapInArrow(scan, HITS)
+    return docs.mapInArrow(scan, with_kept(HITS, docs))
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
-                       max_windows: int = MAX_WINDOWS) -> DataFrame:
+                       max_windows: int = MAX_WINDOWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document ``(doc_id, n_words, n_hit, spans, items)``: words inside any
     occurrence of a window, their runs as code-point spans of the original
-    text, and the items with an occurring window."""
+    text, and the items with an occurring window.  With ``keep``, these columns
+    of ``docs`` instead of doc_id."""
     rows = benchmark_windows(bench, window)
     n = rows.count()
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("uid"), "text")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("uid"), "text", kept_columns(docs, keep))
     if n <= max_windows:
         hits = _scan(d, [(bytes(r["window"]), r["items"]) for r in rows.collect()])
         runs = F.col("words")
@@ -142,14 +143,14 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
             part = _scan(d, [(bytes(r["window"]), r["items"]) for r in block])
             hits = part if hits is None else hits.unionAll(part)
         hits = hits.groupBy("doc_id", "uid").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("words")).alias("words"),
+            F.first("kept").alias("kept"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("words")).alias("words"),
             F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
         runs = merged(F.col("words"), "first", "last")
-        hits = hits.select("doc_id", "n_words", runs.alias("words"), merged(F.col("spans"), "start", "end").alias("spans"),
+        hits = hits.select("doc_id", "kept", "n_words", runs.alias("words"), merged(F.col("spans"), "start", "end").alias("spans"),
                            F.sort_array(F.array_distinct("items")).alias("items"))
         runs = F.col("words")
     n_hit = F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
-    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return hits.select(*[f"kept.{k}" for k in keep] or ["doc_id"], "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def merged(runs, lo: str, hi: str):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, kept_columns, with_kept
 
 SAMPLE = 12_000
 TERMS = 512
@@ -123,8 +123,9 @@ def choose_terms(sample: DataFrame, most: int) -> list[str]:
 VECTORS = "doc_id long, text_id long, terms array<int>, uses array<int>, words long"
 
 
-def term_vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+def term_vectors(docs: DataFrame, vocabulary: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Chosen terms of every whole text with their uses, and its word count."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text", kept_columns(docs, keep))
     numbers = {t: i + 1 for i, t in enumerate(vocabulary)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,10 +141,9 @@ def term_vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
                 uses.append([c[k] for k in keys])
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(1), pa.array(terms, pa.list_(pa.int32())), pa.array(uses, pa.list_(pa.int32())),
-                pa.array(words, pa.int64())], ["doc_id", "text_id", "terms", "uses", "words"])
+                pa.array(words, pa.int64()), b.column(3)], ["doc_id", "text_id", "terms", "uses", "words", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text") \
-        .mapInArrow(vectors, VECTORS)
+    return rows.mapInArrow(vectors, with_kept(VECTORS, rows))
 
 
 class BlockMaxIndex:
@@ -238,10 +238,10 @@ SCORES = "doc_id long, score double, evidence array<struct<doc_id:long,cosine:do
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, terms: int = TERMS,
-                   neighbours: int = NEIGHBOURS) -> DataFrame:
+                   neighbours: int = NEIGHBOURS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows ``(doc_id, score, evidence)`` for every document, learnt from the
-    given labels only."""
-    docs = docs.select("doc_id", "text")
+    given labels only; with ``keep``, these columns instead of doc_id."""
+    whole, docs = docs, docs.select("doc_id", "text")
     sample = checkpointed(labelled_sample(docs, labels.select("doc_id", "toxic"), sample_size))
     vocabulary = choose_terms(sample, terms)
     vectors = checkpointed(term_vectors(docs, vocabulary))
@@ -282,10 +282,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE
                 evidence.append(e)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(scores, pa.float64()),
-                pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())])))],
-                ["doc_id", "score", "evidence"])
+                pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))), batch.column(4)],
+                ["doc_id", "score", "evidence", "kept"])
 
-    return vectors.select("doc_id", "terms", "uses", "words").mapInArrow(score, SCORES)
+    # texts that go on are read again rather than joined to their vectors
+    asked = term_vectors(whole, vocabulary, keep) if keep else vectors
+    asked = asked.select("doc_id", "terms", "uses", "words", "kept")
+    return asked.mapInArrow(score, with_kept(SCORES, asked)).select(*[f"kept.{k}" for k in keep] or ["doc_id"], "score", "evidence")
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
