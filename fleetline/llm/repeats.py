@@ -337,14 +337,16 @@ def edge_repeats(spots: DataFrame, docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Rows ``(doc_id, n_bytes, removed, kept)``: merged removed byte spans and the remaining bytes."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # a cast that changes nothing would only keep the two joins from sharing one exchange
+    docs = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
     spots = checkpointed(document_spots(repeated_blocks(document_blocks(docs))))
-    texts = docs.repartition("doc_id")  # dealt once, used by both joins
+    texts = docs.where("doc_id is not null").repartition("doc_id")  # dealt once, used by both joins
     edges = edge_repeats(spots, texts).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("more"))
     none = F.array().cast("array<struct<s:long,e:long>>")
     runs = spots.select("doc_id", "runs").join(edges, "doc_id", "full").select(
         "doc_id", F.concat(F.coalesce("runs", none), F.coalesce("more", none)).alias("runs"))
     j = texts.join(runs, "doc_id", "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
+    j = j.unionAll(docs.where("doc_id is null").select("doc_id", "text", none.alias("runs")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
