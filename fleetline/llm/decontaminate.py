@@ -170,4 +170,4 @@ def contamination_digests(hits: DataFrame) -> DataFrame:
     return hits.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array("items"), ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), "spans")
+        (F.col("n_hit") > 0).alias("contaminated"))

@@ -84,6 +84,28 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+OP10_SQL = r"""
+WITH lowered AS (
+  SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 'b', CAST(item_id AS VARCHAR), translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+words AS (SELECT side, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+items AS (SELECT id AS item, w, least(10, len(w)) AS s FROM words WHERE side = 'b' AND len(w) > 0),
+wins AS (
+  SELECT DISTINCT item, s, array_to_string(w[i:i + s - 1], ' ') AS win
+  FROM (SELECT item, w, s, unnest(generate_series(1, len(w) - s + 1)) AS i FROM items)),
+places AS (
+  SELECT id, s, i, array_to_string(w[i:i + s - 1], ' ') AS win
+  FROM (SELECT id, w, s, unnest(generate_series(1, len(w) - s + 1)) AS i
+        FROM words CROSS JOIN (SELECT DISTINCT s FROM wins) WHERE side = 'd' AND len(w) >= s)),
+hits AS (SELECT p.id, p.i, p.s, x.item FROM places p JOIN wins x ON p.s = x.s AND p.win = x.win),
+covered AS (SELECT id, count(DISTINCT k) AS n_hit FROM (SELECT id, unnest(generate_series(i, i + s - 1)) AS k FROM hits) GROUP BY id),
+named AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM hits) GROUP BY id)
+SELECT CAST(d.id AS BIGINT) AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit,
+  coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM words d LEFT JOIN covered c ON c.id = d.id LEFT JOIN named n ON n.id = d.id WHERE d.side = 'd'
+"""
+
 PLANS = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -99,4 +121,5 @@ PLANS = {
 
 ORACLES = {
     "op1_chat_format": OP1_SQL,
+    "op10_decontaminate": OP10_SQL,
 }

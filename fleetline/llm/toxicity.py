@@ -18,8 +18,8 @@ Bounds: the sample has at most ``SAMPLE`` rows, the vocabulary ``TERMS`` terms;
 both are broadcast.  All documents are counted, indexed terms are looked up and
 every document is scored in narrow passes.
 
-Defined results: null and empty texts have no term and score like a document of
-no words; labels without a document or with a null are not used; repeated
+Defined results: texts without a word (null, empty) score the share of toxic
+examples; labels without a document or with a null are not used; repeated
 labels of one document count once (toxic if any says so); equal rows are scored
 each; without any labels every score is 0; other columns are ignored.
 """
@@ -268,7 +268,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE
         for batch in batches:
             scores, evidence = [], []
             for t, u, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if not t and w and plain is not None:
+                if not w:
+                    s, e = float(ix.toxic.sum() / max(ix.n.sum(), 1)), []  # no neighbour is nearer than another
+                elif not t and plain is not None:
                     s, e = plain
                 elif not len(ix.n):
                     s, e = 0.0, []
@@ -276,7 +278,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE
                     v, ids, cos = ix.vote(t, u, w, neighbours)
                     s = 1 / (1 + np.exp(-(a * np.log((v + 1e-4) / (1 - v + 1e-4)) + b)))
                     e = [{"doc_id": ix.docs[i], "cosine": round(float(c), 6)} for i, c in zip(ids[:3], cos[:3], strict=True)]
-                    if not t and w:
+                    if not t:
                         plain = s, e  # texts of background words alone have one vector
                 scores.append(float(s))
                 evidence.append(e)
