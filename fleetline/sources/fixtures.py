@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetline.functions.exprs import hmac_sha256_hex
-from fleetline.plans.memo import shared
-from fleetline.sources.tables import read_table, spread
+from fleetline.sources.tables import read_table
 
 # Fixed values for the fixtures.
 FIXTURE_SECRET = "fleetline-fixture-secret"
@@ -29,10 +28,9 @@ def as_of_col():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-@shared
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    return spread(e).select(
+    return e.select(
         "event_id", "ts", "user_id", "event_type",
         F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
@@ -63,7 +61,6 @@ def heartbeat_fields(spark: SparkSession, sf_dir: str, collisions: bool = False)
     )
 
 
-@shared
 def heartbeat_arrivals(spark: SparkSession, sf_dir: str, collisions: bool = False) -> DataFrame:
     """``(seq, received_at, body)``: one JSON heartbeat per event; absent
     optional fields are omitted from the body.  ``collisions`` coarsens the
@@ -75,7 +72,6 @@ def heartbeat_arrivals(spark: SparkSession, sf_dir: str, collisions: bool = Fals
     return h.select("seq", "received_at", body.alias("body"))
 
 
-@shared
 def webhook_arrivals(spark: SparkSession, sf_dir: str, secret: str = FIXTURE_SECRET) -> DataFrame:
     """``(seq, received_at, body, signature)`` with one outcome class per
     event type: error -> not JSON, signup -> no sn, click -> bad signature,
@@ -141,7 +137,6 @@ def _code_of_type():
     return m[F.col("event_type")]
 
 
-@shared
 def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Webhook request counter scraped at each event: series
     ``(metric, code, instance)``; the value is the running count of the
@@ -158,7 +153,6 @@ def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.select("metric", "code", "instance", "ts", F.col("_n").cast("double").alias("value"))
 
 
-@shared
 def replica_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Available-replica gauge: deployment by ``user_id % 3``; 0 for error and
     signup events, else 1."""
@@ -194,7 +188,6 @@ def connection_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 LOG_SERVICES = ("status-api", "acs-ingest", "queue-writer")
 
 
-@shared
 def container_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, ts, line)``: one line per event in one of the three service
     formats (by ``event_id % 3``), JSON-wrapped for even event ids."""
@@ -221,7 +214,6 @@ def container_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(path.alias("path"), "ts", line.alias("line"))
 
 
-@shared
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pod dimension ``(namespace, pod, app, node)``: pods 0-2 of each
     service (pod 3 is missing, so some log lines find no metadata)."""

@@ -18,23 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a scan at least as many partitions as the session has cores.
-
-    A Parquet file with one row group is one split, so a small table would
-    run its row-wise work (JSON encode/decode, regexes) on a single core.
-    Only then is it round-robin repartitioned (a shuffle of a small input);
-    a large input already has at least that many splits and is returned
-    unchanged, so at scale this adds nothing to the plan."""
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    try:
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (e.g. a client without RDD access)
-        return df
-    return df.repartition(target) if n < target else df
-
-
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     for n in names:
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)

@@ -1,12 +1,22 @@
+from fleetline.plans import catalog
 from fleetline.session import SCALE_CONF, cluster_conf
-from fleetline.sources.tables import spread
+from tests.conftest import SF_SMALL
 
 
-def test_spread_only_small_inputs(spark):
-    one = spark.range(0, 100, numPartitions=1)
-    assert spread(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(0, 100, numPartitions=6)
-    assert spread(many, 4) is many                       # enough splits: plan unchanged, no shuffle
+def test_a_plan_reads_files_added_between_two_calls(spark, tmp_path):
+    folder = str(tmp_path)
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    first, rest = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
+    first.write.parquet(f"{folder}/events.parquet")
+    plan = catalog.PLANS["v9_heartbeat_outcomes"]
+    assert plan(spark, folder).count() == first.count()
+    rest.write.mode("append").parquet(f"{folder}/events.parquet")
+    assert plan(spark, folder).count() == events.count()
+
+
+def test_a_scan_is_not_repartitioned(spark):
+    plan = catalog.PLANS["v9_heartbeat_outcomes"](spark, SF_SMALL)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_cluster_conf_sizes_partitions():
