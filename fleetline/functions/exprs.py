@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 __all__ = [
@@ -17,7 +17,7 @@ __all__ = [
     "json_field", "json_type", "is_string_or_null", "is_int_or_null", "rfc3339",
     "round_ms", "round_s", "backoff_seconds", "normalize_page", "normalize_batch",
     "query_escape", "deep_link", "format_go_datetime", "format_rfc3339_nano",
-    "canonical_json", "idiv", "opaque",
+    "canonical_json", "decoded_once", "idiv",
 ]
 
 
@@ -25,16 +25,14 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def opaque(c: Column, type_name: str) -> Column:
-    """Same value as ``c``, but marked non-deterministic so the optimizer
-    neither pushes filters below the projection that computes it nor
-    inlines it into its consumers.  Used on the outcome column of the
-    classifiers: a filter on the outcome then runs after the body was
-    decoded once, instead of being rewritten into a predicate that decodes
-    it again for every field it touches."""
-    # Adds zero.  (A CASE on rand() >= 0 is folded away by the optimizer,
-    # which knows rand's range; the partition id times zero is not.)
-    return (c + (F.spark_partition_id() * F.lit(0)).cast(type_name)).cast(type_name)
+def decoded_once(df: DataFrame, fields: Column, name: str) -> DataFrame:
+    """Adds the struct ``fields`` as column ``name``, computed once per row.
+
+    The optimizer copies a projected expression into every filter and column
+    that uses it, which would decode a body again for each field.  A generator
+    of one row is not copied, and unlike a non-deterministic column it lets a
+    filter on the other columns through to the scan."""
+    return df.select("*", F.explode(F.array(fields)).alias(name))
 
 
 def idiv(a, b) -> Column:
@@ -77,12 +75,10 @@ def signature_ok(body, signature, secret: str | bytes) -> Column:
 # --------------------------------------------------------------------------
 # JSON decoding with the reference decoder's strictness.
 # --------------------------------------------------------------------------
-# The body is wrapped as  [ <body> , "<sentinel>" ].  It is one well-formed
-# JSON value iff the wrapper parses to an array of exactly two elements whose
-# second is the sentinel: trailing bytes, a missing value or a second value
-# all break that shape.
-_SENTINEL = "\\u0000fleetline-eof"
-_SENTINEL_DECODED = "\u0000fleetline-eof"
+# The body is wrapped as  [ <body> , "<digest of the body>" ].  It is one
+# well-formed JSON value iff the wrapper parses to an array of exactly two
+# elements whose second is that digest: trailing bytes, a missing value or a
+# second value all break that shape, and no body can contain its own digest.
 
 
 def parse_json_body(body, strict_tail: bool = True) -> tuple[Column, Column]:
@@ -94,10 +90,11 @@ def parse_json_body(body, strict_tail: bool = True) -> tuple[Column, Column]:
     trailing bytes are ignored (heartbeat decoder)."""
     b = col_of(body)
     if strict_tail:
-        wrapped = F.try_parse_json(F.concat(F.lit("["), b, F.lit(f',"{_SENTINEL}"]')))
+        digest = F.sha2(b.cast("binary"), 256)
+        wrapped = F.try_parse_json(F.concat(F.lit("["), b, F.lit(',"'), digest, F.lit('"]')))
         arr = F.try_variant_get(wrapped, "$", "array<variant>")
         ok = (F.coalesce(F.size(arr), F.lit(0)) == 2) & (
-            F.coalesce(F.try_variant_get(wrapped, "$[1]", "string"), F.lit("")) == _SENTINEL_DECODED)
+            F.coalesce(F.try_variant_get(wrapped, "$[1]", "string"), F.lit("")) == digest)
         value = F.when(ok, F.variant_get(wrapped, "$[0]", "variant"))
         return ok, value
     value = F.try_parse_json(b)
@@ -110,20 +107,25 @@ def json_type(value) -> Column:
     return F.schema_of_variant(col_of(value))
 
 
-def json_field(value, name: str, case_insensitive: bool = True) -> Column:
+def json_field(value, name: str, body=None) -> Column:
     """VARIANT of field ``name`` of a JSON object (SQL NULL when absent,
     VARIANT null when the JSON value is null).
 
-    The reference decoder prefers an exact key and otherwise accepts a key
-    that matches ignoring case; with ``case_insensitive`` we do the same (the
-    fallback is only evaluated when the exact key is absent)."""
+    A key matches ignoring case, and of several matching keys the last one in
+    the body counts, as in the reference decoder.  A VARIANT does not keep the
+    order of its keys, so ``body`` gives it; it is only looked at when more
+    than one spelling is there.  Without ``body`` only the exact key counts."""
     v = col_of(value)
     exact = F.try_variant_get(v, f"$.{name}", "variant")
-    if not case_insensitive:
+    if body is None:
         return exact
     as_map = F.try_variant_get(v, "$", "map<string,variant>")
-    folded = F.map_filter(as_map, lambda k, _v: F.lower(k) == F.lit(name.lower()))
-    return F.coalesce(exact, F.try_element_at(F.map_values(folded), F.lit(1)))
+    # fixed values: the two letters beyond ASCII that fold to an ASCII letter
+    matches = lambda k: F.lower(F.translate(k, "\u017f\u212a", "sk")) == F.lit(name.lower())
+    keys = F.filter(F.map_keys(as_map), matches)
+    last = F.element_at(F.filter(F.json_object_keys(col_of(body)), matches), -1)
+    return F.when(F.size(keys) > 1, F.try_element_at(as_map, last)).otherwise(
+        F.try_element_at(as_map, F.get(keys, F.lit(0))))
 
 
 def is_string_or_null(field) -> Column:

@@ -18,20 +18,28 @@ from fleetline.operators.series import islands
 
 
 def for_duration(samples: DataFrame, series: list[str], condition: Column, for_seconds: float,
-                 ts: str = "ts", split_seconds: int = 86_400) -> DataFrame:
+                 ts: str = "ts", split_seconds: int = 86_400, step_seconds: float | None = None) -> DataFrame:
     """Firing intervals: ``series..., pending_at, fired_at, last_true_at,
     resolved_at``.  ``fired_at`` is the first evaluation with
     ``ts - pending_at >= for``; ``resolved_at`` the first false evaluation
     after the island (NULL while still firing).  Islands that never reach
-    ``for`` are not returned.  A NULL condition counts as false."""
+    ``for`` are not returned.  A NULL condition counts as false.
+
+    ``step_seconds`` is the distance of evaluations (rows of a grid): where the
+    next row is farther, an evaluation is missing, which resets the alert and
+    resolves it one step after its last true evaluation."""
     d = samples.select(*series, ts, F.coalesce(condition, F.lit(False)).alias("_c"))
-    m = islands(d, series, ts, "_c", split_seconds)
-    held = (F.unix_micros(F.col(ts).cast("timestamp"))
-            - F.unix_micros(F.col("island").cast("timestamp"))) >= int(for_seconds * 1_000_000)
-    g = m.where("_c").groupBy(*series, "island").agg(
+    m = islands(d, series, ts, "_c", split_seconds, step_seconds)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    held = us(ts) - us("island") >= int(for_seconds * 1_000_000)
+    following = F.col("next_ts")
+    if step_seconds is not None:
+        step = round(step_seconds * 1_000_000)
+        following = F.when(us("next_ts") - us(ts) > step, F.timestamp_micros(us(ts) + step).cast("timestamp_ntz")).otherwise(following)
+    g = m.withColumn("_following", following).where("_c").groupBy(*series, "island").agg(
         F.min(F.when(held, F.col(ts))).alias("fired_at"),
         F.max(ts).alias("last_true_at"),
-        F.max_by(F.col("next_ts"), F.col(ts)).alias("resolved_at"))
+        F.max_by(F.col("_following"), F.col(ts)).alias("resolved_at"))
     return g.where(F.col("fired_at").isNotNull()).select(
         *series, F.col("island").alias("pending_at"), "fired_at", "last_true_at", "resolved_at")
 
@@ -56,5 +64,6 @@ def render(alerts: DataFrame, template: str, name: str = "annotation") -> Column
 
 
 def join_gauges(left: DataFrame, right: DataFrame, on: list[str], ts: str = "ts") -> DataFrame:
-    """A5: two gauges sampled together, matched on labels and time."""
+    """A5: two gauges on one evaluation grid (one value per labels and time,
+    as ``metrics.latest_in_lookback`` gives them), matched on both."""
     return left.join(right, on + [ts], "inner")

@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetline import schemas as S
-from fleetline.functions.exprs import (is_int_or_null, is_string_or_null, json_field,
-                                       json_type, opaque, parse_json_body, rfc3339, round_ms,
-                                       signature_ok)
+from fleetline.functions.exprs import (decoded_once, is_int_or_null, is_string_or_null, json_field,
+                                       json_type, parse_json_body, rfc3339, round_ms, signature_ok)
 
 # Ingress body limit (1 MiB) and the outcome reasons.
 MAX_BODY_BYTES = 1_048_576
@@ -25,8 +24,7 @@ HEARTBEAT_INT_FIELDS = ("cpu_pct", "mem_pct")
 
 
 def classify_webhook(arrivals: DataFrame, secret: str | bytes,
-                     max_body_bytes: int = MAX_BODY_BYTES,
-                     case_insensitive_keys: bool = True) -> DataFrame:
+                     max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
     """Webhook outcome per arrival.
 
     Input: ``seq, received_at, body, signature`` and optionally ``fault``
@@ -41,62 +39,58 @@ def classify_webhook(arrivals: DataFrame, secret: str | bytes,
     body = F.col("body")
     ok_json, value = parse_json_body(body, strict_tail=True)
     top = json_type(value)
-    sn_v = json_field(value, "sn", case_insensitive_keys)
-    ets_v = json_field(value, "event_ts", case_insensitive_keys)
+    sn_v = json_field(value, "sn", body)
+    ets_v = json_field(value, "event_ts", body)
     is_obj = top.startswith("OBJECT")
     well_typed = (ok_json & (is_obj | (top == "VOID"))
                   & F.when(is_obj, is_string_or_null(sn_v) & is_string_or_null(ets_v))
                   .otherwise(F.lit(True)))
 
-    d = arrivals.select(
-        "*",
-        fault.alias("_fault"),
-        well_typed.alias("_json_ok"),
-        F.when(is_obj, F.variant_get(sn_v, "$", "string")).alias("_sn"),
-        F.when(is_obj, F.variant_get(ets_v, "$", "string")).alias("_ets"),
-    )
+    d = decoded_once(arrivals, F.struct(
+        (F.coalesce(F.octet_length(body), F.lit(0)) > max_body_bytes).alias("too_big"),
+        (~F.coalesce(signature_ok(body, F.col("signature"), secret), F.lit(False))).alias("sig_bad"),
+        well_typed.alias("json_ok"),
+        F.when(is_obj, F.variant_get(sn_v, "$", "string")).alias("sn"),
+        F.when(is_obj, F.variant_get(ets_v, "$", "string")).alias("ets")), "_d")
     event_ts = round_ms(F.coalesce(
-        F.when(F.coalesce(F.col("_ets"), F.lit("")) != "", rfc3339(F.col("_ets"))),
+        F.when(F.coalesce(F.col("_d.ets"), F.lit("")) != "", rfc3339(F.col("_d.ets"))),
         F.col("received_at")))
-    d = d.withColumn("event_ts", event_ts)
+    d = decoded_once(d, F.struct(event_ts.alias("event_ts")), "_e")
     checks = S.violations([
-        ("sn_too_long", S.too_long(F.col("_sn"))),
-        ("event_ts_range", S.out_of_datetime(F.col("event_ts"))),
+        ("sn_too_long", S.too_long(F.col("_d.sn"))),
+        ("event_ts_range", S.out_of_datetime(F.col("_e.event_ts"))),
     ])
-    too_big = F.coalesce(F.octet_length(body), F.lit(0)) > max_body_bytes
-    code, reason = _webhook_chain(too_big, checks, body, secret)
-    ok = code == 202
+    code, reason = _webhook_chain(fault, checks)
+    stored = code.isin(202, 500)
     return d.select(
-        *[c for c in cols],
+        *[F.col(c) for c in cols],
         code.alias("code"), reason.alias("reason"),
-        F.when(code.isin(202, 500), F.col("_sn")).alias("sn"),
-        F.when(code.isin(202, 500), F.col("event_ts")).alias("event_ts"),
-        F.when(ok, body).alias("payload"),
+        F.when(stored, F.col("_d.sn")).alias("sn"),
+        F.when(stored, F.col("_e.event_ts")).alias("event_ts"),
+        F.when(code == 202, body).alias("payload"),
     )
 
 
-def _webhook_chain(too_big, checks, body, secret):
-    fault = F.col("_fault")
-    sig_bad = ~F.coalesce(signature_ok(body, F.col("signature"), secret), F.lit(False))
-    code = (F.when(too_big, F.lit(413))
+def _webhook_chain(fault, checks):
+    d, no_sn = F.col("_d"), F.coalesce(F.col("_d.sn"), F.lit("")) == ""
+    code = (F.when(d["too_big"], F.lit(413))
             .when(fault == "db_not_initialized", F.lit(500))
             .when(fault.isNotNull(), F.lit(400))
-            .when(sig_bad, F.lit(401))
-            .when(~F.col("_json_ok"), F.lit(400))
-            .when(F.coalesce(F.col("_sn"), F.lit("")) == "", F.lit(400))
+            .when(d["sig_bad"], F.lit(401))
+            .when(~d["json_ok"], F.lit(400))
+            .when(no_sn, F.lit(400))
             .when(F.size(checks) > 0, F.lit(500))
             .otherwise(F.lit(202)))
-    reason = (F.when(too_big, F.lit("body_too_large"))
+    reason = (F.when(d["too_big"], F.lit("body_too_large"))
               .when(fault.isNotNull(), fault)
-              .when(sig_bad, F.lit("invalid_signature"))
-              .when(~F.col("_json_ok"), F.lit("invalid_json"))
-              .when(F.coalesce(F.col("_sn"), F.lit("")) == "", F.lit("missing_sn"))
+              .when(d["sig_bad"], F.lit("invalid_signature"))
+              .when(~d["json_ok"], F.lit("invalid_json"))
+              .when(no_sn, F.lit("missing_sn"))
               .when(F.size(checks) > 0, F.lit("db_error")))
-    return opaque(code.cast("int"), "int"), reason.cast("string")
+    return code.cast("int"), reason.cast("string")
 
 
-def classify_heartbeat(arrivals: DataFrame, max_body_bytes: int = MAX_BODY_BYTES,
-                       case_insensitive_keys: bool = True) -> DataFrame:
+def classify_heartbeat(arrivals: DataFrame, max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
     """Heartbeat outcome per arrival.
 
     Input ``seq, received_at, body``.  The decoder reads the first JSON value
@@ -115,7 +109,7 @@ def classify_heartbeat(arrivals: DataFrame, max_body_bytes: int = MAX_BODY_BYTES
     ok_json, value = parse_json_body(body, strict_tail=False)
     top = json_type(value)
     is_obj = top.startswith("OBJECT")
-    fields = {n: json_field(value, n, case_insensitive_keys)
+    fields = {n: json_field(value, n, body)
               for n in HEARTBEAT_STRING_FIELDS + HEARTBEAT_INT_FIELDS}
     typed = F.lit(True)
     for n in HEARTBEAT_STRING_FIELDS:
@@ -124,45 +118,40 @@ def classify_heartbeat(arrivals: DataFrame, max_body_bytes: int = MAX_BODY_BYTES
         typed = typed & is_int_or_null(fields[n])
     decoded = ok_json & (is_obj | (top == "VOID")) & F.when(is_obj, typed).otherwise(F.lit(True))
 
-    proj = [F.col(c) for c in cols] + [decoded.alias("_dec")]
-    for n in HEARTBEAT_STRING_FIELDS:
-        proj.append(F.when(is_obj, F.variant_get(fields[n], "$", "string")).alias(f"_{n}"))
-    for n in HEARTBEAT_INT_FIELDS:
-        proj.append(F.when(is_obj, F.try_variant_get(fields[n], "$", "long")).alias(f"_{n}"))
-    d = arrivals.select(*proj)
-
     too_big = F.coalesce(F.octet_length(body), F.lit(0)) > max_body_bytes
-    has_sn = F.coalesce(F.col("_sn"), F.lit("")) != ""
-    bound = ~too_big & F.col("_dec") & has_sn
-    ls = F.col("_last_seen")
-    last_seen = F.coalesce(F.when(F.coalesce(ls, F.lit("")) != "", rfc3339(ls)), F.col("received_at"))
-    d = d.withColumn("_bound", bound).withColumn("_ls", last_seen)
+    d = decoded_once(arrivals, F.struct(
+        too_big.alias("too_big"), decoded.alias("dec"),
+        *[F.when(is_obj, F.variant_get(fields[n], "$", "string")).alias(n) for n in HEARTBEAT_STRING_FIELDS],
+        *[F.when(is_obj, F.try_variant_get(fields[n], "$", "long")).alias(n) for n in HEARTBEAT_INT_FIELDS]), "_d")
+    v = F.col("_d")
+    has_sn = F.coalesce(v["sn"], F.lit("")) != ""
+    bound = ~v["too_big"] & v["dec"] & has_sn
+    seen = v["last_seen"]
+    last_seen = F.coalesce(F.when(F.coalesce(seen, F.lit("")) != "", rfc3339(seen)), F.col("received_at"))
     viol = S.violations([
-        ("sn_too_long", S.too_long(F.col("_sn"))),
-        ("wan_ip_too_long", S.too_long(F.col("_wan_ip"))),
-        ("sw_version_too_long", S.too_long(F.col("_sw_version"))),
-        ("cpu_pct_range", S.out_of_tinyint(F.col("_cpu_pct"))),
-        ("mem_pct_range", S.out_of_tinyint(F.col("_mem_pct"))),
-        ("last_seen_range", S.out_of_datetime(F.col("_ls"))),
+        ("sn_too_long", S.too_long(v["sn"])),
+        ("wan_ip_too_long", S.too_long(v["wan_ip"])),
+        ("sw_version_too_long", S.too_long(v["sw_version"])),
+        ("cpu_pct_range", S.out_of_tinyint(v["cpu_pct"])),
+        ("mem_pct_range", S.out_of_tinyint(v["mem_pct"])),
+        ("last_seen_range", S.out_of_datetime(F.col("_l.seen"))),
     ])
-    d = d.withColumn("violations", F.when(F.col("_bound"), viol))
-    code = (F.when(too_big, F.lit(413))
-            .when(~F.col("_dec") | ~has_sn, F.lit(400))
-            .when(F.size("violations") > 0, F.lit(500))
+    d = decoded_once(d, F.struct(last_seen.alias("seen")), "_l")
+    d = decoded_once(d, F.struct(bound.alias("bound"), F.when(bound, viol).alias("violations")), "_b")
+    b = F.col("_b")
+    code = (F.when(v["too_big"], F.lit(413))
+            .when(~v["dec"] | ~has_sn, F.lit(400))
+            .when(F.size(b["violations"]) > 0, F.lit(500))
             .otherwise(F.lit(202))).cast("int")
-    code = opaque(code, "int")
-    reason = (F.when(too_big, F.lit("body_too_large"))
-              .when(~F.col("_dec"), F.lit("invalid_json"))
+    reason = (F.when(v["too_big"], F.lit("body_too_large"))
+              .when(~v["dec"], F.lit("invalid_json"))
               .when(~has_sn, F.lit("missing_sn"))
-              .when(F.size("violations") > 0, F.lit("db_error"))).cast("string")
+              .when(F.size(b["violations"]) > 0, F.lit("db_error"))).cast("string")
     return d.select(
         *[F.col(c) for c in cols],
-        code.alias("code"), reason.alias("reason"), F.col("_bound").alias("bound"),
-        F.when(F.col("_bound"), F.col("_sn")).alias("sn"),
-        F.when(F.col("_bound"), round_ms(F.col("_ls"))).alias("last_seen"),
-        F.when(F.col("_bound"), F.col("_wan_ip")).alias("wan_ip"),
-        F.when(F.col("_bound"), F.col("_sw_version")).alias("sw_version"),
-        F.when(F.col("_bound"), F.col("_cpu_pct")).alias("cpu_pct"),
-        F.when(F.col("_bound"), F.col("_mem_pct")).alias("mem_pct"),
-        "violations",
+        code.alias("code"), reason.alias("reason"), b["bound"].alias("bound"),
+        F.when(b["bound"], v["sn"]).alias("sn"),
+        F.when(b["bound"], round_ms(F.col("_l.seen"))).alias("last_seen"),
+        *[F.when(b["bound"], v[n]).alias(n) for n in ("wan_ip", "sw_version", *HEARTBEAT_INT_FIELDS)],
+        b["violations"].alias("violations"),
     )

@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetline.functions.exprs import backoff_seconds, normalize_batch, round_s
+from fleetline.functions.exprs import backoff_seconds, idiv, normalize_batch, round_s
+from fleetline.operators import metrics
 from fleetline.operators.state import plain, sn_key
 
 # Fixed values of the reference writer.
@@ -255,7 +256,7 @@ def backlog(arrivals: DataFrame, transitions: DataFrame, step: str = "1 hour",
     """Q11: open events over time.  Per queue id the open/closed flag is
     replayed over its events in ``(at, src, seq)`` order; each change is
     +1/-1 at its time, summed per step bucket, then a running sum over the
-    bucket table (one row per step).
+    bucket table: a row for every step between the first and the last change.
 
     The replay uses the time-bucketed ``neighbors`` per queue id (a long
     key, so the windowed rows keep their partitioning through the
@@ -277,12 +278,27 @@ def backlog(arrivals: DataFrame, transitions: DataFrame, step: str = "1 hour",
     prev = F.coalesce(F.col("prev_is_open"), F.lit(False))
     d = e.select("at", (F.col("is_open").cast("int") - prev.cast("int")).alias("delta"))
     d = d.where(F.col("delta") != 0)
-    b = d.groupBy(F.window("at", step).end.cast("timestamp_ntz").alias("bucket_end")).agg(
+    us, day = metrics._micros(step), 86_400_000_000
+    b = d.groupBy(((idiv(F.unix_micros(F.col("at").cast("timestamp")), us) + 1) * F.lit(us)).cast("long").alias("_e")).agg(
         F.sum(F.when(F.col("delta") > 0, 1).otherwise(0)).alias("opened"),
         F.sum(F.when(F.col("delta") < 0, 1).otherwise(0)).alias("closed"))
-    running = Window.orderBy("bucket_end").rowsBetween(Window.unboundedPreceding, 0)
-    return b.select("bucket_end", "opened", "closed",
-                    F.sum(F.col("opened") - F.col("closed")).over(running).alias("open_events"))
+    # every step between the first and the last change, made day by day (or step by step, if longer)
+    wide = max(us, day // us * us)
+    days = b.agg(F.min("_e").alias("_lo"), F.max("_e").alias("_hi")).where("_lo is not null").select(
+        "_lo", "_hi", F.explode(F.sequence(idiv("_lo", wide), idiv("_hi", wide))).alias("_day"))
+    steps = days.repartition("_day").select("_day", "_lo", "_hi", F.explode(F.sequence(
+        F.col("_day") * wide, F.col("_day") * wide + wide - us, F.lit(us).cast("long"))).alias("_e"))
+    quiet = steps.where("_e between _lo and _hi").select("_e", F.lit(0).cast("long").alias("opened"), F.lit(0).cast("long").alias("closed"))
+    b = b.unionByName(quiet).groupBy("_e").agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
+    # running sum: within a day, plus what the days before carry (one row per day)
+    b = b.withColumn("_day", idiv("_e", wide))
+    within = Window.partitionBy("_day").orderBy("_e").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carry = b.groupBy("_day").agg(F.sum(F.col("opened") - F.col("closed")).alias("_n")).select(
+        "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
+    return b.withColumn("_sum", F.sum(F.col("opened") - F.col("closed")).over(within)).join(carry, "_day").select(
+        F.timestamp_micros("_e").cast("timestamp_ntz").alias("bucket_end"), "opened", "closed",
+        (F.col("_sum") + F.col("_carry")).alias("open_events"))
 
 
 def purge(queue: DataFrame, as_of, days: int) -> DataFrame:

@@ -31,8 +31,12 @@ def bucket_of(ts: str, split_seconds: int):
 
 
 def _windowed(df: DataFrame, series: list[str], order: list[str], split_seconds: int,
-              extra) -> tuple[DataFrame, Window, Window]:
+              extra, one_per_time: str | None = None) -> tuple[DataFrame, Window, Window]:
     d = df.withColumn(BUCKET, bucket_of(order[0], split_seconds))
+    if one_per_time:
+        # the last of equal times stays; same partitioning, so no shuffle of its own
+        following = F.lead(order[0]).over(Window.partitionBy(*series, BUCKET).orderBy(order[0], one_per_time))
+        d = d.withColumn("_following", following).where(~F.col("_following").eqNullSafe(F.col(order[0]))).drop("_following")
     w = Window.partitionBy(*series, BUCKET).orderBy(*order)
     wp = Window.partitionBy(*series, BUCKET)
     ws = Window.partitionBy(*series).orderBy(BUCKET)
@@ -49,9 +53,11 @@ def _order(ts: str, tiebreak) -> list[str]:
 
 def neighbors(df: DataFrame, series: list[str], ts: str, cols: list[str],
               tiebreak: str | list[str] | None = None, split_seconds: int = 86_400,
-              want_prev: bool = True, want_next: bool = False) -> DataFrame:
+              want_prev: bool = True, want_next: bool = False, one_per_time: str | None = None) -> DataFrame:
     """Add ``prev_<c>``/``next_<c>`` for ``c`` in ``[ts] + cols`` from the
-    neighbouring row of the same series in ``(ts, *tiebreak)`` order."""
+    neighbouring row of the same series in ``(ts, *tiebreak)`` order.  With
+    ``one_per_time`` only the row with the greatest such value stays of rows
+    with one time."""
     order = _order(ts, tiebreak)
     carried = list(dict.fromkeys([ts] + cols))
     every = [c for c in df.columns if c not in series]
@@ -64,7 +70,7 @@ def neighbors(df: DataFrame, series: list[str], ts: str, cols: list[str],
             out += [F.lead(F.col(c)).over(w).alias(f"_ln_{c}") for c in carried]
         return out
 
-    d, w, ws = _windowed(df, series, order, split_seconds, extra)
+    d, w, ws = _windowed(df, series, order, split_seconds, extra, one_per_time)
     # Every input column goes into the summary structs so both branches
     # project the same columns before the shared exchange.
     row = F.struct(*[F.col(c) for c in every])
@@ -103,9 +109,10 @@ def running_count(df: DataFrame, partition: list[str], ts: str,
 
 
 def islands(df: DataFrame, series: list[str], ts: str, flag: str,
-            split_seconds: int = 86_400) -> DataFrame:
+            split_seconds: int = 86_400, gap_seconds: float | None = None) -> DataFrame:
     """Runs of equal ``flag`` per series in ``ts`` order, in one windowed
-    pass.  Adds ``island`` (ts of the run's first row) and ``next_ts`` (ts
+    pass; a distance of more than ``gap_seconds`` ends a run as well.  Of rows
+    with one time the one with the greatest flag stays.  Adds ``island`` (ts of the run's first row) and ``next_ts`` (ts
     of the following row of the series, NULL for the last one).
 
     Per bucket the window finds local run starts (excluding the bucket's
@@ -115,19 +122,26 @@ def islands(df: DataFrame, series: list[str], ts: str, flag: str,
     u = Window.unboundedPreceding
 
     def extra(w):
-        return [F.lag(F.col(flag)).over(w).alias("_pf"), F.lead(F.col(ts)).over(w).alias("_nts")]
+        return [F.lag(F.col(flag)).over(w).alias("_pf"), F.lead(F.col(ts)).over(w).alias("_nts"),
+                F.lag(F.col(ts)).over(w).alias("_pts")]
 
-    d, w, ws = _windowed(df, series, [ts], split_seconds, extra)
-    start = F.when((F.col(_ROW) > 1) & (F.col(flag) != F.col("_pf")), F.col(ts))
+    def far(a, b):
+        if gap_seconds is None:
+            return F.lit(False)
+        us = lambda x: F.unix_micros(F.col(x).cast("timestamp"))
+        return us(b) - us(a) > round(gap_seconds * 1_000_000)
+
+    d, w, ws = _windowed(df, series, [ts], split_seconds, extra, flag)
+    start = F.when((F.col(_ROW) > 1) & ((F.col(flag) != F.col("_pf")) | far("_pts", ts)), F.col(ts))
     d = d.withColumn("_ls", start)
     d = d.withColumn("_lls", F.last("_ls", ignorenulls=True).over(w.rowsBetween(u, 0)))
     s = d.groupBy(*series, BUCKET).agg(
-        F.min(ts).alias("_fts"),
+        F.min(ts).alias("_fts"), F.max(ts).alias("_lts"),
         F.max_by(F.col(flag), F.when(F.col(_ROW) == 1, F.lit(1))).alias("_ff"),
         F.max_by(F.col(flag), F.when(F.col(_ROW) == F.col(_CNT), F.lit(1))).alias("_lf"),
         F.max("_ls").alias("_lastls"))
-    s = s.select("*", F.lag("_lf").over(ws).alias("_plf"), F.lead("_fts").over(ws).alias("_nfts"))
-    cont = F.col("_plf").isNotNull() & (F.col("_plf") == F.col("_ff"))
+    s = s.select("*", F.lag("_lf").over(ws).alias("_plf"), F.lag("_lts").over(ws).alias("_plts"), F.lead("_fts").over(ws).alias("_nfts"))
+    cont = F.col("_plf").isNotNull() & (F.col("_plf") == F.col("_ff")) & ~far("_plts", "_fts")
     s = s.withColumn("_cont", cont).withColumn(
         "_anchor", F.coalesce(F.col("_lastls"), F.when(~cont, F.col("_fts"))))
     s = s.withColumn("_isl_last", F.last("_anchor", ignorenulls=True).over(ws.rowsBetween(u, 0)))

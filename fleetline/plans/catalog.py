@@ -292,7 +292,7 @@ def w1_rate_by_code_samples(spark, sf_dir):
     """sum(rate(requests_total[6h])) by (code) from scraped counter samples
     (resets at midnight)."""
     s = fx.counter_samples(spark, sf_dir)
-    return metrics.rate_from_samples(s, ["metric", "code", "instance"], ["code"], window=WIN, step=STEP)
+    return metrics.rate_from_samples(s, ["metric", "code", "instance"], ["code"], window=WIN, step=STEP, end=AS_OF)
 
 
 @plan("w1_rate_by_code_events")
@@ -300,13 +300,13 @@ def w1_rate_by_code_events(spark, sf_dir):
     """Same rate taken directly from the classified webhook log."""
     w = webhooks(spark, sf_dir).where(F.col("code") != 413)
     w = w.select("received_at", F.col("code").cast("string").alias("code"))
-    return metrics.rate_from_events(w, "received_at", ["code"], WIN, STEP)
+    return metrics.rate_from_events(w, "received_at", ["code"], WIN, STEP, end=AS_OF)
 
 
 @plan("w2_rate_by_reason")
 def w2_rate_by_reason(spark, sf_dir):
     w = webhooks(spark, sf_dir).where(F.col("reason").isNotNull() & (F.col("code") != 413))
-    return metrics.rate_from_events(w, "received_at", ["reason"], WIN, STEP)
+    return metrics.rate_from_events(w, "received_at", ["reason"], WIN, STEP, end=AS_OF)
 
 
 @plan("w3_api_rate_by_code")
@@ -314,7 +314,7 @@ def w3_api_rate_by_code(spark, sf_dir):
     o = state.heartbeat_outcomes(heartbeats(spark, sf_dir, collisions=True))
     o = o.where(F.col("code") != 413).select(
         F.col("seq"), F.col("received_at"), F.col("code").cast("string").alias("code"))
-    return metrics.rate_from_events(o, "received_at", ["code"], WIN, STEP)
+    return metrics.rate_from_events(o, "received_at", ["code"], WIN, STEP, end=AS_OF)
 
 
 @plan("w4_writer_increase")
@@ -325,18 +325,18 @@ def w4_writer_increase(spark, sf_dir):
             .when(F.col("status") == "dead", F.lit("dead")))
     ev = tr.select("at", kind.alias("metric")).where(F.col("metric").isNotNull())
     failed = tr.where(F.col("reason").isNotNull()).select("at", F.lit("failed").alias("metric"))
-    return metrics.increase_from_events(ev.unionByName(failed), "at", ["metric"], WIN, STEP)
+    return metrics.increase_from_events(ev.unionByName(failed), "at", ["metric"], WIN, STEP, end=AS_OF)
 
 
 @plan("w8_last_day_rate")
 def w8_last_day_rate(spark, sf_dir):
-    """Dashboard time range: only (as_of - 1 day, as_of], then the rate.
-    The range is applied to the arrivals, before decoding, so it reaches
-    the Parquet scan as a pushed filter."""
-    arr = metrics.time_range(fx.webhook_arrivals(spark, sf_dir), "received_at", fx.AS_OF, "1 day")
+    """Dashboard time range: evaluations in [as_of - 1 day, as_of], each with
+    its full window.  What they can see is cut from the arrivals, before
+    decoding, so it reaches the Parquet scan as a pushed filter."""
+    arr, start, end = metrics.time_range(fx.webhook_arrivals(spark, sf_dir), "received_at", fx.AS_OF, "1 day", WIN)
     w = ingest.classify_webhook(arr, fx.FIXTURE_SECRET)
     w = w.select("received_at", F.col("code").cast("string").alias("code"))
-    return metrics.rate_from_events(w, "received_at", ["code"], WIN, STEP)
+    return metrics.rate_from_events(w, "received_at", ["code"], WIN, STEP, start=start, end=end)
 
 
 @plan("w5_service_up")
@@ -345,37 +345,48 @@ def w5_service_up(spark, sf_dir):
     s = fx.up_samples(spark, sf_dir).where(F.col("namespace") == fx.NAMESPACE)
     return metrics.latest_in_lookback(
         s, ["namespace", "service", "instance"], ["service"], lookback="1 hour", step=STEP,
-        label_regex={"service": "acs-ingest|queue-writer|status-api"}, name="up")
+        label_regex={"service": "acs-ingest|queue-writer|status-api"}, name="up", end=AS_OF)
 
 
 @plan("w6_error_pct")
 def w6_error_pct(spark, sf_dir):
     """5xx share of API requests, percent, per 6 h window."""
     o = state.heartbeat_outcomes(heartbeats(spark, sf_dir, collisions=True)).where(F.col("code") != 413)
-    return metrics.ratio_pct(o, "received_at", F.col("code").cast("string").rlike("^(?:5..)$"), WIN, STEP)
+    return metrics.ratio_pct(o, "received_at", F.col("code").cast("string").rlike("^(?:5..)$"), WIN, STEP, end=AS_OF)
 
 
 # ---------------------------------------------------------------- A
+# Rules are evaluated every 5 minutes on the latest sample of the last hour.
+RULE_STEP, RULE_LOOKBACK, RULE_SECONDS = "5 minutes", "1 hour", 300.0
+
+
+def _evaluated(samples, series, value="value"):
+    return metrics.latest_in_lookback(samples, series, series, value=value, lookback=RULE_LOOKBACK, step=RULE_STEP,
+                                      name=value, end=AS_OF)
+
+
 @plan("a1_service_down")
 def a1_service_down(spark, sf_dir):
     """available replicas < 1 for 1 m, two named deployments."""
     s = fx.replica_samples(spark, sf_dir).where(
         (F.col("namespace") == fx.NAMESPACE) & F.col("deployment").rlike("^(?:acs-ingest|queue-writer)$"))
-    return alerts.for_duration(s, ["namespace", "deployment"], F.col("value") < 1, 60)
+    g = _evaluated(s, ["namespace", "deployment"])
+    return alerts.for_duration(g, ["namespace", "deployment"], F.col("value") < 1, 60, ts="t", step_seconds=RULE_SECONDS)
 
 
 @plan("a2_high_error_rate")
 def a2_high_error_rate(spark, sf_dir):
     """5xx percentage > 5 for 10 m, evaluated on the hourly grid."""
     pct = PLANS["w6_error_pct"](spark, sf_dir).withColumn("rule", F.lit("HighErrorRate"))
-    return alerts.for_duration(pct, ["rule"], F.col("pct") > 5, 600, ts="t")
+    return alerts.for_duration(pct, ["rule"], F.col("pct") > 5, 600, ts="t", step_seconds=3600)
 
 
 @plan("a3_database_down")
 def a3_database_down(spark, sf_dir):
     s = fx.replica_samples(spark, sf_dir).where(
         (F.col("namespace") == fx.NAMESPACE) & (F.col("deployment") == "database"))
-    return alerts.for_duration(s, ["namespace", "deployment"], F.col("value") < 1, 120)
+    g = _evaluated(s, ["namespace", "deployment"])
+    return alerts.for_duration(g, ["namespace", "deployment"], F.col("value") < 1, 120, ts="t", step_seconds=RULE_SECONDS)
 
 
 @plan("a4_backlog_high")
@@ -383,23 +394,22 @@ def a4_backlog_high(spark, sf_dir):
     """More than 40 open queue events for 3 hours (hourly backlog grid)."""
     arr, tr = queue_logs(spark, sf_dir)
     b = queue.backlog(arr, tr, "1 hour").withColumn("rule", F.lit("QueueBacklog"))
-    return alerts.for_duration(b, ["rule"], F.col("open_events") > 40, 3 * 3600, ts="bucket_end")
+    return alerts.for_duration(b, ["rule"], F.col("open_events") > 40, 3 * 3600, ts="bucket_end", step_seconds=3600)
 
 
 @plan("a5_connections_high")
 def a5_connections_high(spark, sf_dir):
     """Connections used / limit > 80 % for 5 minutes (gauges joined on time)."""
     used, limit = fx.connection_samples(spark, sf_dir)
-    j = alerts.join_gauges(used, limit, ["instance"])
-    return alerts.for_duration(j, ["instance"], F.col("used") / F.col("limit") > 0.8, 300)
+    j = alerts.join_gauges(_evaluated(used, ["instance"], "used"), _evaluated(limit, ["instance"], "limit"), ["instance"], ts="t")
+    return alerts.for_duration(j, ["instance"], F.col("used") / F.col("limit") > 0.8, 300, ts="t", step_seconds=RULE_SECONDS)
 
 
 @plan("a6_rendered_annotations")
 def a6_rendered_annotations(spark, sf_dir):
     a = PLANS["a1_service_down"](spark, sf_dir)
     return a.select("namespace", "deployment", "pending_at", alerts.render(
-        a, "Deployment {{ $labels.namespace }}/{{ $labels.deployment }} has 0 available pods "
-           "for more than 1 minute.", "description"))
+        a, "No replica of {{ $labels.deployment }} in {{ $labels.namespace }} was ready over a whole minute", "description"))
 
 
 # ---------------------------------------------------------------- L

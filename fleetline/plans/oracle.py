@@ -8,7 +8,8 @@ instead of min_by/max_by folds), so agreement is a real cross-check.
 
 from __future__ import annotations
 
-from fleetline.functions.exprs import hmac_pads
+import hashlib
+
 from fleetline.sources.fixtures import AS_OF, FIXTURE_SECRET
 
 
@@ -23,7 +24,9 @@ def rs(x: str) -> str:
 
 
 def _hmac_sql(body: str, secret: str = FIXTURE_SECRET) -> str:
-    ipad, opad = hmac_pads(secret)
+    # RFC 2104 from its definition: key XOR 0x36.. and 0x5c.. over one block
+    key = (secret.encode() if len(secret.encode()) <= 64 else hashlib.sha256(secret.encode()).digest()).ljust(64, b"\0")
+    ipad, opad = (bytes(a ^ b for a, b in zip(key, bytes([x]) * 64)) for x in (0x36, 0x5C))
     return (f"sha256(unhex('{opad.hex()}') || unhex(sha256(unhex('{ipad.hex()}') || encode({body}))))")
 
 
@@ -169,10 +172,12 @@ def _backlog(name: str, step_us: int) -> str:
          CAST(sum(CASE WHEN delta > 0 THEN 1 ELSE 0 END) AS BIGINT) AS opened,
          CAST(sum(CASE WHEN delta < 0 THEN 1 ELSE 0 END) AS BIGINT) AS closed
   FROM {name}_d WHERE delta <> 0 GROUP BY 1),
+{name}_s AS (
+  SELECT unnest(generate_series(min(bucket_end), max(bucket_end), to_microseconds({step_us}))) AS bucket_end FROM {name}_b),
 {name} AS (
-  SELECT bucket_end, opened, closed,
-         CAST(sum(opened - closed) OVER (ORDER BY bucket_end ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open_events
-  FROM {name}_b)"""
+  SELECT s.bucket_end, coalesce(b.opened, 0) AS opened, coalesce(b.closed, 0) AS closed,
+         CAST(sum(coalesce(b.opened, 0) - coalesce(b.closed, 0)) OVER (ORDER BY s.bucket_end ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open_events
+  FROM {name}_s s LEFT JOIN {name}_b b ON b.bucket_end = s.bucket_end)"""
 
 
 CTE["backlog_day"] = _backlog("backlog_day", 86_400_000_000)
@@ -286,8 +291,29 @@ def grid(ts: str, window_s: int, step_s: int) -> tuple[str, str]:
     return join, t
 
 
-def acore(src: str, series: list[str], ts: str, cond: str, for_s: float) -> str:
-    """Gaps and islands, brute force with unbounded windows per series."""
+def filled(src: str, label: str, ts: str, join: str, t: str, value: str, where: str = "TRUE") -> str:
+    """Counts per label and grid point up to as_of, holes of a series as zeros."""
+    return f"""
+, cnt AS (SELECT {t} AS t, {label} AS l, count(*) AS n FROM {src} {join} WHERE {where} GROUP BY 1, 2),
+kept AS (SELECT * FROM cnt WHERE t <= {AS_OF_SQL} {{lower}}),
+pts AS (SELECT l, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM kept GROUP BY l)
+SELECT p.t, p.l AS {{name}}, {value} FROM pts p LEFT JOIN kept k ON k.t = p.t AND k.l = p.l"""
+
+
+def evaluated(src: str, series: list[str], values: dict[str, str], where: str = "TRUE", step: int = 300, lookback: int = 3600) -> str:
+    """Latest value per series in the look-back of every evaluation up to as_of."""
+    s = step * 1_000_000
+    ser = ", ".join(series)
+    t = f"make_timestamp(((epoch_us(ts) - 1) // {s} + 1 + g.j) * {s})"
+    cols = ", ".join(f"max({{'ts': ts, 'v': {v}}}).v AS {k}" for k, v in values.items())
+    return f"""(SELECT * FROM (SELECT {t} AS t, {ser}, {cols} FROM {src} CROSS JOIN range(0, {lookback // step}) AS g(j)
+    WHERE {where} GROUP BY ALL) WHERE t <= {AS_OF_SQL})"""
+
+
+def acore(src: str, series: list[str], ts: str, cond: str, for_s: float, step_s: int) -> str:
+    """Gaps and islands, brute force with unbounded windows per series; a
+    missing evaluation ends an island."""
+    far = f"epoch_us({{b}}) - epoch_us({{a}}) > {step_s * 1_000_000}"
     ser = ", ".join(series)
     part = f"PARTITION BY {ser}" if series else ""
     part_isl = f"PARTITION BY {ser}, isl" if series else "PARTITION BY isl"
@@ -295,12 +321,12 @@ def acore(src: str, series: list[str], ts: str, cond: str, for_s: float) -> str:
     return f"""a0 AS (SELECT {ser + ',' if series else ''} {ts} AS ts, coalesce({cond}, FALSE) AS c FROM {src}),
 a1 AS (SELECT *, lag(c) OVER w AS pc, lag(ts) OVER w AS pts, lead(ts) OVER w AS nts
        FROM a0 WINDOW w AS ({part} ORDER BY ts)),
-a2 AS (SELECT *, sum(CASE WHEN pts IS NULL OR pc <> c THEN 1 ELSE 0 END)
+a2 AS (SELECT *, sum(CASE WHEN pts IS NULL OR pc <> c OR {far.format(a='pts', b='ts')} THEN 1 ELSE 0 END)
                    OVER ({part} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS isl FROM a1),
 a3 AS (SELECT *, min(ts) OVER ({part_isl}) AS pend, max(ts) OVER ({part_isl}) AS lastt FROM a2 WHERE c)
 SELECT {ser + ',' if series else ''} pend AS pending_at,
        min(CASE WHEN epoch_us(ts) - epoch_us(pend) >= {int(for_s * 1_000_000)} THEN ts END) AS fired_at,
-       max(ts) AS last_true_at, max(CASE WHEN ts = lastt THEN nts END) AS resolved_at
+       max(ts) AS last_true_at, max(CASE WHEN ts = lastt THEN CASE WHEN {far.format(a='ts', b='nts')} THEN ts + INTERVAL {step_s} SECOND ELSE nts END END) AS resolved_at
 FROM a3 GROUP BY {grp}
 HAVING min(CASE WHEN epoch_us(ts) - epoch_us(pend) >= {int(for_s * 1_000_000)} THEN ts END) IS NOT NULL"""
 
@@ -426,28 +452,25 @@ UNION ALL
 SELECT 'writer_events_dead_total', '', count(*) FROM qt WHERE status = 'dead' HAVING count(*) > 0""")
     # ---- W
     j, t = grid("received_at", WIN, STEP)
-    q["w1_rate_by_code_events"] = with_ctes(["whc"], f"""
-SELECT {t} AS t, CAST(code AS VARCHAR) AS code, count(*) / {float(WIN)} AS rate
-FROM whc {j} GROUP BY 1, 2""")
-    q["w8_last_day_rate"] = with_ctes(["whc"], f"""
-SELECT {t} AS t, CAST(code AS VARCHAR) AS code, count(*) / {float(WIN)} AS rate
-FROM whc {j} WHERE received_at > {A} - INTERVAL 1 DAY AND received_at <= {A} GROUP BY 1, 2""")
-    q["w2_rate_by_reason"] = with_ctes(["whc"], f"""
-SELECT {t} AS t, reason, count(*) / {float(WIN)} AS rate
-FROM whc {j} WHERE reason IS NOT NULL GROUP BY 1, 2""")
-    q["w3_api_rate_by_code"] = with_ctes(["hbo"], f"""
-SELECT {t} AS t, CAST(code AS VARCHAR) AS code, count(*) / {float(WIN)} AS rate
-FROM hbo {j} GROUP BY 1, 2""")
+    rate = f"coalesce(k.n, 0) / {float(WIN)} AS rate"
+    q["w1_rate_by_code_events"] = with_ctes(["whc"], filled("whc", "CAST(code AS VARCHAR)", "received_at", j, t, rate)
+                                            .format(lower="", name="code"))
+    q["w8_last_day_rate"] = with_ctes(["whc"], filled("whc", "CAST(code AS VARCHAR)", "received_at", j, t, rate)
+                                      .format(lower=f"AND t >= {A} - INTERVAL 1 DAY", name="code"))
+    q["w2_rate_by_reason"] = with_ctes(["whc"], filled("whc", "reason", "received_at", j, t, rate, "reason IS NOT NULL")
+                                       .format(lower="", name="reason"))
+    q["w3_api_rate_by_code"] = with_ctes(["hbo"], filled("hbo", "CAST(code AS VARCHAR)", "received_at", j, t, rate)
+                                         .format(lower="", name="code"))
     q["w6_error_pct"] = with_ctes(["hbo"], f"""
 SELECT {t} AS t, count(*) FILTER (WHERE regexp_full_match(CAST(code AS VARCHAR), '5..'))::DOUBLE
                  / count(*)::DOUBLE * 100.0 AS pct
-FROM hbo {j} GROUP BY 1""")
+FROM hbo {j} WHERE {t} <= {A} GROUP BY 1""")
     jt, tt = grid('"at"', WIN, STEP)
     q["w4_writer_increase"] = with_ctes(["qt"], f"""
 , x AS (SELECT "at", CASE status WHEN 'done' THEN 'processed' WHEN 'dead' THEN 'dead' END AS metric
         FROM qt WHERE status IN ('done', 'dead')
         UNION ALL SELECT "at", 'failed' FROM qt WHERE reason IS NOT NULL)
-SELECT {tt} AS t, metric, CAST(count(*) AS DOUBLE) AS increase FROM x {jt} GROUP BY 1, 2""")
+""" + filled("x", "metric", '"at"', jt, tt, "CAST(coalesce(k.n, 0) AS DOUBLE) AS increase").format(lower="", name="metric"))
     js, ts_ = grid("ts", WIN, STEP)
     q["w1_rate_by_code_samples"] = with_ctes(["samples"], f"""
 , d AS (SELECT *, lag(ts) OVER w AS prev_ts,
@@ -457,36 +480,35 @@ SELECT {tt} AS t, metric, CAST(count(*) AS DOUBLE) AS increase FROM x {jt} GROUP
 ps AS (SELECT {ts_} AS t, code, instance, count(*) AS n,
               sum(CASE WHEN prev_ts > {ts_} - INTERVAL {WIN} SECOND THEN delta END) AS inc
        FROM d {js} GROUP BY 1, 2, 3)
-SELECT t, code, sum(coalesce(inc, 0.0)) / {float(WIN)} AS rate FROM ps WHERE n >= 2 GROUP BY t, code""")
+SELECT t, code, sum(coalesce(inc, 0.0)) / {float(WIN)} AS rate FROM ps WHERE n >= 2 AND t <= {A} GROUP BY t, code""")
     ju, tu = grid("ts", 3600, 3600)
     q["w5_service_up"] = with_ctes(["ups"], f"""
 , per AS (SELECT {tu} AS t, namespace, service, instance, arg_max(value, ts) AS v
           FROM ups {ju} WHERE namespace = 'fleet'
             AND regexp_full_match(service, 'acs-ingest|queue-writer|status-api') GROUP BY 1, 2, 3, 4)
-SELECT t, service, sum(v) AS up FROM per GROUP BY t, service""")
+SELECT t, service, sum(v) AS up FROM per WHERE t <= {A} GROUP BY t, service""")
     # ---- A
+    nd = ["namespace", "deployment"]
     q["a1_service_down"] = with_ctes(["replicas"], ", " + acore(
-        "(SELECT * FROM replicas WHERE namespace = 'fleet' AND deployment IN ('acs-ingest', 'queue-writer'))",
-        ["namespace", "deployment"], "ts", "value < 1", 60))
+        evaluated("replicas", nd, {"value": "value"}, "namespace = 'fleet' AND deployment IN ('acs-ingest', 'queue-writer')"),
+        nd, "t", "value < 1", 60, 300))
     q["a3_database_down"] = with_ctes(["replicas"], ", " + acore(
-        "(SELECT * FROM replicas WHERE namespace = 'fleet' AND deployment = 'database')",
-        ["namespace", "deployment"], "ts", "value < 1", 120))
+        evaluated("replicas", nd, {"value": "value"}, "namespace = 'fleet' AND deployment = 'database'"),
+        nd, "t", "value < 1", 120, 300))
     q["a5_connections_high"] = with_ctes(["conns"], ", " + acore(
-        "conns", ["instance"], "ts", "used / \"limit\" > 0.8", 300))
+        evaluated("conns", ["instance"], {"used": "used", '"limit"': '"limit"'}), ["instance"], "t", "used / \"limit\" > 0.8", 300, 300))
     q["a2_high_error_rate"] = with_ctes(["hbo"], f"""
 , pct AS (SELECT 'HighErrorRate' AS rule, {t} AS t,
                  count(*) FILTER (WHERE regexp_full_match(CAST(code AS VARCHAR), '5..'))::DOUBLE
-                 / count(*)::DOUBLE * 100.0 AS pct FROM hbo {j} GROUP BY 2),
-""" + acore("pct", ["rule"], "t", "pct > 5", 600))
+                 / count(*)::DOUBLE * 100.0 AS pct FROM hbo {j} WHERE {t} <= {A} GROUP BY 2),
+""" + acore("pct", ["rule"], "t", "pct > 5", 600, 3600))
     q["a4_backlog_high"] = with_ctes(["backlog_hour"], """
 , bl AS (SELECT 'QueueBacklog' AS rule, * FROM backlog_hour),
-""" + acore("bl", ["rule"], "bucket_end", "open_events > 40", 3 * 3600))
-    q["a6_rendered_annotations"] = q["a1_service_down"].replace(
-        "SELECT namespace, deployment, pend AS pending_at,",
-        "SELECT namespace, deployment, pend AS pending_at, 'Deployment ' || namespace || '/' || deployment"
-        " || ' has 0 available pods for more than 1 minute.' AS description, ")
-    q["a6_rendered_annotations"] = ("SELECT namespace, deployment, pending_at, description FROM ("
-                                    + q["a6_rendered_annotations"] + ")")
+""" + acore("bl", ["rule"], "bucket_end", "open_events > 40", 3 * 3600, 3600))
+    q["a6_rendered_annotations"] = f"""
+SELECT namespace, deployment, pending_at,
+       'No replica of ' || deployment || ' in ' || namespace || ' was ready over a whole minute' AS description
+FROM ({q['a1_service_down']})"""
     # ---- L
     q["l0_service_log_lines"] = with_ctes(["hb", "queue"], """
 SELECT received_at AS ts, 'status-api' AS service,

@@ -3,6 +3,7 @@ import hashlib
 import hmac as py_hmac
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetline.operators import ingest
 
@@ -76,3 +77,25 @@ def test_heartbeat_values(spark):
 def test_body_limit(spark):
     big = '{"sn":"a","pad":"' + "x" * (1 << 20) + '"}'
     assert heartbeat(spark, big)["code"] == 413
+
+
+def test_last_spelling_of_a_key_counts_and_a_forged_tail_fails(spark):
+    bodies = ['{"sn":"a","SN":"b"}', '{"SN":"b","sn":"a"}', '{"sn":"a","SN":"b","sn":"c"}', '{"Sn":"z","x":{"sn":"q"}}',
+              '{"sn":"a"},"\\u0000fleetline-eof"] junk', '{"sn":"a"},"x"]']
+    df = spark.createDataFrame([(i, b, None) for i, b in enumerate(bodies)], "seq long, body string, signature string").withColumn(
+        "received_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    out = [(r["code"], r["sn"]) for r in ingest.classify_webhook(df, "k").orderBy("seq").collect()]
+    assert out == [(202, "b"), (202, "a"), (202, "c"), (202, "z"), (400, None), (400, None)]
+    heart = [(r["code"], r["sn"]) for r in ingest.classify_heartbeat(df.drop("signature")).orderBy("seq").collect()]
+    assert heart == [(202, "b"), (202, "a"), (202, "c"), (202, "z"), (202, "a"), (202, "a")]
+
+
+def test_time_filter_after_classification_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "arrivals")
+    spark.createDataFrame([(1, '{"sn":"a"}', None)], "seq long, body string, signature string").withColumn(
+        "received_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).write.parquet(path)
+    arrivals = spark.read.parquet(path)
+    for c in (ingest.classify_webhook(arrivals, "k"), ingest.classify_heartbeat(arrivals.drop("signature"))):
+        plan = c.where("code = 202 and received_at > timestamp_ntz'2023-12-31 00:00:00'")
+        assert "GreaterThan(received_at" in plan._jdf.queryExecution().executedPlan().toString()
+        assert plan.count() == 1
