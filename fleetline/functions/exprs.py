@@ -176,7 +176,8 @@ def round_s(ts) -> Column:
 def backoff_seconds(attempts, base: int = 5, cap: int | None = 300,
                     offset: int = 0) -> Column:
     """``base * 2^(attempts - offset)`` seconds, capped at ``cap`` (None: no
-    cap).  The exponent is clamped to [0, 40] so the shift never wraps."""
+    cap).  The exponent is clamped to [0, 40] so the shift never wraps; with
+    the five attempts of the queue policy it stays far below."""
     n = F.least(F.greatest(col_of(attempts) - F.lit(offset), F.lit(0)), F.lit(40))
     raw = F.lit(base).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
     return raw if cap is None else F.least(raw, F.lit(cap).cast("long"))

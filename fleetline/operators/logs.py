@@ -56,7 +56,8 @@ def search(logs: DataFrame, equals: dict | None = None, prefixes: dict | None =
     """L4: clauses ANDed: ``equals`` and ``prefixes`` (``x*``) on keyword
     fields compare the whole value; ``words`` (``TEXT*``) on text fields
     match any word that starts with the text, ignoring case.  Newest first,
-    ``size`` hits (the result size is part of the query)."""
+    ``size`` hits (the result size is part of the query); lines of one time are
+    ordered by path and message."""
     d = logs
     for c, v in (equals or {}).items():
         d = d.where(F.col(c) == v)
@@ -64,7 +65,8 @@ def search(logs: DataFrame, equals: dict | None = None, prefixes: dict | None =
         d = d.where(F.col(c).startswith(v))
     for c, v in (words or {}).items():
         d = d.where(F.col(c).rlike("(?i)(^|[^A-Za-z0-9_])" + _quote(v)))
-    d = d.orderBy(F.col(ts).desc())
+    ties = [c for c in ("path", "message", "line") if c in d.columns]
+    d = d.orderBy(F.col(ts).desc(), *ties)
     return d.limit(size) if size else d
 
 

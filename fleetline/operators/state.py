@@ -5,7 +5,8 @@ trailing spaces significant): ``sn COLLATE UNICODE_CI_AI``.  The stored
 ``sn`` keeps its original spelling and binary collation.
 
 All per-key reductions are ``groupBy().agg(min_by/max_by)``: Spark runs them
-as partial (map-side) plus final hash aggregation, so a device that sends a
+as partial (map-side) plus final aggregation (sort-based, since the state
+holds structs), so a device that sends a
 third of all heartbeats costs one partial row per input partition before the
 shuffle instead of one giant sorted group.
 """
@@ -106,19 +107,28 @@ def history(classified: DataFrame) -> DataFrame:
     )
 
 
-def heartbeat_outcomes(classified: DataFrame) -> DataFrame:
+def heartbeat_outcomes(classified: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """H3: final outcome per arrival.  A row that updated the status but
     lost the history key to an earlier arrival in the same millisecond ends
     as 500 (the two writes are not atomic).  One shuffle on the history key
-    (device + millisecond), which spreads a chatty device over many keys."""
+    (device + millisecond), which spreads a chatty device over many keys.
+
+    ``stored`` (``sn, event_ts`` of history written by earlier batches) makes
+    a batch see the keys that are already taken."""
     # Rows that are not 202 take part in no key: give each its own window
     # partition (by seq) so they never pile up under one NULL key.
-    w = Window.partitionBy(sn_key("sn"), F.col("_ets"), F.col("_solo"))
     d = (classified
          .withColumn("_ets", F.when(F.col("code") == 202, round_ms(F.col("received_at"))))
-         .withColumn("_solo", F.when(F.col("code") != 202, F.col("seq"))))
+         .withColumn("_solo", F.when(F.col("code") != 202, F.col("seq")))
+         .withColumn("_k", sn_key("sn")))
+    taken = F.lit(False)
+    if stored is not None:
+        old = stored.select(sn_key("sn").alias("_ok"), F.col("event_ts").alias("_oets")).distinct().withColumn("_taken", F.lit(True))
+        d = d.join(old, (d["_k"] == old["_ok"]) & (d["_ets"] == old["_oets"]), "left")
+        taken = F.coalesce("_taken", F.lit(False))
+    w = Window.partitionBy("_k", F.col("_ets"), F.col("_solo"))
     first = F.min("seq").over(w)
-    lost = (F.col("code") == 202) & (F.col("seq") != first)
+    lost = (F.col("code") == 202) & (taken | (F.col("seq") != first))
     return d.select(
         *[c for c in classified.columns if c not in ("code", "reason")],
         F.when(lost, F.lit(500)).otherwise(F.col("code")).cast("int").alias("code"),

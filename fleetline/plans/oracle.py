@@ -527,7 +527,7 @@ SELECT path, ts, message, level, decoded, namespace, pod, container, app, node F
 SELECT ts, pod, message FROM elogs
 WHERE namespace = 'fleet' AND starts_with(pod, 'acs-ingest-')
   AND regexp_matches(message, '(?i)(^|[^A-Za-z0-9_])enqueued')
-ORDER BY ts DESC LIMIT 5""")
+ORDER BY ts DESC, path, message LIMIT 5""")
     q["l5_search_sn"] = with_ctes(["logs"], f"""
 SELECT ts, pod, message FROM elogs
 WHERE ts > {A} - INTERVAL 3 DAY AND ts <= {A}

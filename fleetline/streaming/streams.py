@@ -5,8 +5,8 @@ write is keyed by the micro-batch id, so a batch that is re-run after a
 failure (executor loss, restart from the checkpoint) overwrites its own
 output instead of appending twice:
 
-* history / outcomes / arrivals: appended under ``batch_id=<n>`` partitions
-  with dynamic partition overwrite;
+* history / outcomes / arrivals: appended under ``batch_id=<n>`` partitions,
+  which a re-run of the batch replaces;
 * latest state: a new versioned directory ``status/v=<n>`` written from the
   previous version merged with the batch (never overwriting a directory
   that is being read); readers take the highest complete version.
@@ -28,10 +28,15 @@ from fleetline.session import ensure_semantics
 
 
 def _write_partition(df: DataFrame, path: str, batch_id: int, date_col: str | None = None):
+    """Write a batch's rows as the partition ``batch_id``.  What an earlier run
+    of the same batch left is dropped first: a dynamic overwrite with an empty
+    result would leave it in place."""
     d = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
     parts = ["batch_id"] + ([date_col] if date_col else [])
-    (d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*parts).parquet(path))
+    spark = df.sparkSession
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    d.write.mode("append").partitionBy(*parts).parquet(path)
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
@@ -78,18 +83,20 @@ def process_heartbeat_batch(batch: DataFrame, batch_id: int, sink_root: str) ->
     try:
         hist_path = f"{sink_root}/history"
         new_hist = state.history(c).withColumn("event_date", F.to_date("event_ts"))
+        old = None
         if _exists(spark, hist_path):
-            # Only the days this batch touches are read (partition pruning on
-            # event_date); a micro-batch spans a handful of days.
-            days = [r[0] for r in new_hist.select("event_date").distinct().collect()]
-            old = (spark.read.parquet(hist_path)
-                   .where(F.col("event_date").isin(days) & (F.col("batch_id") != batch_id))
-                   .select(sn_key("sn").alias("_k"), "event_ts", "event_date"))
+            # only the days from the batch's first to its last are read (partition pruning on event_date)
+            days = new_hist.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi")).first()
+            old = spark.read.parquet(hist_path).where(
+                F.col("event_date").between(F.lit(days["lo"]), F.lit(days["hi"])) & (F.col("batch_id") != batch_id))
+            keys = old.select(sn_key("sn").alias("_k"), F.col("event_ts").alias("_ets"), F.col("event_date").alias("_day"))
             new_hist = new_hist.join(
-                old, (sn_key(new_hist["sn"]) == old["_k"]) & (new_hist["event_ts"] == old["event_ts"])
-                & (new_hist["event_date"] == old["event_date"]), "left_anti")
+                keys, (sn_key(new_hist["sn"]) == keys["_k"]) & (new_hist["event_ts"] == keys["_ets"])
+                & (new_hist["event_date"] == keys["_day"]), "left_anti")
+            old = old.select("sn", "event_ts")
+        outcomes = state.heartbeat_outcomes(c, old).drop("body")
+        _write_partition(outcomes, f"{sink_root}/outcomes", batch_id)
         _write_partition(new_hist, hist_path, batch_id, "event_date")
-        _write_partition(state.heartbeat_outcomes(c).drop("body"), f"{sink_root}/outcomes", batch_id)
         prev = current_status(spark, sink_root, before=batch_id)
         merged = (state.latest_state(c, keep_order_columns=True) if prev is None
                   else state.merge_state(prev, c, keep_order_columns=True))

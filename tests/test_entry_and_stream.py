@@ -67,6 +67,38 @@ def test_stream_equals_batch(spark, tmp_path, collisions):
     hist = spark.read.parquet(f"{sink}/history").drop("batch_id", "event_date")
     want_h = state.history(ingest.classify_heartbeat(fx.heartbeat_arrivals(spark, SF_SMALL, collisions)))
     assert sorted(map(tuple, hist.select(*want_h.columns).collect())) == sorted(map(tuple, want_h.collect()))
+    got_o = spark.read.parquet(f"{sink}/outcomes").select("seq", "code", "reason")
+    want_o = state.heartbeat_outcomes(ingest.classify_heartbeat(fx.heartbeat_arrivals(spark, SF_SMALL, collisions)))
+    assert sorted(map(tuple, got_o.collect())) == sorted(map(tuple, want_o.select("seq", "code", "reason").collect()))
+    if collisions:
+        assert got_o.where("code = 500").count() > 0
+
+
+def test_key_taken_by_an_earlier_batch_is_a_conflict(spark, tmp_path):
+    from fleetline.streaming.streams import process_heartbeat_batch
+
+    def batch(seq, sn):
+        return spark.createDataFrame([(seq, "2024-01-01 00:00:00", f'{{"sn":"{sn}"}}')], "seq long, at string, body string").select(
+            "seq", F.col("at").cast("timestamp_ntz").alias("received_at"), "body")
+
+    sink = str(tmp_path)
+    process_heartbeat_batch(batch(1, "A"), 0, sink)
+    for _ in range(2):  # the second time is a re-run
+        process_heartbeat_batch(batch(2, "a"), 1, sink)
+    out = sorted(tuple(r) for r in spark.read.parquet(f"{sink}/outcomes").select("seq", "code", "reason").collect())
+    assert out == [(1, 202, None), (2, 500, "history_conflict")]
+    assert spark.read.parquet(f"{sink}/history").count() == 1
+
+
+def test_rerun_of_a_batch_with_an_empty_result_leaves_nothing(spark, tmp_path):
+    from fleetline.streaming.streams import _write_partition
+
+    path = str(tmp_path / "out")
+    _write_partition(spark.range(3), path, 0)
+    _write_partition(spark.range(2), path, 1)
+    _write_partition(spark.range(0), path, 0)
+    assert spark.read.parquet(path).select("batch_id").distinct().collect()[0][0] == 1
+    assert spark.read.parquet(path).count() == 2
 
 
 def test_webhook_stream_then_drain_ticks(spark, tmp_path):

@@ -89,3 +89,48 @@ def test_alerts_random_against_state_machine(spark):
         sec = lambda x: None if x is None else int((x - T0).total_seconds())
         assert sorted((sec(r["pending_at"]), sec(r["fired_at"]), sec(r["last_true_at"]),
                        sec(r["resolved_at"])) for r in got) == sorted(want)
+
+
+def test_missing_evaluation_resets_an_alert(spark):
+    s = samples(spark, [(0, 1), (9 * 3600, 1)])
+    rule = lambda step: alerts.for_duration(s, ["series"], F.col("value") > 0, 600, step_seconds=step).collect()
+    assert rule(300.0) == [] and len(rule(None)) == 1
+    grid = samples(spark, [(i * 300, 1) for i in range(5)] + [(i * 300, 1) for i in range(20, 25)])
+    for split in (600, 86400):
+        got = sorted(alerts.for_duration(grid, ["series"], F.col("value") > 0, 600, split_seconds=split, step_seconds=300.0).collect())
+        at = lambda i: T0 + dt.timedelta(seconds=300 * i)
+        assert [(r["pending_at"], r["fired_at"], r["resolved_at"]) for r in got] == [(at(0), at(2), at(5)), (at(20), at(22), None)]
+
+
+def test_equal_times_do_not_depend_on_row_order(spark):
+    pts = [(0, 1), (480, 0), (480, 1), (900, 1), (900, 0)]
+    out = [fire(spark, p, 60) for p in (pts, pts[::-1], [pts[2], pts[4], pts[0], pts[3], pts[1]])]
+    assert out[0] == out[1] == out[2]
+    c = [(0, 3), (60, 5), (60, 9), (120, 11)]
+    inc = [sorted(tuple(r) for r in metrics.counter_deltas(samples(spark, p), ["series"]).select("ts", "delta").collect()) for p in (c, c[::-1])]
+    assert inc[0] == inc[1] and [d for _, d in inc[0]] == [None, 6.0, 2.0]
+
+
+def test_zero_windows_and_range(spark):
+    ev = spark.createDataFrame([(T0 + dt.timedelta(minutes=m),) for m in (1, 2, 31)], "ts timestamp_ntz")
+    inc = metrics.increase_from_events(ev, "ts", [], "5 minutes", "5 minutes").orderBy("t").collect()
+    assert [r["increase"] for r in inc] == [2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    part, start, end = metrics.time_range(ev, "ts", "2024-01-01 00:40:00", "10 minutes", "30 minutes")
+    assert part.count() == 3
+    got = metrics.increase_from_events(part, "ts", [], "30 minutes", "5 minutes", start=start, end=end).orderBy("t").collect()
+    assert [(r["t"].minute, r["increase"]) for r in got] == [(30, 2.0), (35, 1.0), (40, 1.0)]
+
+
+def test_windows_against_brute_force(spark):
+    rnd = random.Random(3)
+    pts = sorted({(rnd.randrange(4000), rnd.randrange(50)) for _ in range(120)})
+    pts = sorted({s: (s, v) for s, v in pts}.values())
+    for window, step in ((300, 60), (90, 60), (60, 90), (120, 120)):
+        got = {int((r["t"] - T0).total_seconds()): r["increase"] for r in metrics.increase_from_samples(
+            samples(spark, pts), ["series"], [], window=f"{window} seconds", step=f"{step} seconds").collect()}
+        want = {}
+        for t in range(0, 4000 + window + step, step):
+            inside = [p for p in pts if t - window < p[0] <= t]
+            if len(inside) >= 2:
+                want[t] = sum(b[1] if b[1] < a[1] else b[1] - a[1] for a, b in zip(inside, inside[1:]))
+        assert got == {t: float(v) for t, v in want.items()}, (window, step)
