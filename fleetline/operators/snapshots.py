@@ -1,16 +1,18 @@
 """Dated snapshots, retention and mirroring.
 
-Snapshots are Parquet directories ``<root>/snapshot_date=YYYY-MM-DD/table=<name>``.
-Listing, retention and mirror planning work on *manifests*: DataFrames of
-``(path, bytes, modified_at)`` that Spark lists itself (``binaryFile`` scan
-without reading file contents), so planning stays distributed however many
-objects a bucket holds.  Deleting and copying objects is left to the
+Snapshots are Parquet directories
+``<root>/snapshot_date=YYYY-MM-DD/version=<id>/table=<name>`` with a small table
+``published`` beside the versions.  Listing, retention and mirror planning work
+on *manifests*: DataFrames of ``(path, bytes, modified_at)``.  ``list_objects``
+makes one with a ``binaryFile`` scan that reads no contents; its file index is
+held by the driver, so for very many objects pass a stored manifest instead.  Deleting and copying objects is left to the
 caller's filesystem client; these functions only say which.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,17 +33,30 @@ def snapshot_date(as_of: str | dt.datetime, tz: str = SNAPSHOT_TZ) -> str:
 
 def export(tables: dict[str, DataFrame], root: str, as_of: str, tz: str = SNAPSHOT_TZ,
            compression: str = "zstd") -> str:
-    """K1: write every table for one ``as_of`` under its dated folder
-    (re-running overwrites the same folders: idempotent).  Returns the
-    snapshot folder; K2 checks it."""
+    """K1: write every table for one ``as_of`` as a new version under its dated
+    folder, check it (K2), and only then publish it as the folder's current
+    version; an export that fails leaves the last good version in place.
+    Returns the dated folder."""
     folder = f"{root.rstrip('/')}/snapshot_date={snapshot_date(as_of, tz)}"
+    spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
     for name, df in tables.items():
-        (df.write.mode("overwrite").option("compression", compression)
-         .parquet(f"{folder}/table={name}"))
-    verify(tables_root=folder, names=list(tables), spark=next(iter(tables.values())).sparkSession)
+        df.write.option("compression", compression).parquet(f"{folder}/version={version}/table={name}")
+    verify(tables_root=f"{folder}/version={version}", names=list(tables), spark=spark)
+    number = len(_published(spark, folder)) + 1
+    (spark.range(1).select(F.lit(number).alias("number"), F.lit(version).alias("version"), F.lit(as_of).alias("as_of"))
+     .write.mode("append").parquet(f"{folder}/published"))
     return folder
 
 
+def _published(spark: SparkSession, folder: str) -> list:
+    """Published versions of one dated folder, oldest first (a row per export)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/published")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return []
+    return spark.read.parquet(f"{folder}/published").orderBy("number", "version").collect()
+
+
 def verify(tables_root: str, names: list[str], spark: SparkSession) -> dict[str, bool]:
     """K2: every exported table must be non-empty, else the job fails."""
     out = {}
@@ -100,10 +115,11 @@ def mirror_plan(source: DataFrame, target: DataFrame, key: str = "rel_path") ->
 
 def restore(spark: SparkSession, root: str, date: str, names: list[str],
             register: bool = True) -> dict[str, DataFrame]:
-    """K5: load one snapshot's tables back (and register them as views)."""
-    out = {}
+    """K5: load one snapshot's published tables back (and register them as views)."""
+    folder, out = f"{root.rstrip('/')}/snapshot_date={date}", {}
+    version = _published(spark, folder)[-1]["version"]
     for n in names:
-        df = spark.read.parquet(f"{root.rstrip('/')}/snapshot_date={date}/table={n}")
+        df = spark.read.parquet(f"{folder}/version={version}/table={n}")
         if register:
             df.createOrReplaceTempView(n)
         out[n] = df

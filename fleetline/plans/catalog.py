@@ -97,7 +97,7 @@ def v8_webhook_outcomes(spark, sf_dir):
 def v9_heartbeat_outcomes(spark, sf_dir):
     """Heartbeat decode/validate outcome with the decoded, stored fields."""
     return heartbeats(spark, sf_dir).select(
-        "seq", "code", "sn", "last_seen", "wan_ip", "sw_version", "cpu_pct", "mem_pct")
+        "seq", "code", "reason", "sn", "last_seen", "wan_ip", "sw_version", "cpu_pct", "mem_pct")
 
 
 @plan("m1_webhook_requests")

@@ -37,17 +37,24 @@ CTE["ev"] = """ev AS (
          CASE WHEN event_id % 7 = 0 THEN lower('CPE-' || lpad(CAST(user_id AS VARCHAR), 5, '0'))
               ELSE 'CPE-' || lpad(CAST(user_id AS VARCHAR), 5, '0') END AS sn
   FROM events)"""
-# heartbeats as the handler sees them after decoding (last_seen fallback applied)
+# heartbeats as the handler sees them after decoding (last_seen fallback applied), with the outcome each
+# class of body must have; ``name`` keeps the stored ones
 def _hb(name: str, received: str) -> str:
-    return f"""{name} AS (
-  SELECT event_id AS seq, {received} AS received_at, sn,
-         CASE WHEN event_type = 'signup' THEN {received} ELSE ts - to_seconds(k) END AS last_seen,
+    return f"""{name}_all AS (
+  SELECT event_id AS seq, {received} AS received_at,
+         CASE WHEN event_id % 40 = 3 THEN repeat('X', 65) ELSE sn END AS sn,
+         CASE WHEN event_type = 'signup' OR event_id % 40 = 5 THEN {received} ELSE ts - to_seconds(k) END AS last_seen,
          CASE WHEN event_type <> 'view'
               THEN '10.0.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(k AS VARCHAR) END AS wan_ip,
          'v1.' || CAST(k % 3 AS VARCHAR) AS sw_version,
-         CASE WHEN event_type <> 'error' THEN k END AS cpu_pct,
-         CASE WHEN event_type <> 'click' THEN 99 - k END AS mem_pct
-  FROM ev)"""
+         CASE WHEN event_id % 40 = 2 THEN 200 WHEN event_type <> 'error' THEN k END AS cpu_pct,
+         CASE WHEN event_type <> 'click' THEN 99 - k END AS mem_pct,
+         CASE WHEN event_id % 5000 = 8 THEN 413 WHEN event_id % 40 IN (0, 1, 6) THEN 400
+              WHEN event_id % 40 IN (2, 3) THEN 500 ELSE 202 END AS code,
+         CASE WHEN event_id % 5000 = 8 THEN 'body_too_large' WHEN event_id % 40 IN (0, 6) THEN 'invalid_json'
+              WHEN event_id % 40 = 1 THEN 'missing_sn' WHEN event_id % 40 IN (2, 3) THEN 'db_error' END AS reason
+  FROM ev),
+{name} AS (SELECT * FROM {name}_all WHERE code = 202)"""
 
 
 def _status(name: str, src: str) -> str:
@@ -83,7 +90,9 @@ CTE["hbo"] = f"""hbo AS (
   SELECT seq, received_at, CASE WHEN rn = 1 THEN 202 ELSE 500 END AS code,
          CASE WHEN rn = 1 THEN NULL ELSE 'history_conflict' END AS reason
   FROM (SELECT *, row_number() OVER (PARTITION BY lower(sn), {rms('received_at')} ORDER BY seq) AS rn
-        FROM hbc))"""
+        FROM hbc)
+  UNION ALL SELECT seq, received_at, code, reason FROM hbc_all WHERE code <> 202),
+api AS (SELECT * FROM hbo WHERE code <> 413)"""
 CTE["whc"] = f"""wh AS (
   SELECT event_id AS seq, ts AS received_at, event_type, sn, k,
          CASE WHEN k % 10 = 0 THEN 'not-a-time'
@@ -379,8 +388,9 @@ FROM status s FULL OUTER JOIN top t ON lower(s.sn) = lower(t.sn)""")
 SELECT seq, code, reason, CASE WHEN code IN (202, 500) THEN jsn END AS sn,
        CASE WHEN code IN (202, 500) THEN jevent_ts END AS event_ts FROM whc""")
     q["v9_heartbeat_outcomes"] = with_ctes(["hb"], f"""
-SELECT seq, 202 AS code, sn, {rms('last_seen')} AS last_seen, wan_ip, sw_version,
-       CAST(cpu_pct AS BIGINT) AS cpu_pct, CAST(mem_pct AS BIGINT) AS mem_pct FROM hb""")
+SELECT h.seq, h.code, h.reason, b.sn, {rms('b.last_seen')} AS last_seen, b.wan_ip, b.sw_version,
+       CAST(b.cpu_pct AS BIGINT) AS cpu_pct, CAST(b.mem_pct AS BIGINT) AS mem_pct
+FROM hb_all h LEFT JOIN hb_all b ON b.seq = h.seq AND b.code IN (202, 500)""")
     q["m1_webhook_requests"] = with_ctes(["whc"], "SELECT code, count(*) AS requests FROM whc GROUP BY code")
     q["m2_webhook_errors"] = with_ctes(["whc"], """
 SELECT reason, count(*) AS errors FROM whc WHERE reason IS NOT NULL GROUP BY reason""")
@@ -389,12 +399,12 @@ SELECT reason, count(*) AS errors FROM whc WHERE reason IS NOT NULL GROUP BY rea
          FROM (SELECT DISTINCT lower('CPE-' || lpad(CAST(user_id * 2 AS VARCHAR), 5, '0')) AS request_sn
                FROM ev WHERE event_type = 'view') r
          LEFT JOIN status s ON lower(r.request_sn) = lower(s.sn))
-SELECT code, count(*) AS requests FROM (SELECT code FROM hbo UNION ALL SELECT code FROM lk) GROUP BY code""")
-    q["m4_heartbeats_per_device"] = with_ctes(["hb"], "SELECT sn, count(*) AS heartbeats FROM hb GROUP BY sn")
+SELECT code, count(*) AS requests FROM (SELECT code FROM api UNION ALL SELECT code FROM lk) GROUP BY code""")
+    q["m4_heartbeats_per_device"] = with_ctes(["hb"], "SELECT sn, count(*) AS heartbeats FROM hb_all WHERE code IN (202, 500) GROUP BY sn")
     q["m5_m6_gauges"] = with_ctes(["hb"], """
 SELECT sn, CAST(arg_max(cpu_pct, seq) FILTER (WHERE cpu_pct IS NOT NULL) AS BIGINT) AS cpu_pct,
        CAST(arg_max(mem_pct, seq) FILTER (WHERE mem_pct IS NOT NULL) AS BIGINT) AS mem_pct
-FROM hb GROUP BY sn""")
+FROM hb_all WHERE code IN (202, 500) GROUP BY sn""")
     # ---- Q
     q["q1_enqueue"] = with_ctes(["qk"], f"""
 SELECT id, 'acs' AS source, sn, event_ts, payload, 'queued' AS status, CAST(0 AS INTEGER) AS attempts,
@@ -459,12 +469,12 @@ SELECT 'writer_events_dead_total', '', count(*) FROM qt WHERE status = 'dead' HA
                                       .format(lower=f"AND t >= {A} - INTERVAL 1 DAY", name="code"))
     q["w2_rate_by_reason"] = with_ctes(["whc"], filled("whc", "reason", "received_at", j, t, rate, "reason IS NOT NULL")
                                        .format(lower="", name="reason"))
-    q["w3_api_rate_by_code"] = with_ctes(["hbo"], filled("hbo", "CAST(code AS VARCHAR)", "received_at", j, t, rate)
+    q["w3_api_rate_by_code"] = with_ctes(["hbo"], filled("api", "CAST(code AS VARCHAR)", "received_at", j, t, rate)
                                          .format(lower="", name="code"))
     q["w6_error_pct"] = with_ctes(["hbo"], f"""
 SELECT {t} AS t, count(*) FILTER (WHERE regexp_full_match(CAST(code AS VARCHAR), '5..'))::DOUBLE
                  / count(*)::DOUBLE * 100.0 AS pct
-FROM hbo {j} WHERE {t} <= {A} GROUP BY 1""")
+FROM api {j} WHERE {t} <= {A} GROUP BY 1""")
     jt, tt = grid('"at"', WIN, STEP)
     q["w4_writer_increase"] = with_ctes(["qt"], f"""
 , x AS (SELECT "at", CASE status WHEN 'done' THEN 'processed' WHEN 'dead' THEN 'dead' END AS metric
@@ -500,7 +510,7 @@ SELECT t, service, sum(v) AS up FROM per WHERE t <= {A} GROUP BY t, service""")
     q["a2_high_error_rate"] = with_ctes(["hbo"], f"""
 , pct AS (SELECT 'HighErrorRate' AS rule, {t} AS t,
                  count(*) FILTER (WHERE regexp_full_match(CAST(code AS VARCHAR), '5..'))::DOUBLE
-                 / count(*)::DOUBLE * 100.0 AS pct FROM hbo {j} WHERE {t} <= {A} GROUP BY 2),
+                 / count(*)::DOUBLE * 100.0 AS pct FROM api {j} WHERE {t} <= {A} GROUP BY 2),
 """ + acore("pct", ["rule"], "t", "pct > 5", 600, 3600))
     q["a4_backlog_high"] = with_ctes(["backlog_hour"], """
 , bl AS (SELECT 'QueueBacklog' AS rule, * FROM backlog_hour),

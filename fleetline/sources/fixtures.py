@@ -63,12 +63,24 @@ def heartbeat_fields(spark: SparkSession, sf_dir: str, collisions: bool = False)
 
 def heartbeat_arrivals(spark: SparkSession, sf_dir: str, collisions: bool = False) -> DataFrame:
     """``(seq, received_at, body)``: one JSON heartbeat per event; absent
-    optional fields are omitted from the body.  ``collisions`` coarsens the
+    optional fields are omitted from the body.  By ``seq % 40``: 0 no JSON, 1
+    no sn, 2 a percentage of 200, 3 an sn of 65 characters, 4 trailing bytes, 5
+    an invalid last_seen, 6 a percentage as text, 7 two spellings of the sn
+    key; every 5,000th body is over the 1 MiB limit.  ``collisions`` coarsens the
     arrival time to the hour so history keys collide."""
     h = heartbeat_fields(spark, sf_dir, collisions)
-    body = F.to_json(F.struct(
-        "sn", F.date_format("last_seen", RFC3339_US).alias("last_seen"),
-        "wan_ip", "sw_version", "cpu_pct", "mem_pct"))
+    m = F.col("seq") % 40
+    plain = F.to_json(F.struct(
+        F.when(m == 3, F.repeat(F.lit("X"), 65)).when(m != 1, F.col("sn")).alias("sn"),
+        F.when(m == 5, F.lit("yesterday")).otherwise(F.date_format("last_seen", RFC3339_US)).alias("last_seen"),
+        "wan_ip", "sw_version", F.when(m == 2, F.lit(200)).otherwise(F.col("cpu_pct")).alias("cpu_pct"), "mem_pct"))
+    h = h.select("seq", "received_at", "sn", plain.alias("plain"))
+    body = (F.when(m == 0, F.lit("not json {"))
+            .when(m == 4, F.concat("plain", F.lit(" trailing bytes")))
+            .when(m == 6, F.concat(F.lit('{"sn":"'), "sn", F.lit('","cpu_pct":"5"}')))
+            .when(m == 7, F.replace("plain", F.lit('{"sn":'), F.lit('{"sn":"other","SN":')))
+            .when(F.col("seq") % 5000 == 8, F.concat("plain", F.repeat(F.lit(" "), 1 << 20)))
+            .otherwise(F.col("plain")))
     return h.select("seq", "received_at", body.alias("body"))
 
 

@@ -1,5 +1,8 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from fleetline.operators import logs, snapshots
 
 T0 = dt.datetime(2024, 1, 10)
@@ -44,5 +47,11 @@ def test_export_verify_restore(spark, tmp_path):
     assert folder.endswith("snapshot_date=2024-02-01")      # Copenhagen is UTC+1
     back = snapshots.restore(spark, str(tmp_path), "2024-02-01", ["t"])["t"]
     assert [tuple(r) for r in back.collect()] == [(1, "a")]
+    with pytest.raises(RuntimeError):
+        snapshots.export({"t": df.limit(0)}, str(tmp_path), "2024-01-31T23:30:00")
+    back = snapshots.restore(spark, str(tmp_path), "2024-02-01", ["t"])["t"]
+    assert [tuple(r) for r in back.collect()] == [(1, "a")]  # the failed export replaced nothing
+    snapshots.export({"t": df.withColumn("v", F.lit("b"))}, str(tmp_path), "2024-01-31T23:30:00")
+    assert snapshots.restore(spark, str(tmp_path), "2024-02-01", ["t"])["t"].first()["v"] == "b"
     man = snapshots.list_objects(spark, str(tmp_path))
     assert man.where("snapshot_date = '2024-02-01'").count() >= 1
