@@ -7,10 +7,13 @@ all subsequences that start in [l, c] and end in [c, r] share that min-hash, so
 one compact window stands for all of them.  Only windows of at least a
 passage's length are kept, about 2 n / length of them.
 
-Windows with one hash function and one least shingle form a group.  Members are
-joined with the group's first document where their intervals around the shared
-shingle overlap by a passage, the passages are grown from there and verified
-exactly.  Linked documents make components; where a group still holds several,
+Windows with one hash function and one least shingle meet.  A passage reaches at
+least half its length to one side of the shared shingle, and an edit spoils few
+neighbours, so one of three blocks beside it must agree as well: windows also
+carry a short min-hash of each block, and those that share one form a group
+(a frequent line alone does not).  Members are joined with the group's first
+document where their intervals around the shared shingle overlap by a passage,
+the passages are grown from there and verified exactly.  Linked documents make components; where a group still holds several,
 its members are compared across them in bounded blocks that emit only links
 which join components.  Texts equal byte for byte are one class from the start.
 
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, checkpointed, connected_components, mix64
-from .near_dup import CACHED_WORDS, SHINGLE, WordHash, shingle_hashes  # noqa: F401
+from .near_dup import _ODD, SHINGLE, WordHash, shingle_hashes
 
 PASSAGE_WORDS = 50
 SIMILARITY = 0.8
@@ -91,8 +94,27 @@ def compact_windows(hashes: np.ndarray, number: np.ndarray, ends: np.ndarray, le
     return l[wide], at[wide], r[wide]
 
 
+def side_marks(shingles: np.ndarray, c: np.ndarray, first: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Six 10-bit min-hashes of the blocks beside each position c: three to the
+    left, three to the right, each a third of half a passage.  A block that
+    leaves the text is marked 0."""
+    half = length // 2
+    cuts = [1 + half * k // 3 for k in range(4)]
+    salted = mix64(shingles * U64(0xD6E8FEB86659FD93))
+    marks = np.zeros(len(c), np.int64)
+    for k in range(3):
+        size = cuts[k + 1] - cuts[k]
+        least = _sliding(salted, size, np.minimum) if len(salted) >= size else np.empty(0, U64)
+        for side, at in enumerate((c - cuts[k + 1] + 1, c + cuts[k])):
+            inside = (at >= first) & (at + size <= end)
+            mark = np.zeros(len(c), np.int64)
+            mark[inside] = (least[at[inside]] % U64(1023)).astype(np.int64) + 1
+            marks |= mark << (10 * (2 * k + side))
+    return marks
+
+
 def passage_windows(docs: DataFrame, words: int = PASSAGE_WORDS, hashes: int = HASHES) -> DataFrame:
-    """Rows ``(key, doc_id, place)`` of all compact windows: ``key`` is hash
+    """Rows ``(key, doc_id, place, marks)`` of all compact windows: ``key`` is hash
     function and least shingle, ``place`` packs c, c - l and r - c."""
     length = words - SHINGLE + 1
 
@@ -112,7 +134,9 @@ def passage_windows(docs: DataFrame, words: int = PASSAGE_WORDS, hashes: int = H
                 l, c, r = compact_windows((salted >> U64(32)).astype(np.uint32), number, ends, length)
                 of = number[c]
                 place = ((c - starts[of]) << 32) | (np.minimum(c - l, _REACH) << 16) | np.minimum(r - c, _REACH)
-                yield pa.RecordBatch.from_arrays([pa.array(salted[c].view(np.int64)), pa.array(doc[of]), pa.array(place)], ["key", "doc_id", "place"])
+                marks = side_marks(shingles, c, starts[of], ends[of], length)
+                yield pa.RecordBatch.from_arrays([pa.array(salted[c].view(np.int64)), pa.array(doc[of]), pa.array(place), pa.array(marks)],
+                                                 ["key", "doc_id", "place", "marks"])
 
         for b in batches:
             ids, texts, held = [], [], 0
@@ -128,12 +152,16 @@ def passage_windows(docs: DataFrame, words: int = PASSAGE_WORDS, hashes: int = H
             if ids:
                 yield from out(ids, texts)
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(windows, "key long, doc_id long, place long")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(windows, "key long, doc_id long, place long, marks long")
 
 
 def text_shingles(text: str | None, cache: WordHash) -> np.ndarray:
     w = (text or "").split()
-    return shingle_hashes(np.array([cache[x] for x in w], U64), np.array([len(w)]))[1] if w else np.empty(0, U64)
+    if len(w) < SHINGLE:
+        return shingle_hashes(np.array([cache[x] for x in w], U64), np.array([len(w)]))[1] if w else np.empty(0, U64)
+    h = np.array([cache[x] for x in w], U64)
+    n = len(w) - SHINGLE + 1
+    return mix64(sum(h[k:k + n] * _ODD[k] for k in range(SHINGLE)))
 
 
 def _longest(same: np.ndarray, left: int, share: float) -> tuple[int, int]:
@@ -148,18 +176,27 @@ def _longest(same: np.ndarray, left: int, share: float) -> tuple[int, int]:
     return (int(starts[best]), int(starts[best] + size[best])) if size[best] > 0 else (0, 0)
 
 
-def grown_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: int, similarity: float) -> tuple[int, int, int, int] | None:
+def grown_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: int, similarity: float,
+                  seen: dict | None = None) -> tuple[int, int, int, int] | None:
     """The longest stretch of ``a`` around a shingle shared with ``b`` (aligned
     there) that is similar enough to a stretch of ``b``: shingle spans (a from,
-    to, b from, to), or None if no stretch is long enough."""
+    to, b from, to), or None if no stretch is long enough.  ``seen`` keeps what
+    anchors of one pair with the same distance share."""
     share = 2 * similarity / (1 + similarity)  # common part of equal-length stretches at this Jaccard similarity
     left, right = min(at_a, at_b), min(len(a) - at_a, len(b) - at_b)
     xs, ys = a[at_a - left:at_a + right], b[at_b - left:at_b + right]
-    aligned = xs == ys
+    seen = {} if seen is None else seen
+    if at_a - at_b not in seen:
+        aligned = xs == ys
+        anywhere = aligned | np.isin(xs, ys)
+        seen[at_a - at_b] = aligned, anywhere, int(anywhere.sum())
+    aligned, anywhere, common = seen[at_a - at_b]
+    if common < share * length - 1e-9:  # too little in common at this distance for any passage
+        return None
     # shingles met anywhere allow for inserted and lost words; strictly aligned ones for texts that repeat themselves
-    for same in (aligned | np.isin(xs, ys), aligned):
+    for same in (anywhere, aligned):
         s, e = _longest(same, left, share)
-        if e - s < length * similarity:
+        if e - s < length:
             continue
         x = xs[s:e]
         hit = np.flatnonzero(np.isin(ys, x) if same is not aligned else aligned)
@@ -170,7 +207,7 @@ def grown_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: in
         uy, cy = np.unique(y, return_counts=True)
         _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
         both = np.minimum(cx[ix], cy[iy]).sum()
-        if both >= similarity * (len(x) + len(y) - both) - 1e-9 and max(len(x), len(y)) >= length and min(len(x), len(y)) >= length * similarity:
+        if both >= similarity * (len(x) + len(y) - both) - 1e-9 and len(y) >= length:
             return at_a - left + s, at_a - left + e, at_b - left + y0, at_b - left + y1
     return None
 
@@ -194,9 +231,10 @@ def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: f
                     held, sa = a, text_shingles(ta.as_py(), cache)
                 sb = text_shingles(tb.as_py(), cache)
                 done: list[tuple] = []
+                seen: dict = {}
                 for x in sorted((k["x"], k["y"]) for k in anchors):
                     if x[0] < len(sa) and x[1] < len(sb) and not any(d[0] <= x[0] < d[1] and d[2] <= x[1] < d[3] for d in done):
-                        got = grown_passage(sa, sb, *x, length, similarity)
+                        got = grown_passage(sa, sb, *x, length, similarity, seen)
                         if got:
                             done.append(got)
                 out += [(a, b, d[0], d[1] + SHINGLE - 1, d[2], d[3] + SHINGLE - 1) for d in done]
@@ -208,24 +246,25 @@ def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: f
 
 
 def block_links(block: pd.DataFrame, length: int, similarity: float) -> pd.DataFrame:
-    """Links that join different classes among the windows of one block."""
+    """Links that join different classes among the stretches of one block: rows
+    (doc_id, class_id, stretch, at, off) with the words around a shared
+    shingle, its place in them, and the place of their first word."""
     cache = WordHash()
-    block = block.sort_values(["doc_id", "place"]).reset_index(drop=True)
-    ids, classes = block["doc_id"].tolist(), block["class_id"].tolist()
-    texts: dict[int, np.ndarray] = {}
-    near, centre = [], []
-    for doc, place, text in zip(ids, block["place"], block["text"], strict=True):
-        if doc not in texts:
-            texts[doc] = text_shingles(text, cache)
-        c = place >> 32
-        centre.append(c)
-        near.append(np.unique(texts[doc][max(0, c - min(length - 1, place >> 16 & _REACH)):c + 1 + min(length - 1, place & _REACH)]))
+    block = block.sort_values(["doc_id", "off"]).reset_index(drop=True)
+    ids, classes, centre, off = (block[c].tolist() for c in ("doc_id", "class_id", "at", "off"))
+    near = [text_shingles(t, cache) for t in block["stretch"]]
     shingles = np.concatenate(near)
     number = np.repeat(np.arange(len(near)), [len(x) for x in near])
-    order = np.argsort(shingles, kind="stable")
+    order = np.lexsort((number, shingles))
     shingles, number = shingles[order], number[order]
-    lo = [np.searchsorted(shingles, x) for x in near]
-    hi = [np.searchsorted(shingles, x, side="right") for x in near]
+    first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (shingles[1:] != shingles[:-1])])
+    weight = np.diff(np.r_[first, len(number)])
+    shingles, number = shingles[first], number[first]  # postings: by shingle, then stretch
+    starts = np.flatnonzero(np.r_[True, shingles[1:] != shingles[:-1]])
+    held = np.diff(np.r_[starts, len(shingles)])
+    of = np.repeat(np.arange(len(starts)), held)
+    mine = np.argsort(number, kind="stable")
+    edges = np.searchsorted(number[mine], np.arange(len(ids) + 1))
     root = {c: c for c in classes}
 
     def top(c: int) -> int:
@@ -234,23 +273,45 @@ def block_links(block: pd.DataFrame, length: int, similarity: float) -> pd.DataF
             c = root[c]
         return c
 
-    enough = 2 * similarity / (1 + similarity) * length * similarity
+    enough = 2 * similarity / (1 + similarity) * length - 1e-9  # what two such passages have in common at least
     out = []
     for i in range(len(ids)):
-        n = hi[i] - lo[i]
-        at = np.repeat(lo[i] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        both = np.bincount(number[at], minlength=len(ids))
+        own = mine[edges[i]:edges[i + 1]]
+        n = held[of[own]]
+        at = np.repeat(starts[of[own]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        both = np.bincount(number[at], weights=np.minimum(np.repeat(weight[own], n), weight[at]), minlength=len(ids))
         for j in np.flatnonzero(both >= enough).tolist():
             if j > i and top(classes[i]) != top(classes[j]):
-                got = grown_passage(texts[ids[i]], texts[ids[j]], centre[i], centre[j], length, similarity)
+                got = grown_passage(near[i], near[j], centre[i], centre[j], length, similarity)
                 if got:
                     a, b = top(classes[i]), top(classes[j])
                     root[max(a, b)] = min(a, b)
-                    out.append((ids[i], ids[j], got[0], got[1] + SHINGLE - 1, got[2], got[3] + SHINGLE - 1))
+                    out.append((ids[i], ids[j], off[i] + got[0], off[i] + got[1] + SHINGLE - 1, off[j] + got[2], off[j] + got[3] + SHINGLE - 1))
     return pd.DataFrame(out, columns=["a", "b", "a_from", "a_to", "b_from", "b_to"]).astype(
         {"a": "int64", "b": "int64", "a_from": "int32", "a_to": "int32", "b_from": "int32", "b_to": "int32"})
 
 
+def stretches(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """The words that a passage around each shared shingle can reach, instead of the text."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, words = None, []
+            out, at, off = [], [], []
+            for doc, place, text in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(6), strict=True):
+                if doc != held:
+                    held, words = doc, (text.as_py() or "").split()
+                c = place >> 32
+                first = max(0, c - 2 * length, c - (place >> 16 & _REACH))
+                out.append(" ".join(words[first:min(c + 2 * length, c + (place & _REACH)) + SHINGLE]))
+                at.append(c - first)
+                off.append(first)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(5), pa.array(out, pa.string()), pa.array(at, pa.int32()), pa.array(off, pa.int32())],
+                                             ["key", "p", "q", "doc_id", "class_id", "stretch", "at", "off"])
+
+    held = rows.join(texts, "doc_id").select("key", "p", "q", "doc_id", "place", "class_id", "text")
+    return held.mapInArrow(cut, "key long, p int, q int, doc_id long, class_id long, stretch string, at int, off int")
+
+
 def links_in_mixed_groups(shared: DataFrame, classes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Passage links between members of one group that are in different components."""
     length = words - SHINGLE + 1
@@ -264,8 +325,8 @@ def links_in_mixed_groups(shared: DataFrame, classes: DataFrame, texts: DataFram
     rows = placed.join(mixed.select("key", blocks.alias("blocks")), "key").select(
         "key", "doc_id", "place", "class_id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc_id", "place", "class_id")
-    return rows.join(texts, "doc_id").groupBy("key", "p", "q").applyInPandas(
-        lambda block: block_links(block.drop_duplicates(["doc_id", "place"]), length, similarity), LINKS)
+    return stretches(rows, texts, length).groupBy("key", "p", "q").applyInPandas(
+        lambda block: block_links(block.drop_duplicates(["doc_id", "off", "at"]), length, similarity), LINKS)
 
 
 def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similarity: float = SIMILARITY,
@@ -277,18 +338,33 @@ def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similar
     content = F.unhex(F.md5(F.encode("text", "UTF-8")))
     equal = docs.where("doc_id is not null").where(F.rlike("text", F.lit(r"\S"))).select("doc_id", content.alias("content"))
     rep_of = checkpointed(equal.join(equal.groupBy("content").agg(F.min("doc_id").alias("rep")), "content").select("doc_id", "rep").distinct())
-    windows = passage_windows(docs, words, hashes)
-    groups = windows.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
-    shared = windows.join(groups.select("key", "lead"), "key")
-    # of equal texts one takes part; the least document of a group is one of those
-    shared = checkpointed(shared.join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi"))
-    texts = checkpointed(docs.join(shared.select("doc_id").distinct(), "doc_id"))
-    leads = shared.where("doc_id = lead").groupBy("key").agg(F.min("place").alias("lead_place"))
     reach = lambda p, by: F.shiftright(p, by).bitwiseAND(F.lit(_REACH))
+    # dealt once by key; the groups' bounds and the rows that stay are read from that one exchange
+    windows = passage_windows(docs, words, hashes).repartition("key")
+    met = windows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    # of equal texts one takes part
+    met = windows.join(met.select("key"), "key", "left_semi").join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    # places of one text that look alike on both sides (a text that repeats itself): the one with most room
+    met = met.groupBy("doc_id", "key", "marks").agg(F.max_by("place", F.struct(reach("place", 16) + reach("place", 0), -F.col("place"))).alias("place"))
+    met = checkpointed(met)
+    mark = [F.shiftright("marks", 10 * k).bitwiseAND(F.lit(1023)) for k in range(6)]
+    met = met.select("doc_id", "place", F.explode(F.array(*[
+        F.when(m > 0, F.xxhash64("key", F.lit(k), m)) for k, m in enumerate(mark)])).alias("key")).where("key is not null").repartition("key")
+    groups = met.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"),
+                                    F.bit_xor(F.xxhash64("doc_id", "place")).alias("members")).where("lead < last")
+    # of groups with the same places (the blocks of one exact repeat) one is enough
+    groups = groups.groupBy("lead", "last", "members").agg(F.min("key").alias("key"))
+    shared = checkpointed(met.join(groups.select("key", "lead"), "key"))
+    leads = shared.where("doc_id = lead").groupBy("key").agg(F.min("place").alias("lead_place"))
     overlap = F.least(reach("place", 16), reach("lead_place", 16)) + F.least(reach("place", 0), reach("lead_place", 0)) + 1
     pairs = shared.where("doc_id > lead").join(leads, "key").where(overlap >= (words - SHINGLE + 1) * similarity).groupBy(
         F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.collect_set(F.struct(
             F.shiftright("lead_place", 32).cast("int").alias("x"), F.shiftright("place", 32).cast("int").alias("y"))).alias("anchors"))
+    pairs = checkpointed(pairs)
+    several = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
+    asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).unionAll(
+        shared.join(several, "key", "left_semi").select("doc_id")).distinct()
+    texts = checkpointed(docs.join(asked, "doc_id"))
     links = checkpointed(verified_links(pairs, texts, words, similarity))
     classes = connected_components(links.select("a", "b"))
     more = checkpointed(links_in_mixed_groups(shared, classes, texts, words, similarity))
