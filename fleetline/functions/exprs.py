@@ -124,8 +124,11 @@ def json_field(value, name: str, body=None) -> Column:
     matches = lambda k: F.lower(F.translate(k, "\u017f\u212a", "sk")) == F.lit(name.lower())
     keys = F.filter(F.map_keys(as_map), matches)
     last = F.element_at(F.filter(F.json_object_keys(col_of(body)), matches), -1)
-    return F.when(F.size(keys) > 1, F.try_element_at(as_map, last)).otherwise(
+    folded = F.when(F.size(keys) > 1, F.try_element_at(as_map, last)).otherwise(
         F.try_element_at(as_map, F.get(keys, F.lit(0))))
+    # no other spelling anywhere in the body, not even an escaped one: the exact key is all there can be
+    other = F.rlike(col_of(body), F.lit(f'"(?!{name}")(?iu:{name})"')) | F.contains(col_of(body), F.lit("\\u"))
+    return F.when(other, folded).otherwise(exact)
 
 
 def is_string_or_null(field) -> Column:
