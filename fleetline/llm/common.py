@@ -29,13 +29,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def kept_columns(docs: DataFrame, keep: tuple[str, ...]) -> Column:
-    """Columns that pass through an operator untouched, as one struct ``kept``."""
-    return F.struct(*[docs[k] for k in keep] or [F.lit(True).alias("row")]).alias("kept")
+    """Columns that pass through an operator untouched, as one struct ``kept``;
+    the text is not among them, as it passes as itself."""
+    return F.struct(F.lit(True).alias("row"), *[docs[k] for k in keep if k != "text"]).alias("kept")
 
 
-def with_kept(ddl: str, d: DataFrame) -> StructType:
-    """The given columns and ``kept`` as ``d`` has it."""
-    return StructType([*StructType.fromDDL(ddl).fields, d.schema["kept"]])
+def with_kept(ddl: str, d: DataFrame, keep: tuple[str, ...]) -> StructType:
+    """The given columns, ``kept`` as ``d`` has it, and the text if it is kept."""
+    text = [d.schema["text"]] if "text" in keep else []
+    return StructType([*StructType.fromDDL(ddl).fields, d.schema["kept"], *text])
+
+
+def taken(keep: tuple[str, ...]) -> list[str]:
+    """The kept columns of an operator's output, by name."""
+    return [k if k == "text" else f"kept.{k}" for k in keep]
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, kept_columns, with_kept
+from .common import checkpointed, kept_columns, taken, with_kept
 
 WINDOW = 10
 MAX_WINDOWS = 500_000
@@ -102,7 +102,7 @@ def scan_text(text: str | None, automaton: ahocorasick.Automaton) -> tuple[int,
     return len(words), runs, spans, sorted({x for _, m in found for x in m[2]})
 
 
-def _scan(docs: DataFrame, windows: list) -> DataFrame:
+def _scan(docs: DataFrame, windows: list, keep: tuple[str, ...]) -> DataFrame:
     """``docs`` (doc_id, uid, text, kept) with the hits of one block of windows."""
     held = docs.sparkSession.sparkContext.broadcast(windows)
 
@@ -115,10 +115,11 @@ def _scan(docs: DataFrame, windows: list) -> DataFrame:
                 b.column(0), b.column(1), pa.array([g[0] for g in got], pa.int64()),
                 pa.array([[{"first": i, "last": j} for i, j in g[1]] for g in got], pair("first", "last")),
                 pa.array([[{"start": i, "end": j} for i, j in g[2]] for g in got], pair("start", "end")),
-                pa.array([g[3] for g in got], pa.list_(pa.string())), b.column(3)],
-                ["doc_id", "uid", "n_words", "words", "spans", "items", "kept"])
+                pa.array([g[3] for g in got], pa.list_(pa.string())), b.column(3),
+                *([b.column(2)] if "text" in keep else [])], names)
 
-    return docs.mapInArrow(scan, with_kept(HITS, docs))
+    names = ["doc_id", "uid", "n_words", "words", "spans", "items", "kept"] + ["text"] * ("text" in keep)
+    return docs.mapInArrow(scan, with_kept(HITS, docs, keep))
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
@@ -131,7 +132,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
     n = rows.count()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("uid"), "text", kept_columns(docs, keep))
     if n <= max_windows:
-        hits = _scan(d, [(bytes(r["window"]), r["items"]) for r in rows.collect()])
+        hits = _scan(d, [(bytes(r["window"]), r["items"]) for r in rows.collect()], keep)
         runs = F.col("words")
     else:
         rows = checkpointed(rows)
@@ -140,17 +141,17 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
         hits = None
         for k in range(blocks):
             block = rows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()
-            part = _scan(d, [(bytes(r["window"]), r["items"]) for r in block])
+            part = _scan(d, [(bytes(r["window"]), r["items"]) for r in block], keep)
             hits = part if hits is None else hits.unionAll(part)
         hits = hits.groupBy("doc_id", "uid").agg(
-            F.first("kept").alias("kept"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("words")).alias("words"),
+            F.first("kept").alias("kept"), *[F.first("text").alias("text")] * ("text" in keep), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("words")).alias("words"),
             F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
         runs = merged(F.col("words"), "first", "last")
-        hits = hits.select("doc_id", "kept", "n_words", runs.alias("words"), merged(F.col("spans"), "start", "end").alias("spans"),
+        hits = hits.select("doc_id", "kept", *["text"] * ("text" in keep), "n_words", runs.alias("words"), merged(F.col("spans"), "start", "end").alias("spans"),
                            F.sort_array(F.array_distinct("items")).alias("items"))
         runs = F.col("words")
     n_hit = F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
-    return hits.select(*[f"kept.{k}" for k in keep] or ["doc_id"], "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return hits.select(*taken(keep) or ["doc_id"], "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def merged(runs, lo: str, hi: str):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, kept_columns, with_kept
+from .common import checkpointed, kept_columns, taken, with_kept
 
 SAMPLE = 12_000
 TERMS = 512
@@ -123,27 +123,30 @@ def choose_terms(sample: DataFrame, most: int) -> list[str]:
 VECTORS = "doc_id long, text_id long, terms array<int>, uses array<int>, words long"
 
 
-def term_vectors(docs: DataFrame, vocabulary: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+def text_terms(text: str | None, term: TermOf) -> tuple[list[int], list[int], int]:
+    """Chosen terms of a whole text, their uses, and the number of its words."""
+    c = Counter([term[w] for w in _WORD.findall((text or "").lower())])
+    words = sum(c.values())
+    c.pop(0, None)
+    keys = sorted(c)
+    return keys, [c[k] for k in keys], words
+
+
+def term_vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Chosen terms of every whole text with their uses, and its word count."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text", kept_columns(docs, keep))
     numbers = {t: i + 1 for i, t in enumerate(vocabulary)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term = TermOf(numbers)
         for b in batches:
-            terms, uses, words = [], [], []
-            for text in b.column(2).to_pylist():
-                c = Counter([term[w] for w in _WORD.findall((text or "").lower())])
-                words.append(sum(c.values()))
-                c.pop(0, None)
-                keys = sorted(c)
-                terms.append(keys)
-                uses.append([c[k] for k in keys])
+            got = [text_terms(t.as_py(), term) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array(terms, pa.list_(pa.int32())), pa.array(uses, pa.list_(pa.int32())),
-                pa.array(words, pa.int64()), b.column(3)], ["doc_id", "text_id", "terms", "uses", "words", "kept"])
+                b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(pa.int32())),
+                pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.int64())],
+                ["doc_id", "text_id", "terms", "uses", "words"])
 
-    return rows.mapInArrow(vectors, with_kept(VECTORS, rows))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text") \
+        .mapInArrow(vectors, VECTORS)
 
 
 class BlockMaxIndex:
@@ -234,7 +237,7 @@ def fit_curve(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-SCORES = "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double>>"
+SCORES = "score double, evidence array<struct<doc_id:long,cosine:double>>"
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, terms: int = TERMS,
@@ -263,34 +266,44 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE
     a, b = fit_curve(votes, toxic) if len(rows) else (1.0, 0.0)
     held = docs.sparkSession.sparkContext.broadcast(index)
 
+    numbers = {t: i + 1 for i, t in enumerate(vocabulary)}
+
+    def probability(terms: list, uses: list, words: int) -> tuple[float, list]:
+        ix = held.value
+        if not len(ix.n):
+            return 0.0, []
+        if not words:  # no neighbour is nearer than another
+            return float(ix.toxic.sum() / max(ix.n.sum(), 1)), []
+        v, ids, cos = ix.vote(terms, uses, words, neighbours)
+        s = 1 / (1 + np.exp(-(a * np.log((v + 1e-4) / (1 - v + 1e-4)) + b)))
+        return float(s), [{"doc_id": ix.docs[i], "cosine": round(float(c), 6)} for i, c in zip(ids[:3], cos[:3], strict=True)]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, plain = held.value, None
+        plain, term = None, TermOf(numbers)
         for batch in batches:
             scores, evidence = [], []
-            for t, u, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if not w:
-                    s, e = float(ix.toxic.sum() / max(ix.n.sum(), 1)), []  # no neighbour is nearer than another
-                elif not t and plain is not None:
+            # texts that go on have their terms found here; otherwise they are in the vectors
+            rows = (text_terms(t.as_py(), term) for t in batch.column(0)) if keep else \
+                zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
+            for t, u, w in rows:
+                if not t and w:  # texts of background words alone have one vector
+                    plain = plain or probability(t, u, w)
                     s, e = plain
-                elif not len(ix.n):
-                    s, e = 0.0, []
                 else:
-                    v, ids, cos = ix.vote(t, u, w, neighbours)
-                    s = 1 / (1 + np.exp(-(a * np.log((v + 1e-4) / (1 - v + 1e-4)) + b)))
-                    e = [{"doc_id": ix.docs[i], "cosine": round(float(c), 6)} for i, c in zip(ids[:3], cos[:3], strict=True)]
-                    if not t:
-                        plain = s, e  # texts of background words alone have one vector
-                scores.append(float(s))
+                    s, e = probability(t, u, w)
+                scores.append(s)
                 evidence.append(e)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(scores, pa.float64()),
-                pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))), batch.column(4)],
-                ["doc_id", "score", "evidence", "kept"])
-
-    # texts that go on are read again rather than joined to their vectors
-    asked = term_vectors(whole, vocabulary, keep) if keep else vectors
-    asked = asked.select("doc_id", "terms", "uses", "words", "kept")
-    return asked.mapInArrow(score, with_kept(SCORES, asked)).select(*[f"kept.{k}" for k in keep] or ["doc_id"], "score", "evidence")
+            cols = [pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())])))]
+            if keep:
+                yield pa.RecordBatch.from_arrays([*cols, batch.column(1), *([batch.column(0)] if "text" in keep else [])],
+                                                 ["score", "evidence", "kept"] + ["text"] * ("text" in keep))
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "score", "evidence"])
+
+    if not keep:
+        return vectors.select("doc_id", "terms", "uses", "words").mapInArrow(score, f"doc_id long, {SCORES}")
+    asked = whole.select("text", kept_columns(whole, keep))
+    return asked.mapInArrow(score, with_kept(SCORES, asked, keep)).select(*taken(keep), "score", "evidence")
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
