@@ -176,22 +176,44 @@ def _longest(same: np.ndarray, left: int, share: float) -> tuple[int, int]:
     return (int(starts[best]), int(starts[best] + size[best])) if size[best] > 0 else (0, 0)
 
 
+def least_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: int, similarity: float) -> tuple[int, int, int, int] | None:
+    """The most similar stretches of exactly ``length`` over a shared shingle, if
+    they are similar enough: all pairs of such stretches are counted."""
+    s, t = max(0, at_a - length + 1), max(0, at_b - length + 1)
+    xs, ys = a[s:at_a + length], b[t:at_b + length]
+    if min(len(xs), len(ys)) < length:
+        return None
+    shared = np.intersect1d(xs, ys)
+    per = []
+    for z in (xs, ys):
+        upto = np.cumsum(np.c_[np.zeros(len(shared), bool), z[None, :] == shared[:, None]], axis=1, dtype=np.int16)
+        per.append(upto[:, length:] - upto[:, :-length])  # by shared shingle and start
+    both = np.minimum(per[0][:, :, None], per[1][:, None, :]).sum(axis=0)
+    i, j = np.unravel_index(int(both.argmax()), both.shape)
+    if both[i, j] < similarity * (2 * length - both[i, j]) - 1e-9:
+        return None
+    return s + int(i), s + int(i) + length, t + int(j), t + int(j) + length
+
+
 def grown_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: int, similarity: float,
                   seen: dict | None = None) -> tuple[int, int, int, int] | None:
     """The longest stretch of ``a`` around a shingle shared with ``b`` (aligned
     there) that is similar enough to a stretch of ``b``: shingle spans (a from,
-    to, b from, to), or None if no stretch is long enough.  ``seen`` keeps what
-    anchors of one pair with the same distance share."""
+    to, b from, to), or None if no stretch is long enough.  Both sides hold
+    ``length`` shingles at least, unshared ones at their edges included.
+    ``seen`` keeps what anchors of one pair with the same distance share."""
     share = 2 * similarity / (1 + similarity)  # common part of equal-length stretches at this Jaccard similarity
     left, right = min(at_a, at_b), min(len(a) - at_a, len(b) - at_b)
     xs, ys = a[at_a - left:at_a + right], b[at_b - left:at_b + right]
     seen = {} if seen is None else seen
     if at_a - at_b not in seen:
         aligned = xs == ys
-        anywhere = aligned | np.isin(xs, ys)
-        seen[at_a - at_b] = aligned, anywhere, int(anywhere.sum())
-    aligned, anywhere, common = seen[at_a - at_b]
-    if common < share * length - 1e-9:  # too little in common at this distance for any passage
+        # where one text ends the other may go on by a passage
+        first = max(0, at_a - left - length)
+        met = np.isin(a[first:at_a + right + length], b[max(0, at_b - left - length):at_b + right + length])
+        seen[at_a - at_b] = aligned, aligned | np.isin(xs, ys), first, np.r_[0, np.cumsum(met)]
+    aligned, anywhere, first, met = seen[at_a - at_b]
+    if met[-1] < share * length - 1e-9:  # too little in common at this distance for any passage
         return None
     # shingles met anywhere allow for inserted and lost words; strictly aligned ones for texts that repeat themselves
     for same in (anywhere, aligned):
@@ -201,15 +223,19 @@ def grown_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: in
         x = xs[s:e]
         hit = np.flatnonzero(np.isin(ys, x) if same is not aligned else aligned)
         hit = hit[(hit >= s - length // 4) & (hit < e + length // 4)]
-        y0, y1 = int(hit[0]), int(hit[-1]) + 1
-        y = ys[y0:y1]
+        y0, y1 = at_b - left + int(hit[0]), at_b - left + int(hit[-1]) + 1
+        if y1 - y0 < length:  # unshared edges count as they do in x
+            y0 = max(0, y1 - length, min(y0, len(b) - length, at_b - left + s))
+            y1 = y0 + length
+        y = b[y0:y1]
         ux, cx = np.unique(x, return_counts=True)
         uy, cy = np.unique(y, return_counts=True)
         _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
         both = np.minimum(cx[ix], cy[iy]).sum()
         if both >= similarity * (len(x) + len(y) - both) - 1e-9 and len(y) >= length:
-            return at_a - left + s, at_a - left + e, at_b - left + y0, at_b - left + y1
-    return None
+            return at_a - left + s, at_a - left + e, y0, y1
+    near = met[min(at_a + length - first, len(met) - 1)] - met[max(0, at_a - length + 1 - first)]
+    return least_passage(a, b, at_a, at_b, length, similarity) if near >= share * length - 1e-9 else None
 
 
 LINKS = "a long, b long, a_from int, a_to int, b_from int, b_to int"

@@ -238,6 +238,56 @@ def test_passages_find_every_exact_repeat(spark, docs):
     assert all(out[i] == i for i in clean)
 
 
+def brute_passage(a, b, length, similarity):
+    def most(x, y):
+        both = sum((collections.Counter(x) & collections.Counter(y)).values())
+        return both >= similarity * (2 * length - both) - 1e-9
+    return any(most(a[i:i + length], b[j:j + length]) for i in range(len(a) - length + 1) for j in range(len(b) - length + 1))
+
+
+def changed(rng, passage, place, kind):
+    new = f"new{rng.randrange(10 ** 6)}"
+    return {"replace": [*passage[:place], new, *passage[place + 1:]], "insert": [*passage[:place], new, *passage[place:]][:50],
+            "none": passage}[kind]
+
+
+@pytest.mark.parametrize("kind", ["replace", "insert"])
+@pytest.mark.parametrize("around", [0, 60])
+def test_one_edit_at_every_place_of_a_least_passage(kind, around):
+    rng, cache, met = random.Random(7), passages.WordHash(), 0
+    length = passages.PASSAGE_WORDS - passages.SHINGLE + 1
+    for place in range(50):
+        passage = words(rng, 50)
+        a, b = (passages.text_shingles(" ".join([*words(rng, around), *p, *words(rng, around)]), cache)
+                for p in (passage, changed(rng, passage, place, kind)))
+        core = slice(around, around + length)
+        is_one = brute_passage(a[core], b[core], length, passages.SIMILARITY)
+        anchors = [(i, j) for i in range(len(a)) for j in np.flatnonzero(b == a[i]).tolist()]
+        assert anchors or not is_one
+        for x, y in anchors:
+            for p, q, i, j in ((a, b, x, y), (b, a, y, x)):
+                got = passages.grown_passage(p, q, i, j, length, passages.SIMILARITY)
+                assert got or not is_one, (place, i, j)
+                if got:
+                    u, v = p[got[0]:got[1]], q[got[2]:got[3]]
+                    both = sum((collections.Counter(u.tolist()) & collections.Counter(v.tolist())).values())
+                    assert min(len(u), len(v)) >= length and both >= passages.SIMILARITY * (len(u) + len(v) - both) - 1e-9
+        met += is_one
+    assert met == 50 if kind == "replace" else met > 40
+
+
+def test_passages_find_one_replaced_word(spark):
+    rng, texts = random.Random(11), []
+    for k in range(200):
+        passage = words(rng, 50, 10 ** 6)
+        texts += [" ".join([*words(rng, 60, 10 ** 6), *p, *words(rng, 60, 10 ** 6)]) for p in (passage, changed(rng, passage, k % 50, "replace"))]
+    classes, links = passages.near_duplicate_passages(frame(spark, texts))
+    found = {(r.a, r.b) for r in links.collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in found)
+    assert len(found) >= 190
+    assert sum(1 for a, _ in found if (a // 2) % 50 in (0, 1, 2, 3, 4, 45, 46, 47, 48, 49)) >= 36
+
+
 def test_passages_empty_table(spark, docs):
     classes, links = passages.near_duplicate_passages(docs.limit(0))
     assert classes.count() == 0 and links.count() == 0
