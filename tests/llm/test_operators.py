@@ -154,6 +154,28 @@ def test_html_container(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><header class="entry-header"><h1>Head</h1></header><p>Body</p></article>', "Head\nBody"),
+    ('<article><div class="entry-header"><h1 class="page-header" id="search">Head</h1></div><p>Body</p></article>', "Head\nBody"),
+    ('<main class="site-main has-sidebar"><p>Body</p></main>', "Body"),
+    ('<main class="sidebar"><p>Body</p></main>', "Body"),
+    ('<div class="content no-sidebar"><article>Body</article></div>', "Body"),
+    ('<div class="layout-sidebar"><p>Before</p><article>Body</article></div>', "Body"),
+    ('<article class="post comments-open">Body</article>', "Body"),
+    ('<article class="post comments">Body</article>', "Body"),
+    ('<main><h1>Head</h1><div class="layout-sidebar"><article>Body</article></div></main>', "Head\nBody"),
+    ('<form id="all"><main><p>Body</p><form><p>Join</p></form></main></form>', "Body"),
+    ('<article><section id="related-work"><p>Body</p></section><p class="has-banner">More</p></article>', "Body\nMore"),
+    ('<article>Body<div class="related-posts">A</div><div class="site-footer">B</div><div class="ad-slot-2">C</div></article>', "Body"),
+    ('<main><article>Body</article><section class="comments"><article>First</article></section></main>', "Body"),
+    ('<main><p>Body</p><ol class="comment-list"><li><article>First</article></ol></main>', "Body"),
+    ('<div class="related"><article>Other</article></div><article>Body</article><div class="sidebar"><article>Third</article></div>', "Body"),
+    ('<aside><article>Other</article></aside><div class="widget"><article>Body</article></div>', "Body"),
+])
+def test_html_names_leave_the_article(page, text):
+    assert "\n".join(b.text for b in html_text.page_blocks(f"<html><body class='has-sidebar'>{page}</body></html>") if b.region == html_text.MAIN) == text
+
+
 def test_html_host_repeats_without_container(spark):
     rng = random.Random(4)
     notice = " ".join(words(rng, 30))
