@@ -14,7 +14,11 @@ with one anchor form a block.
    common-prefix intervals.  An interval whose occurrences have different left
    neighbours is a maximal repeat, given with all occurrences; all but the first
    are removed.  Blocks are cut in two halves that share 74 bytes or more, so a
-   frequent short string does not gather its surroundings in one place.
+   frequent short string does not gather its surroundings in one place.  Where
+   a frequent line of 74 bytes or more still does (more than ``GROUP_ROWS``
+   halves with one core), the halves are dealt out by each 100 bytes they hold,
+   and all but the first place of equal 100 bytes are removed: the same bytes,
+   as an interval of the array is the union of its 100-byte windows.
 3. The spans of a document are merged and cut out of its bytes.
 
 Blocks are compared by digests of 128 bits.  Order is by doc_id, then start.
@@ -41,6 +45,7 @@ GRAM = 48
 HALF = (LENGTH - GRAM) // 2
 PIECE_BYTES = 2 << 20
 ARRAY_ROWS = 4_000
+GROUP_ROWS = 4_000
 
 _BYTE = mix64(np.arange(1, 257).astype(U64) * U64(0x9E3779B97F4A7C15))
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
@@ -275,10 +280,12 @@ def maximal_repeats(group: np.ndarray, doc: np.ndarray, start: np.ndarray, texts
     return out
 
 
-def edge_repeats(spots: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, s, e)``: later occurrences of maximal repeats among blocks
-    that share an anchor without being equal."""
-    held = docs.join(spots.where(F.size("edges") > 0).select("doc_id", "edges"), "doc_id")
+HALVES = "key long, doc_id long, at long, bytes binary"
+
+
+def halved_blocks(spots: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows ``(key, doc_id, at, bytes)``: both halves of the blocks in ``edges``, ``key`` for their core."""
+    held = docs.join(spots, "doc_id")
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,8 +304,56 @@ def edge_repeats(spots: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                                              ["key", "doc_id", "at", "bytes"])
 
-    cut = held.select("doc_id", "text", "edges").mapInArrow(halves, "key long, doc_id long, at long, bytes binary")
-    cut = cut.repartition("key").sortWithinPartitions("key", "doc_id", "at")
+    return held.select("doc_id", "text", "edges").mapInArrow(halves, HALVES)
+
+
+def crowded(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Keys of more than ``most`` rows."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key)
+
+
+def parted_halves(spots: DataFrame, docs: DataFrame, most: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Half-blocks in groups of at most ``most`` by key, and those of larger groups or None."""
+    spots = spots.where(F.size("edges") > 0).select("doc_id", "edges")
+    cut = halved_blocks(spots, docs)
+    edges = spots.select("doc_id", F.explode("edges").alias("e")).select("doc_id", "e", "e.anchor")
+    # a core belongs to one anchor, and a block has two halves
+    hot = checkpointed(crowded(edges, "anchor", most // 2))
+    if hot.isEmpty():
+        return cut, None
+    hot_spots = edges.join(hot, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("e").alias("edges"))
+    hot_cut = halved_blocks(hot_spots, docs)
+    large = crowded(hot_cut, "key", most)
+    return cut.join(large, "key", "left_anti"), hot_cut.join(large, "key", "left_semi")
+
+
+def window_repeats(cut: DataFrame) -> DataFrame:
+    """Rows ``(doc_id, s, e)``: all but the first place of each 100 bytes in half-blocks of one key."""
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, len(b), ARRAY_ROWS):
+                key, doc, at, texts = b.slice(k, ARRAY_ROWS).columns
+                texts = texts.to_pylist()
+                sizes = np.array([len(x) for x in texts])
+                n = sizes - LENGTH + 1
+                of = np.repeat(np.arange(len(n)), n)
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                window = _rolling(np.frombuffer(b"".join(texts), np.uint8))[1][(np.cumsum(sizes) - sizes)[of] + inner]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                    key.to_numpy()[of], window.view(np.int64), doc.to_numpy()[of], at.to_numpy()[of] + inner)], ["key", "window", "doc_id", "s"])
+
+    w = cut.select("key", "doc_id", "at", "bytes").mapInArrow(windows, "key long, window long, doc_id long, s long")
+    place = F.struct("doc_id", "s")
+    first = w.groupBy("key", "window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    later = w.join(first.select("key", "window", "first"), ["key", "window"]).where(place > F.col("first"))
+    return later.select("doc_id", "s", (F.col("s") + LENGTH).alias("e"))
+
+
+def edge_repeats(spots: DataFrame, docs: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
+    """Rows ``(doc_id, s, e)``: later occurrences of maximal repeats among blocks
+    that share an anchor without being equal."""
+    cut, large = parted_halves(spots, docs, most)
+    cut = cut.select("key", "doc_id", "at", "bytes").repartition("key").sortWithinPartitions("key", "doc_id", "at")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -332,16 +387,17 @@ def edge_repeats(spots: DataFrame, docs: DataFrame) -> DataFrame:
         if texts:
             yield repeats(len(texts))
 
-    return cut.mapInArrow(scan, "doc_id long, s long, e long")
+    found = cut.mapInArrow(scan, "doc_id long, s long, e long")
+    return found if large is None else found.unionAll(window_repeats(large))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
     """Rows ``(doc_id, n_bytes, removed, kept)``: merged removed byte spans and the remaining bytes."""
     # a cast that changes nothing would only keep the two joins from sharing one exchange
     docs = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
     spots = checkpointed(document_spots(repeated_blocks(document_blocks(docs))))
     texts = docs.where("doc_id is not null").repartition("doc_id")  # dealt once, used by both joins
-    edges = edge_repeats(spots, texts).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("more"))
+    edges = edge_repeats(spots, texts, most).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("more"))
     none = F.array().cast("array<struct<s:long,e:long>>")
     runs = spots.select("doc_id", "runs").join(edges, "doc_id", "full").select(
         "doc_id", F.concat(F.coalesce("runs", none), F.coalesce("more", none)).alias("runs"))

@@ -396,6 +396,29 @@ def test_repeats_odd_rows(spark, docs):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 20])
+@pytest.mark.parametrize("texts", [corpus(), edges()], ids=["corpus", "edges"])
+def test_repeats_in_small_groups_match_brute_force(spark, texts, most):
+    out = by_id(repeats.removal_digests(repeats.remove_repeats(frame(spark, texts), most)))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in out.items()} == removed_brute(texts)
+
+
+def test_hot_line_in_unlike_surroundings_is_held_in_parts(spark):
+    rng, most = random.Random(12), 25
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    line, near = letters(80), [letters(30) for _ in range(6)]
+    texts = [letters(150) + rng.choice([letters(30), *near])[:30] + line + rng.choice([letters(30), *near]) + letters(150) for _ in range(300)]
+    docs = frame(spark, texts)
+    spots = repeats.document_spots(repeats.repeated_blocks(repeats.document_blocks(docs))).cache()
+    small, large = repeats.parted_halves(spots, docs, most)
+    assert large.count() > 300
+    assert all(r["count"] <= most for r in small.groupBy("key").count().collect())
+    out = by_id(repeats.removal_digests(repeats.remove_repeats(docs, most)))
+    got = {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in out.items()}
+    assert got == removed_brute(texts)
+    assert sum(r[1] for r in got.values()) > 0
+
+
 def test_maximal_repeats_have_all_occurrences():
     texts = [b"Xabcdefgh1", b"Yabcdefgh2", b"Zabcdefg", b"abcdefgh"]
     found = repeats.maximal_repeats(np.zeros(4, int), np.arange(4), np.zeros(4, int), texts, 5)
