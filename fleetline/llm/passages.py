@@ -12,7 +12,7 @@ least half its length to one side of the shared shingle, and an edit spoils few
 neighbours, so one of three blocks beside it must agree as well: windows also
 carry a short min-hash of each block, and those that share one form a group
 (a frequent line alone does not).  Members are joined with the group's first
-document where their intervals around the shared shingle overlap by a passage,
+document, at each of its places, where their intervals around the shared shingle overlap by a passage,
 the passages are grown from there and verified exactly.  Linked documents make components; where a group still holds several,
 its members are compared across them in bounded blocks that emit only links
 which join components.  Texts equal byte for byte are one class from the start.
@@ -41,6 +41,7 @@ SIMILARITY = 0.8
 HASHES = 3
 BATCH_WORDS = 300_000
 BLOCK = 512
+LEAD_ROWS = 16
 
 _REACH = 0xFFFF
 
@@ -381,11 +382,14 @@ def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similar
     # of groups with the same places (the blocks of one exact repeat) one is enough
     groups = groups.groupBy("lead", "last", "members").agg(F.min("key").alias("key"))
     shared = checkpointed(met.join(groups.select("key", "lead"), "key"))
-    leads = shared.where("doc_id = lead").groupBy("key").agg(F.min("place").alias("lead_place"))
-    overlap = F.least(reach("place", 16), reach("lead_place", 16)) + F.least(reach("place", 0), reach("lead_place", 0)) + 1
-    pairs = shared.where("doc_id > lead").join(leads, "key").where(overlap >= (words - SHINGLE + 1) * similarity).groupBy(
-        F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.collect_set(F.struct(
-            F.shiftright("lead_place", 32).cast("int").alias("x"), F.shiftright("place", 32).cast("int").alias("y"))).alias("anchors"))
+    # all places of a first document that repeats itself, in bounded rows
+    leads = shared.where("doc_id = lead").groupBy("key", F.pmod(F.xxhash64("place"), F.lit(LEAD_ROWS)).alias("part")).agg(
+        F.collect_set("place").alias("lead_places")).select("key", "lead_places")
+    overlap = lambda x: F.least(reach("place", 16), reach(x, 16)) + F.least(reach("place", 0), reach(x, 0)) + 1
+    near = F.filter("lead_places", lambda x: overlap(x) >= (words - SHINGLE + 1) * similarity)
+    pairs = shared.where("doc_id > lead").join(leads, "key").select("lead", "doc_id", "place", near.alias("near")).where(F.size("near") > 0).groupBy(
+        F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.array_distinct(F.flatten(F.collect_set(F.transform("near", lambda x: F.struct(
+            F.shiftright(x, 32).cast("int").alias("x"), F.shiftright("place", 32).cast("int").alias("y")))))).alias("anchors"))
     pairs = checkpointed(pairs)
     several = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
     asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).unionAll(

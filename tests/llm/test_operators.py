@@ -310,6 +310,16 @@ def test_passages_find_one_replaced_word(spark):
     assert sum(1 for a, _ in found if (a // 2) % 50 in (0, 1, 2, 3, 4, 45, 46, 47, 48, 49)) >= 36
 
 
+def test_passages_meet_every_place_of_the_first_document(spark):
+    rng, texts = random.Random(13), []
+    text = lambda n: words(rng, n, 10 ** 6)
+    for _ in range(120):  # a partial copy stands before the whole passage
+        passage = text(50)
+        texts += [" ".join([*text(30), *passage[:38], *text(60), *passage, *text(30)]), " ".join([*text(30), *passage, *text(30)])]
+    _, links = passages.near_duplicate_passages(frame(spark, texts), hashes=1)
+    assert {(r.a, r.b) for r in links.collect()} == {(a, a + 1) for a in range(0, 240, 2)}
+
+
 def test_passages_empty_table(spark, docs):
     classes, links = passages.near_duplicate_passages(docs.limit(0))
     assert classes.count() == 0 and links.count() == 0
