@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "col_of", "hmac_pads", "hmac_sha256_hex", "signature_ok", "parse_json_body",
-    "json_field", "json_type", "is_string_or_null", "is_int_or_null", "rfc3339",
+    "parsed_once", "decoded_fields", "is_string_or_null", "is_int_or_null", "rfc3339",
     "round_ms", "round_s", "backoff_seconds", "normalize_page", "normalize_batch",
     "query_escape", "deep_link", "format_go_datetime", "format_rfc3339_nano",
-    "canonical_json", "decoded_once", "idiv",
+    "page_columns", "canonical_json", "decoded_once", "idiv",
 ]
 
 
@@ -26,12 +26,13 @@ def col_of(c) -> Column:
 
 
 def decoded_once(df: DataFrame, fields: Column, name: str) -> DataFrame:
-    """Adds the struct ``fields`` as column ``name``, computed once per row.
+    """Adds the struct ``fields`` as column ``name``, made once per row.
 
     The optimizer copies a projected expression into every filter and column
     that uses it, which would decode a body again for each field.  A generator
     of one row is not copied, and unlike a non-deterministic column it lets a
-    filter on the other columns through to the scan."""
+    filter on the other columns through to the scan.  Within ``fields`` nothing
+    is shared: what several of them use must be a step of its own."""
     return df.select("*", F.explode(F.array(fields)).alias(name))
 
 
@@ -101,46 +102,66 @@ def parse_json_body(body, strict_tail: bool = True) -> tuple[Column, Column]:
     return value.isNotNull(), value
 
 
-def json_type(value) -> Column:
-    """Top-level type name of a VARIANT: OBJECT<...>, ARRAY<...>, STRING,
-    BIGINT, DECIMAL(p,s), DOUBLE, BOOLEAN, VOID (JSON null); NULL if absent."""
-    return F.schema_of_variant(col_of(value))
-
-
-def json_field(value, name: str, body=None) -> Column:
-    """VARIANT of field ``name`` of a JSON object (SQL NULL when absent,
-    VARIANT null when the JSON value is null).
-
-    A key matches ignoring case, and of several matching keys the last one in
-    the body counts, as in the reference decoder.  A VARIANT does not keep the
-    order of its keys, so ``body`` gives it; it is only looked at when more
-    than one spelling is there.  Without ``body`` only the exact key counts."""
-    v = col_of(value)
-    exact = F.try_variant_get(v, f"$.{name}", "variant")
-    if body is None:
-        return exact
-    as_map = F.try_variant_get(v, "$", "map<string,variant>")
-    # fixed values: the two letters beyond ASCII that fold to an ASCII letter
-    matches = lambda k: F.lower(F.translate(k, "\u017f\u212a", "sk")) == F.lit(name.lower())
-    keys = F.filter(F.map_keys(as_map), matches)
-    last = F.element_at(F.filter(F.json_object_keys(col_of(body)), matches), -1)
-    folded = F.when(F.size(keys) > 1, F.try_element_at(as_map, last)).otherwise(
-        F.try_element_at(as_map, F.get(keys, F.lit(0))))
+def parsed_once(df: DataFrame, body, strict_tail: bool, name: str) -> DataFrame:
+    """Adds the struct ``name``: ``doc``, the parsed VARIANT, and ``ok`` (well
+    formed), with the body parsed once per row.  With ``strict_tail`` the value
+    is the element ``$[0]`` of ``doc``, else ``doc`` itself."""
+    b = col_of(body)
+    if strict_tail:
+        df = decoded_once(df, F.struct(F.sha2(b.cast("binary"), 256).alias("sum")), f"{name}0")
+        digest = F.col(f"{name}0.sum")
+        parsed = F.try_parse_json(F.concat(F.lit("["), b, F.lit(',"'), digest, F.lit('"]')))
+    else:
+        parsed = F.try_parse_json(b)
+    df = decoded_once(df, F.struct(parsed.alias("doc")), f"{name}1")
+    doc = F.col(f"{name}1.doc")
+    ok = doc.isNotNull()
+    if strict_tail:
+        ok = (F.coalesce(F.try_variant_get(doc, "$[1]", "string"), F.lit("")) == digest) & F.try_variant_get(doc, "$[2]", "variant").isNull()
+    return df.withColumn(name, F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), doc.alias("doc"))).drop(f"{name}0", f"{name}1")
+
+
+def decoded_fields(df: DataFrame, body, names: tuple[str, ...], strict_tail: bool, name: str) -> DataFrame:
+    """Adds the struct ``name``: ``ok`` (well formed), ``is_object``, ``is_null``
+    (JSON null) and each of ``names`` as VARIANT (SQL NULL when absent).
+
+    Every step that later ones read more than once is a ``decoded_once`` of its
+    own, as a generator has no common subexpressions: the digest, the parsed
+    value, then the fields.  A key matches ignoring case, and of several
+    matching keys the last one in the body counts, as in the reference decoder;
+    a VARIANT does not keep the order of its keys, so the body gives it.  All
+    that is looked at only where one test finds another spelling in the body."""
+    b, any_of = col_of(body), "|".join(names)
+    df = parsed_once(df, b, strict_tail, f"{name}p")
+    ok, doc, root = F.col(f"{name}p.ok"), F.col(f"{name}p.doc"), "$[0]" if strict_tail else "$"
+    # well-formed JSON is an object iff it starts like one
+    is_object = F.startswith(F.ltrim(b, F.lit(" \t\r\n")), F.lit("{"))
     # no other spelling anywhere in the body, not even an escaped one: the exact key is all there can be
-    other = F.rlike(col_of(body), F.lit(f'"(?!{name}")(?iu:{name})"')) | F.contains(col_of(body), F.lit("\\u"))
-    return F.when(other, folded).otherwise(exact)
+    other = F.rlike(b, F.lit(f'"(?!(?:{any_of})")(?iu:{any_of})"')) | F.contains(b, F.lit("\\u"))
+    as_map = F.try_variant_get(doc, root, "map<string,variant>")
+
+    def field(n: str) -> Column:
+        # fixed values: the two letters beyond ASCII that fold to an ASCII letter
+        matches = lambda k: F.lower(F.translate(k, "\u017f\u212a", "sk")) == F.lit(n.lower())
+        last = F.element_at(F.filter(F.json_object_keys(b), matches), -1)
+        keys = F.filter(F.map_keys(as_map), matches)
+        folded = F.when(F.size(keys) > 1, F.try_element_at(as_map, last)).otherwise(F.try_element_at(as_map, F.get(keys, F.lit(0))))
+        return F.when(other, folded).otherwise(F.try_variant_get(doc, f"{root}.{n}", "variant")).alias(n)
+
+    fields = F.struct(ok.alias("ok"), (ok & is_object).alias("is_object"),
+                      (ok & F.coalesce(F.is_variant_null(F.try_variant_get(doc, root, "variant")), F.lit(False))).alias("is_null"),
+                      *[field(n) for n in names])
+    return decoded_once(df, fields, name).drop(f"{name}p")
 
 
 def is_string_or_null(field) -> Column:
-    t = F.schema_of_variant(col_of(field))
-    return t.isNull() | t.isin("STRING", "VOID")
+    return F.coalesce(F.schema_of_variant(col_of(field)), F.lit("VOID")).isin("STRING", "VOID")
 
 
 def is_int_or_null(field) -> Column:
     """A Go ``int`` accepts only integral JSON numbers in int64 range;
     5.0 (DECIMAL), 1e2 (DOUBLE), "5" and 2^64 (DECIMAL(20,0)) fail."""
-    t = F.schema_of_variant(col_of(field))
-    return t.isNull() | t.isin("BIGINT", "VOID", "INT", "SMALLINT", "TINYINT")
+    return F.coalesce(F.schema_of_variant(col_of(field)), F.lit("VOID")).isin("BIGINT", "VOID", "INT", "SMALLINT", "TINYINT")
 
 
 # --------------------------------------------------------------------------
@@ -226,6 +247,14 @@ def normalize_page(offset, limit, default_limit: int = 50, max_limit: int = 500)
     return o, n
 
 
+def page_columns(offset, limit, default_limit: int = 50, max_limit: int = 500) -> tuple[Column, Column]:
+    """``normalize_page`` over columns of query text, one request per row."""
+    number = lambda c: F.when(col_of(c).rlike(_INT_RE.pattern), col_of(c).try_cast("long"))
+    o, n = number(offset), number(limit)
+    return (F.when(o > 0, o).otherwise(F.lit(0).cast("long")),
+            F.when((n > 0) & (n <= max_limit), n).otherwise(F.lit(default_limit).cast("long")))
+
+
 def normalize_batch(size, default: int = 50) -> int:
     """Writer batch size / fetch limit: invalid or <= 0 -> 50."""
     n = _atoi(size)

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetline import schemas as S
-from fleetline.functions.exprs import (decoded_once, is_int_or_null, is_string_or_null, json_field,
-                                       json_type, parse_json_body, rfc3339, round_ms, signature_ok)
+from fleetline.functions.exprs import (decoded_fields, decoded_once, is_int_or_null, is_string_or_null, rfc3339,
+                                       round_ms, signature_ok)
 
 # Ingress body limit (1 MiB) and the outcome reasons.
 MAX_BODY_BYTES = 1_048_576
@@ -37,16 +37,12 @@ def classify_webhook(arrivals: DataFrame, secret: str | bytes,
     cols = arrivals.columns
     fault = F.col("fault") if "fault" in cols else F.lit(None).cast("string")
     body = F.col("body")
-    ok_json, value = parse_json_body(body, strict_tail=True)
-    top = json_type(value)
-    sn_v = json_field(value, "sn", body)
-    ets_v = json_field(value, "event_ts", body)
-    is_obj = top.startswith("OBJECT")
-    well_typed = (ok_json & (is_obj | (top == "VOID"))
-                  & F.when(is_obj, is_string_or_null(sn_v) & is_string_or_null(ets_v))
-                  .otherwise(F.lit(True)))
-
-    d = decoded_once(arrivals, F.struct(
+    d = decoded_fields(arrivals, body, ("sn", "event_ts"), True, "_f")
+    f = F.col("_f")
+    is_obj, sn_v, ets_v = f["is_object"], f["sn"], f["event_ts"]
+    well_typed = F.when(is_obj, is_string_or_null(sn_v) & is_string_or_null(ets_v)).otherwise(f["is_null"])
+
+    d = decoded_once(d, F.struct(
         (F.coalesce(F.octet_length(body), F.lit(0)) > max_body_bytes).alias("too_big"),
         (~F.coalesce(signature_ok(body, F.col("signature"), secret), F.lit(False))).alias("sig_bad"),
         well_typed.alias("json_ok"),
@@ -106,20 +102,17 @@ def classify_heartbeat(arrivals: DataFrame, max_body_bytes: int = MAX_BODY_BYTES
     LONG here (the gauge shows values the table rejects)."""
     cols = arrivals.columns
     body = F.col("body")
-    ok_json, value = parse_json_body(body, strict_tail=False)
-    top = json_type(value)
-    is_obj = top.startswith("OBJECT")
-    fields = {n: json_field(value, n, body)
-              for n in HEARTBEAT_STRING_FIELDS + HEARTBEAT_INT_FIELDS}
+    d = decoded_fields(arrivals, body, HEARTBEAT_STRING_FIELDS + HEARTBEAT_INT_FIELDS, False, "_f")
+    is_obj, fields = F.col("_f.is_object"), F.col("_f")
     typed = F.lit(True)
     for n in HEARTBEAT_STRING_FIELDS:
         typed = typed & is_string_or_null(fields[n])
     for n in HEARTBEAT_INT_FIELDS:
         typed = typed & is_int_or_null(fields[n])
-    decoded = ok_json & (is_obj | (top == "VOID")) & F.when(is_obj, typed).otherwise(F.lit(True))
+    decoded = F.when(is_obj, typed).otherwise(F.col("_f.is_null"))
 
     too_big = F.coalesce(F.octet_length(body), F.lit(0)) > max_body_bytes
-    d = decoded_once(arrivals, F.struct(
+    d = decoded_once(d, F.struct(
         too_big.alias("too_big"), decoded.alias("dec"),
         *[F.when(is_obj, F.variant_get(fields[n], "$", "string")).alias(n) for n in HEARTBEAT_STRING_FIELDS],
         *[F.when(is_obj, F.try_variant_get(fields[n], "$", "long")).alias(n) for n in HEARTBEAT_INT_FIELDS]), "_d")

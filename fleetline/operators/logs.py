@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetline.functions.exprs import parse_json_body
+from fleetline.functions.exprs import decoded_once, parsed_once
 
 # Container log path layout and the three service log formats.
 PATH_PATTERN = r"^/var/log/containers/([^_]+)_([^_]+)_(.+)-([0-9a-f]+)\.log$"
@@ -20,15 +22,16 @@ def decode(lines: DataFrame, field: str = "line") -> DataFrame:
     its ``message`` and ``level`` keys overwrite the raw values.  Arrays,
     scalars, non-JSON lines and objects followed by other text pass
     unchanged (``decoded`` false, ``fields`` NULL)."""
-    ok, v = parse_json_body(F.col(field), strict_tail=True)
-    obj = ok & F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    msg = F.when(obj, F.try_variant_get(v, "$.message", "string"))
-    lvl = F.when(obj, F.try_variant_get(v, "$.level", "string"))
-    fields = F.when(obj, F.try_variant_get(v, "$", "map<string,string>"))
-    return lines.select(
-        *[c for c in lines.columns],
-        F.coalesce(msg, F.col(field)).alias("message"),
-        lvl.alias("level"), obj.alias("decoded"), fields.alias("fields"))
+    d = parsed_once(lines, field, strict_tail=True, name="_p")
+    v = F.col("_p.doc")
+    obj = F.col("_p.ok") & F.startswith(F.ltrim(F.col(field), F.lit(" \t\r\n")), F.lit("{"))
+    d = decoded_once(d, F.struct(
+        obj.alias("decoded"), F.when(obj, F.try_variant_get(v, "$[0].message", "string")).alias("message"),
+        F.when(obj, F.try_variant_get(v, "$[0].level", "string")).alias("level"),
+        F.when(obj, F.try_variant_get(v, "$[0]", "map<string,string>")).alias("fields")), "_d")
+    return d.select(
+        *[c for c in lines.columns], F.coalesce("_d.message", F.col(field)).alias("message"), "_d.level",
+        F.coalesce("_d.decoded", F.lit(False)).alias("decoded"), "_d.fields")
 
 
 def enrich(logs: DataFrame, pods: DataFrame, path: str = "path") -> DataFrame:
@@ -46,11 +49,45 @@ def enrich(logs: DataFrame, pods: DataFrame, path: str = "path") -> DataFrame:
 
 
 def daily_index(logs: DataFrame, ts: str = "ts") -> DataFrame:
-    """L3: the day each line is indexed under (write with
-    ``partitionBy('log_date')``)."""
+    """L3: the day each line is indexed under."""
     return logs.withColumn("log_date", F.to_date(F.col(ts)))
 
 
+# Fixed value: what counts as one token of the search phrase.
+_TOKEN = "A-Za-z0-9_.-"
+
+
+def write_index(logs: DataFrame, root: str, mode: str = "append", distinct_sns: int = 1_000_000,
+                row_group_bytes: int = 64 << 20) -> None:
+    """L3: decoded lines as a stored daily index: a folder per day, files
+    sorted by pod and time, and a Parquet bloom filter on ``sn_key``, the
+    (lower-case) serial number after ``sn=``, so a search for one device skips
+    the row groups that do not name it.  The few lines that name several are in
+    folders of their own (``several``).  Lines are dealt to files by ranges of
+    day, pod and time, so a pod that writes a third of all lines is split."""
+    names = F.regexp_extract_all(F.col("message"), F.lit(f"(?i)(?<![{_TOKEN}])sn=(?=([{_TOKEN}]+))"), F.lit(1))
+    order = ["log_date", *[c for c in ("pod", "path") if c in logs.columns][:1], "ts"]
+    d = daily_index(logs).withColumn("_names", names)
+    d = d.select(*[c for c in d.columns if c != "_names"], F.lower(F.get("_names", F.lit(0))).alias("sn_key"),
+                 (F.size("_names") > 1).cast("int").alias("several"))
+    (d.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("log_date", "several")
+     .option("parquet.bloom.filter.enabled#sn_key", "true").option("parquet.bloom.filter.expected.ndv#sn_key", str(distinct_sns))
+     .option("parquet.block.size", str(row_group_bytes)).parquet(root))
+
+
+def search_index(spark: SparkSession, root: str, sn: str, as_of, minutes: int = 120) -> DataFrame:
+    """L5 on the stored index: the lines of ``search_sn``.  Only the days of the
+    time range are read, and of them only row groups whose bloom filter may hold
+    the serial number.  A phrase that is more than one token is looked for in
+    all lines of these days."""
+    end = as_of if isinstance(as_of, F.Column) else F.lit(as_of).cast("timestamp_ntz")
+    start = end - F.make_dt_interval(mins=F.lit(minutes))
+    days = spark.read.parquet(root).where(F.col("log_date").between(F.to_date(start), F.to_date(end)))
+    if re.fullmatch(f"[{_TOKEN}]+", sn):
+        days = days.where((F.col("several") == 0) & (F.col("sn_key") == sn.lower())).unionByName(days.where("several = 1"))
+    return search_sn(days, sn, as_of, minutes)
+
+
 def search(logs: DataFrame, equals: dict | None = None, prefixes: dict | None = None,
            words: dict | None = None, size: int | None = 5, ts: str = "ts") -> DataFrame:
     """L4: clauses ANDed: ``equals`` and ``prefixes`` (``x*``) on keyword
@@ -74,7 +111,7 @@ def search_sn(logs: DataFrame, sn: str, as_of, minutes: int = 120, ts: str = "ts
               field: str = "message") -> DataFrame:
     """Lines with the phrase ``sn=<SN>`` (case-insensitive, whole token,
     so ``CPE-1`` does not hit ``CPE-10``) in (as_of - minutes, as_of]."""
-    end = F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of
+    end = as_of if isinstance(as_of, F.Column) else F.lit(as_of).cast("timestamp_ntz")
     start = end - F.make_dt_interval(mins=F.lit(minutes))
     token = "(?i)(^|[^A-Za-z0-9_.-])sn=" + _quote(sn) + "($|[^A-Za-z0-9_.-])"
     return logs.where((F.col(ts) > start) & (F.col(ts) <= end) & F.col(field).rlike(token))

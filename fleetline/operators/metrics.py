@@ -141,6 +141,26 @@ def rate_from_samples(samples: DataFrame, series: list[str], by: list[str], ts:
     return inc.select("t", *by, (F.col("increase") / _seconds(window)).alias("rate"))
 
 
+def matching(samples: DataFrame, matchers: list[tuple[str, str, str]], labels: str = "labels") -> DataFrame:
+    """The samples whose label map meets every matcher ``(label, op,
+    value)`` with ``=``, ``!=``, ``=~`` or ``!~``.  A missing label is the empty
+    text and a regex matches the whole value.  The matchers are filters on the
+    rows, so they run before anything is grouped or shuffled by series."""
+    for label, op, value in matchers:
+        got = F.coalesce(F.try_element_at(F.col(labels), F.lit(label)), F.lit(""))
+        meets = {"=": got == value, "!=": got != value, "=~": got.rlike(f"^(?:{value})$"), "!~": ~got.rlike(f"^(?:{value})$")}[op]
+        samples = samples.where(meets)
+    return samples
+
+
+def label_columns(samples: DataFrame, names: list[str], labels: str = "labels") -> DataFrame:
+    """The named labels as columns (null where missing), and ``series``, all
+    labels in order of their names: what tells one series from another."""
+    entries = F.sort_array(F.filter(F.map_entries(labels), lambda e: e["value"] != ""))
+    return samples.select(*[c for c in samples.columns if c != labels], entries.alias("series"),
+                          *[F.try_element_at(F.col(labels), F.lit(n)).alias(n) for n in names])
+
+
 def latest_in_lookback(samples: DataFrame, series: list[str], by: list[str], ts: str = "ts",
                        value: str = "value", lookback: str = "5 minutes",
                        step: str = "1 minute", label_regex: dict | None = None,

@@ -327,5 +327,5 @@ def writer_counters(transitions: DataFrame) -> DataFrame:
 
 def writer_runs(ticks: DataFrame) -> DataFrame:
     """M7: writer ticks (one row per tick in the tick log, empty ticks
-    included)."""
-    return ticks.agg(F.count(F.lit(1)).alias("writer_runs_total"))
+    included) and the events they drained."""
+    return ticks.agg(F.count(F.lit(1)).alias("writer_runs_total"), F.coalesce(F.sum("drained"), F.lit(0)).alias("drained_total"))

@@ -15,7 +15,7 @@ import datetime as dt
 import uuid
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the local time zone the reference names its dump folders in.
@@ -31,20 +31,50 @@ def snapshot_date(as_of: str | dt.datetime, tz: str = SNAPSHOT_TZ) -> str:
     return t.astimezone(ZoneInfo(tz)).date().isoformat()
 
 
+def pinned(spark: SparkSession, paths: dict[str, str], as_of: str) -> dict[str, DataFrame]:
+    """Each table as the files that were there at the UTC instant ``as_of``: the
+    file names are fixed now, for all tables, and files modified after the
+    instant are left out, so what is added while an export runs is in none of
+    its tables.  (Tables whose files are replaced in place have no past; use
+    ``BucketTable.read(version=...)`` for stored state.)"""
+    instant = dt.datetime.fromisoformat(as_of)
+    instant = instant.replace(tzinfo=dt.timezone.utc) if instant.tzinfo is None else instant
+    # file times count milliseconds, the option counts seconds and excludes its own
+    until = (instant.astimezone(dt.timezone.utc).replace(microsecond=0) + dt.timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S")
+    out = {}
+    for name, path in paths.items():
+        there = spark.read.option("modifiedBefore", until).option("timeZone", "UTC").parquet(path)
+        files = sorted(there.inputFiles())
+        out[name] = (spark.read.schema(there.schema).option("basePath", path).parquet(*files)
+                     if files else spark.createDataFrame([], there.schema))
+    return out
+
+
 def export(tables: dict[str, DataFrame], root: str, as_of: str, tz: str = SNAPSHOT_TZ,
            compression: str = "zstd") -> str:
     """K1: write every table for one ``as_of`` as a new version under its dated
     folder, check it (K2), and only then publish it as the folder's current
     version; an export that fails leaves the last good version in place.
-    Returns the dated folder."""
+    Returns the dated folder.
+
+    Rows are counted while they are written, so the check needs no second
+    scan.  Besides the version, ``pins`` names the files each table was read
+    from (``pinned``), as they were before the first write."""
     folder = f"{root.rstrip('/')}/snapshot_date={snapshot_date(as_of, tz)}"
     spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
+    pins = [(name, file) for name, df in tables.items() for file in df.inputFiles()]
+    spark.createDataFrame(pins, "table string, file string").write.parquet(f"{folder}/version={version}/pins")
+    counts = {}
     for name, df in tables.items():
-        df.write.option("compression", compression).parquet(f"{folder}/version={version}/table={name}")
-    verify(tables_root=f"{folder}/version={version}", names=list(tables), spark=spark)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", compression).parquet(
+            f"{folder}/version={version}/table={name}")
+        counts[name] = seen.get["rows"]
+        if not counts[name]:
+            raise RuntimeError(f"snapshot table {name} is empty")
     number = len(_published(spark, folder)) + 1
-    (spark.range(1).select(F.lit(number).alias("number"), F.lit(version).alias("version"), F.lit(as_of).alias("as_of"))
+    (spark.createDataFrame([(number, version, as_of, counts)], "number int, version string, as_of string, rows map<string,long>")
      .write.mode("append").parquet(f"{folder}/published"))
     return folder
 
@@ -58,7 +88,8 @@ def _published(spark: SparkSession, folder: str) -> list:
 
 
 def verify(tables_root: str, names: list[str], spark: SparkSession) -> dict[str, bool]:
-    """K2: every exported table must be non-empty, else the job fails."""
+    """K2 for tables that are there already: each must be non-empty, else the
+    job fails (``export`` counts while it writes)."""
     out = {}
     for n in names:
         ok = not spark.read.parquet(f"{tables_root}/table={n}").isEmpty()
@@ -113,6 +144,12 @@ def mirror_plan(source: DataFrame, target: DataFrame, key: str = "rel_path") ->
     return j.select(*source.columns, action.alias("action"))
 
 
+def counts(spark: SparkSession, root: str, date: str) -> DataFrame:
+    """``(table, rows)`` of the published version, as counted while writing."""
+    last = _published(spark, f"{root.rstrip('/')}/snapshot_date={date}")[-1]
+    return spark.createDataFrame(sorted(last["rows"].items()), "table string, rows long")
+
+
 def restore(spark: SparkSession, root: str, date: str, names: list[str],
             register: bool = True) -> dict[str, DataFrame]:
     """K5: load one snapshot's published tables back (and register them as views)."""

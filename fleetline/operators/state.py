@@ -88,6 +88,13 @@ def merge_state(prev: DataFrame, classified: DataFrame, keep_order_columns: bool
     return out
 
 
+def merge_states(prev: DataFrame, new: DataFrame) -> DataFrame:
+    """Two states kept with their order columns as one: the result of
+    ``latest_state`` over the arrivals of both."""
+    cols = ["seq", "first_seq", "received_at", "sn", *STATUS_FIELDS]
+    return _fold(prev.select(*cols).unionByName(new.select(*cols)))
+
+
 def history(classified: DataFrame) -> DataFrame:
     """H2: append-only history keyed by ``(sn, event_ts)`` where
     ``event_ts`` is the arrival time at millisecond precision; of arrivals

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetline.functions.exprs import hmac_sha256_hex
+from fleetline import schemas
+from fleetline.functions.exprs import canonical_json, hmac_sha256_hex, page_columns
 from fleetline.operators import alerts, ingest, logs, metrics, queue, reads, snapshots, state
 from fleetline.session import ensure_semantics
 from fleetline.sources import fixtures as fx
+from fleetline.sources.tables import register_views
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -87,6 +89,28 @@ def v1_hmac(spark, sf_dir):
     return w.select("seq", hmac_sha256_hex("body", fx.FIXTURE_SECRET).alias("hmac"))
 
 
+@plan("v2_signed_bodies")
+def v2_signed_bodies(spark, sf_dir):
+    """Heartbeats as a device signs them: keys in order, no blanks, absent
+    fields left out; the signature is the HMAC of that text."""
+    body = canonical_json("sn", "wan_ip", "sw_version", "cpu_pct", "mem_pct")
+    h = fx.heartbeat_fields(spark, sf_dir).select("seq", body.alias("body"))
+    return h.select("seq", "body", hmac_sha256_hex("body", fx.FIXTURE_SECRET).alias("signature"))
+
+
+@plan("v12_violations")
+def v12_violations(spark, sf_dir):
+    """Rows of the queue and state tables that break a column rule: none."""
+    q = schemas.broken(queue_table(spark, sf_dir), schemas.QUEUE_SCHEMA, schemas.QUEUE_DOMAINS)
+    s = schemas.broken(status_table(spark, sf_dir), schemas.STATUS_SCHEMA)
+    h = schemas.broken(history_table(spark, sf_dir), schemas.HISTORY_SCHEMA)
+    hb = heartbeats(spark, sf_dir).where("bound").select(F.lit("heartbeat").alias("table"), F.explode("violations").alias("rule"))
+    found = q.select(F.lit("queue").alias("table"), F.explode("broken").alias("rule")).unionByName(
+        s.select(F.lit("status").alias("table"), F.explode("broken").alias("rule"))).unionByName(
+        h.select(F.lit("history").alias("table"), F.explode("broken").alias("rule"))).unionByName(hb)
+    return metrics.counter(found, ["table", "rule"], "rows")
+
+
 @plan("v8_webhook_outcomes")
 def v8_webhook_outcomes(spark, sf_dir):
     """Signature, strict JSON, sn, event time, constraints -> code/reason."""
@@ -113,13 +137,15 @@ def m2_webhook_errors(spark, sf_dir):
 
 @plan("m3_api_requests")
 def m3_api_requests(spark, sf_dir):
-    """API requests by code: heartbeats (after history conflicts) and
-    device lookups (200 found / 404 not found)."""
+    """API requests by code: heartbeats (after history conflicts), device
+    lookups (200 found / 404 not found), lists and health probes (200)."""
     o = state.heartbeat_outcomes(heartbeats(spark, sf_dir, collisions=True))
     o = o.where(F.col("code") != 413).select("code")
     look = reads.lookup(status_table(spark, sf_dir), lookup_requests(spark, sf_dir))
     g = look.select(F.when(F.col("found"), F.lit(200)).otherwise(F.lit(404)).alias("code"))
-    return metrics.counter(o.unionByName(g), ["code"], "requests")
+    rest = fx.list_requests(spark, sf_dir).select(F.lit(200).alias("code")).unionByName(
+        fx.health_probes(spark, sf_dir).select(F.lit(200).alias("code")))
+    return metrics.counter(o.unionByName(g).unionByName(rest), ["code"], "requests")
 
 
 @plan("m4_heartbeats_per_device")
@@ -180,6 +206,23 @@ def lookup_requests(spark, sf_dir) -> DataFrame:
     return e.select(sn.alias("request_sn")).distinct()
 
 
+@plan("q13_paging")
+def q13_paging(spark, sf_dir):
+    """Offset and limit of every list request, clamped."""
+    offset, limit = page_columns("offset", "limit")
+    return fx.list_requests(spark, sf_dir).select("seq", offset.alias("page_offset"), limit.alias("page_limit"))
+
+
+@plan("r8_ad_hoc_sql")
+def r8_ad_hoc_sql(spark, sf_dir):
+    """SQL over the registered views: events per nation of the users' customers."""
+    register_views(spark, sf_dir, ("events", "customer", "nation"))
+    return spark.sql("""
+        SELECT n_name, event_type, count(*) AS events, count(DISTINCT user_id) AS users
+        FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey
+        GROUP BY n_name, event_type""")
+
+
 @plan("r2_lookup")
 def r2_lookup(spark, sf_dir):
     return reads.lookup(status_table(spark, sf_dir), lookup_requests(spark, sf_dir))
@@ -234,6 +277,12 @@ def q3_claim(spark, sf_dir):
     return queue.claim(q, claims, AS_OF)
 
 
+@plan("q4_complete")
+def q4_complete(spark, sf_dir):
+    """Every event left in processing is completed."""
+    return queue.complete(queue_table(spark, sf_dir).where(F.col("status") == "processing"), AS_OF)
+
+
 @plan("q5_fail_writer")
 def q5_fail_writer(spark, sf_dir):
     """Every event left in processing fails once more (writer policy)."""
@@ -334,7 +383,7 @@ def w8_last_day_rate(spark, sf_dir):
     its full window.  What they can see is cut from the arrivals, before
     decoding, so it reaches the Parquet scan as a pushed filter."""
     arr, start, end = metrics.time_range(fx.webhook_arrivals(spark, sf_dir), "received_at", fx.AS_OF, "1 day", WIN)
-    w = ingest.classify_webhook(arr, fx.FIXTURE_SECRET)
+    w = ingest.classify_webhook(arr, fx.FIXTURE_SECRET).where(F.col("code") != 413)
     w = w.select("received_at", F.col("code").cast("string").alias("code"))
     return metrics.rate_from_events(w, "received_at", ["code"], WIN, STEP, start=start, end=end)
 
@@ -342,10 +391,10 @@ def w8_last_day_rate(spark, sf_dir):
 @plan("w5_service_up")
 def w5_service_up(spark, sf_dir):
     """sum by (service) (up{namespace="fleet", service=~"..."}), 1 h lookback."""
-    s = fx.up_samples(spark, sf_dir).where(F.col("namespace") == fx.NAMESPACE)
-    return metrics.latest_in_lookback(
-        s, ["namespace", "service", "instance"], ["service"], lookback="1 hour", step=STEP,
-        label_regex={"service": "acs-ingest|queue-writer|status-api"}, name="up", end=AS_OF)
+    s = metrics.matching(fx.labelled(fx.up_samples(spark, sf_dir)), [
+        ("__name__", "=", "up"), ("namespace", "=", fx.NAMESPACE), ("service", "=~", "acs-ingest|queue-writer|status-api"), ("job", "!~", ".+")])
+    return metrics.latest_in_lookback(metrics.label_columns(s, ["service"]), ["series"], ["service"], lookback="1 hour", step=STEP,
+                                      name="up", end=AS_OF)
 
 
 @plan("w6_error_pct")
@@ -365,13 +414,17 @@ def _evaluated(samples, series, value="value"):
                                       name=value, end=AS_OF)
 
 
+def replicas_evaluated(spark, sf_dir) -> DataFrame:
+    s = metrics.matching(fx.labelled(fx.replica_samples(spark, sf_dir)), [
+        ("namespace", "=", fx.NAMESPACE), ("deployment", "=~", "acs-ingest|queue-writer")])
+    return _evaluated(metrics.label_columns(s, ["namespace", "deployment"]), ["namespace", "deployment"])
+
+
 @plan("a1_service_down")
 def a1_service_down(spark, sf_dir):
     """available replicas < 1 for 1 m, two named deployments."""
-    s = fx.replica_samples(spark, sf_dir).where(
-        (F.col("namespace") == fx.NAMESPACE) & F.col("deployment").rlike("^(?:acs-ingest|queue-writer)$"))
-    g = _evaluated(s, ["namespace", "deployment"])
-    return alerts.for_duration(g, ["namespace", "deployment"], F.col("value") < 1, 60, ts="t", step_seconds=RULE_SECONDS)
+    return alerts.for_duration(replicas_evaluated(spark, sf_dir), ["namespace", "deployment"], F.col("value") < 1, 60, ts="t",
+                               step_seconds=RULE_SECONDS)
 
 
 @plan("a2_high_error_rate")

@@ -37,24 +37,47 @@ CTE["ev"] = """ev AS (
          CASE WHEN event_id % 7 = 0 THEN lower('CPE-' || lpad(CAST(user_id AS VARCHAR), 5, '0'))
               ELSE 'CPE-' || lpad(CAST(user_id AS VARCHAR), 5, '0') END AS sn
   FROM events)"""
-# heartbeats as the handler sees them after decoding (last_seen fallback applied), with the outcome each
-# class of body must have; ``name`` keeps the stored ones
+# heartbeat bodies, then what a decoder makes of them: the first JSON object of the text, its keys folded, the last
+# of equal keys; ``name`` keeps the stored ones
 def _hb(name: str, received: str) -> str:
-    return f"""{name}_all AS (
-  SELECT event_id AS seq, {received} AS received_at,
-         CASE WHEN event_id % 40 = 3 THEN repeat('X', 65) ELSE sn END AS sn,
-         CASE WHEN event_type = 'signup' OR event_id % 40 = 5 THEN {received} ELSE ts - to_seconds(k) END AS last_seen,
-         CASE WHEN event_type <> 'view'
-              THEN '10.0.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(k AS VARCHAR) END AS wan_ip,
-         'v1.' || CAST(k % 3 AS VARCHAR) AS sw_version,
-         CASE WHEN event_id % 40 = 2 THEN 200 WHEN event_type <> 'error' THEN k END AS cpu_pct,
-         CASE WHEN event_type <> 'click' THEN 99 - k END AS mem_pct,
-         CASE WHEN event_id % 5000 = 8 THEN 413 WHEN event_id % 40 IN (0, 1, 6) THEN 400
-              WHEN event_id % 40 IN (2, 3) THEN 500 ELSE 202 END AS code,
-         CASE WHEN event_id % 5000 = 8 THEN 'body_too_large' WHEN event_id % 40 IN (0, 6) THEN 'invalid_json'
-              WHEN event_id % 40 = 1 THEN 'missing_sn' WHEN event_id % 40 IN (2, 3) THEN 'db_error' END AS reason
-  FROM ev),
-{name} AS (SELECT * FROM {name}_all WHERE code = 202)"""
+    def entry(key: str, value: str, text: bool = True) -> str:
+        return f"""'"{key}":' || {("'" + chr(34) + "' || " + value + " || '" + chr(34) + "'") if text else value}"""
+
+    pairs = [entry("sn", "CASE WHEN m = 3 THEN repeat('X', 65) WHEN m <> 1 THEN sn END"),
+             entry("last_seen", "CASE WHEN m = 5 THEN 'yesterday' WHEN event_type <> 'signup' THEN strftime(ts - to_seconds(k), '%Y-%m-%dT%H:%M:%S.%fZ') END"),
+             entry("wan_ip", "CASE WHEN event_type <> 'view' THEN '10.0.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(k AS VARCHAR) END"),
+             entry("sw_version", "'v1.' || CAST(k % 3 AS VARCHAR)"),
+             entry("cpu_pct", "CAST(CASE WHEN m = 2 THEN 200 WHEN event_type <> 'error' THEN k END AS VARCHAR)", False),
+             entry("mem_pct", "CAST(CASE WHEN event_type <> 'click' THEN 99 - k END AS VARCHAR)", False)]
+    of = lambda k, c: f"max(CASE WHEN k = '{k}' THEN {c} END)"
+    texts, numbers = ("sn", "last_seen", "wan_ip", "sw_version"), ("cpu_pct", "mem_pct")
+    bad = " OR ".join([*[f"coalesce({of(t, 't')}, 'NULL') NOT IN ('VARCHAR', 'NULL')" for t in texts],
+                       *[f"coalesce({of(n, 't')}, 'NULL') NOT IN ('UBIGINT', 'BIGINT', 'NULL')" for n in numbers]])
+    return f"""{name}_plain AS (
+  SELECT event_id AS seq, {received} AS received_at, m, sn,
+         '{{' || array_to_string(list_filter([{", ".join(pairs)}], lambda x: x IS NOT NULL), ',') || '}}' AS plain
+  FROM (SELECT *, event_id % 40 AS m FROM ev)),
+{name}_body AS (
+  SELECT seq, received_at, CASE WHEN m = 0 THEN 'not json {{' WHEN m = 4 THEN plain || ' trailing bytes'
+    WHEN m = 6 THEN '{{"sn":"' || sn || '","cpu_pct":"5"}}' WHEN m = 7 THEN replace(plain, '{{"sn":', '{{"sn":"other","SN":')
+    WHEN seq % 5000 = 8 THEN plain || repeat(' ', 1048576) ELSE plain END AS body FROM {name}_plain),
+{name}_kv AS (
+  SELECT seq, lower(key) AS k, arg_max(type, id) AS t, arg_max(value ->> '$', id) AS v
+  FROM (SELECT seq, regexp_extract(body, '^[ ]*([{{][^{{}}]*[}}])', 1) AS js FROM {name}_body), json_each(CASE WHEN json_valid(js) THEN js END)
+  GROUP BY seq, lower(key)),
+{name}_dec AS (
+  SELECT seq, {", ".join(f"{of(t, 'v')} AS {t}" for t in texts)}, {", ".join(f"TRY_CAST({of(n, 'v')} AS BIGINT) AS {n}" for n in numbers)},
+         {bad} AS bad FROM {name}_kv GROUP BY seq),
+{name}_all AS (
+  SELECT b.seq, b.received_at, d.sn, coalesce(try_strptime(d.last_seen, '%Y-%m-%dT%H:%M:%S.%fZ'), b.received_at) AS last_seen,
+         d.wan_ip, d.sw_version, d.cpu_pct, d.mem_pct,
+         CASE WHEN strlen(b.body) > 1048576 THEN 413 WHEN d.seq IS NULL OR d.bad OR coalesce(d.sn, '') = '' THEN 400
+              WHEN {name}_viol THEN 500 ELSE 202 END AS code,
+         CASE WHEN strlen(b.body) > 1048576 THEN 'body_too_large' WHEN d.seq IS NULL OR d.bad THEN 'invalid_json'
+              WHEN coalesce(d.sn, '') = '' THEN 'missing_sn' WHEN {name}_viol THEN 'db_error' END AS reason
+  FROM {name}_body b LEFT JOIN {name}_dec d ON d.seq = b.seq),
+{name} AS (SELECT * FROM {name}_all WHERE code = 202)""".replace(f"{name}_viol", "(greatest(length(d.sn), coalesce(length(d.wan_ip), 0), coalesce(length(d.sw_version), 0)) > 64"
+                                                     " OR coalesce(d.cpu_pct, 0) NOT BETWEEN -128 AND 127 OR coalesce(d.mem_pct, 0) NOT BETWEEN -128 AND 127)")
 
 
 def _status(name: str, src: str) -> str:
@@ -94,18 +117,19 @@ CTE["hbo"] = f"""hbo AS (
   UNION ALL SELECT seq, received_at, code, reason FROM hbc_all WHERE code <> 202),
 api AS (SELECT * FROM hbo WHERE code <> 413)"""
 CTE["whc"] = f"""wh AS (
-  SELECT event_id AS seq, ts AS received_at, event_type, sn, k,
+  SELECT event_id AS seq, ts AS received_at, event_type, CASE WHEN event_id % 60 = 11 THEN repeat('X', 65) ELSE sn END AS sn, k,
+         CASE event_id % 60 WHEN 13 THEN 'db_not_initialized' WHEN 17 THEN 'read_body_error' END AS fault,
          CASE WHEN k % 10 = 0 THEN 'not-a-time'
               ELSE strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') END AS ets
   FROM ev),
 whb AS (
-  SELECT seq, received_at, event_type,
+  SELECT seq, received_at, event_type, fault,
          CASE event_type WHEN 'error' THEN 'this-is-not-json'
               WHEN 'signup' THEN '{{"event_ts":"' || ets || '"}}'
-              ELSE '{{"sn":"' || sn || '","event_ts":"' || ets || '","k":' || CAST(k AS VARCHAR) || '}}' END AS body
+              ELSE '{{"sn":"' || sn || '","event_ts":"' || ets || '","k":' || CAST(k AS VARCHAR) || '}}' || CASE WHEN seq % 5000 = 9 THEN repeat(' ', 1048576) ELSE '' END END AS body
   FROM wh),
 whs AS (
-  SELECT seq, received_at, body,
+  SELECT seq, received_at, body, fault,
          CASE event_type WHEN 'click' THEN 'deadbeef' WHEN 'purchase' THEN {HMAC} END AS signature
   FROM whb),
 whv AS (
@@ -118,14 +142,18 @@ whv AS (
   FROM whs),
 whc AS (
   SELECT seq, received_at, body, signature,
-         CASE WHEN coalesce(signature, '') <> '' AND signature <> {HMAC} THEN 401
+         CASE WHEN strlen(body) > 1048576 THEN 413 WHEN use_fault AND fault = 'db_not_initialized' THEN 500 WHEN use_fault AND fault IS NOT NULL THEN 400
+              WHEN coalesce(signature, '') <> '' AND signature <> {HMAC} THEN 401
               WHEN NOT jv OR jt NOT IN ('OBJECT', 'NULL') THEN 400
-              WHEN coalesce(jsn, '') = '' THEN 400 ELSE 202 END AS code,
-         CASE WHEN coalesce(signature, '') <> '' AND signature <> {HMAC} THEN 'invalid_signature'
+              WHEN coalesce(jsn, '') = '' THEN 400 WHEN length(jsn) > 64 THEN 500 ELSE 202 END AS code,
+         CASE WHEN strlen(body) > 1048576 THEN 'body_too_large' WHEN use_fault AND fault IS NOT NULL THEN fault
+              WHEN coalesce(signature, '') <> '' AND signature <> {HMAC} THEN 'invalid_signature'
               WHEN NOT jv OR jt NOT IN ('OBJECT', 'NULL') THEN 'invalid_json'
-              WHEN coalesce(jsn, '') = '' THEN 'missing_sn' END AS reason,
+              WHEN coalesce(jsn, '') = '' THEN 'missing_sn' WHEN length(jsn) > 64 THEN 'db_error' END AS reason,
          jsn, {rms("coalesce(try_strptime(jets, '%Y-%m-%dT%H:%M:%SZ'), received_at)")} AS jevent_ts
-  FROM whv)"""
+  FROM whv, (SELECT TRUE AS use_fault))"""
+# the same requests as files of arrival records, which carry no transport faults
+CTE["whf"] = CTE["whc"].replace("(SELECT TRUE AS use_fault)", "(SELECT FALSE AS use_fault)")
 CTE["qk"] = """qa AS (
   SELECT seq, received_at, jsn AS sn, jevent_ts AS event_ts, body AS payload FROM whc WHERE code = 202),
 qk AS (
@@ -271,7 +299,7 @@ dst AS (
   SELECT 'legacy/' || strftime(d, '%Y-%m-%d') || '.sql.gz', n FROM days WHERE day(d) % 7 = 0)"""
 
 DEPS = {"ev": [], "hb": ["ev"], "hbc": ["ev"], "status": ["hb"], "statusc": ["hbc"],
-        "hist": ["hb"], "histc": ["hbc"], "hbo": ["hbc"], "whc": ["ev"], "qk": ["whc"],
+        "hist": ["hb"], "histc": ["hbc"], "hbo": ["hbc"], "whc": ["ev"], "whf": ["ev"], "qk": ["whc"],
         "qt": ["qk"], "queue": ["qt"], "backlog_day": ["qt"], "backlog_hour": ["qt"],
         "samples": ["ev"], "replicas": ["ev"], "ups": ["ev"], "conns": ["ev"], "logs": ["ev"],
         "manifests": ["ev"]}
@@ -391,15 +419,36 @@ SELECT seq, code, reason, CASE WHEN code IN (202, 500) THEN jsn END AS sn,
 SELECT h.seq, h.code, h.reason, b.sn, {rms('b.last_seen')} AS last_seen, b.wan_ip, b.sw_version,
        CAST(b.cpu_pct AS BIGINT) AS cpu_pct, CAST(b.mem_pct AS BIGINT) AS mem_pct
 FROM hb_all h LEFT JOIN hb_all b ON b.seq = h.seq AND b.code IN (202, 500)""")
-    q["m1_webhook_requests"] = with_ctes(["whc"], "SELECT code, count(*) AS requests FROM whc GROUP BY code")
+    q["m1_webhook_requests"] = with_ctes(["whc"], "SELECT code, count(*) AS requests FROM whc WHERE code <> 413 GROUP BY code")
     q["m2_webhook_errors"] = with_ctes(["whc"], """
-SELECT reason, count(*) AS errors FROM whc WHERE reason IS NOT NULL GROUP BY reason""")
+SELECT reason, count(*) AS errors FROM whc WHERE reason IS NOT NULL AND code <> 413 GROUP BY reason""")
     q["m3_api_requests"] = with_ctes(["hbo", "status"], """
 , lk AS (SELECT CASE WHEN s.sn IS NULL THEN 404 ELSE 200 END AS code
          FROM (SELECT DISTINCT lower('CPE-' || lpad(CAST(user_id * 2 AS VARCHAR), 5, '0')) AS request_sn
                FROM ev WHERE event_type = 'view') r
          LEFT JOIN status s ON lower(r.request_sn) = lower(s.sn))
-SELECT code, count(*) AS requests FROM (SELECT code FROM api UNION ALL SELECT code FROM lk) GROUP BY code""")
+SELECT code, count(*) AS requests FROM (SELECT code FROM api UNION ALL SELECT code FROM lk
+  UNION ALL SELECT 200 FROM ev WHERE event_type = 'signup' UNION ALL SELECT 200 FROM ev WHERE event_id % 10 = 0) GROUP BY code""")
+    q["v2_signed_bodies"] = with_ctes(["ev"], f"""
+, b AS (SELECT event_id AS seq, '{{' || array_to_string(list_filter([
+    '"cpu_pct":' || CAST(CASE WHEN event_type <> 'error' THEN k END AS VARCHAR), '"mem_pct":' || CAST(CASE WHEN event_type <> 'click' THEN 99 - k END AS VARCHAR),
+    '"sn":"' || sn || '"', '"sw_version":"v1.' || CAST(k % 3 AS VARCHAR) || '"',
+    '"wan_ip":"' || CASE WHEN event_type <> 'view' THEN '10.0.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(k AS VARCHAR) END || '"'],
+    lambda x: x IS NOT NULL), ',') || '}}' AS body FROM ev)
+SELECT seq, body, {HMAC} AS signature FROM b""")
+    q["v12_violations"] = with_ctes(["hb"], """
+SELECT 'heartbeat' AS "table", CASE WHEN length(sn) > 64 THEN 'sn_too_long' ELSE 'cpu_pct_range' END AS rule, count(*) AS rows
+FROM hb_all WHERE code = 500 GROUP BY ALL""")
+    q["q13_paging"] = """
+WITH r AS (SELECT event_id AS seq, k, CASE k % 4 WHEN 1 THEN CAST(k AS VARCHAR) WHEN 2 THEN '-3' WHEN 3 THEN 'x' END AS o,
+    CASE k % 5 WHEN 1 THEN '0' WHEN 2 THEN CAST(k * 10 AS VARCHAR) WHEN 3 THEN '501' WHEN 4 THEN '+20' END AS l
+  FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE event_type = 'signup'),
+n AS (SELECT seq, CASE WHEN regexp_full_match(o, '[+-]?[0-9]+') THEN TRY_CAST(o AS BIGINT) END AS o,
+    CASE WHEN regexp_full_match(l, '[+-]?[0-9]+') THEN TRY_CAST(ltrim(l, '+') AS BIGINT) END AS l FROM r)
+SELECT seq, CASE WHEN o >= 0 THEN o ELSE 0 END AS page_offset, CASE WHEN l BETWEEN 1 AND 500 THEN l ELSE 50 END AS page_limit FROM n"""
+    q["r8_ad_hoc_sql"] = """
+SELECT n_name, event_type, count(*) AS events, count(DISTINCT user_id) AS users
+FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name, event_type"""
     q["m4_heartbeats_per_device"] = with_ctes(["hb"], "SELECT sn, count(*) AS heartbeats FROM hb_all WHERE code IN (202, 500) GROUP BY sn")
     q["m5_m6_gauges"] = with_ctes(["hb"], """
 SELECT sn, CAST(arg_max(cpu_pct, seq) FILTER (WHERE cpu_pct IS NOT NULL) AS BIGINT) AS cpu_pct,
@@ -421,6 +470,9 @@ SELECT q.id, {A} AS "at", CAST(0 AS BIGINT) AS seq, 'processing' AS status,
        CAST(q.attempts + 1 AS INTEGER) AS attempts, CAST(NULL AS TIMESTAMP) AS next_at,
        CAST(NULL AS VARCHAR) AS reason
 FROM c JOIN queue q USING (id) WHERE q.status = 'queued'""")
+    q["q4_complete"] = with_ctes(["queue"], f"""
+SELECT id, {A} AS "at", CAST(1 AS BIGINT) AS seq, 'done' AS status, attempts, CAST(NULL AS TIMESTAMP) AS next_at, CAST(NULL AS VARCHAR) AS reason
+FROM queue WHERE status = 'processing'""")
     q["q5_fail_writer"] = with_ctes(["queue"], f"""
 SELECT id, {A} AS "at", CAST(1 AS BIGINT) AS seq,
        CASE WHEN attempts >= 5 THEN 'dead' ELSE 'queued' END AS status, CAST(attempts AS INTEGER) AS attempts,
@@ -463,11 +515,11 @@ SELECT 'writer_events_dead_total', '', count(*) FROM qt WHERE status = 'dead' HA
     # ---- W
     j, t = grid("received_at", WIN, STEP)
     rate = f"coalesce(k.n, 0) / {float(WIN)} AS rate"
-    q["w1_rate_by_code_events"] = with_ctes(["whc"], filled("whc", "CAST(code AS VARCHAR)", "received_at", j, t, rate)
+    q["w1_rate_by_code_events"] = with_ctes(["whc"], filled("whc", "CAST(code AS VARCHAR)", "received_at", j, t, rate, "code <> 413")
                                             .format(lower="", name="code"))
-    q["w8_last_day_rate"] = with_ctes(["whc"], filled("whc", "CAST(code AS VARCHAR)", "received_at", j, t, rate)
+    q["w8_last_day_rate"] = with_ctes(["whc"], filled("whc", "CAST(code AS VARCHAR)", "received_at", j, t, rate, "code <> 413")
                                       .format(lower=f"AND t >= {A} - INTERVAL 1 DAY", name="code"))
-    q["w2_rate_by_reason"] = with_ctes(["whc"], filled("whc", "reason", "received_at", j, t, rate, "reason IS NOT NULL")
+    q["w2_rate_by_reason"] = with_ctes(["whc"], filled("whc", "reason", "received_at", j, t, rate, "reason IS NOT NULL AND code <> 413")
                                        .format(lower="", name="reason"))
     q["w3_api_rate_by_code"] = with_ctes(["hbo"], filled("api", "CAST(code AS VARCHAR)", "received_at", j, t, rate)
                                          .format(lower="", name="code"))
@@ -574,4 +626,46 @@ SELECT s.rel_path, s.bytes,
 FROM src s LEFT JOIN dst d ON s.rel_path = d.rel_path""")
     q["s6_latest_snapshot"] = with_ctes(["manifests"], """
 SELECT path, snapshot_date FROM src ORDER BY snapshot_date DESC, modified_at DESC, path DESC LIMIT 1""")
+    # ---- stored tables and streams: the result of the batch plan
+    outcomes = """
+SELECT seq, code, reason, CASE WHEN code IN (202, 500) THEN jsn END AS sn, CASE WHEN code IN (202, 500) THEN jevent_ts END AS event_ts FROM whc"""
+    q["s1_arrival_files"] = with_ctes(["whf"], outcomes + " WHERE code <> 413")
+    q["s2_webhook_stream"] = with_ctes(["whf"], outcomes)
+    q["s2_heartbeat_stream"] = q["h3_outcomes_collisions"]
+    q["s5_container_log_files"] = with_ctes(["logs"], "SELECT ts, line FROM rawlogs")
+    q["h4_stored_state"] = q["h1_latest_state"]
+    q["q8_open_store"] = q["q8_drain"]
+    q["q_stored_queue"] = with_ctes(["queue"], f"""
+, r AS (SELECT id FROM queue WHERE status = 'queued' AND next_at <= {A} ORDER BY id LIMIT 50)
+SELECT q.id, source, sn, event_ts, payload, CASE WHEN r.id IS NULL THEN status ELSE 'done' END AS status,
+       CASE WHEN r.id IS NULL THEN attempts ELSE attempts + 1 END AS attempts, next_at, created_at,
+       CASE WHEN r.id IS NULL THEN updated_at ELSE {A} END AS updated_at
+FROM queue q LEFT JOIN r ON r.id = q.id""")
+    q["m7_writer_runs"] = with_ctes(["qk"], f"""
+SELECT CAST(3 AS BIGINT) AS writer_runs_total, CAST(least(120, count(*)) AS BIGINT) AS drained_total FROM qk WHERE last_at <= {A}""")
+    q["q5_retry_stream"] = with_ctes(["qk"], """
+, plan AS (SELECT id, created_raw, id % 5 AS m, CASE id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 5 WHEN 4 THEN 3 ELSE 0 END AS results FROM qk),
+claims AS (
+  SELECT id, m, results, unnest(generate_series(1, CASE WHEN m IN (0, 1, 2) THEN results ELSE results + 1 END)) AS n, created_raw FROM plan),
+timed AS (
+  SELECT *, created_raw + to_seconds(5 * (n - 1) + 5 * ((1 << n) - 2)) AS claimed FROM claims)
+SELECT id, claimed AS "at", CAST(2 * (n - 1) AS BIGINT) AS seq, 'processing' AS status, CAST(n AS INTEGER) AS attempts,
+       CAST(NULL AS TIMESTAMP) AS next_at, CAST(NULL AS VARCHAR) AS reason FROM timed
+UNION ALL
+SELECT id, claimed + INTERVAL 5 SECOND, 2 * n - 1,
+       CASE WHEN m = 0 OR (m = 1 AND n = 2) THEN 'done' WHEN n >= 5 THEN 'dead' ELSE 'queued' END, CAST(n AS INTEGER),
+       CASE WHEN m = 0 OR (m = 1 AND n = 2) OR n >= 5 THEN NULL ELSE claimed + to_seconds(5 + 5 * (1 << n)) END,
+       CASE WHEN m = 0 OR (m = 1 AND n = 2) THEN NULL ELSE 'timeout' END
+FROM timed WHERE n <= results""")
+    q["q1_resent_within_bound"] = with_ctes(["whf"], """
+SELECT jsn AS sn, jevent_ts AS event_ts, CAST(1 AS BIGINT) AS kept FROM (
+  SELECT jsn, jevent_ts FROM whc WHERE code = 202
+  UNION ALL SELECT jsn, CASE WHEN jets IS NULL OR try_strptime(jets, '%Y-%m-%dT%H:%M:%SZ') IS NULL THEN jevent_ts + INTERVAL 20 MINUTE ELSE jevent_ts END
+  FROM (SELECT c.*, v.jets FROM whc c JOIN whv v ON v.seq = c.seq) WHERE code = 202) GROUP BY ALL""")
+    q["w1_stored_rollup"] = q["w1_rate_by_code_samples"]
+    q["a1_carried_alerts"] = q["a1_service_down"]
+    q["l5_indexed_search"] = q["l5_search_sn"]
+    q["k1_k5_restored_status"] = q["h1_latest_state"]
+    q["k2_export_counts"] = with_ctes(["status", "hist"], """
+SELECT 'status' AS "table", count(*) AS rows FROM status UNION ALL SELECT 'history', count(*) FROM hist""")
     return q

@@ -7,7 +7,7 @@ whole row (strict SQL mode), they never truncate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,29 @@ QUEUE_SCHEMA = T.StructType([
 ])
 
 
+QUEUE_DOMAINS = {"status": QUEUE_STATUSES, "source": QUEUE_SOURCES}
+
+
+def broken(rows: DataFrame, schema: T.StructType, domains: dict[str, tuple] | None = None) -> DataFrame:
+    """The rows that break a rule of the table: a column that must not be
+    NULL, a text over its length, a value outside its domain, a number or time
+    out of range.  Adds ``broken``, the names of the rules."""
+    checks = []
+    for f in schema.fields:
+        c = F.col(f.name)
+        if not f.nullable:
+            checks.append((f"{f.name}_null", c.isNull()))
+        if f.name in (domains or {}):
+            checks.append((f"{f.name}_domain", c.isNotNull() & ~c.isin(*domains[f.name])))
+        elif isinstance(f.dataType, T.StringType) and f.name != "payload":
+            checks.append((f"{f.name}_too_long", too_long(c)))
+        elif isinstance(f.dataType, T.ByteType):
+            checks.append((f"{f.name}_range", out_of_tinyint(c)))
+        elif isinstance(f.dataType, T.TimestampNTZType):
+            checks.append((f"{f.name}_range", out_of_datetime(c)))
+    return rows.withColumn("broken", violations(checks)).where(F.size("broken") > 0)
+
+
 def too_long(c: Column) -> Column:
     return c.isNotNull() & (F.char_length(c) > VARCHAR_LIMIT)
 

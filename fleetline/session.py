@@ -8,6 +8,8 @@ given so that results do not depend on the caller's time zone or JSON policy.
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -58,6 +60,13 @@ def ensure_semantics(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: under ``spark.checkpoint.dir`` of
+    the session; a temporary one only where the session names none (tests)."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{(shared or tempfile.mkdtemp(prefix='fleetline-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "fleetline", extra: dict | None = None) -> SparkSession:
     master = master or os.environ.get("FLEETLINE_MASTER", "local[8]")

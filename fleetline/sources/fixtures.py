@@ -85,22 +85,26 @@ def heartbeat_arrivals(spark: SparkSession, sf_dir: str, collisions: bool = Fals
 
 
 def webhook_arrivals(spark: SparkSession, sf_dir: str, secret: str = FIXTURE_SECRET) -> DataFrame:
-    """``(seq, received_at, body, signature)`` with one outcome class per
+    """``(seq, received_at, body, signature, fault)`` with one outcome class per
     event type: error -> not JSON, signup -> no sn, click -> bad signature,
-    view -> unsigned, purchase -> signed with ``secret``."""
+    view -> unsigned, purchase -> signed with ``secret``.  By ``seq % 60``: 11 an
+    sn of 65 characters, 13 the database is not there, 17 the body cannot be
+    read; every 5,000th body is over the 1 MiB limit."""
     e = base_events(spark, sf_dir)
     k, et = F.col("k"), F.col("event_type")
     ets = F.when(k % 10 == 0, F.lit("not-a-time")).otherwise(F.date_format(_hour("ts"), RFC3339_S))
-    valid = F.concat(F.lit('{"sn":"'), device_sn(), F.lit('","event_ts":"'), ets,
-                     F.lit('","k":'), k.cast("string"), F.lit("}"))
+    m = F.col("event_id") % 60
+    valid = F.concat(F.lit('{"sn":"'), F.when(m == 11, F.repeat(F.lit("X"), 65)).otherwise(device_sn()), F.lit('","event_ts":"'), ets,
+                     F.lit('","k":'), k.cast("string"), F.lit("}"), F.when(F.col("event_id") % 5000 == 9, F.repeat(F.lit(" "), 1 << 20)).otherwise(F.lit("")))
+    fault = F.when(m == 13, F.lit("db_not_initialized")).when(m == 17, F.lit("read_body_error"))
     body = (F.when(et == "error", F.lit("this-is-not-json"))
             .when(et == "signup", F.concat(F.lit('{"event_ts":"'), ets, F.lit('"}')))
             .otherwise(valid))
     b = e.select(F.col("event_id").alias("seq"), F.col("ts").alias("received_at"),
-                 et.alias("_t"), body.alias("body"))
+                 et.alias("_t"), body.alias("body"), fault.alias("fault"))
     sig = (F.when(F.col("_t") == "click", F.lit("deadbeef"))
            .when(F.col("_t") == "purchase", hmac_sha256_hex("body", secret)))
-    return b.select("seq", "received_at", "body", sig.alias("signature"))
+    return b.select("seq", "received_at", "body", sig.alias("signature"), "fault")
 
 
 def writer_activity(keyed: DataFrame) -> DataFrame:
@@ -133,6 +137,26 @@ def writer_activity(keyed: DataFrame) -> DataFrame:
         F.when(fails, F.lit("processing_error")).alias("reason"))
 
 
+def worker_events(keyed: DataFrame) -> DataFrame:
+    """``retries.EVENTS`` rows for the ids in ``keyed``: the first arrival, and
+    what the workers report 5 s after each claim: by ``id % 5``: 0 processed; 1
+    failed once, then processed; 2 failed five times; 3 nothing; 4 failed three
+    times, then nothing.  A claim comes when the event is due."""
+    from fleetline.functions.exprs import backoff_seconds
+
+    m = F.col("id") % 5
+    results = F.when(m == 0, 1).when(m == 1, 2).when(m == 2, 5).when(m == 4, 3).otherwise(0)
+    # claims 1, 2, ... are 5 s and a delay of 10, 20, 40, 80 s apart
+    waited = sum((F.when(F.col("n") > i, backoff_seconds(F.lit(i)) + 5).otherwise(0) for i in range(1, 5)), F.lit(0))
+    t = keyed.select("id", "created_raw", m.alias("_m"), F.explode(F.sequence(F.lit(0), results)).alias("n"))
+    failed = (F.col("_m") != 0) & ~((F.col("_m") == 1) & (F.col("n") == 2))
+    return t.select(
+        "id", F.when(F.col("n") == 0, F.lit("arrival")).otherwise(F.lit("result")).alias("kind"),
+        F.when(F.col("n") == 0, F.col("created_raw")).otherwise(
+            F.col("created_raw") + F.make_dt_interval(secs=waited + 5)).alias("at"),
+        F.col("n").cast("long").alias("seq"), F.when((F.col("n") > 0) & failed, F.lit("timeout")).alias("reason"))
+
+
 # ------------------------------------------------------------- samples
 # Deployments watched by the replica alerts and the namespace.
 REPLICA_DEPLOYMENTS = ("acs-ingest", "queue-writer", "database")
@@ -196,6 +220,35 @@ def connection_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return used, limit
 
 
+def labelled(samples: DataFrame, ts: str = "ts", value: str = "value") -> DataFrame:
+    """Samples as a scraper stores them: ``(labels, ts, value)`` with every
+    other column as a label (absent where null) and the metric's name."""
+    names = [c for c in samples.columns if c not in (ts, value)]
+    pairs = [F.struct(F.lit(n).alias("key"), F.col(n).alias("value")) for n in names]
+    if "metric" not in names:
+        pairs.append(F.struct(F.lit("__name__").alias("key"), F.lit("up").alias("value")))
+    labels = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
+    return samples.select(labels.alias("labels"), F.col(ts), F.col(value))
+
+
+# ------------------------------------------------------------- requests
+def list_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(seq, offset, limit)``: the query text of one list request per signup
+    event; by ``k % 4`` and ``k % 5`` also absent, negative, too large or no
+    number."""
+    e = base_events(spark, sf_dir).where(F.col("event_type") == "signup")
+    k = F.col("k")
+    offset = (F.when(k % 4 == 1, k.cast("string")).when(k % 4 == 2, F.lit("-3")).when(k % 4 == 3, F.lit("x")))
+    limit = (F.when(k % 5 == 1, F.lit("0")).when(k % 5 == 2, (k * 10).cast("string")).when(k % 5 == 3, F.lit("501"))
+             .when(k % 5 == 4, F.lit("+20")))
+    return e.select(F.col("event_id").alias("seq"), offset.alias("offset"), limit.alias("limit"))
+
+
+def health_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One health request per ten events."""
+    return base_events(spark, sf_dir).where(F.col("event_id") % 10 == 0).select(F.col("event_id").alias("seq"))
+
+
 # ------------------------------------------------------------- logs
 LOG_SERVICES = ("status-api", "acs-ingest", "queue-writer")
 

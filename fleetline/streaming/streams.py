@@ -2,14 +2,14 @@
 
 The same operators as the batch plans run inside ``foreachBatch``.  Every
 write is keyed by the micro-batch id, so a batch that is re-run after a
-failure (executor loss, restart from the checkpoint) overwrites its own
+failure (executor loss, restart from the checkpoint) replaces its own
 output instead of appending twice:
 
 * history / outcomes / arrivals: appended under ``batch_id=<n>`` partitions,
   which a re-run of the batch replaces;
-* latest state: a new versioned directory ``status/v=<n>`` written from the
-  previous version merged with the batch (never overwriting a directory
-  that is being read); readers take the highest complete version.
+* latest state and queue: versions of a ``BucketTable``, in which a batch
+  rewrites the buckets of its own devices or events and no others; a batch
+  that is done is skipped.
 
 Sources are file streams of arrival records (``seq, received_at, body``);
 a Kafka source can be swapped in with the same schema.
@@ -17,66 +17,53 @@ a Kafka source can be swapped in with the same schema.
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fleetline import schemas as S
 from fleetline.operators import ingest, metrics, state
 from fleetline.operators.state import sn_key
 from fleetline.session import ensure_semantics
+from fleetline.sources.buckets import BUCKET, PART, BucketTable, with_bucket
+from fleetline.streaming.parts import exists, write_partition
+from fleetline.streaming.queue_store import ARRIVALS, TRANSITIONS, QueueStore
 
-
-def _write_partition(df: DataFrame, path: str, batch_id: int, date_col: str | None = None):
-    """Write a batch's rows as the partition ``batch_id``.  What an earlier run
-    of the same batch left is dropped first: a dynamic overwrite with an empty
-    result would leave it in place."""
-    d = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-    parts = ["batch_id"] + ([date_col] if date_col else [])
-    spark = df.sparkSession
-    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
-    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-    d.write.mode("append").partitionBy(*parts).parquet(path)
+STATUS = (
+    "sn string, last_seen timestamp_ntz, wan_ip string, sw_version string, cpu_pct tinyint, mem_pct tinyint, "
+    "updated_at timestamp_ntz, received_at timestamp_ntz, seq long, first_seq long")
+STATUS_BUCKETS = 16
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            out.append(int(name[2:]))
-    return sorted(out)
+def status_store(spark: SparkSession, sink_root: str, buckets: int = STATUS_BUCKETS) -> BucketTable:
+    """The latest state per device, bucketed by the folded serial number."""
+    return BucketTable(spark, f"{sink_root}/status", STATUS, buckets)
 
 
-def current_status(spark: SparkSession, sink_root: str, before: int | None = None) -> DataFrame | None:
-    """Latest complete status version (optionally the last one before a
-    given batch id, which makes re-running that batch idempotent)."""
-    root = f"{sink_root}/status"
-    vs = [v for v in _versions(spark, root) if before is None or v < before]
-    if not vs:
-        return None
-    return spark.read.parquet(f"{root}/v={vs[-1]}")
+def current_status(spark: SparkSession, sink_root: str, buckets: int = STATUS_BUCKETS) -> DataFrame:
+    """The newest version of the latest state."""
+    return status_store(spark, sink_root, buckets).read().drop(PART, BUCKET)
 
 
-def status_versions_to_drop(spark: SparkSession, sink_root: str, keep: int = 2) -> list[str]:
-    """Complete status versions older than the newest ``keep`` (readers use
-    the newest; the one before it stays for a batch that is re-run).  The
-    caller deletes them with its filesystem client."""
-    vs = _versions(spark, f"{sink_root}/status")
-    return [f"{sink_root}/status/v={v}" for v in vs[:-keep]] if keep > 0 else []
+def merge_status(store: BucketTable, classified: DataFrame, batch_id: int) -> None:
+    """H4 on the stored state: only the buckets of the batch's devices are read
+    and rewritten.  A batch that is done is skipped."""
+    if store.is_done("heartbeats", batch_id):
+        return
+    devices = with_bucket(state.latest_state(classified, keep_order_columns=True), store.buckets, sn_key("sn")).persist()
+    try:
+        touched = sorted(r[0] for r in devices.select(BUCKET).distinct().collect())
+        rows = devices
+        if store.versions():
+            rows = with_bucket(state.merge_states(store.read(buckets=touched), devices), store.buckets, sn_key("sn"))
+        store.publish(rows.withColumn(PART, F.lit("device")), {"device": touched}, "heartbeats", batch_id)
+    finally:
+        devices.unpersist()
 
 
 def process_heartbeat_batch(batch: DataFrame, batch_id: int, sink_root: str) -> None:
     """One micro-batch of heartbeats: classify, history (deduplicated within
-    the batch and against stored history of the same days), outcomes, and a
-    new status version."""
+    the batch and against stored history of the same days), outcomes, and the
+    status buckets of its devices."""
     spark = batch.sparkSession
     ensure_semantics(spark)
     c = ingest.classify_heartbeat(batch).persist()
@@ -84,7 +71,7 @@ def process_heartbeat_batch(batch: DataFrame, batch_id: int, sink_root: str) ->
         hist_path = f"{sink_root}/history"
         new_hist = state.history(c).withColumn("event_date", F.to_date("event_ts"))
         old = None
-        if _exists(spark, hist_path):
+        if exists(spark, hist_path):
             # only the days from the batch's first to its last are read (partition pruning on event_date)
             days = new_hist.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi")).first()
             old = spark.read.parquet(hist_path).where(
@@ -95,125 +82,52 @@ def process_heartbeat_batch(batch: DataFrame, batch_id: int, sink_root: str) ->
                 & (new_hist["event_date"] == keys["_day"]), "left_anti")
             old = old.select("sn", "event_ts")
         outcomes = state.heartbeat_outcomes(c, old).drop("body")
-        _write_partition(outcomes, f"{sink_root}/outcomes", batch_id)
-        _write_partition(new_hist, hist_path, batch_id, "event_date")
-        prev = current_status(spark, sink_root, before=batch_id)
-        merged = (state.latest_state(c, keep_order_columns=True) if prev is None
-                  else state.merge_state(prev, c, keep_order_columns=True))
-        merged.write.mode("overwrite").parquet(f"{sink_root}/status/v={batch_id}")
+        write_partition(outcomes, f"{sink_root}/outcomes", batch_id)
+        write_partition(new_hist, hist_path, batch_id, "event_date")
+        merge_status(status_store(spark, sink_root), c, batch_id)
     finally:
         c.unpersist()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def process_webhook_batch(batch: DataFrame, batch_id: int, sink_root: str, secret: str) -> None:
-    """One micro-batch of webhooks: classified outcomes and the accepted
-    arrivals appended to the queue's arrivals log."""
-    ensure_semantics(batch.sparkSession)
+    """One micro-batch of webhooks: classified outcomes, the accepted arrivals
+    appended to the arrivals log, and the queue with them."""
+    spark = batch.sparkSession
+    ensure_semantics(spark)
     c = ingest.classify_webhook(batch, secret)
-    _write_partition(c.drop("body", "payload"), f"{sink_root}/webhook_outcomes", batch_id)
+    write_partition(c.drop("body", "payload"), f"{sink_root}/webhook_outcomes", batch_id)
     arr = c.where(F.col("code") == 202).select("seq", "received_at", "sn", "event_ts", "payload")
-    _write_partition(arr, f"{sink_root}/queue_arrivals", batch_id)
-
-
-def _batch_ids(spark: SparkSession, path: str) -> list[int]:
-    """``batch_id=<n>`` partitions present under ``path`` (a directory
-    listing, no data read)."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    return sorted(int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(p)
-                  if st.getPath().getName().startswith("batch_id="))
-
-
-def _queue_snapshots(spark: SparkSession, sink_root: str) -> list[tuple[int, int, str]]:
-    """Complete queue state snapshots as ``(tick, arrivals_upto, path)``."""
-    root = f"{sink_root}/queue_state"
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("tick=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            tick, arr = name[len("tick="):].split("_arr=")
-            out.append((int(tick), int(arr), f"{root}/{name}"))
-    return sorted(out)
-
-
-def _queue_inputs(spark: SparkSession, sink_root: str, before_tick: int, upto_tick: int | None = None,
-                  upto_arrivals: int | None = None):
-    """(prev snapshot or None, new arrivals, new transitions): the latest
-    snapshot older than ``before_tick`` and the log partitions after it
-    (partition pruning on ``batch_id``)."""
-    arr_path, tr_path = f"{sink_root}/queue_arrivals", f"{sink_root}/transitions"
-    snaps = [x for x in _queue_snapshots(spark, sink_root) if x[0] < before_tick]
-    prev, t0, a0 = None, -1, -1
-    if snaps:
-        t0, a0, path = snaps[-1]
-        prev = spark.read.parquet(path)
-    arrivals = spark.read.parquet(arr_path).where(F.col("batch_id") > a0)
-    if upto_arrivals is not None:
-        arrivals = arrivals.where(F.col("batch_id") <= upto_arrivals)
-    trans = None
-    if _exists(spark, tr_path):
-        trans = spark.read.parquet(tr_path).where(
-            (F.col("batch_id") > t0) & (F.col("batch_id") < (upto_tick + 1 if upto_tick is not None
-                                                            else before_tick)))
-        trans = trans.drop("batch_id")
-    return prev, arrivals.drop("batch_id"), trans
-
-
-def compact_queue(spark: SparkSession, sink_root: str, tick: int) -> str:
-    """Write the queue state as of writer tick ``tick`` (all transitions up
-    to it, all arrival batches present now) as a snapshot, folded from the
-    previous snapshot and the log partitions after it.  Later ticks then
-    read only the snapshot and newer partitions instead of the whole logs.
-    Re-running the same tick rewrites the same snapshot."""
-    ensure_semantics(spark)
-    arrivals_upto = max(_batch_ids(spark, f"{sink_root}/queue_arrivals"), default=-1)
-    prev, arrivals, trans = _queue_inputs(spark, sink_root, before_tick=tick, upto_tick=tick,
-                                          upto_arrivals=arrivals_upto)
-    from fleetline.operators import queue
-    state = queue.fold(arrivals, trans, keep_order_columns=True, prev=prev)
-    path = f"{sink_root}/queue_state/tick={tick}_arr={arrivals_upto}"
-    state.write.mode("overwrite").parquet(path)
-    return path
+    write_partition(arr, f"{sink_root}/queue_arrivals", batch_id)
+    written = spark.read.schema(ARRIVALS).parquet(f"{sink_root}/queue_arrivals/batch_id={batch_id}") if exists(
+        spark, f"{sink_root}/queue_arrivals/batch_id={batch_id}") else spark.createDataFrame([], ARRIVALS)
+    QueueStore(spark, f"{sink_root}/queue").enqueue(written, batch_id)
 
 
 def drain_batch(spark: SparkSession, sink_root: str, as_of, batch_id: int, limit: int = 50) -> DataFrame:
-    """Q8 as one writer tick over the stored logs: fold the queue from the
-    latest compacted snapshot older than this tick plus the arrivals and
-    transitions written after it (transitions of this batch id excluded, so
-    a re-run is idempotent), drain up to ``limit`` ready events, append the
-    transitions and one tick row under ``batch_id``."""
-    from fleetline.operators import queue
-
+    """Q8 as one writer tick over the stored queue: drains up to ``limit`` ready
+    events of the open part, writes the transitions and one tick row under
+    ``batch_id``, then moves the drained events to the finished ones.  A tick
+    that is done returns the transitions it has written."""
     ensure_semantics(spark)
-    prev, arrivals, trans = _queue_inputs(spark, sink_root, before_tick=batch_id)
-    q = queue.fold(arrivals, trans, prev=prev)
-    out = queue.drain(q, as_of, limit).withColumn("seq", F.col("seq") + F.lit(batch_id) * 2)
-    _write_partition(out, f"{sink_root}/transitions", batch_id)
-    tick = spark.range(1).select(F.lit(as_of).cast("timestamp_ntz").alias("at"),
-                                 F.lit(limit).alias("batch_size"))
-    _write_partition(tick, f"{sink_root}/ticks", batch_id)
-    return out
+    store = QueueStore(spark, f"{sink_root}/queue")
+    path = f"{sink_root}/transitions/batch_id={batch_id}"
+    if not store.state.is_done("ticks", batch_id):
+        out = store.tick(as_of, limit).withColumn("seq", F.col("seq") + F.lit(batch_id) * 2)
+        seen = Observation()
+        write_partition(out.observe(seen, F.count_if(F.col("status") == "done").alias("done")), f"{sink_root}/transitions", batch_id)
+        tick = spark.range(1).select(F.lit(as_of).cast("timestamp_ntz").alias("at"), F.lit(limit).alias("batch_size"),
+                                     F.lit(seen.get["done"]).cast("long").alias("drained"))
+        write_partition(tick, f"{sink_root}/ticks", batch_id)
+    done = spark.read.schema(TRANSITIONS).parquet(path) if exists(spark, path) else spark.createDataFrame([], TRANSITIONS)
+    store.apply(done, "ticks", batch_id)
+    return done
 
 
 def drain_stream(spark: SparkSession, sink_root: str, checkpoint: str, limit: int = 50,
                  interval: str = "1 second", compact_every: int = 60):
     """The writer loop as a stream: one micro-batch per trigger interval
     (a rate source supplies the tick times), each running ``drain_batch``;
-    every ``compact_every`` ticks the queue state is compacted."""
+    every ``compact_every`` ticks crowded buckets of the queue are joined."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def run(df, batch_id):
@@ -221,7 +135,7 @@ def drain_stream(spark: SparkSession, sink_root: str, checkpoint: str, limit: in
         if last is not None:
             drain_batch(spark, sink_root, last, batch_id, limit)
             if compact_every and batch_id % compact_every == compact_every - 1:
-                compact_queue(spark, sink_root, batch_id)
+                QueueStore(spark, f"{sink_root}/queue").compact()
 
     return (ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(processingTime=interval).start())
