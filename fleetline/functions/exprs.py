@@ -137,7 +137,8 @@ def decoded_fields(df: DataFrame, body, names: tuple[str, ...], strict_tail: boo
     # well-formed JSON is an object iff it starts like one
     is_object = F.startswith(F.ltrim(b, F.lit(" \t\r\n")), F.lit("{"))
     # no other spelling anywhere in the body, not even an escaped one: the exact key is all there can be
-    other = F.rlike(b, F.lit(f'"(?!(?:{any_of})")(?iu:{any_of})"')) | F.contains(b, F.lit("\\u"))
+    df = decoded_once(df, F.struct((F.rlike(b, F.lit(f'"(?!(?:{any_of})")(?iu:{any_of})"')) | F.contains(b, F.lit("\\u"))).alias("other")), f"{name}o")
+    other = F.col(f"{name}o.other")
     as_map = F.try_variant_get(doc, root, "map<string,variant>")
 
     def field(n: str) -> Column:
@@ -151,7 +152,7 @@ def decoded_fields(df: DataFrame, body, names: tuple[str, ...], strict_tail: boo
     fields = F.struct(ok.alias("ok"), (ok & is_object).alias("is_object"),
                       (ok & F.coalesce(F.is_variant_null(F.try_variant_get(doc, root, "variant")), F.lit(False))).alias("is_null"),
                       *[field(n) for n in names])
-    return decoded_once(df, fields, name).drop(f"{name}p")
+    return decoded_once(df, fields, name).drop(f"{name}p", f"{name}o")
 
 
 def is_string_or_null(field) -> Column:
