@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -34,6 +35,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any
+    more (their lineage was cut): it does so when the driver collects garbage,
+    which a driver with little to do may not do for hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def kept_columns(docs: DataFrame, keep: tuple[str, ...]) -> Column:
     """Columns that pass through an operator untouched, as one struct ``kept``;
     the text is not among them, as it passes as itself."""

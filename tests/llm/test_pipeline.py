@@ -13,7 +13,7 @@ from tests.conftest import SF_SMALL
 
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "packing"]
-    assert {n.split("_")[0] for n in plans.PLANS} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in plans.PLANS} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in entry.queries()
 
 
@@ -60,7 +60,7 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 def test_sql_twin(spark, name):
     got = plans.PLANS[name](spark, SF_SMALL).toPandas()
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         path = f"{SF_SMALL}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}{'/*' if os.path.isdir(path) else ''}')")
     want = con.execute(plans.ORACLES[name]).df()
