@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, connected_components, mix64
+from .common import U64, checkpointed, connected_components, mix64, release
 from .near_dup import _ODD, SHINGLE, WordHash, shingle_hashes
 
 PASSAGE_WORDS = 50
@@ -366,14 +366,17 @@ def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similar
     equal = docs.where("doc_id is not null").where(F.rlike("text", F.lit(r"\S"))).select("doc_id", content.alias("content"))
     rep_of = checkpointed(equal.join(equal.groupBy("content").agg(F.min("doc_id").alias("rep")), "content").select("doc_id", "rep").distinct())
     reach = lambda p, by: F.shiftright(p, by).bitwiseAND(F.lit(_REACH))
-    # dealt once by key; the groups' bounds and the rows that stay are read from that one exchange
+    # dealt once by key; the groups' bounds and the rows that stay are read from that one exchange: both sides name
+    # every column, as two exchanges of different columns would not be one
     windows = passage_windows(docs, words, hashes).repartition("key")
-    met = windows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    met = windows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+                                     F.max(F.coalesce("place", "marks")).alias("any")).where("lo < hi and any is not null")
     # of equal texts one takes part
     met = windows.join(met.select("key"), "key", "left_semi").join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     # places of one text that look alike on both sides (a text that repeats itself): the one with most room
     met = met.groupBy("doc_id", "key", "marks").agg(F.max_by("place", F.struct(reach("place", 16) + reach("place", 0), -F.col("place"))).alias("place"))
-    met = checkpointed(met)
+    met, windows = checkpointed(met), None
+    release(docs.sparkSession)  # the windows of texts that meet no other are most of the disk
     mark = [F.shiftright("marks", 10 * k).bitwiseAND(F.lit(1023)) for k in range(6)]
     met = met.select("doc_id", "place", F.explode(F.array(*[
         F.when(m > 0, F.xxhash64("key", F.lit(k), m)) for k, m in enumerate(mark)])).alias("key")).where("key is not null").repartition("key")
@@ -391,6 +394,7 @@ def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similar
         F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.array_distinct(F.flatten(F.collect_set(F.transform("near", lambda x: F.struct(
             F.shiftright(x, 32).cast("int").alias("x"), F.shiftright("place", 32).cast("int").alias("y")))))).alias("anchors"))
     pairs = checkpointed(pairs)
+    release(docs.sparkSession)
     several = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
     asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).unionAll(
         shared.join(several, "key", "left_semi").select("doc_id")).distinct()
