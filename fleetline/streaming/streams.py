@@ -25,6 +25,7 @@ from fleetline.operators import ingest, metrics, state
 from fleetline.operators.state import sn_key
 from fleetline.session import ensure_semantics
 from fleetline.sources.buckets import BUCKET, PART, BucketTable, with_bucket
+from fleetline.streaming.history_table import HistoryTable
 from fleetline.streaming.parts import exists, write_partition
 from fleetline.streaming.queue_store import ARRIVALS, TRANSITIONS, QueueStore
 
@@ -44,49 +45,43 @@ def current_status(spark: SparkSession, sink_root: str, buckets: int = STATUS_BU
     return status_store(spark, sink_root, buckets).read().drop(PART, BUCKET)
 
 
-def merge_status(store: BucketTable, classified: DataFrame, batch_id: int) -> None:
+def merge_status(store: BucketTable, classified: DataFrame, batch_id: int) -> list[int]:
     """H4 on the stored state: only the buckets of the batch's devices are read
-    and rewritten.  A batch that is done is skipped."""
-    if store.is_done("heartbeats", batch_id):
-        return
+    and rewritten; returns them.  A batch that is done changes nothing."""
     devices = with_bucket(state.latest_state(classified, keep_order_columns=True), store.buckets, sn_key("sn")).persist()
     try:
         touched = sorted(r[0] for r in devices.select(BUCKET).distinct().collect())
-        rows = devices
-        if store.versions():
-            rows = with_bucket(state.merge_states(store.read(buckets=touched), devices), store.buckets, sn_key("sn"))
-        store.publish(rows.withColumn(PART, F.lit("device")), {"device": touched}, "heartbeats", batch_id)
+        if not store.is_done("heartbeats", batch_id):
+            rows = devices
+            if store.versions():
+                rows = with_bucket(state.merge_states(store.read(buckets=touched), devices), store.buckets, sn_key("sn"))
+            store.publish(rows.withColumn(PART, F.lit("device")), {"device": touched}, "heartbeats", batch_id)
+        return touched
     finally:
         devices.unpersist()
 
 
 def process_heartbeat_batch(batch: DataFrame, batch_id: int, sink_root: str) -> None:
-    """One micro-batch of heartbeats: classify, history (deduplicated within
-    the batch and against stored history of the same days), outcomes, and the
-    status buckets of its devices."""
+    """One micro-batch of heartbeats: classify, the status buckets of its
+    devices, history (deduplicated within the batch and against stored history
+    of the same days), outcomes."""
     spark = batch.sparkSession
     ensure_semantics(spark)
     c = ingest.classify_heartbeat(batch).persist()
+    store, table = status_store(spark, sink_root), HistoryTable(spark, f"{sink_root}/history")
+    marked = None
     try:
-        hist_path = f"{sink_root}/history"
-        new_hist = state.history(c).withColumn("event_date", F.to_date("event_ts"))
-        old = None
-        if exists(spark, hist_path):
-            # only the days from the batch's first to its last are read (partition pruning on event_date)
-            days = new_hist.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi")).first()
-            old = spark.read.parquet(hist_path).where(
-                F.col("event_date").between(F.lit(days["lo"]), F.lit(days["hi"])) & (F.col("batch_id") != batch_id))
-            keys = old.select(sn_key("sn").alias("_k"), F.col("event_ts").alias("_ets"), F.col("event_date").alias("_day"))
-            new_hist = new_hist.join(
-                keys, (sn_key(new_hist["sn"]) == keys["_k"]) & (new_hist["event_ts"] == keys["_ets"])
-                & (new_hist["event_date"] == keys["_day"]), "left_anti")
-            old = old.select("sn", "event_ts")
-        outcomes = state.heartbeat_outcomes(c, old).drop("body")
+        touched = merge_status(store, c, batch_id)
+        device = store.read(buckets=touched).select(sn_key("sn").alias("_k"), F.col("first_seq").alias("device"))
+        new = state.history(c)
+        marked = table.marked(new.join(device, sn_key(new["sn"]) == device["_k"]).drop("_k"), batch_id).persist()
+        outcomes = state.heartbeat_outcomes(c, marked.where("taken").select("sn", "event_ts")).drop("body")
         write_partition(outcomes, f"{sink_root}/outcomes", batch_id)
-        write_partition(new_hist, hist_path, batch_id, "event_date")
-        merge_status(status_store(spark, sink_root), c, batch_id)
+        table.append(marked.where("not taken"), batch_id)
     finally:
         c.unpersist()
+        if marked is not None:
+            marked.unpersist()
 
 
 def process_webhook_batch(batch: DataFrame, batch_id: int, sink_root: str, secret: str) -> None:

@@ -63,7 +63,7 @@ def test_stream_equals_batch(spark, tmp_path, collisions):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
     store = status_store(spark, sink)
     assert len(store.versions()) == 4 and store.unreferenced(keep=2)   # one version a batch; old buckets may go
-    hist = spark.read.parquet(f"{sink}/history").drop("batch_id", "event_date")
+    hist = spark.read.parquet(f"{sink}/history").drop("device", "batch_id", "event_date")
     want_h = state.history(ingest.classify_heartbeat(fx.heartbeat_arrivals(spark, SF_SMALL, collisions)))
     assert sorted(map(tuple, hist.select(*want_h.columns).collect())) == sorted(map(tuple, want_h.collect()))
     got_o = spark.read.parquet(f"{sink}/outcomes").select("seq", "code", "reason")
@@ -133,6 +133,30 @@ def test_webhook_stream_then_drain_ticks(spark, tmp_path):
     assert spark.read.parquet(f"{sink}/ticks").count() == 3
 
 
+def test_drain_stream_drains_by_the_clock(spark, tmp_path):
+    """The writer loop: ticks of the machine's clock drain the ready events, each once."""
+    import time
+
+    from fleetline.operators import queue
+    from fleetline.streaming import QueueStore, drain_stream
+
+    sink = str(tmp_path / "sink")
+    arr = spark.range(25).select(F.col("id").alias("seq"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("received_at"),
+                                 F.concat(F.lit("d"), "id").alias("sn"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("event_ts"), F.lit("{}").alias("payload"))
+    store = QueueStore(spark, f"{sink}/queue")
+    store.enqueue(arr, 0)
+    q = drain_stream(spark, sink, str(tmp_path / "ck"), limit=20, compact_every=1)
+    until = time.time() + 120
+    while store.open_events().count() and time.time() < until and q.isActive:
+        time.sleep(1)
+    q.stop()
+    assert q.exception() is None and store.open_events().count() == 0
+    done = [r["id"] for r in spark.read.parquet(f"{sink}/transitions").where("status = 'done'").collect()]
+    assert sorted(done) == list(range(25))
+    runs = queue.writer_runs(spark.read.parquet(f"{sink}/ticks")).first()
+    assert runs["writer_runs_total"] >= 2 and runs["drained_total"] == 25
+
+
 def test_container_log_files(spark, tmp_path):
     from fleetline.sources.feeds import read_container_logs
     d = tmp_path / "containers"

@@ -12,9 +12,16 @@ from fleetline.operators import ingest, queue, state
 from fleetline.operators.state import sn_key
 from fleetline.session import ensure_semantics
 from fleetline.sources.buckets import BUCKET, PART, BucketTable, with_bucket
+from fleetline.streaming.history_table import HISTORY, HistoryTable
 from fleetline.streaming import QueueStore, current_status, drain_batch, merge_status, process_heartbeat_batch, status_store
 
 T0 = dt.datetime(2024, 1, 1)
+
+
+def at(seconds):
+    return T0 + dt.timedelta(seconds=seconds)
+
+
 ARRIVAL = "seq long, received_at timestamp_ntz, sn string, event_ts timestamp_ntz, payload string"
 
 
@@ -107,6 +114,25 @@ def test_empty_batch(spark, tmp_path):
     assert current_status(spark, str(tmp_path)).count() == 0
 
 
+def test_taken_keys_are_found_without_shuffling_the_history(spark, tmp_path):
+    table = HistoryTable(spark, str(tmp_path), buckets=4)
+    row = lambda d, s: (d, at(s), f"d{d}", None, None, None, None, None)
+    frame = lambda rows: spark.createDataFrame(rows, HISTORY)
+    table.append(frame([row(d, s) for d in range(6) for s in range(3)]), 0)
+    table.append(frame([row(7, 0)]), 1)
+    table.append(frame([row(8, 0)]), 1)                          # the batch runs again
+    assert table.read().where("batch_id = 1").select("device").collect()[0][0] == 8 and table.read().count() == 19
+    asked = frame([row(1, 1), row(1, 5), row(8, 0), row(9, 0)])
+    got = {(r["device"], r["event_ts"]): r["taken"] for r in table.marked(asked, 2).collect()}
+    assert got == {(1, at(1)): True, (1, at(5)): False, (8, at(0)): True, (9, at(0)): False}
+    assert not any(r["taken"] for r in table.marked(frame([row(8, 0)]), 1).collect())   # its own rows do not count
+    plan = table.marked(asked, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert "PartitionFilters" in plan and "event_date" in plan
+    spark.sql(f"DROP TABLE {table.name}")                        # another session registers the files anew
+    assert HistoryTable(spark, str(tmp_path), buckets=4).read().count() == 19
+
+
 # queue ------------------------------------------------------------------------------------------------------------
 
 def test_a_tick_reads_open_buckets_only_whatever_is_finished(spark, tmp_path):
