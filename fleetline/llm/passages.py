@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, checkpointed, connected_components, mix64, release
@@ -366,13 +366,12 @@ def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similar
     equal = docs.where("doc_id is not null").where(F.rlike("text", F.lit(r"\S"))).select("doc_id", content.alias("content"))
     rep_of = checkpointed(equal.join(equal.groupBy("content").agg(F.min("doc_id").alias("rep")), "content").select("doc_id", "rep").distinct())
     reach = lambda p, by: F.shiftright(p, by).bitwiseAND(F.lit(_REACH))
-    # dealt once by key; the groups' bounds and the rows that stay are read from that one exchange: both sides name
-    # every column, as two exchanges of different columns would not be one
-    windows = passage_windows(docs, words, hashes).repartition("key")
-    met = windows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
-                                     F.max(F.coalesce("place", "marks")).alias("any")).where("lo < hi and any is not null")
+    # dealt once by key: a window over the key tells whether another document meets there
+    windows = passage_windows(docs, words, hashes)
+    same = Window.partitionBy("key")
+    met = windows.select("*", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi")).where("lo < hi").drop("lo", "hi")
     # of equal texts one takes part
-    met = windows.join(met.select("key"), "key", "left_semi").join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    met = met.join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     # places of one text that look alike on both sides (a text that repeats itself): the one with most room
     met = met.groupBy("doc_id", "key", "marks").agg(F.max_by("place", F.struct(reach("place", 16) + reach("place", 0), -F.col("place"))).alias("place"))
     met, windows = checkpointed(met), None
