@@ -96,7 +96,7 @@ def test_batches_rewrite_the_buckets_of_their_devices_only(spark, tmp_path):
     assert got["CPE-3"] == (0, 100) and got["new"] == (1, 101) and len(got) == 41 and got["CPE-4"] == (4, 4)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_any_cut_gives_the_batch_state(spark, tmp_path, seed):
     rng = random.Random(seed)
     names = ["a", "A", "á", "b", "B", "ss", "ß", "c " , "c"]
@@ -166,14 +166,14 @@ def test_drained_events_move_and_finished_files_stay(spark, tmp_path):
     assert rows_of(store.table()) == before and not any(store.state.crowded(store.state.manifest(), 1).values())
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_stored_queue_equals_the_fold_of_the_whole_logs(spark, tmp_path, seed):
     """Arrivals (with re-sent events, other spellings) and writer actions in
     random turns, some of them run twice."""
     rng = random.Random(seed)
     store = QueueStore(spark, str(tmp_path), buckets=3)
     every, actions, seq = [], [], 0
-    for turn in range(4):
+    for turn in range(3):
         rows = []
         for _ in range(12):
             seq += 1

@@ -70,7 +70,7 @@ def worker_log(rng, ids=25):
     return sorted(rows, key=lambda r: (r[2], r[0], r[3]))
 
 
-@pytest.mark.parametrize("seed, parts", [(1, 1), (2, 6)])
+@pytest.mark.parametrize("seed, parts", [(2, 4)])
 def test_timers_fire_without_a_fold_and_equal_the_replay(spark, tmp_path, seed, parts):
     ensure_semantics(spark)
     rng = random.Random(seed)
@@ -148,7 +148,7 @@ def evaluations(rng, n=80, series=("x", "y")):
     return sorted(rows, key=lambda r: (r[1], r[0]))
 
 
-@pytest.mark.parametrize("seed, step", [(1, None), (2, 60.0), (3, 60.0)])
+@pytest.mark.parametrize("seed, step", [(1, None), (2, 60.0)])
 def test_any_cut_gives_the_alerts_of_the_batch(spark, tmp_path, seed, step):
     rng = random.Random(seed)
     rows = evaluations(rng)
