@@ -126,7 +126,9 @@ def q5_retry_stream(spark, sf_dir):
     """Retries driven by timers of keyed streaming state over arrivals, worker
     results and clock rows: the transitions, without a fold."""
     root = scratch_folder(spark, "retries")
-    events = fx.worker_events(queue.keyed_arrivals(catalog.queue_arrivals(spark, sf_dir)))
+    # made once: every cut of them would decode and key all webhooks again
+    fx.worker_events(queue.keyed_arrivals(catalog.queue_arrivals(spark, sf_dir))).write.parquet(f"{root}/events")
+    events = spark.read.parquet(f"{root}/events")
     for n, part in enumerate(batches(events, "at")):
         part.write.parquet(f"{root}/in/part={n}")
     spark.createDataFrame([(None, "clock", None, 0, None)], retries.EVENTS).withColumn(

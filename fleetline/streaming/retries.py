@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,11 +74,21 @@ def steps(kept: tuple, rows: list[tuple[str, int, str | None]], upto: int | None
 
 
 def _frame(key: int, out: list[tuple]) -> pd.DataFrame:
-    at = pd.to_datetime([r[0] for r in out], unit="us")
-    next_at = pd.to_datetime(pd.Series([r[4] for r in out], dtype="Int64"), unit="us")
-    return pd.DataFrame({"id": key, "at": at, "seq": [r[1] for r in out], "status": [r[2] for r in out],
-                         "attempts": pd.Series([r[3] for r in out], dtype="int32"), "next_at": next_at.values,
-                         "reason": [r[5] for r in out]})
+    at, seq, status, attempts, next_at, reason = zip(*out, strict=True)
+    return pd.DataFrame({"id": key, "at": np.array(at, "datetime64[us]"), "seq": np.array(seq, np.int64), "status": status,
+                         "attempts": np.array(attempts, np.int32),
+                         "next_at": np.array(["NaT" if x is None else x for x in next_at], "datetime64[us]"), "reason": reason})
+
+
+def _ordered(frames: Iterator[pd.DataFrame]) -> list[tuple[str, int, str | None]]:
+    """Rows (kind, at, reason) of one id in order of ``(at, seq)``, a missing
+    seq last.  An id has few rows: plain lists, as a frame's own sort costs more
+    than all else that is done for the id."""
+    rows: list[tuple] = []
+    for f in frames:
+        rows += zip(f["at_us"].tolist(), f["seq"].tolist(), f["kind"].tolist(), f["reason"].tolist(), strict=True)
+    rows.sort(key=lambda r: (r[0], r[1] != r[1], r[1]))
+    return [(k, int(a), r if isinstance(r, str) else None) for a, _, k, r in rows]
 
 
 def retry_transitions(events: DataFrame, delay: str = "0 seconds", on_time: str = "event") -> DataFrame:
@@ -87,10 +98,7 @@ def retry_transitions(events: DataFrame, delay: str = "0 seconds", on_time: str
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = tuple(state.get) if state.exists else ("", 0, 0, 0, 0)
-        rows = []
-        if not state.hasTimedOut:
-            whole = pd.concat(frames).sort_values(["at_us", "seq"], kind="stable")
-            rows = [(k, int(a), None if pd.isna(r) else r) for k, a, r in zip(whole["kind"], whole["at_us"], whole["reason"], strict=True)]
+        rows = [] if state.hasTimedOut else _ordered(frames)
         if rows and all(k == "clock" for k, _, _ in rows) and not state.exists:
             return  # clock rows only move the watermark
         now = (state.getCurrentWatermarkMs() if by_event else state.getCurrentProcessingTimeMs()) * 1000

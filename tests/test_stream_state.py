@@ -242,3 +242,17 @@ def test_rollup_stream_has_late_rows_and_last_windows(spark, tmp_path):
     rollup_stream(src, store, str(tmp_path / "ck")).awaitTermination(300)
     norm = lambda d: {(r["t"], r["code"]): round(r["rate"], 9) for r in d.collect()}
     assert norm(store.rate(["code"])) == norm(metrics.rate_from_samples(s, keys, ["code"], window="6 hours", step="1 hour"))
+
+
+def test_rows_of_one_id_are_ordered_without_a_frame_per_id():
+    import pandas as pd
+
+    from fleetline.streaming.retries import _frame, _ordered
+
+    a = pd.DataFrame({"kind": ["result", "result"], "at_us": [20, 10], "seq": [2.0, float("nan")], "reason": ["timeout", None]})
+    b = pd.DataFrame({"kind": ["arrival"], "at_us": [10], "seq": [1.0], "reason": [None]})
+    assert _ordered(iter([a, b])) == [("arrival", 10, None), ("result", 10, None), ("result", 20, "timeout")]
+    out = _frame(7, [(1_000_000, 0, "processing", 1, None, None), (2_000_000, 1, "queued", 1, 12_000_000, "timeout")])
+    assert out["at"].tolist() == [pd.Timestamp(1, unit="s"), pd.Timestamp(2, unit="s")]
+    assert pd.isna(out["next_at"][0]) and out["next_at"][1] == pd.Timestamp(12, unit="s")
+    assert out["reason"].tolist() == [None, "timeout"] and out["attempts"].tolist() == [1, 1]
