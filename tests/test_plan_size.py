@@ -41,3 +41,15 @@ def test_padded_bodies_are_over_the_limit(spark, events):
             plain = body.rstrip(" ")
             assert len(body) - len(plain) == ((1 << 20) if n in padded else 0)
             assert plain[-1] == "}"
+
+
+def test_export_decodes_bodies_once(spark, events, monkeypatch):
+    """State, history and what is added after the instant each decoded all bodies again."""
+    from fleetline.plans import catalog
+
+    decoded, heartbeats = [], catalog.heartbeats
+    monkeypatch.setattr(catalog, "heartbeats", lambda *a, **k: decoded.append(1) or heartbeats(*a, **k))
+    got = {r.table: r.rows for r in queries()["k2_export_counts"](spark, events).collect()}
+    assert len(decoded) == 1
+    # 8 and 5008 are over the limit, 3 has an sn that is too long
+    assert got == {"status": 3, "history": 3}
