@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,12 +35,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any
-    more (their lineage was cut): it does so when the driver collects garbage,
-    which a driver with little to do may not do for hours."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark drops the shuffle files of a plan as soon as its action
+    has ended.  Else they stay until the driver collects garbage, which a driver
+    with little to do may not do for hours.  Only for frames whose lineage is
+    cut: a plan that runs again shuffles again."""
+    name, spark_conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", spark.conf
+    before = spark_conf.get(name, None)
+    spark_conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark_conf.unset(name) if before is None else spark_conf.set(name, before)
 
 
 def kept_columns(docs: DataFrame, keep: tuple[str, ...]) -> Column:

@@ -26,14 +26,14 @@ null class; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, connected_components, mix64, release
+from .common import U64, checkpointed, connected_components, mix64, shuffles_dropped
 from .near_dup import _ODD, SHINGLE, WordHash, shingle_hashes
 
 PASSAGE_WORDS = 50
@@ -41,6 +41,7 @@ SIMILARITY = 0.8
 HASHES = 3
 BATCH_WORDS = 300_000
 BLOCK = 512
+COLUMNS = 4096
 LEAD_ROWS = 16
 
 _REACH = 0xFFFF
@@ -114,6 +115,12 @@ def side_marks(shingles: np.ndarray, c: np.ndarray, first: np.ndarray, end: np.n
     return marks
 
 
+def joined_shingles(texts: list[list[str]], cache: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all texts and the number of the text of each."""
+    lengths = np.array([len(t) for t in texts])
+    return shingle_hashes(np.fromiter(map(cache.__getitem__, chain.from_iterable(texts)), U64, lengths.sum()), lengths)
+
+
 def passage_windows(docs: DataFrame, words: int = PASSAGE_WORDS, hashes: int = HASHES) -> DataFrame:
     """Rows ``(key, doc_id, place, marks)`` of all compact windows: ``key`` is hash
     function and least shingle, ``place`` packs c, c - l and r - c."""
@@ -123,9 +130,7 @@ def passage_windows(docs: DataFrame, words: int = PASSAGE_WORDS, hashes: int = H
         cache = WordHash()
 
         def out(ids: list, texts: list[list[str]]) -> Iterator[pa.RecordBatch]:
-            lengths = np.array([len(t) for t in texts])
-            flat = np.array([cache[w] for t in texts for w in t], U64)
-            number, shingles = shingle_hashes(flat, lengths)
+            number, shingles = joined_shingles(texts, cache)
             per = np.bincount(number, minlength=len(texts))
             ends = np.cumsum(per)
             starts = ends - per
@@ -158,9 +163,9 @@ def passage_windows(docs: DataFrame, words: int = PASSAGE_WORDS, hashes: int = H
 
 def text_shingles(text: str | None, cache: WordHash) -> np.ndarray:
     w = (text or "").split()
+    h = np.fromiter(map(cache.__getitem__, w), U64, len(w))
     if len(w) < SHINGLE:
-        return shingle_hashes(np.array([cache[x] for x in w], U64), np.array([len(w)]))[1] if w else np.empty(0, U64)
-    h = np.array([cache[x] for x in w], U64)
+        return shingle_hashes(h, np.array([len(w)]))[1] if w else np.empty(0, U64)
     n = len(w) - SHINGLE + 1
     return mix64(sum(h[k:k + n] * _ODD[k] for k in range(SHINGLE)))
 
@@ -177,6 +182,45 @@ def _longest(same: np.ndarray, left: int, share: float) -> tuple[int, int]:
     return (int(starts[best]), int(starts[best] + size[best])) if size[best] > 0 else (0, 0)
 
 
+def _found(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of ``x`` stand in the sorted ``ordered``."""
+    at = np.searchsorted(ordered, x)
+    at[at == len(ordered)] = 0
+    return ordered[at] == x
+
+
+def _held(same: np.ndarray, length: int, share: float) -> np.ndarray | None:
+    """Positions that some stretch of ``length`` or more holds in which ``share``
+    of the positions are set; None if there is none."""
+    if np.count_nonzero(same) < share * length - 1e-6:
+        return None
+    score = np.zeros(len(same) + 1)
+    np.cumsum(np.where(same, 1 - share, -share), out=score[1:])
+    # the first start that reaches the score of each end
+    start = np.searchsorted(-np.minimum.accumulate(score), -score - 1e-6)
+    end = np.flatnonzero(np.arange(len(score)) - start >= length)
+    if not len(end):
+        return None
+    n = len(score)
+    return np.cumsum(np.bincount(start[end], minlength=n) - np.bincount(end, minlength=n))[:-1] > 0
+
+
+def reachable(a: np.ndarray, b: np.ndarray, ordered_a: np.ndarray, ordered_b: np.ndarray, length: int,
+              similarity: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Positions of ``a`` and of ``b`` outside which no anchor can grow into a
+    passage, whatever its other end: a stretch of ``a`` over it has
+    ``grown_passage``'s share of shingles that ``b`` has too, and the stretch of
+    ``b`` beside it has ``similarity`` of its shingles in ``a`` (a Jaccard
+    similarity bounds either side's common part).  None if there are none."""
+    if not len(a) or not len(b):
+        return None
+    of_a = _held(_found(a, ordered_b), length, 2 * similarity / (1 + similarity))
+    if of_a is None:
+        return None
+    of_b = _held(_found(b, ordered_a), length, similarity)
+    return None if of_b is None else (of_a, of_b)
+
+
 def least_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: int, similarity: float) -> tuple[int, int, int, int] | None:
     """The most similar stretches of exactly ``length`` over a shared shingle, if
     they are similar enough: all pairs of such stretches are counted."""
@@ -242,6 +286,12 @@ def grown_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: in
 LINKS = "a long, b long, a_from int, a_to int, b_from int, b_to int"
 
 
+def link_batch(links: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*links, strict=True)) if links else [()] * 6
+    kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "a_from", "a_to", "b_from", "b_to"])
+
+
 def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Passages (word spans) that the anchors of each pair ``(a, b, anchors)`` grow into."""
     length = words - SHINGLE + 1
@@ -249,50 +299,65 @@ def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: f
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, sa = WordHash(), None, np.empty(0, U64)
+        cache, held, sa, ordered = WordHash(), None, np.empty(0, U64), np.empty(0, U64)
         for batch in batches:
             out = []
             for a, b, anchors, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(),
                                              batch.column(3), batch.column(4), strict=True):
                 if a != held:
                     held, sa = a, text_shingles(ta.as_py(), cache)
+                    ordered = np.sort(sa)
                 sb = text_shingles(tb.as_py(), cache)
+                may = reachable(sa, sb, ordered, np.sort(sb), length, similarity)
+                if may is None:
+                    continue
                 done: list[tuple] = []
                 seen: dict = {}
                 for x in sorted((k["x"], k["y"]) for k in anchors):
-                    if x[0] < len(sa) and x[1] < len(sb) and not any(d[0] <= x[0] < d[1] and d[2] <= x[1] < d[3] for d in done):
+                    if x[0] < len(sa) and x[1] < len(sb) and may[0][x[0]] and may[1][x[1]] and not any(
+                            d[0] <= x[0] < d[1] and d[2] <= x[1] < d[3] for d in done):
                         got = grown_passage(sa, sb, *x, length, similarity, seen)
                         if got:
                             done.append(got)
                 out += [(a, b, d[0], d[1] + SHINGLE - 1, d[2], d[3] + SHINGLE - 1) for d in done]
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "a_from", "a_to", "b_from", "b_to"])
+            yield link_batch(out)
 
     return both.select("a", "b", "anchors", "text_a", "text_b").mapInArrow(verify, LINKS)
 
 
-def block_links(block: pd.DataFrame, length: int, similarity: float) -> pd.DataFrame:
-    """Links that join different classes among the stretches of one block: rows
-    (doc_id, class_id, stretch, at, off) with the words around a shared
-    shingle, its place in them, and the place of their first word."""
-    cache = WordHash()
-    block = block.sort_values(["doc_id", "off"]).reset_index(drop=True)
-    ids, classes, centre, off = (block[c].tolist() for c in ("doc_id", "class_id", "at", "off"))
-    near = [text_shingles(t, cache) for t in block["stretch"]]
+def common_shingles(near: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two stretches have in common, repeated ones
+    counted: a product of indicator matrices."""
     shingles = np.concatenate(near)
     number = np.repeat(np.arange(len(near)), [len(x) for x in near])
     order = np.lexsort((number, shingles))
     shingles, number = shingles[order], number[order]
-    first = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (shingles[1:] != shingles[:-1])])
-    weight = np.diff(np.r_[first, len(number)])
-    shingles, number = shingles[first], number[first]  # postings: by shingle, then stretch
-    starts = np.flatnonzero(np.r_[True, shingles[1:] != shingles[:-1]])
-    held = np.diff(np.r_[starts, len(shingles)])
-    of = np.repeat(np.arange(len(starts)), held)
-    mine = np.argsort(number, kind="stable")
-    edges = np.searchsorted(number[mine], np.arange(len(ids) + 1))
-    root = {c: c for c in classes}
+    new = np.r_[True, shingles[1:] != shingles[:-1]]
+    first = np.flatnonzero(new | np.r_[True, number[1:] != number[:-1]])
+    nth = np.arange(len(number)) - np.repeat(first, np.diff(np.r_[first, len(number)]))  # of equal shingles of a stretch
+    _, column, held = np.unique((np.cumsum(new) - 1) * (int(nth.max()) + 1) + nth, return_inverse=True, return_counts=True)
+    column = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[column]
+    number, column = number[column >= 0], column[column >= 0]
+    both = np.zeros((len(near), len(near)), np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        here = (column >= low) & (column < low + COLUMNS)
+        held_by = np.zeros((len(near), min(COLUMNS, int(column.max()) + 1 - low)), np.float32)
+        held_by[number[here], column[here] - low] = 1
+        both += held_by @ held_by.T
+    return both
+
+
+def block_links(ids: list[int], classes: list[int], stretch: list[str], centre: list[int], off: list[int], length: int,
+                similarity: float, cache: WordHash) -> list[tuple]:
+    """Links that join different classes among the stretches of one block, in
+    order of document and place: of each the words around a shared shingle, its
+    place in them, and the place of their first word."""
+    named = np.array(classes)
+    if (named == named[0]).all():
+        return []
+    number, shingles = joined_shingles([t.split() for t in stretch], cache)
+    near = np.split(shingles, np.cumsum(np.bincount(number, minlength=len(stretch)))[:-1])
+    root, out = {c: c for c in classes}, []
 
     def top(c: int) -> int:
         while root[c] != c:
@@ -301,21 +366,52 @@ def block_links(block: pd.DataFrame, length: int, similarity: float) -> pd.DataF
         return c
 
     enough = 2 * similarity / (1 + similarity) * length - 1e-9  # what two such passages have in common at least
-    out = []
-    for i in range(len(ids)):
-        own = mine[edges[i]:edges[i + 1]]
-        n = held[of[own]]
-        at = np.repeat(starts[of[own]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        both = np.bincount(number[at], weights=np.minimum(np.repeat(weight[own], n), weight[at]), minlength=len(ids))
-        for j in np.flatnonzero(both >= enough).tolist():
-            if j > i and top(classes[i]) != top(classes[j]):
-                got = grown_passage(near[i], near[j], centre[i], centre[j], length, similarity)
-                if got:
-                    a, b = top(classes[i]), top(classes[j])
-                    root[max(a, b)] = min(a, b)
-                    out.append((ids[i], ids[j], off[i] + got[0], off[i] + got[1] + SHINGLE - 1, off[j] + got[2], off[j] + got[3] + SHINGLE - 1))
-    return pd.DataFrame(out, columns=["a", "b", "a_from", "a_to", "b_from", "b_to"]).astype(
-        {"a": "int64", "b": "int64", "a_from": "int32", "a_to": "int32", "b_from": "int32", "b_to": "int32"})
+    alike = (common_shingles(near) >= enough) & (named[:, None] != named)
+    ordered: dict = {}
+    for i, j in zip(*(k.tolist() for k in np.triu(alike, 1).nonzero()), strict=True):
+        a, b = top(classes[i]), top(classes[j])
+        if a == b:
+            continue
+        for k in (i, j):
+            if k not in ordered:
+                ordered[k] = np.sort(near[k])
+        may = reachable(near[i], near[j], ordered[i], ordered[j], length, similarity)
+        if may is None or not may[0][centre[i]] or not may[1][centre[j]]:
+            continue
+        got = grown_passage(near[i], near[j], centre[i], centre[j], length, similarity)
+        if got:
+            root[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[j], off[i] + got[0], off[i] + got[1] + SHINGLE - 1, off[j] + got[2], off[j] + got[3] + SHINGLE - 1))
+    return out
+
+
+def linked_blocks(rows: DataFrame, length: int, similarity: float) -> DataFrame:
+    """``block_links`` of each block: rows are dealt by block and sorted, so that
+    a task has the rows of one block after another."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, held, block, links = WordHash(), None, [], []
+
+        def compared() -> list[tuple]:
+            _, ids, off, centre, classes, stretch = zip(*block, strict=True)
+            return block_links(ids, classes, stretch, centre, off, length, similarity, cache)
+
+        for b in batches:
+            of = list(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+            for key, *rest in zip(of, *(b.column(k).to_pylist() for k in range(3, 8)), strict=True):
+                if key != held:
+                    links += compared() if block else []
+                    held, block = key, []
+                row = (key, *rest)
+                if not block or row[:4] != block[-1][:4]:  # a place once
+                    block.append(row)
+            yield link_batch(links)
+            links = []
+        if block:
+            yield link_batch(compared())
+
+    order = ["key", "p", "q", "doc_id", "off", "at"]
+    dealt = rows.select(*order, "class_id", "stretch").repartition("key", "p", "q").sortWithinPartitions(*order)
+    return dealt.mapInArrow(compare, LINKS)
 
 
 def stretches(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -352,8 +448,7 @@ def links_in_mixed_groups(shared: DataFrame, classes: DataFrame, texts: DataFram
     rows = placed.join(mixed.select("key", blocks.alias("blocks")), "key").select(
         "key", "doc_id", "place", "class_id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc_id", "place", "class_id")
-    return stretches(rows, texts, length).groupBy("key", "p", "q").applyInPandas(
-        lambda block: block_links(block.drop_duplicates(["doc_id", "off", "at"]), length, similarity), LINKS)
+    return linked_blocks(stretches(rows, texts, length), length, similarity)
 
 
 def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similarity: float = SIMILARITY,
@@ -362,48 +457,47 @@ def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similar
     class named by its least doc_id, and the verified passages between
     different texts as word spans ``(a, b, a_from, a_to, b_from, b_to)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    content = F.unhex(F.md5(F.encode("text", "UTF-8")))
-    equal = docs.where("doc_id is not null").where(F.rlike("text", F.lit(r"\S"))).select("doc_id", content.alias("content"))
-    rep_of = checkpointed(equal.join(equal.groupBy("content").agg(F.min("doc_id").alias("rep")), "content").select("doc_id", "rep").distinct())
-    reach = lambda p, by: F.shiftright(p, by).bitwiseAND(F.lit(_REACH))
-    # dealt once by key: a window over the key tells whether another document meets there
-    windows = passage_windows(docs, words, hashes)
-    same = Window.partitionBy("key")
-    met = windows.select("*", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi")).where("lo < hi").drop("lo", "hi")
-    # of equal texts one takes part
-    met = met.join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    # places of one text that look alike on both sides (a text that repeats itself): the one with most room
-    met = met.groupBy("doc_id", "key", "marks").agg(F.max_by("place", F.struct(reach("place", 16) + reach("place", 0), -F.col("place"))).alias("place"))
-    met, windows = checkpointed(met), None
-    release(docs.sparkSession)  # the windows of texts that meet no other are most of the disk
-    mark = [F.shiftright("marks", 10 * k).bitwiseAND(F.lit(1023)) for k in range(6)]
-    met = met.select("doc_id", "place", F.explode(F.array(*[
-        F.when(m > 0, F.xxhash64("key", F.lit(k), m)) for k, m in enumerate(mark)])).alias("key")).where("key is not null").repartition("key")
-    groups = met.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"),
-                                    F.bit_xor(F.xxhash64("doc_id", "place")).alias("members")).where("lead < last")
-    # of groups with the same places (the blocks of one exact repeat) one is enough
-    groups = groups.groupBy("lead", "last", "members").agg(F.min("key").alias("key"))
-    shared = checkpointed(met.join(groups.select("key", "lead"), "key"))
-    # all places of a first document that repeats itself, in bounded rows
-    leads = shared.where("doc_id = lead").groupBy("key", F.pmod(F.xxhash64("place"), F.lit(LEAD_ROWS)).alias("part")).agg(
-        F.collect_set("place").alias("lead_places")).select("key", "lead_places")
-    overlap = lambda x: F.least(reach("place", 16), reach(x, 16)) + F.least(reach("place", 0), reach(x, 0)) + 1
-    near = F.filter("lead_places", lambda x: overlap(x) >= (words - SHINGLE + 1) * similarity)
-    pairs = shared.where("doc_id > lead").join(leads, "key").select("lead", "doc_id", "place", near.alias("near")).where(F.size("near") > 0).groupBy(
-        F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.array_distinct(F.flatten(F.collect_set(F.transform("near", lambda x: F.struct(
-            F.shiftright(x, 32).cast("int").alias("x"), F.shiftright("place", 32).cast("int").alias("y")))))).alias("anchors"))
-    pairs = checkpointed(pairs)
-    release(docs.sparkSession)
-    several = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
-    asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).unionAll(
-        shared.join(several, "key", "left_semi").select("doc_id")).distinct()
-    texts = checkpointed(docs.join(asked, "doc_id"))
-    links = checkpointed(verified_links(pairs, texts, words, similarity))
-    classes = connected_components(links.select("a", "b"))
-    more = checkpointed(links_in_mixed_groups(shared, classes, texts, words, similarity))
-    if not more.isEmpty():
-        links = links.unionAll(more)
+    with shuffles_dropped(docs.sparkSession):  # the windows of texts that meet no other are most of the disk
+        content = F.unhex(F.md5(F.encode("text", "UTF-8")))
+        equal = docs.where("doc_id is not null").where(F.rlike("text", F.lit(r"\S"))).select("doc_id", content.alias("content"))
+        rep_of = checkpointed(equal.join(equal.groupBy("content").agg(F.min("doc_id").alias("rep")), "content").select("doc_id", "rep").distinct())
+        reach = lambda p, by: F.shiftright(p, by).bitwiseAND(F.lit(_REACH))
+        # dealt once by key: a window over the key tells whether another document meets there
+        windows = passage_windows(docs, words, hashes)
+        same = Window.partitionBy("key")
+        met = windows.select("*", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi")).where("lo < hi").drop("lo", "hi")
+        # of equal texts one takes part
+        met = met.join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+        # places of one text that look alike on both sides (a text that repeats itself): the one with most room
+        met = met.groupBy("doc_id", "key", "marks").agg(F.max_by("place", F.struct(reach("place", 16) + reach("place", 0), -F.col("place"))).alias("place"))
+        met = checkpointed(met)
+        mark = [F.shiftright("marks", 10 * k).bitwiseAND(F.lit(1023)) for k in range(6)]
+        met = met.select("doc_id", "place", F.explode(F.array(*[
+            F.when(m > 0, F.xxhash64("key", F.lit(k), m)) for k, m in enumerate(mark)])).alias("key")).where("key is not null").repartition("key")
+        groups = met.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"),
+                                        F.bit_xor(F.xxhash64("doc_id", "place")).alias("members")).where("lead < last")
+        # of groups with the same places (the blocks of one exact repeat) one is enough
+        groups = groups.groupBy("lead", "last", "members").agg(F.min("key").alias("key"))
+        shared = checkpointed(met.join(groups.select("key", "lead"), "key"))
+        # all places of a first document that repeats itself, in bounded rows
+        leads = shared.where("doc_id = lead").groupBy("key", F.pmod(F.xxhash64("place"), F.lit(LEAD_ROWS)).alias("part")).agg(
+            F.collect_set("place").alias("lead_places")).select("key", "lead_places")
+        overlap = lambda x: F.least(reach("place", 16), reach(x, 16)) + F.least(reach("place", 0), reach(x, 0)) + 1
+        near = F.filter("lead_places", lambda x: overlap(x) >= (words - SHINGLE + 1) * similarity)
+        pairs = shared.where("doc_id > lead").join(leads, "key").select("lead", "doc_id", "place", near.alias("near")).where(F.size("near") > 0).groupBy(
+            F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.array_distinct(F.flatten(F.collect_set(F.transform("near", lambda x: F.struct(
+                F.shiftright(x, 32).cast("int").alias("x"), F.shiftright("place", 32).cast("int").alias("y")))))).alias("anchors"))
+        pairs = checkpointed(pairs)
+        several = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
+        asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).unionAll(
+            shared.join(several, "key", "left_semi").select("doc_id")).distinct()
+        texts = checkpointed(docs.join(asked, "doc_id"))
+        links = checkpointed(verified_links(pairs, texts, words, similarity))
         classes = connected_components(links.select("a", "b"))
+        more = checkpointed(links_in_mixed_groups(shared, classes, texts, words, similarity))
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            classes = connected_components(links.select("a", "b"))
     named = rep_of.join(classes.select(F.col("id").alias("rep"), "class_id"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("class_id", "rep")).alias("class_id"))
     result = docs.select("doc_id").join(named, "doc_id", "left").select(

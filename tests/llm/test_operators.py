@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -320,6 +321,49 @@ def test_passages_meet_every_place_of_the_first_document(spark):
     assert {(r.a, r.b) for r in links.collect()} == {(a, a + 1) for a in range(0, 240, 2)}
 
 
+def test_anchors_out_of_reach_grow_no_passage():
+    rng, length, grown, kept = random.Random(17), 12, 0, 0
+    for _ in range(60):
+        vocabulary = rng.choice([6, 20, 300])
+        a = np.array([rng.randrange(1, vocabulary) for _ in range(rng.randrange(1, 70))], np.uint64)
+        b = np.array([rng.randrange(1, vocabulary) if rng.random() < 0.15 else int(x) for x in a[rng.randrange(3):]]
+                     + [rng.randrange(1, vocabulary) for _ in range(rng.randrange(20))], np.uint64)
+        may = passages.reachable(a, b, np.sort(a), np.sort(b), length, passages.SIMILARITY)
+        for i in range(len(a)):
+            for j in np.flatnonzero(b == a[i]).tolist():
+                got = passages.grown_passage(a, b, i, j, length, passages.SIMILARITY)
+                reach = may is not None and may[0][i] and may[1][j]
+                assert reach or got is None, (i, j)
+                grown, kept = grown + (got is not None), kept + bool(reach)
+    assert 0 < grown <= kept
+
+
+def test_common_shingles_are_multiset_intersections(monkeypatch):
+    monkeypatch.setattr(passages, "COLUMNS", 3)
+    rng = random.Random(19)
+    near = [np.array([rng.randrange(9) for _ in range(rng.randrange(1, 15))], np.uint64) for _ in range(8)]
+    count = [collections.Counter(x.tolist()) for x in near]
+    got = passages.common_shingles(near)
+    assert all(got[i, j] == sum((count[i] & count[j]).values()) for i in range(8) for j in range(8) if i != j)
+    apart = passages.common_shingles([np.array([1], np.uint64), np.array([2], np.uint64)])
+    assert not apart.any()
+
+
+def test_passages_leave_no_shuffle_files(spark, docs):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {str(b) for b in blocks.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before = shuffled()
+    classes, links = passages.near_duplicate_passages(docs)
+    for _ in range(20):  # Spark drops them in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.5)
+    assert not shuffled() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") != "true"
+    first = sorted(map(tuple, classes.collect()))
+    assert first == sorted(map(tuple, classes.collect())) and links.count() > 0
+
+
 def test_passages_empty_table(spark, docs):
     classes, links = passages.near_duplicate_passages(docs.limit(0))
     assert classes.count() == 0 and links.count() == 0
