@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetline.operators import ingest, queue, state
 from fleetline.operators.state import sn_key
+from fleetline.plans import stored
 from fleetline.session import ensure_semantics
 from fleetline.sources.buckets import BUCKET, PART, BucketTable, with_bucket
 from fleetline.streaming.history_table import HISTORY, HistoryTable
@@ -212,3 +213,16 @@ def test_drain_batch_that_runs_again_drains_nothing_more(spark, tmp_path):
     assert rows_of(drain_batch(spark, sink, "2024-02-01 00:00:00", 0, 10)) == first and len(first) == 20
     assert QueueStore(spark, f"{sink}/queue").open_events().count() == 20
     assert drain_batch(spark, sink, "2023-01-01 00:00:00", 1, 10).count() == 0  # nothing is ready then
+
+
+def test_h4_decodes_on_all_cores(spark, monkeypatch):
+    """A feed in one split is dealt to all shuffle partitions before its bodies are decoded."""
+    ensure_semantics(spark)
+    rows = spark.createDataFrame([(n, T0 + dt.timedelta(hours=n), f'{{"sn":"d{n % 7}","cpu_pct":{n % 100}}}') for n in range(700)],
+                                 "seq long, received_at timestamp_ntz, body string").coalesce(1)
+    classify, seen = ingest.classify_heartbeat, []
+    monkeypatch.setattr(stored.fx, "heartbeat_arrivals", lambda *_: rows)
+    monkeypatch.setattr(stored.ingest, "classify_heartbeat", lambda part: seen.append(part.rdd.getNumPartitions()) or classify(part))
+    got = stored.h4_stored_state(spark, "")
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))] * 4
+    assert rows_of(got) == rows_of(state.latest_state(classify(rows)))
