@@ -35,6 +35,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it a Python task is handed at most ``rows`` rows at a time: with
+    two texts in a row the usual 10,000 take an executor's memory."""
+    name, spark_conf = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf
+    before = spark_conf.get(name, None)
+    spark_conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark_conf.unset(name) if before is None else spark_conf.set(name, before)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Within it Spark drops the shuffle files of a plan as soon as its action

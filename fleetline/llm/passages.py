@@ -33,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, connected_components, mix64, shuffles_dropped
+from .common import U64, batch_rows, checkpointed, connected_components, mix64, shuffles_dropped
 from .near_dup import _ODD, SHINGLE, WordHash, shingle_hashes
 
 PASSAGE_WORDS = 50
 SIMILARITY = 0.8
 HASHES = 3
 BATCH_WORDS = 300_000
+BATCH_ROWS = 1_000
 BLOCK = 512
 COLUMNS = 4096
 LEAD_ROWS = 16
@@ -205,6 +206,27 @@ def _held(same: np.ndarray, length: int, share: float) -> np.ndarray | None:
     return np.cumsum(np.bincount(start[end], minlength=n) - np.bincount(end, minlength=n))[:-1] > 0
 
 
+def numbered(a: np.ndarray, b: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Both sequences with the shingles they share as 0, 1, ... and the others
+    as -1 in ``a`` and -2 in ``b``, and how many are shared; ``in_b`` tells
+    which of ``a`` stand in ``b``."""
+    shared = np.unique(a[in_b])
+    x, y = np.full(len(a), -1), np.full(len(b), -2)
+    if len(shared):
+        x[in_b] = np.searchsorted(shared, a[in_b])
+        in_a = _found(b, shared)
+        y[in_a] = np.searchsorted(shared, b[in_a])
+    return x, y, len(shared)
+
+
+def _among(x: np.ndarray, y: np.ndarray, kinds: int) -> np.ndarray:
+    """Which of the numbered ``x`` stand in the numbered ``y``."""
+    there = np.zeros(kinds + 2, bool)  # the last two are for -1 and -2
+    there[y] = True
+    there[kinds:] = False
+    return there[x]
+
+
 def reachable(a: np.ndarray, b: np.ndarray, ordered_a: np.ndarray, ordered_b: np.ndarray, length: int,
               similarity: float) -> tuple[np.ndarray, np.ndarray] | None:
     """Positions of ``a`` and of ``b`` outside which no anchor can grow into a
@@ -240,12 +262,33 @@ def least_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: in
     return s + int(i), s + int(i) + length, t + int(j), t + int(j) + length
 
 
+def reachable_pair(a: np.ndarray, b: np.ndarray, length: int, similarity: float) -> tuple | None:
+    """``reachable`` and ``numbered`` of a pair: None, or (positions of a, positions of b, a, b, kinds)."""
+    if not len(a) or not len(b):
+        return None
+    in_b = _found(a, np.sort(b))
+    of_a = _held(in_b, length, 2 * similarity / (1 + similarity))
+    if of_a is None:
+        return None
+    x, y, kinds = numbered(a, b, in_b)
+    of_b = _held(y >= 0, length, similarity)
+    return None if of_b is None else (of_a, of_b, x, y, kinds)
+
+
 def grown_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: int, similarity: float,
                   seen: dict | None = None) -> tuple[int, int, int, int] | None:
+    """``grown`` of sequences of shingles."""
+    x, y, kinds = numbered(a, b, np.isin(a, b))
+    return grown(x, y, kinds, at_a, at_b, length, similarity, seen)
+
+
+def grown(a: np.ndarray, b: np.ndarray, kinds: int, at_a: int, at_b: int, length: int, similarity: float,
+          seen: dict | None = None) -> tuple[int, int, int, int] | None:
     """The longest stretch of ``a`` around a shingle shared with ``b`` (aligned
     there) that is similar enough to a stretch of ``b``: shingle spans (a from,
     to, b from, to), or None if no stretch is long enough.  Both sides hold
-    ``length`` shingles at least, unshared ones at their edges included.
+    ``length`` shingles at least, unshared ones at their edges included.  Both
+    are ``numbered``, with ``kinds`` different shared shingles.
     ``seen`` keeps what anchors of one pair with the same distance share."""
     share = 2 * similarity / (1 + similarity)  # common part of equal-length stretches at this Jaccard similarity
     left, right = min(at_a, at_b), min(len(a) - at_a, len(b) - at_b)
@@ -255,8 +298,8 @@ def grown_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: in
         aligned = xs == ys
         # where one text ends the other may go on by a passage
         first = max(0, at_a - left - length)
-        met = np.isin(a[first:at_a + right + length], b[max(0, at_b - left - length):at_b + right + length])
-        seen[at_a - at_b] = aligned, aligned | np.isin(xs, ys), first, np.r_[0, np.cumsum(met)]
+        met = _among(a[first:at_a + right + length], b[max(0, at_b - left - length):at_b + right + length], kinds)
+        seen[at_a - at_b] = aligned, aligned | _among(xs, ys, kinds), first, np.r_[0, np.cumsum(met)]
     aligned, anywhere, first, met = seen[at_a - at_b]
     if met[-1] < share * length - 1e-9:  # too little in common at this distance for any passage
         return None
@@ -266,17 +309,14 @@ def grown_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: in
         if e - s < length:
             continue
         x = xs[s:e]
-        hit = np.flatnonzero(np.isin(ys, x) if same is not aligned else aligned)
+        hit = np.flatnonzero(_among(ys, x, kinds) if same is not aligned else aligned)
         hit = hit[(hit >= s - length // 4) & (hit < e + length // 4)]
         y0, y1 = at_b - left + int(hit[0]), at_b - left + int(hit[-1]) + 1
         if y1 - y0 < length:  # unshared edges count as they do in x
             y0 = max(0, y1 - length, min(y0, len(b) - length, at_b - left + s))
             y1 = y0 + length
         y = b[y0:y1]
-        ux, cx = np.unique(x, return_counts=True)
-        uy, cy = np.unique(y, return_counts=True)
-        _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-        both = np.minimum(cx[ix], cy[iy]).sum()
+        both = np.minimum(np.bincount(x[x >= 0], minlength=kinds), np.bincount(y[y >= 0], minlength=kinds)).sum()
         if both >= similarity * (len(x) + len(y) - both) - 1e-9 and len(y) >= length:
             return at_a - left + s, at_a - left + e, y0, y1
     near = met[min(at_a + length - first, len(met) - 1)] - met[max(0, at_a - length + 1 - first)]
@@ -292,44 +332,118 @@ def link_batch(links: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "a_from", "a_to", "b_from", "b_to"])
 
 
-def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Passages (word spans) that the anchors of each pair ``(a, b, anchors)`` grow into."""
+def shingle_bits(shingles: np.ndarray) -> bytes:
+    """A table of four bits or more per shingle with a bit set for each."""
+    size = 8
+    while size < 4 * len(shingles):
+        size *= 2
+    table = np.zeros(size, bool)
+    table[(shingles & U64(size - 1)).astype(np.int64)] = True
+    return np.packbits(table).tobytes()
+
+
+def in_bits(shingles: np.ndarray, bits: bytes) -> np.ndarray:
+    """Which shingles have their bit set: all of the table's own and a few more."""
+    table = np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
+    return table[(shingles & U64(len(table) - 1)).astype(np.int64)]
+
+
+def shipped_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs as ``(stay, go, a_stays, anchors)``: the shorter text goes to the longer."""
+    size = texts.select("doc_id", F.length("text").alias("n"))
+    both = pairs.join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b").join(
+        size.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a")
+    a_stays = F.col("n_a") >= F.col("n_b")
+    return both.select(F.when(a_stays, F.col("a")).otherwise(F.col("b")).alias("stay"), F.when(a_stays, F.col("b")).otherwise(F.col("a")).alias("go"),
+                       a_stays.alias("a_stays"), "anchors")
+
+
+ANCHORS = "array<struct<x:int,y:int>>"
+
+
+def pairs_in_reach(shipped: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs and anchors that ``reachable`` may leave: the longer text is held
+    against the ``shingle_bits`` of the shorter, which set too many positions
+    but miss none, so that no passage is lost and few texts travel."""
     length = words - SHINGLE + 1
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHash()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_bits(text_shingles(t.as_py(), cache)) for t in b.column(1)], pa.binary())],
+                                             ["go", "bits"])
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, held, long = WordHash(), None, np.empty(0, U64)
+        for batch in batches:
+            rows, kept = [], []
+            for k, (stay, a_stays, anchors, table, text) in enumerate(zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3, 4)),
+                                                                          batch.column(5), strict=True)):
+                if stay != held:
+                    held, long = stay, text_shingles(text.as_py(), cache)
+                if not len(long):
+                    continue
+                may = _held(in_bits(long, table), length, 2 * similarity / (1 + similarity) if a_stays else similarity)
+                side = "x" if a_stays else "y"
+                left = [] if may is None else [p for p in anchors if p[side] < len(long) and may[p[side]]]
+                if left:
+                    rows.append(k)
+                    kept.append(left)
+            some = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*some, pa.array(kept, batch.schema.field(3).type)], ["stay", "go", "a_stays", "anchors"])
+
+    tables = texts.select("doc_id", "text").join(shipped.select(F.col("go").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
+        bits, "go long, bits binary")
+    both = shipped.join(tables, "go").join(texts.select(F.col("doc_id").alias("stay"), "text"), "stay")
+    return both.select("stay", "go", "a_stays", "anchors", "bits", "text").mapInArrow(reach, f"stay long, go long, a_stays boolean, anchors {ANCHORS}")
+
+
+def verified_links(shipped: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Passages (word spans) that the anchors of each pair grow into."""
+    length = words - SHINGLE + 1
+    both = shipped.join(texts.select(F.col("doc_id").alias("go"), F.col("text").alias("text_go")), "go")
+    both = both.join(texts.select(F.col("doc_id").alias("stay"), F.col("text").alias("text_stay")), "stay")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, sa, ordered = WordHash(), None, np.empty(0, U64), np.empty(0, U64)
+        cache, held, long = WordHash(), None, np.empty(0, U64)
         for batch in batches:
             out = []
-            for a, b, anchors, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(),
-                                             batch.column(3), batch.column(4), strict=True):
-                if a != held:
-                    held, sa = a, text_shingles(ta.as_py(), cache)
-                    ordered = np.sort(sa)
-                sb = text_shingles(tb.as_py(), cache)
-                may = reachable(sa, sb, ordered, np.sort(sb), length, similarity)
+            for stay, go, a_stays, anchors, text_stay, text_go in zip(*(batch.column(i).to_pylist() for i in range(4)),
+                                                                      batch.column(4), batch.column(5), strict=True):
+                if stay != held:
+                    held, long = stay, text_shingles(text_stay.as_py(), cache)
+                short = text_shingles(text_go.as_py(), cache)
+                a, b, sa, sb = (stay, go, long, short) if a_stays else (go, stay, short, long)
+                may = reachable_pair(sa, sb, length, similarity)
                 if may is None:
                     continue
+                of_a, of_b, na, nb, kinds = may
                 done: list[tuple] = []
                 seen: dict = {}
                 for x in sorted((k["x"], k["y"]) for k in anchors):
-                    if x[0] < len(sa) and x[1] < len(sb) and may[0][x[0]] and may[1][x[1]] and not any(
+                    if x[0] < len(sa) and x[1] < len(sb) and of_a[x[0]] and of_b[x[1]] and not any(
                             d[0] <= x[0] < d[1] and d[2] <= x[1] < d[3] for d in done):
-                        got = grown_passage(sa, sb, *x, length, similarity, seen)
+                        got = grown(na, nb, kinds, *x, length, similarity, seen)
                         if got:
                             done.append(got)
                 out += [(a, b, d[0], d[1] + SHINGLE - 1, d[2], d[3] + SHINGLE - 1) for d in done]
             yield link_batch(out)
 
-    return both.select("a", "b", "anchors", "text_a", "text_b").mapInArrow(verify, LINKS)
+    return both.select("stay", "go", "a_stays", "anchors", "text_stay", "text_go").mapInArrow(verify, LINKS)
 
 
-def common_shingles(near: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each two stretches have in common, repeated ones
-    counted: a product of indicator matrices."""
+def common_shingles(near: list[np.ndarray], rows: np.ndarray | None = None) -> np.ndarray:
+    """How many shingles each of the stretches ``rows`` (or all) has in common
+    with each stretch, repeated ones counted: a product of indicator matrices."""
+    rows = np.arange(len(near)) if rows is None else rows
     shingles = np.concatenate(near)
     number = np.repeat(np.arange(len(near)), [len(x) for x in near])
+    both = np.zeros((len(rows), len(near)), np.float32)
+    if not sum(len(near[k]) for k in rows):
+        return both
+    if len(rows) < len(near):  # shingles that stand in none of the rows do not count
+        asked = _found(shingles, np.sort(np.concatenate([near[k] for k in rows])))
+        shingles, number = shingles[asked], number[asked]
     order = np.lexsort((number, shingles))
     shingles, number = shingles[order], number[order]
     new = np.r_[True, shingles[1:] != shingles[:-1]]
@@ -338,23 +452,30 @@ def common_shingles(near: list[np.ndarray]) -> np.ndarray:
     _, column, held = np.unique((np.cumsum(new) - 1) * (int(nth.max()) + 1) + nth, return_inverse=True, return_counts=True)
     column = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[column]
     number, column = number[column >= 0], column[column >= 0]
-    both = np.zeros((len(near), len(near)), np.float32)
     for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
         here = (column >= low) & (column < low + COLUMNS)
         held_by = np.zeros((len(near), min(COLUMNS, int(column.max()) + 1 - low)), np.float32)
         held_by[number[here], column[here] - low] = 1
-        both += held_by @ held_by.T
+        both += held_by[rows] @ held_by.T
     return both
 
 
-def block_links(ids: list[int], classes: list[int], stretch: list[str], centre: list[int], off: list[int], length: int,
+def block_links(ids: list[int], classes: list[int], sides: list[int], stretch: list[str], centre: list[int], off: list[int], length: int,
                 similarity: float, cache: WordHash) -> list[tuple]:
     """Links that join different classes among the stretches of one block, in
     order of document and place: of each the words around a shared shingle, its
-    place in them, and the place of their first word."""
-    named = np.array(classes)
+    place in them, and the place of their first word.  Stretches of side 0 meet
+    all others, those of sides 1 and 2 only the other side."""
+    named, side = np.array(classes), np.array(sides)
     if (named == named[0]).all():
         return []
+    # every pair to compare has one of these: those outside the largest class, or the smaller side
+    values, counts = np.unique(named, return_counts=True)
+    asked = np.flatnonzero(named != values[counts.argmax()])
+    if (side > 0).all():
+        asked = min(np.flatnonzero(side == 1), np.flatnonzero(side == 2), asked, key=len)
+    if not len(asked):
+        return []
     number, shingles = joined_shingles([t.split() for t in stretch], cache)
     near = np.split(shingles, np.cumsum(np.bincount(number, minlength=len(stretch)))[:-1])
     root, out = {c: c for c in classes}, []
@@ -366,19 +487,17 @@ def block_links(ids: list[int], classes: list[int], stretch: list[str], centre:
         return c
 
     enough = 2 * similarity / (1 + similarity) * length - 1e-9  # what two such passages have in common at least
-    alike = (common_shingles(near) >= enough) & (named[:, None] != named)
-    ordered: dict = {}
+    alike = np.zeros((len(near), len(near)), bool)
+    alike[asked] = (common_shingles(near, asked) >= enough) & (named[asked, None] != named) & ((side[asked, None] == 0) | (side[asked, None] != side))
+    alike |= alike.T
     for i, j in zip(*(k.tolist() for k in np.triu(alike, 1).nonzero()), strict=True):
         a, b = top(classes[i]), top(classes[j])
         if a == b:
             continue
-        for k in (i, j):
-            if k not in ordered:
-                ordered[k] = np.sort(near[k])
-        may = reachable(near[i], near[j], ordered[i], ordered[j], length, similarity)
+        may = reachable_pair(near[i], near[j], length, similarity)
         if may is None or not may[0][centre[i]] or not may[1][centre[j]]:
             continue
-        got = grown_passage(near[i], near[j], centre[i], centre[j], length, similarity)
+        got = grown(*may[2:], centre[i], centre[j], length, similarity)
         if got:
             root[max(a, b)] = min(a, b)
             out.append((ids[i], ids[j], off[i] + got[0], off[i] + got[1] + SHINGLE - 1, off[j] + got[2], off[j] + got[3] + SHINGLE - 1))
@@ -392,12 +511,12 @@ def linked_blocks(rows: DataFrame, length: int, similarity: float) -> DataFrame:
         cache, held, block, links = WordHash(), None, [], []
 
         def compared() -> list[tuple]:
-            _, ids, off, centre, classes, stretch = zip(*block, strict=True)
-            return block_links(ids, classes, stretch, centre, off, length, similarity, cache)
+            _, ids, off, centre, classes, sides, stretch = zip(*block, strict=True)
+            return block_links(ids, classes, sides, stretch, centre, off, length, similarity, cache)
 
         for b in batches:
             of = list(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
-            for key, *rest in zip(of, *(b.column(k).to_pylist() for k in range(3, 8)), strict=True):
+            for key, *rest in zip(of, *(b.column(k).to_pylist() for k in range(3, 9)), strict=True):
                 if key != held:
                     links += compared() if block else []
                     held, block = key, []
@@ -410,7 +529,7 @@ def linked_blocks(rows: DataFrame, length: int, similarity: float) -> DataFrame:
             yield link_batch(compared())
 
     order = ["key", "p", "q", "doc_id", "off", "at"]
-    dealt = rows.select(*order, "class_id", "stretch").repartition("key", "p", "q").sortWithinPartitions(*order)
+    dealt = rows.select(*order, "class_id", "side", "stretch").repartition("key", "p", "q").sortWithinPartitions(*order)
     return dealt.mapInArrow(compare, LINKS)
 
 
@@ -420,7 +539,7 @@ def stretches(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
         for b in batches:
             held, words = None, []
             out, at, off = [], [], []
-            for doc, place, text in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(6), strict=True):
+            for doc, place, text in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(7), strict=True):
                 if doc != held:
                     held, words = doc, (text.as_py() or "").split()
                 c = place >> 32
@@ -428,11 +547,38 @@ def stretches(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 out.append(" ".join(words[first:min(c + 2 * length, c + (place & _REACH)) + SHINGLE]))
                 at.append(c - first)
                 off.append(first)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(5), pa.array(out, pa.string()), pa.array(at, pa.int32()), pa.array(off, pa.int32())],
-                                             ["key", "p", "q", "doc_id", "class_id", "stretch", "at", "off"])
-
-    held = rows.join(texts, "doc_id").select("key", "p", "q", "doc_id", "place", "class_id", "text")
-    return held.mapInArrow(cut, "key long, p int, q int, doc_id long, class_id long, stretch string, at int, off int")
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(5), b.column(6), pa.array(out, pa.string()), pa.array(at, pa.int32()), pa.array(off, pa.int32())],
+                                             ["key", "p", "q", "doc_id", "class_id", "side", "stretch", "at", "off"])
+
+    held = rows.join(texts, "doc_id").select("key", "p", "q", "doc_id", "place", "class_id", "side", "text")
+    return held.mapInArrow(cut, "key long, p int, q int, doc_id long, class_id long, side int, stretch string, at int, off int")
+
+
+def dealt_members(placed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members ``(key, p, q, doc_id, place, class_id, side)`` of the groups whose
+    members other than the first document are of several classes.  A group of at
+    most ``block`` members is one block.  In a larger one those outside its
+    largest class meet, by blocks, each other and that class; the members of
+    the largest class, which are linked already, do not meet each other."""
+    per = placed.groupBy("key", "class_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("doc_id") > F.col("lead"), 1)).alias("others"))
+    other = F.when(F.col("others") > 0, F.col("class_id"))
+    mixed = per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class_id")).alias("largest"), F.min(other).alias("x"),
+                                   F.max(other).alias("y")).where("x < y")
+    small = F.col("n") <= block
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    mixed = mixed.select("key", small.alias("small"), F.col("largest.class_id").alias("largest"), blocks(F.col("largest.n")).alias("within"),
+                         blocks(F.col("n") - F.col("largest.n")).alias("outside"))
+    rows = placed.join(mixed, "key").withColumn("inside", F.col("class_id") == F.col("largest")).withColumn(
+        "own", F.pmod(F.xxhash64("doc_id", "place"), F.when(F.col("inside"), F.col("within")).otherwise(F.col("outside"))).cast("int"))
+    cell = lambda p, q, side: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    none, own = F.lit(0), F.col("own")
+    meets_outside = F.transform(upto(F.col("outside")), lambda o: cell(-1 - F.least(own, o), F.greatest(own, o), F.when(own == o, 0).when(own < o, 1).otherwise(2)))
+    meets_within = F.transform(upto(F.col("within")), lambda p: cell(p, own, F.lit(1)))
+    cells = F.when(F.col("small"), F.array(cell(none, none, none))).when(
+        F.col("inside"), F.transform(upto(F.col("outside")), lambda q: cell(own, q, F.lit(2)))).otherwise(F.concat(meets_within, meets_outside))
+    return rows.select("key", F.explode(cells).alias("cell"), "doc_id", "place", "class_id").select(
+        "key", "cell.p", "cell.q", "doc_id", "place", "class_id", "cell.side")
 
 
 def links_in_mixed_groups(shared: DataFrame, classes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -440,15 +586,7 @@ def links_in_mixed_groups(shared: DataFrame, classes: DataFrame, texts: DataFram
     length = words - SHINGLE + 1
     placed = shared.join(classes.select(F.col("id").alias("doc_id"), "class_id"), "doc_id", "left").withColumn(
         "class_id", F.coalesce("class_id", "doc_id"))
-    other = F.when(F.col("doc_id") > F.col("lead"), F.col("class_id"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min(other).alias("x"), F.max(other).alias("y"),
-                                      F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).where("x < y")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", "place"), F.col("blocks")).cast("int")
-    rows = placed.join(mixed.select("key", blocks.alias("blocks")), "key").select(
-        "key", "doc_id", "place", "class_id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc_id", "place", "class_id")
-    return linked_blocks(stretches(rows, texts, length), length, similarity)
+    return linked_blocks(stretches(dealt_members(placed), texts, length), length, similarity)
 
 
 def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similarity: float = SIMILARITY,
@@ -457,7 +595,7 @@ def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similar
     class named by its least doc_id, and the verified passages between
     different texts as word spans ``(a, b, a_from, a_to, b_from, b_to)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with shuffles_dropped(docs.sparkSession):  # the windows of texts that meet no other are most of the disk
+    with shuffles_dropped(docs.sparkSession), batch_rows(docs.sparkSession, BATCH_ROWS):  # the windows of texts that meet no other are most of the disk
         content = F.unhex(F.md5(F.encode("text", "UTF-8")))
         equal = docs.where("doc_id is not null").where(F.rlike("text", F.lit(r"\S"))).select("doc_id", content.alias("content"))
         rep_of = checkpointed(equal.join(equal.groupBy("content").agg(F.min("doc_id").alias("rep")), "content").select("doc_id", "rep").distinct())
@@ -492,6 +630,7 @@ def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similar
         asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).unionAll(
             shared.join(several, "key", "left_semi").select("doc_id")).distinct()
         texts = checkpointed(docs.join(asked, "doc_id"))
+        pairs = checkpointed(pairs_in_reach(shipped_pairs(pairs, texts), texts, words, similarity))
         links = checkpointed(verified_links(pairs, texts, words, similarity))
         classes = connected_components(links.select("a", "b"))
         more = checkpointed(links_in_mixed_groups(shared, classes, texts, words, similarity))

@@ -349,6 +349,51 @@ def test_common_shingles_are_multiset_intersections(monkeypatch):
     assert not apart.any()
 
 
+def test_mixed_groups_grow_with_their_members_and_lose_no_pair(spark):
+    block, of = 20, {d: 1 if d <= 300 else d for d in range(1, 331)}  # one class of 300 and 30 others
+    placed = spark.createDataFrame([(7, d, 0, 1, c) for d, c in of.items()] + [(8, d, 0, 1, d % 3) for d in range(1, 10)],
+                                   "key long, doc_id long, place long, lead long, class_id long")
+    rows = passages.dealt_members(placed, block).collect()
+    small = [r for r in rows if r.key == 8]
+    assert len(small) == 9 and {(r.p, r.q, r.side) for r in small} == {(0, 0, 0)}
+    large = [r for r in rows if r.key == 7]
+    assert len(large) <= 300 * 2 + 30 * (15 + 2)  # all members to all blocks: 330 * 17
+    cells, met = collections.defaultdict(list), collections.Counter()
+    for r in large:
+        cells[r.p, r.q].append(r)
+    for cell in cells.values():
+        met.update((min(x.doc_id, y.doc_id), max(x.doc_id, y.doc_id)) for i, x in enumerate(cell) for y in cell[:i]
+                   if of[x.doc_id] != of[y.doc_id] and (x.side == 0 or x.side != y.side))
+    assert met == {(a, b): 1 for a in of for b in range(max(a, 300) + 1, 331)}
+
+
+def test_block_links_of_two_sides_join_only_across():
+    rng, cache = random.Random(23), passages.WordHash()
+    same, other = (" ".join(words(rng, 80, 10 ** 6)) for _ in range(2))
+    length = passages.PASSAGE_WORDS - passages.SHINGLE + 1
+    found = lambda sides, texts: [x[:2] for x in passages.block_links(
+        [1, 2, 3, 4], [1, 2, 3, 3], sides, texts, [40] * 4, [0] * 4, length, passages.SIMILARITY, cache)]
+    assert found([0] * 4, [same] * 4) == [(1, 2), (1, 3)]
+    assert found([1, 1, 2, 2], [same] * 4) == [(1, 3), (2, 3)]
+    assert found([1, 1, 2, 2], [same, same, other, other]) == []
+
+
+def test_shingle_bits_keep_pairs_in_reach(spark):
+    rng = random.Random(29)
+    length = passages.PASSAGE_WORDS - passages.SHINGLE + 1
+    for n in (0, 1, 7, 400):
+        x = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        assert passages.in_bits(x, passages.shingle_bits(x)).all()
+    passage, chance = words(rng, 50, 10 ** 6), words(rng, 20, 10 ** 6)
+    texts = [" ".join([*words(rng, before, 10 ** 6), *p, *words(rng, 60, 10 ** 6)]) for before, p in ((40, passage), (400, passage), (30, chance), (90, chance))]
+    docs = frame(spark, texts)
+    pairs = spark.createDataFrame([(0, 1, [(60, 420)]), (1, 0, [(420, 60)]), (2, 3, [(35, 95)])], "a long, b long, anchors " + passages.ANCHORS)
+    left = passages.pairs_in_reach(passages.shipped_pairs(pairs, docs), docs, passages.PASSAGE_WORDS, passages.SIMILARITY)
+    assert {(r.stay, r.go, r.a_stays) for r in left.collect()} == {(1, 0, False), (1, 0, True)}  # one shared line of 20 words is no passage
+    links = {(r.a, r.b, r.a_to - r.a_from >= length) for r in passages.verified_links(left, docs, passages.PASSAGE_WORDS, passages.SIMILARITY).collect()}
+    assert links == {(0, 1, True), (1, 0, True)}
+
+
 def test_passages_leave_no_shuffle_files(spark, docs):
     blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffled = lambda: {str(b) for b in blocks.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
