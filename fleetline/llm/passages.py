@@ -350,7 +350,7 @@ def in_bits(shingles: np.ndarray, bits: bytes) -> np.ndarray:
 
 def shipped_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs as ``(stay, go, a_stays, anchors)``: the shorter text goes to the longer."""
-    size = texts.select("doc_id", F.length("text").alias("n"))
+    size = texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))  # a document may have several rows
     both = pairs.join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b").join(
         size.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a")
     a_stays = F.col("n_a") >= F.col("n_b")
@@ -395,7 +395,9 @@ def pairs_in_reach(shipped: DataFrame, texts: DataFrame, words: int, similarity:
     tables = texts.select("doc_id", "text").join(shipped.select(F.col("go").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
         bits, "go long, bits binary")
     both = shipped.join(tables, "go").join(texts.select(F.col("doc_id").alias("stay"), "text"), "stay")
-    return both.select("stay", "go", "a_stays", "anchors", "bits", "text").mapInArrow(reach, f"stay long, go long, a_stays boolean, anchors {ANCHORS}")
+    left = both.select("stay", "go", "a_stays", "anchors", "bits", "text").mapInArrow(reach, f"stay long, go long, a_stays boolean, anchors {ANCHORS}")
+    # of documents with several rows each two rows are held against each other
+    return left.groupBy("stay", "go", "a_stays").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
 
 
 def verified_links(shipped: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:

@@ -394,6 +394,16 @@ def test_shingle_bits_keep_pairs_in_reach(spark):
     assert links == {(0, 1, True), (1, 0, True)}
 
 
+def test_sifted_pairs_of_repeated_rows_stay_one_pair(spark):
+    rng = random.Random(31)
+    passage = words(rng, 60, 10 ** 6)
+    texts = [" ".join([*words(rng, n, 10 ** 6), *passage]) for n in (20, 200)]
+    docs = frame(spark, [texts[0], texts[0], texts[1], texts[1]], ids=[1, 1, 2, 2])
+    pairs = spark.createDataFrame([(1, 2, [(40, 220)])], "a long, b long, anchors " + passages.ANCHORS)
+    left = passages.pairs_in_reach(passages.shipped_pairs(pairs, docs), docs, passages.PASSAGE_WORDS, passages.SIMILARITY)
+    assert [(r.stay, r.go, r.a_stays, [tuple(x) for x in r.anchors]) for r in left.collect()] == [(2, 1, False, [(40, 220)])]
+
+
 def test_passages_leave_no_shuffle_files(spark, docs):
     blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffled = lambda: {str(b) for b in blocks.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
