@@ -22,6 +22,8 @@ id that is not processing (late, or never claimed) changes nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,14 @@ from fleetline.operators.queue import BACKOFF_BASE_S, BACKOFF_CAP_S, MAX_ATTEMPT
 
 EVENTS = "id long, kind string, at timestamp_ntz, seq long, reason string"
 OUTPUT = "id long, at timestamp_ntz, seq long, status string, attempts int, next_at timestamp_ntz, reason string"
-KEPT = "status string, attempts int, next_us long, at_us long, written long"
+KEPT = "ids binary"  # rows of ``KEPT_ROW``, one per id
+KEPT_ROW = np.dtype([("id", "<i8"), ("status", "<i1"), ("attempts", "<i4"), ("next_us", "<i8"), ("at_us", "<i8"), ("written", "<i8")])
+STATUSES = ("", "queued", "processing", "done", "dead")
+SPAN = 1 << 10
+NEW = ("", 0, 0, 0, 0)
 SECOND = 1_000_000
+NAT = np.datetime64("NaT").astype(np.int64)
+LAST = 2**63 - 1
 
 
 def steps(kept: tuple, rows: list[tuple[str, int, str | None]], upto: int | None) -> tuple[tuple, list[tuple]]:
@@ -73,22 +81,49 @@ def steps(kept: tuple, rows: list[tuple[str, int, str | None]], upto: int | None
     return (status, attempts, due, at, written), out
 
 
-def _frame(key: int, out: list[tuple]) -> pd.DataFrame:
-    at, seq, status, attempts, next_at, reason = zip(*out, strict=True)
-    return pd.DataFrame({"id": key, "at": np.array(at, "datetime64[us]"), "seq": np.array(seq, np.int64), "status": status,
+def packed(kept: dict[int, tuple]) -> bytes:
+    return np.array([(i, STATUSES.index(k[0]), *k[1:]) for i, k in kept.items()], KEPT_ROW).tobytes()
+
+
+def unpacked(ids: bytes) -> dict[int, tuple]:
+    return {i: (STATUSES[status], *rest) for i, status, *rest in np.frombuffer(ids, KEPT_ROW).tolist()}
+
+
+def span_steps(kept: dict[int, tuple], rows: list[tuple], now: int) -> list[tuple]:
+    """Transitions of the ids of a span, ``kept`` brought up to date: ``rows`` (id,
+    at, seq, kind, reason) in order, and the timers that ``now`` has reached for
+    ids with rows and passed for the others, as timers of their own would fire."""
+    out: list[tuple] = []
+    for i, own in groupby(rows, itemgetter(0)):
+        told = [(kind, when, reason) for _, when, _, kind, reason in own if kind != "clock"]
+        if told or i in kept:  # clock rows only move the watermark
+            kept[i], done = steps(kept.get(i, NEW), told, now)
+            out += [(i, *d) for d in done]
+    for i, k in kept.items():
+        if k[0] == "queued" and -(-k[2] // 1000) * 1000 < now:
+            kept[i], done = steps(k, [], now)
+            out += [(i, *d) for d in done]
+    return out
+
+
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    key, at, seq, status, attempts, next_at, reason = zip(*out, strict=True)
+    return pd.DataFrame({"id": np.array(key, np.int64), "at": np.array(at, "datetime64[us]"), "seq": np.array(seq, np.int64), "status": status,
                          "attempts": np.array(attempts, np.int32),
-                         "next_at": np.array(["NaT" if x is None else x for x in next_at], "datetime64[us]"), "reason": reason})
+                         "next_at": np.array([NAT if x is None else x for x in next_at], np.int64).view("datetime64[us]"), "reason": reason})
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> list[tuple[str, int, str | None]]:
-    """Rows (kind, at, reason) of one id in order of ``(at, seq)``, a missing
-    seq last.  An id has few rows: plain lists, as a frame's own sort costs more
-    than all else that is done for the id."""
+def _ordered(frames: Iterator[pd.DataFrame]) -> list[tuple]:
+    """Rows (id, at, seq, kind, reason) of a span by id, each id's in order of
+    ``(at, seq)``.  Plain lists, as an id has few rows."""
     rows: list[tuple] = []
     for f in frames:
-        rows += zip(f["at_us"].tolist(), f["seq"].tolist(), f["kind"].tolist(), f["reason"].tolist(), strict=True)
-    rows.sort(key=lambda r: (r[0], r[1] != r[1], r[1]))
-    return [(k, int(a), r if isinstance(r, str) else None) for a, _, k, r in rows]
+        if f["at_us"].hasnans:
+            raise ValueError("a row has no time")
+        reasons = [r if isinstance(r, str) else None for r in f["reason"].tolist()]
+        rows += zip(f["id"].tolist(), f["at_us"].tolist(), f["seq"].tolist(), f["kind"].tolist(), reasons, strict=True)
+    rows.sort(key=itemgetter(0, 1, 2))
+    return rows
 
 
 def retry_transitions(events: DataFrame, delay: str = "0 seconds", on_time: str = "event") -> DataFrame:
@@ -97,28 +132,31 @@ def retry_transitions(events: DataFrame, delay: str = "0 seconds", on_time: str
     by_event = on_time == "event"
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = tuple(state.get) if state.exists else ("", 0, 0, 0, 0)
+        kept = unpacked(state.get[0]) if state.exists else {}
         rows = [] if state.hasTimedOut else _ordered(frames)
-        if rows and all(k == "clock" for k, _, _ in rows) and not state.exists:
-            return  # clock rows only move the watermark
         now = (state.getCurrentWatermarkMs() if by_event else state.getCurrentProcessingTimeMs()) * 1000
-        kept, out = steps(kept, [r for r in rows if r[0] != "clock"], now)
-        state.update(kept)
-        if kept[0] == "queued":
-            ms = -(-kept[2] // 1000)
+        out = span_steps(kept, rows, now)
+        if not kept:
+            return
+        state.update((packed(kept),))
+        due = min((k[2] for k in kept.values() if k[0] == "queued"), default=None)
+        if due is not None:
+            ms = -(-due // 1000)
             if by_event:
-                state.setTimeoutTimestamp(max(ms, now // 1000 + 1))
+                state.setTimeoutTimestamp(max(ms, now // 1000, 1))
             else:
                 state.setTimeoutDuration(max(1, ms - now // 1000))
         if out:
-            yield _frame(key[0], out)
+            yield _frame(out)
 
-    e = events.select(F.coalesce("id", F.lit(-1)).cast("long").alias("id"), "kind", F.col("at").cast("timestamp").alias("_at"),
-                      F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), F.col("seq").cast("long").alias("seq"), "reason")
+    at = F.col("at").cast("timestamp")
+    e = events.select(F.coalesce("id", F.lit(-1)).cast("long").alias("id"), "kind", at.alias("_at"), F.unix_micros(at).alias("at_us"),
+                      F.coalesce(F.col("seq").cast("long"), F.lit(LAST)).alias("seq"), "reason")  # a missing seq is the last one
+    e = e.withColumn("span", F.shiftright("id", SPAN.bit_length() - 1))
     if by_event:
         e = e.withWatermark("_at", delay)
     timeout = GroupStateTimeout.EventTimeTimeout if by_event else GroupStateTimeout.ProcessingTimeTimeout
-    return e.groupBy("id").applyInPandasWithState(run, OUTPUT, KEPT, "append", timeout)
+    return e.groupBy("span").applyInPandasWithState(run, OUTPUT, KEPT, "append", timeout)
 
 
 def retry_stream(events: DataFrame, sink: str, checkpoint: str, delay: str = "0 seconds", on_time: str = "event",

@@ -1,6 +1,7 @@
 """State carried between batches: timers, bounded dedup, alerts, rollups.  Any
 cut of the input gives the batch result."""
 
+import collections
 import datetime as dt
 import random
 
@@ -105,6 +106,39 @@ def test_timers_fire_without_a_fold_and_equal_the_replay(spark, tmp_path, seed,
     assert folded == {i: (k[0], k[1]) for i, k in ends.items()}
 
 
+def test_ids_of_a_span_share_state(spark, tmp_path):
+    """A group of state costs milliseconds whatever it holds: 5,000 ids are a few groups."""
+    ensure_semantics(spark)
+    n, start = 5_000, retries.SPAN - 7
+    ids = [-3, *range(start, start + n)]
+    row = lambda i, kind, us, seq, reason=None: (i, kind, T0 + dt.timedelta(microseconds=us), seq, reason)
+    arrivals = [row(i, "arrival", 0, 0) for i in ids]
+    failed = [row(i, "result", 5 * S, None if i % 2 else 1, "x") for i in ids if i % 3]
+    src = tmp_path / "in"
+    for k, rows in enumerate([arrivals, failed, [row(None, "clock", 1_000 * S, 0)]]):
+        spark.createDataFrame(rows, retries.EVENTS).coalesce(1).write.parquet(str(src / f"p{k}"))
+    stream = spark.readStream.schema(retries.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+    query = retries.retry_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+    query.awaitTermination(300)
+    held = [x["stateOperators"][0]["numRowsTotal"] for x in query.recentProgress if x["stateOperators"]]
+    assert 0 < max(held) <= n // retries.SPAN + 3
+    got = collections.Counter((r["id"], r["seq"], r["status"], r["attempts"]) for r in spark.read.schema(retries.OUTPUT).parquet(str(tmp_path / "out")).collect())
+    want = collections.Counter(x for i in ids for x in [(i, 0, "processing", 1)] + ([(i, 1, "queued", 1), (i, 2, "processing", 2)] if i % 3 else []))
+    assert got == want
+
+
+def test_span_steps_fire_as_timers_of_each_id():
+    """Ids with rows reach the timers due by now, the others those before now; a
+    clock row for an unknown id leaves no state."""
+    kept = {i: ("queued", 1, 1_000 * k, 0, 3) for i, k in [(1, 5), (2, 6), (3, 7), (4, 6)]}
+    kept[5] = ("done", 1, 0, 0, 2)
+    rows = [(4, 6_000, 0, "clock", None), (5, 6_000, 0, "arrival", None), (8, 6_000, 0, "clock", None), (9, 2_000, 1, "result", "x")]
+    out = retries.span_steps(kept, rows, 6_000)
+    assert sorted((o[0], o[1], o[3], o[4]) for o in out) == [(1, 5_000, "processing", 2), (4, 6_000, "processing", 2), (5, 6_000, "processing", 1)]
+    assert {i: k[0] for i, k in kept.items()} == {1: "processing", 2: "queued", 3: "queued", 4: "processing", 5: "processing", 9: ""}
+    assert retries.unpacked(retries.packed(kept)) == kept
+
+
 # bounded dedup ----------------------------------------------------------------------------------------------------
 
 def webhooks(spark, rows):
