@@ -26,20 +26,21 @@ null class; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, batch_rows, checkpointed, connected_components, mix64, shuffles_dropped
 from .near_dup import _ODD, SHINGLE, WordHash, shingle_hashes
+from .words import word_hashes
 
 PASSAGE_WORDS = 50
 SIMILARITY = 0.8
 HASHES = 3
-BATCH_WORDS = 300_000
+PIECE_BYTES = 2_000_000
 BATCH_ROWS = 1_000
 BLOCK = 512
 COLUMNS = 4096
@@ -73,53 +74,84 @@ def compact_windows(hashes: np.ndarray, number: np.ndarray, ends: np.ndarray, le
     at = np.flatnonzero((_sliding(padded, length, np.maximum) >= hashes) & (hashes > 0))
     if not len(at):
         return none, none, none
-    first = (ends - np.bincount(number, minlength=len(ends)))
-    left, right = [0] * len(at), [0] * len(at)
-    stack: list[int] = []
-    h, pos, seq = hashes[at].tolist(), at.tolist(), number[at].tolist()
-    lo, hi = first.tolist(), ends.tolist()
-    last = -1
-    for k in range(len(at)):  # nearest smaller hashes stand among the kept positions themselves
-        if seq[k] != last:
-            for j in stack:
-                right[j] = hi[last] - 1
-            stack.clear()
-            last = seq[k]
-        x = h[k]
-        while stack and h[stack[-1]] > x:
-            right[stack.pop()] = pos[k] - 1
-        left[k] = pos[stack[-1]] + 1 if stack else lo[last]
-        stack.append(k)
-    for j in stack:
-        right[j] = hi[last] - 1
-    l, r = np.array(left), np.array(right)
+    # nearest smaller hashes stand among the kept positions themselves; a zero ends each sequence
+    first = ends - np.bincount(number, minlength=len(ends))
+    new = np.r_[True, number[at[1:]] != number[at[:-1]]]
+    slot = np.arange(len(at)) + np.cumsum(new)
+    h = np.zeros(len(at) + int(new.sum()) + 1, hashes.dtype)
+    h[slot] = hashes[at]
+    before, behind = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    before[slot] = behind[slot] = at
+    before[slot[new] - 1] = first[number[at[new]]] - 1
+    behind[slot[np.r_[new[1:], True]] + 1] = ends[number[at[new]]]
+    l, r = before[_stops(h, slot, -1)] + 1, behind[_stops(h, slot, 1)] - 1
     wide = r - l + 1 >= length
     return l[wide], at[wide], r[wide]
 
 
-def side_marks(shingles: np.ndarray, c: np.ndarray, first: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
-    """Six 10-bit min-hashes of the blocks beside each position c: three to the
-    left, three to the right, each a third of half a passage.  A block that
-    leaves the text is marked 0."""
+def _stops(h: np.ndarray, slot: np.ndarray, step: int) -> np.ndarray:
+    """The nearest place of smaller hash behind each of ``slot`` (step 1), or that
+    of equal or smaller hash before it (step -1).  Places leap over what the place
+    they stand on has leapt over, so that few rounds are needed."""
+    to = np.arange(len(h)) + step
+    left = slot
+    while True:
+        there = h[to[left]]
+        left = left[there >= h[left] if step > 0 else there > h[left]]
+        if not len(left):
+            return to[slot]
+        to[left] = to[to[left]]
+
+
+def side_minima(shingles: np.ndarray, length: int) -> list[tuple[int, int, np.ndarray]]:
+    """Of the three blocks that halve a passage in thirds: where each begins and
+    ends beside a shared shingle, and the least hash of such a block at every place."""
     half = length // 2
     cuts = [1 + half * k // 3 for k in range(4)]
     salted = mix64(shingles * U64(0xD6E8FEB86659FD93))
+    return [(a, b, _sliding(salted, b - a, np.minimum) if len(salted) >= b - a else np.empty(0, U64)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def side_marks(minima: list[tuple[int, int, np.ndarray]], c: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Six 10-bit min-hashes of the blocks beside each position c: three to the
+    left, three to the right, each a third of half a passage.  A block that
+    leaves the text is marked 0."""
     marks = np.zeros(len(c), np.int64)
-    for k in range(3):
-        size = cuts[k + 1] - cuts[k]
-        least = _sliding(salted, size, np.minimum) if len(salted) >= size else np.empty(0, U64)
-        for side, at in enumerate((c - cuts[k + 1] + 1, c + cuts[k])):
-            inside = (at >= first) & (at + size <= end)
+    for k, (near, far, least) in enumerate(minima):
+        for side, at in enumerate((c - far + 1, c + near)):
+            inside = (at >= first) & (at + far - near <= end)
             mark = np.zeros(len(c), np.int64)
             mark[inside] = (least[at[inside]] % U64(1023)).astype(np.int64) + 1
             marks |= mark << (10 * (2 * k + side))
     return marks
 
 
-def joined_shingles(texts: list[list[str]], cache: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of all texts and the number of the text of each."""
-    lengths = np.array([len(t) for t in texts])
-    return shingle_hashes(np.fromiter(map(cache.__getitem__, chain.from_iterable(texts)), U64, lengths.sum()), lengths)
+def joined_shingles(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the text of each shingle, and the shingles of joined texts."""
+    if not len(lengths) or lengths.min() < SHINGLE:
+        return shingle_hashes(words, lengths)
+    n = len(words) - SHINGLE + 1
+    h = words[:n] * _ODD[0]
+    for k in range(1, SHINGLE):
+        h += words[k:k + n] * _ODD[k]
+    whole = np.ones(n, bool)  # the last places of a text have words of the next one
+    for k in range(1, SHINGLE):
+        whole[np.cumsum(lengths)[:-1] - k] = False
+    return np.repeat(np.arange(len(lengths)), lengths - SHINGLE + 1), mix64(h[whole])
+
+
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Cuts of the texts of about ``PIECE_BYTES``, one text at least."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // PIECE_BYTES)) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True) if len(texts) else iter(())
+
+
+def each_shingles(texts: pa.Array) -> Iterator[np.ndarray]:
+    """``text_shingles`` of one text after another."""
+    for a, b in pieces(texts):
+        number, shingles = joined_shingles(*word_hashes(texts.slice(a, b - a)))
+        yield from np.split(shingles, np.cumsum(np.bincount(number, minlength=b - a))[:-1])
 
 
 def passage_windows(docs: DataFrame, words: int = PASSAGE_WORDS, hashes: int = HASHES) -> DataFrame:
@@ -128,36 +160,26 @@ def passage_windows(docs: DataFrame, words: int = PASSAGE_WORDS, hashes: int = H
     length = words - SHINGLE + 1
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
-
-        def out(ids: list, texts: list[list[str]]) -> Iterator[pa.RecordBatch]:
-            number, shingles = joined_shingles(texts, cache)
-            per = np.bincount(number, minlength=len(texts))
-            ends = np.cumsum(per)
-            starts = ends - per
-            doc = np.array(ids, np.int64)
-            for i in range(hashes):
-                salted = mix64(shingles ^ mix64(np.array([i + 1], U64)))
-                l, c, r = compact_windows((salted >> U64(32)).astype(np.uint32), number, ends, length)
-                of = number[c]
-                place = ((c - starts[of]) << 32) | (np.minimum(c - l, _REACH) << 16) | np.minimum(r - c, _REACH)
-                marks = side_marks(shingles, c, starts[of], ends[of], length)
-                yield pa.RecordBatch.from_arrays([pa.array(salted[c].view(np.int64)), pa.array(doc[of]), pa.array(place), pa.array(marks)],
-                                                 ["key", "doc_id", "place", "marks"])
-
         for b in batches:
-            ids, texts, held = [], [], 0
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = (text.as_py() or "").split()
-                if len(t) >= words:
-                    ids.append(i)
-                    texts.append(t)
-                    held += len(t)
-                if held > BATCH_WORDS:
-                    yield from out(ids, texts)
-                    ids, texts, held = [], [], 0
-            if ids:
-                yield from out(ids, texts)
+            ids = b.column(0).to_numpy()
+            for low, high in pieces(b.column(1)):
+                spelt, per = word_hashes(b.column(1).slice(low, high - low))
+                enough = per >= words
+                if not enough.any():
+                    continue
+                doc, per, spelt = ids[low:high][enough], per[enough], spelt[np.repeat(enough, per)]
+                number, shingles = joined_shingles(spelt, per)
+                ends = np.cumsum(per - SHINGLE + 1)
+                starts = ends - (per - SHINGLE + 1)
+                minima = side_minima(shingles, length)
+                for i in range(hashes):
+                    salted = mix64(shingles ^ mix64(np.array([i + 1], U64)))
+                    l, c, r = compact_windows((salted >> U64(32)).astype(np.uint32), number, ends, length)
+                    of = number[c]
+                    place = ((c - starts[of]) << 32) | (np.minimum(c - l, _REACH) << 16) | np.minimum(r - c, _REACH)
+                    marks = side_marks(minima, c, starts[of], ends[of])
+                    yield pa.RecordBatch.from_arrays([pa.array(salted[c].view(np.int64)), pa.array(doc[of]), pa.array(place), pa.array(marks)],
+                                                     ["key", "doc_id", "place", "marks"])
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(windows, "key long, doc_id long, place long, marks long")
 
@@ -173,9 +195,12 @@ def text_shingles(text: str | None, cache: WordHash) -> np.ndarray:
 
 def _longest(same: np.ndarray, left: int, share: float) -> tuple[int, int]:
     """The longest stretch over position ``left`` in which ``share`` of the positions are set."""
-    score = np.r_[0.0, np.cumsum(np.where(same, 1 - share, -share))]
+    score = np.zeros(len(same) + 1)
+    np.cumsum(np.where(same, 1 - share, -share), out=score[1:])
     tail = np.maximum.accumulate(score[left + 1:][::-1])[::-1]  # greatest score at or behind each end
-    starts = np.flatnonzero(np.r_[True, score[1:left + 1] < np.minimum.accumulate(score[:left])])
+    lower = np.ones(left + 1, bool)
+    np.less(score[1:left + 1], np.minimum.accumulate(score[:left]), out=lower[1:])
+    starts = np.flatnonzero(lower)
     # tail falls from left to right: the last end that reaches each start's score
     ends = len(tail) - np.searchsorted(tail[::-1], score[starts] - 1e-9)
     size = np.where(ends > 0, left + ends - starts, 0)
@@ -197,13 +222,13 @@ def _held(same: np.ndarray, length: int, share: float) -> np.ndarray | None:
         return None
     score = np.zeros(len(same) + 1)
     np.cumsum(np.where(same, 1 - share, -share), out=score[1:])
-    # the first start that reaches the score of each end
-    start = np.searchsorted(-np.minimum.accumulate(score), -score - 1e-6)
-    end = np.flatnonzero(np.arange(len(score)) - start >= length)
+    least = np.minimum.accumulate(score)
+    end = np.flatnonzero(least[:-length] <= score[length:] + 1e-6) + length
     if not len(end):
         return None
+    start = np.searchsorted(-least, -score[end] - 1e-6)  # the first start that reaches the score of each end
     n = len(score)
-    return np.cumsum(np.bincount(start[end], minlength=n) - np.bincount(end, minlength=n))[:-1] > 0
+    return np.cumsum(np.bincount(start, minlength=n) - np.bincount(end, minlength=n))[:-1] > 0
 
 
 def numbered(a: np.ndarray, b: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -299,7 +324,9 @@ def grown(a: np.ndarray, b: np.ndarray, kinds: int, at_a: int, at_b: int, length
         # where one text ends the other may go on by a passage
         first = max(0, at_a - left - length)
         met = _among(a[first:at_a + right + length], b[max(0, at_b - left - length):at_b + right + length], kinds)
-        seen[at_a - at_b] = aligned, aligned | _among(xs, ys, kinds), first, np.r_[0, np.cumsum(met)]
+        upto = np.zeros(len(met) + 1, np.int64)
+        np.cumsum(met, out=upto[1:])
+        seen[at_a - at_b] = aligned, aligned | _among(xs, ys, kinds), first, upto
     aligned, anywhere, first, met = seen[at_a - at_b]
     if met[-1] < share * length - 1e-9:  # too little in common at this distance for any passage
         return None
@@ -361,6 +388,22 @@ def shipped_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 ANCHORS = "array<struct<x:int,y:int>>"
 
 
+def anchors_of(column: pa.Array) -> tuple[np.ndarray, pa.Array, tuple[np.ndarray, np.ndarray]]:
+    """Of a column of ``ANCHORS`` where each row's begin, the anchors of all rows, and their x and y."""
+    at = column.flatten()
+    start = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]
+    x, y = (f.to_numpy(zero_copy_only=False) for f in at.flatten())
+    return start, at, (x, y)
+
+
+def texts_by_key(keys: pa.Array, texts: pa.Array, held: int | None) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """Which rows have another key than the row before (the first: than ``held``),
+    and the shingles of those rows' texts."""
+    k = keys.to_numpy()
+    new = np.r_[k[:1] != held, k[1:] != k[:-1]].astype(bool)
+    return new, each_shingles(texts.take(pa.array(np.flatnonzero(new))))
+
+
 def pairs_in_reach(shipped: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs and anchors that ``reachable`` may leave: the longer text is held
     against the ``shingle_bits`` of the shorter, which set too many positions
@@ -368,29 +411,31 @@ def pairs_in_reach(shipped: DataFrame, texts: DataFrame, words: int, similarity:
     length = words - SHINGLE + 1
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_bits(text_shingles(t.as_py(), cache)) for t in b.column(1)], pa.binary())],
-                                             ["go", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(shingle_bits, each_shingles(b.column(1))), pa.binary())], ["go", "bits"])
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, long = WordHash(), None, np.empty(0, U64)
+        held, long = None, np.empty(0, U64)
         for batch in batches:
-            rows, kept = [], []
-            for k, (stay, a_stays, anchors, table, text) in enumerate(zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3, 4)),
-                                                                          batch.column(5), strict=True)):
-                if stay != held:
-                    held, long = stay, text_shingles(text.as_py(), cache)
+            new, texts_held = texts_by_key(batch.column(0), batch.column(5), held)
+            start, at, sides = anchors_of(batch.column(3))
+            kept = np.zeros(len(at), bool)
+            for k, (a_stays, table) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if new[k]:
+                    long = next(texts_held)
                 if not len(long):
                     continue
                 may = _held(in_bits(long, table), length, 2 * similarity / (1 + similarity) if a_stays else similarity)
-                side = "x" if a_stays else "y"
-                left = [] if may is None else [p for p in anchors if p[side] < len(long) and may[p[side]]]
-                if left:
-                    rows.append(k)
-                    kept.append(left)
-            some = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*some, pa.array(kept, batch.schema.field(3).type)], ["stay", "go", "a_stays", "anchors"])
+                if may is not None:
+                    own = slice(start[k], start[k + 1])
+                    place = sides[0 if a_stays else 1][own]
+                    kept[own] = (place < len(long)) & may[np.minimum(place, len(long) - 1)]
+            held = batch.column(0)[-1].as_py() if len(new) else held
+            left = np.diff(np.r_[0, np.cumsum(kept)][start])
+            rows = pa.array(np.flatnonzero(left))
+            anchors = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(left[left > 0])], pa.int32()), at.filter(pa.array(kept)),
+                                               type=batch.schema.field(3).type)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), anchors], ["stay", "go", "a_stays", "anchors"])
 
     tables = texts.select("doc_id", "text").join(shipped.select(F.col("go").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
         bits, "go long, bits binary")
@@ -407,14 +452,14 @@ def verified_links(shipped: DataFrame, texts: DataFrame, words: int, similarity:
     both = both.join(texts.select(F.col("doc_id").alias("stay"), F.col("text").alias("text_stay")), "stay")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, long = WordHash(), None, np.empty(0, U64)
+        held, long = None, np.empty(0, U64)
         for batch in batches:
             out = []
-            for stay, go, a_stays, anchors, text_stay, text_go in zip(*(batch.column(i).to_pylist() for i in range(4)),
-                                                                      batch.column(4), batch.column(5), strict=True):
-                if stay != held:
-                    held, long = stay, text_shingles(text_stay.as_py(), cache)
-                short = text_shingles(text_go.as_py(), cache)
+            new, texts_held = texts_by_key(batch.column(0), batch.column(4), held)
+            start, _, (xs, ys) = anchors_of(batch.column(3))
+            for k, (stay, go, a_stays, short) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), each_shingles(batch.column(5)), strict=True)):
+                if new[k]:
+                    held, long = stay, next(texts_held)
                 a, b, sa, sb = (stay, go, long, short) if a_stays else (go, stay, short, long)
                 may = reachable_pair(sa, sb, length, similarity)
                 if may is None:
@@ -422,10 +467,11 @@ def verified_links(shipped: DataFrame, texts: DataFrame, words: int, similarity:
                 of_a, of_b, na, nb, kinds = may
                 done: list[tuple] = []
                 seen: dict = {}
-                for x in sorted((k["x"], k["y"]) for k in anchors):
-                    if x[0] < len(sa) and x[1] < len(sb) and of_a[x[0]] and of_b[x[1]] and not any(
-                            d[0] <= x[0] < d[1] and d[2] <= x[1] < d[3] for d in done):
-                        got = grown(na, nb, kinds, *x, length, similarity, seen)
+                x, y = xs[start[k]:start[k + 1]], ys[start[k]:start[k + 1]]
+                left = np.flatnonzero((x < len(sa)) & (y < len(sb)) & of_a[np.minimum(x, len(sa) - 1)] & of_b[np.minimum(y, len(sb) - 1)])
+                for p in sorted(zip(x[left].tolist(), y[left].tolist(), strict=True)):
+                    if not any(d[0] <= p[0] < d[1] and d[2] <= p[1] < d[3] for d in done):
+                        got = grown(na, nb, kinds, *p, length, similarity, seen)
                         if got:
                             done.append(got)
                 out += [(a, b, d[0], d[1] + SHINGLE - 1, d[2], d[3] + SHINGLE - 1) for d in done]
@@ -462,12 +508,13 @@ def common_shingles(near: list[np.ndarray], rows: np.ndarray | None = None) -> n
     return both
 
 
-def block_links(ids: list[int], classes: list[int], sides: list[int], stretch: list[str], centre: list[int], off: list[int], length: int,
-                similarity: float, cache: WordHash) -> list[tuple]:
+def block_links(ids: list[int], classes: list[int], sides: list[int], stretch: list, centre: list[int], off: list[int], length: int,
+                similarity: float, cache: WordHash | None = None) -> list[tuple]:
     """Links that join different classes among the stretches of one block, in
-    order of document and place: of each the words around a shared shingle, its
-    place in them, and the place of their first word.  Stretches of side 0 meet
-    all others, those of sides 1 and 2 only the other side."""
+    order of document and place: of each the shingles around a shared one (or
+    the words, with a cache of their hashes), its place in them, and the place of
+    the first.  Stretches of side 0 meet all others, those of sides 1 and 2 only
+    the other side."""
     named, side = np.array(classes), np.array(sides)
     if (named == named[0]).all():
         return []
@@ -478,8 +525,7 @@ def block_links(ids: list[int], classes: list[int], sides: list[int], stretch: l
         asked = min(np.flatnonzero(side == 1), np.flatnonzero(side == 2), asked, key=len)
     if not len(asked):
         return []
-    number, shingles = joined_shingles([t.split() for t in stretch], cache)
-    near = np.split(shingles, np.cumsum(np.bincount(number, minlength=len(stretch)))[:-1])
+    near = stretch if cache is None else [text_shingles(t, cache) for t in stretch]
     root, out = {c: c for c in classes}, []
 
     def top(c: int) -> int:
@@ -510,15 +556,15 @@ def linked_blocks(rows: DataFrame, length: int, similarity: float) -> DataFrame:
     """``block_links`` of each block: rows are dealt by block and sorted, so that
     a task has the rows of one block after another."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, block, links = WordHash(), None, [], []
+        held, block, links = None, [], []
 
         def compared() -> list[tuple]:
             _, ids, off, centre, classes, sides, stretch = zip(*block, strict=True)
-            return block_links(ids, classes, sides, stretch, centre, off, length, similarity, cache)
+            return block_links(ids, classes, sides, stretch, centre, off, length, similarity)
 
         for b in batches:
             of = list(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
-            for key, *rest in zip(of, *(b.column(k).to_pylist() for k in range(3, 9)), strict=True):
+            for key, *rest in zip(of, *(b.column(k).to_pylist() for k in range(3, 8)), each_shingles(b.column(8)), strict=True):
                 if key != held:
                     links += compared() if block else []
                     held, block = key, []

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -205,6 +206,31 @@ def test_html_runs_match_brute_force(spark):
 
 # 4 passages -------------------------------------------------------------------------------------------------------
 
+def test_word_hashes_of_whole_columns_are_those_of_each_word():
+    """Words of every length in bytes, every blank that ``str.split`` knows, nulls, empty texts, slices."""
+    rng, cache = random.Random(31), passages.WordHash()
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    word = lambda: "".join(rng.choice("abcxyz09-é日\u200b😀") for _ in range(rng.randrange(1, 12))) if rng.random() < 0.8 else "w" * rng.randrange(1, 300)
+    texts = ["".join(word() + rng.choice(blanks) * rng.randrange(1, 3) for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts += [None, "", " ", "\u3000\x1f", "a", "ab\tabc\nabcd", *(" ".join(["ascii"] * n) for n in range(7))]
+    for some in (pa.array(texts), pa.array(texts, pa.large_string()).slice(7, 200), pa.array([t for t in texts if t and t.isascii()]), pa.array([None], pa.string()), pa.array([], pa.string())):
+        split = [(t or "").split() for t in some.to_pylist()]
+        hashes, lengths = passages.word_hashes(some)
+        assert lengths.tolist() == [len(t) for t in split]
+        assert hashes.tolist() == [cache[w] for t in split for w in t]
+        one_by_one = [passages.text_shingles(t, cache).tolist() for t in some.to_pylist()]
+        assert [x.tolist() for x in passages.each_shingles(some)] == one_by_one
+
+
+def test_texts_are_hashed_in_bounded_pieces(monkeypatch):
+    texts = pa.array(["a b c d e f g"] * 50 + ["word " * 400, None, "", "x y"])
+    whole = [x.tolist() for x in passages.each_shingles(texts)]
+    monkeypatch.setattr(passages, "PIECE_BYTES", 100)
+    cuts = list(passages.pieces(texts))
+    assert [b for _, b in cuts[:-1]] == [a for a, _ in cuts[1:]] and cuts[0][0] == 0 and cuts[-1][1] == len(texts) and len(cuts) > 6
+    assert [x.tolist() for x in passages.each_shingles(texts)] == whole
+
+
 def test_compact_windows_match_brute_force():
     rng = np.random.default_rng(0)
     for trial in range(30):
