@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, batch_rows, checkpointed, connected_components, mix64, shuffles_dropped
@@ -45,6 +45,8 @@ BATCH_ROWS = 1_000
 BLOCK = 512
 COLUMNS = 4096
 LEAD_ROWS = 16
+TABLE = 4096
+PAIRS = 4096
 
 _REACH = 0xFFFF
 
@@ -231,17 +233,29 @@ def _held(same: np.ndarray, length: int, share: float) -> np.ndarray | None:
     return np.cumsum(np.bincount(start, minlength=n) - np.bincount(end, minlength=n))[:-1] > 0
 
 
-def numbered(a: np.ndarray, b: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def met_in(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of ``a`` stand in ``b``, the order of ``b``, and where in it each of ``a`` would stand."""
+    order = np.argsort(b)
+    ordered = b[order]
+    at = np.searchsorted(ordered, a)
+    at[at == len(b)] = 0
+    return ordered[at] == a, order, at
+
+
+def numbered(a: np.ndarray, b: np.ndarray, in_b: np.ndarray, order: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Both sequences with the shingles they share as 0, 1, ... and the others
-    as -1 in ``a`` and -2 in ``b``, and how many are shared; ``in_b`` tells
-    which of ``a`` stand in ``b``."""
-    shared = np.unique(a[in_b])
-    x, y = np.full(len(a), -1), np.full(len(b), -2)
-    if len(shared):
-        x[in_b] = np.searchsorted(shared, a[in_b])
-        in_a = _found(b, shared)
-        y[in_a] = np.searchsorted(shared, b[in_a])
-    return x, y, len(shared)
+    as -1 in ``a`` and -2 in ``b``, and how many are shared; ``met_in`` gives the rest."""
+    shared = np.zeros(len(b), bool)  # by place in the order, set at the first of equal ones
+    shared[at[in_b]] = True
+    number = np.cumsum(shared) - 1
+    x, y = np.full(len(a), -1), np.empty(len(b), np.int64)
+    x[in_b] = number[at[in_b]]
+    ordered = b[order]
+    first = np.zeros(len(b), np.int64)
+    np.copyto(first[1:], np.arange(1, len(b)), where=ordered[1:] != ordered[:-1])
+    first = np.maximum.accumulate(first)
+    y[order] = np.where(shared[first], number[first], -2)
+    return x, y, int(number[-1]) + 1
 
 
 def _among(x: np.ndarray, y: np.ndarray, kinds: int) -> np.ndarray:
@@ -291,11 +305,11 @@ def reachable_pair(a: np.ndarray, b: np.ndarray, length: int, similarity: float)
     """``reachable`` and ``numbered`` of a pair: None, or (positions of a, positions of b, a, b, kinds)."""
     if not len(a) or not len(b):
         return None
-    in_b = _found(a, np.sort(b))
+    in_b, order, at = met_in(a, b)
     of_a = _held(in_b, length, 2 * similarity / (1 + similarity))
     if of_a is None:
         return None
-    x, y, kinds = numbered(a, b, in_b)
+    x, y, kinds = numbered(a, b, in_b, order, at)
     of_b = _held(y >= 0, length, similarity)
     return None if of_b is None else (of_a, of_b, x, y, kinds)
 
@@ -303,7 +317,7 @@ def reachable_pair(a: np.ndarray, b: np.ndarray, length: int, similarity: float)
 def grown_passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, length: int, similarity: float,
                   seen: dict | None = None) -> tuple[int, int, int, int] | None:
     """``grown`` of sequences of shingles."""
-    x, y, kinds = numbered(a, b, np.isin(a, b))
+    x, y, kinds = numbered(a, b, *met_in(a, b))
     return grown(x, y, kinds, at_a, at_b, length, similarity, seen)
 
 
@@ -388,6 +402,12 @@ def shipped_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 ANCHORS = "array<struct<x:int,y:int>>"
 
 
+def as_anchors(packed: Column) -> Column:
+    """The anchors in an array of longs, x above y.  Different longs are found by
+    hashing, different structs would be by comparing all with all."""
+    return F.transform(packed, lambda p: F.struct(F.shiftright(p, 32).cast("int").alias("x"), p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("y")))
+
+
 def anchors_of(column: pa.Array) -> tuple[np.ndarray, pa.Array, tuple[np.ndarray, np.ndarray]]:
     """Of a column of ``ANCHORS`` where each row's begin, the anchors of all rows, and their x and y."""
     at = column.flatten()
@@ -442,7 +462,8 @@ def pairs_in_reach(shipped: DataFrame, texts: DataFrame, words: int, similarity:
     both = shipped.join(tables, "go").join(texts.select(F.col("doc_id").alias("stay"), "text"), "stay")
     left = both.select("stay", "go", "a_stays", "anchors", "bits", "text").mapInArrow(reach, f"stay long, go long, a_stays boolean, anchors {ANCHORS}")
     # of documents with several rows each two rows are held against each other
-    return left.groupBy("stay", "go", "a_stays").agg(F.array_distinct(F.flatten(F.collect_list("anchors"))).alias("anchors"))
+    packed = F.transform("anchors", lambda p: F.shiftleft(p["x"].cast("long"), 32).bitwiseOR(p["y"].cast("long")))
+    return left.groupBy("stay", "go", "a_stays").agg(as_anchors(F.array_distinct(F.flatten(F.collect_list(packed)))).alias("anchors"))
 
 
 def verified_links(shipped: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -492,12 +513,15 @@ def common_shingles(near: list[np.ndarray], rows: np.ndarray | None = None) -> n
     if len(rows) < len(near):  # shingles that stand in none of the rows do not count
         asked = _found(shingles, np.sort(np.concatenate([near[k] for k in rows])))
         shingles, number = shingles[asked], number[asked]
-    order = np.lexsort((number, shingles))
+    order = np.argsort(shingles, kind="stable")  # by number within
     shingles, number = shingles[order], number[order]
     new = np.r_[True, shingles[1:] != shingles[:-1]]
     first = np.flatnonzero(new | np.r_[True, number[1:] != number[:-1]])
     nth = np.arange(len(number)) - np.repeat(first, np.diff(np.r_[first, len(number)]))  # of equal shingles of a stretch
-    _, column, held = np.unique((np.cumsum(new) - 1) * (int(nth.max()) + 1) + nth, return_inverse=True, return_counts=True)
+    column, most = np.cumsum(new) - 1, int(nth.max())
+    if most:
+        column = np.unique(column * (most + 1) + nth, return_inverse=True)[1]
+    held = np.bincount(column)
     column = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[column]
     number, column = number[column >= 0], column[column >= 0]
     for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
@@ -508,6 +532,37 @@ def common_shingles(near: list[np.ndarray], rows: np.ndarray | None = None) -> n
     return both
 
 
+def may_reach(near: list[np.ndarray], i: np.ndarray, j: np.ndarray, length: int, share: float) -> np.ndarray:
+    """Which pairs of stretches (i, j) ``reachable_pair`` may leave: ``_held`` of
+    all pairs at once, with a bit table per stretch, so that some more are left
+    but none is missed."""
+    if not len(i):
+        return np.zeros(0, bool)
+    sizes = np.array([len(x) for x in near])
+    bits = (np.concatenate(near) & U64(TABLE - 1)).astype(np.int64)
+    table = np.zeros((len(near), TABLE), bool)
+    table[np.repeat(np.arange(len(near)), sizes), bits] = True
+    first = np.cumsum(sizes) - sizes
+    found = []
+    for low in range(0, len(i), PAIRS):
+        a, b = i[low:low + PAIRS], j[low:low + PAIRS]
+        size = sizes[a]
+        begin = np.cumsum(size + 1) - size - 1  # of each pair's scores, one more than it has shingles
+        step = np.full(int(size.sum()) + len(a), -share)
+        place = np.ones(len(step), bool)
+        place[begin] = False
+        met = table[np.repeat(b, size), bits[np.arange(int(size.sum())) + np.repeat(first[a] - np.cumsum(size) + size, size)]]
+        step[place] += met
+        step[begin] = -1 - sizes.max()  # below all scores before, so that none is a start for this pair
+        score = np.cumsum(step)
+        held = np.zeros(len(score) + 1, np.int64)
+        if len(score) > length:
+            np.cumsum(np.minimum.accumulate(score)[:-length] <= score[length:] + 1e-6, out=held[length + 1:])
+        # ends of stretches that begin within the pair
+        found.append(held[begin + size + 1] > held[np.minimum(begin + length, begin + size + 1)])
+    return np.concatenate(found)
+
+
 def block_links(ids: list[int], classes: list[int], sides: list[int], stretch: list, centre: list[int], off: list[int], length: int,
                 similarity: float, cache: WordHash | None = None) -> list[tuple]:
     """Links that join different classes among the stretches of one block, in
@@ -538,7 +593,9 @@ def block_links(ids: list[int], classes: list[int], sides: list[int], stretch: l
     alike = np.zeros((len(near), len(near)), bool)
     alike[asked] = (common_shingles(near, asked) >= enough) & (named[asked, None] != named) & ((side[asked, None] == 0) | (side[asked, None] != side))
     alike |= alike.T
-    for i, j in zip(*(k.tolist() for k in np.triu(alike, 1).nonzero()), strict=True):
+    left, right = np.triu(alike, 1).nonzero()
+    some = may_reach(near, left, right, length, 2 * similarity / (1 + similarity))
+    for i, j in zip(left[some].tolist(), right[some].tolist(), strict=True):
         a, b = top(classes[i]), top(classes[j])
         if a == b:
             continue
@@ -644,8 +701,9 @@ def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similar
     different texts as word spans ``(a, b, a_from, a_to, b_from, b_to)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with shuffles_dropped(docs.sparkSession), batch_rows(docs.sparkSession, BATCH_ROWS):  # the windows of texts that meet no other are most of the disk
-        content = F.unhex(F.md5(F.encode("text", "UTF-8")))
-        equal = docs.where("doc_id is not null").where(F.rlike("text", F.lit(r"\S"))).select("doc_id", content.alias("content"))
+        content = F.unhex(F.md5(F.col("text").cast("binary")))
+        # texts are read once for both sides of the join
+        equal = checkpointed(docs.where("doc_id is not null").where(F.ltrim("text", F.lit(" \t\n\x0b\f\r")) != "").select("doc_id", content.alias("content")))
         rep_of = checkpointed(equal.join(equal.groupBy("content").agg(F.min("doc_id").alias("rep")), "content").select("doc_id", "rep").distinct())
         reach = lambda p, by: F.shiftright(p, by).bitwiseAND(F.lit(_REACH))
         # dealt once by key: a window over the key tells whether another document meets there
@@ -669,10 +727,10 @@ def near_duplicate_passages(docs: DataFrame, words: int = PASSAGE_WORDS, similar
         leads = shared.where("doc_id = lead").groupBy("key", F.pmod(F.xxhash64("place"), F.lit(LEAD_ROWS)).alias("part")).agg(
             F.collect_set("place").alias("lead_places")).select("key", "lead_places")
         overlap = lambda x: F.least(reach("place", 16), reach(x, 16)) + F.least(reach("place", 0), reach(x, 0)) + 1
-        near = F.filter("lead_places", lambda x: overlap(x) >= (words - SHINGLE + 1) * similarity)
-        pairs = shared.where("doc_id > lead").join(leads, "key").select("lead", "doc_id", "place", near.alias("near")).where(F.size("near") > 0).groupBy(
-            F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.array_distinct(F.flatten(F.collect_set(F.transform("near", lambda x: F.struct(
-                F.shiftright(x, 32).cast("int").alias("x"), F.shiftright("place", 32).cast("int").alias("y")))))).alias("anchors"))
+        near = shared.where("doc_id > lead").join(leads, "key").select("lead", "doc_id", "place", F.explode("lead_places").alias("x")).where(
+            overlap("x") >= (words - SHINGLE + 1) * similarity)
+        packed = F.col("x").bitwiseAND(F.lit(-1 << 32)).bitwiseOR(F.shiftright("place", 32))
+        pairs = near.groupBy(F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(as_anchors(F.collect_set(packed)).alias("anchors"))
         pairs = checkpointed(pairs)
         several = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
         asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).unionAll(

@@ -15,10 +15,11 @@ import xxhash
 
 from .common import U64
 
-_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-_BLANK = np.zeros(256, bool)
-_BLANK[[ord(c) for c in _BLANKS if ord(c) < 128]] = True
-_OTHER_BLANK = "[" + "".join(c for c in _BLANKS if ord(c) >= 128) + "]"
+_BLANKS = [chr(c).encode() for c in range(0x3001) if chr(c).isspace()]
+_BLANK, _LEAD = np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[[c[0] for c in _BLANKS if len(c) == 1]] = True
+_LEAD[[c[0] for c in _BLANKS if len(c) > 1]] = True  # first bytes of the other blanks
+_LONGER = {size: np.array([int.from_bytes(c, "big") for c in _BLANKS if len(c) == size]) for size in (2, 3)}
 
 # what XXH3 takes from its secret for words of 1 to 3, 4 to 8 and 9 to 16 bytes without a seed
 _FLIP_3, _FLIP_8 = U64(0x87275A9B), U64(0xC73AB174C5ECD5A2)
@@ -72,17 +73,29 @@ def _upto_16(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return _shifted(h, 32)
 
 
+def _blank(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of blanks."""
+    blank = _BLANK.take(data)
+    if len(data) and data.max() >= 0xC2:
+        lead = np.flatnonzero(_LEAD.take(data))
+        code = data[lead].astype(np.int64)
+        for size, codes in _LONGER.items():
+            code = code << 8 | data[np.minimum(lead + size - 1, len(data) - 1)]
+            at = lead[np.isin(code, codes)]
+            for k in range(size):
+                blank[at + k] = True
+    return blank
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of the texts, one text after another, and how many
     words each has; a null text has none."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
-    if len(data) and data.max() >= 128 and pc.any(pc.match_substring_regex(texts, _OTHER_BLANK)).as_py():
-        return word_hashes(pc.replace_substring_regex(texts, _OTHER_BLANK, " "))
     ends = ends - ends[0]
     edge = np.ones(len(data) + 1, bool)  # before which bytes a word cannot go on
-    blank = _BLANK[data]
+    blank = _blank(data)
     edge[1:-1] = blank[:-1]
     edge[ends] = True
     at = np.flatnonzero(edge[:-1] & ~blank)

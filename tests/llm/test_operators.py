@@ -222,6 +222,29 @@ def test_word_hashes_of_whole_columns_are_those_of_each_word():
         assert [x.tolist() for x in passages.each_shingles(some)] == one_by_one
 
 
+def test_pairs_of_a_block_are_sifted_at_once(monkeypatch):
+    """``may_reach`` leaves every pair that ``reachable_pair`` would, and hardly any other."""
+    rng, share = np.random.default_rng(3), 2 * passages.SIMILARITY / (1 + passages.SIMILARITY)
+    monkeypatch.setattr(passages, "PAIRS", 5)
+    some = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    more = left = 0
+    for _ in range(120):
+        base, near, length = some(rng.integers(10, 120)), [], int(rng.integers(3, 46))
+        for _ in range(rng.integers(2, 8)):
+            x = base[rng.integers(0, max(1, len(base) - 50)):][:rng.integers(0, 100)].copy()
+            edited = rng.random(len(x)) < rng.choice([0, 0.05, 0.1, 0.2, 0.4])
+            x[edited] = some(edited.sum())
+            near.append(np.r_[some(rng.integers(0, 30)), x])
+        i, j = np.triu_indices(len(near), 1)
+        for a, b, may in zip(i, j, passages.may_reach(near, i, j, length, share), strict=True):
+            want = len(near[a]) > 0 and passages._held(np.isin(near[a], near[b]), length, share) is not None
+            assert may or not want
+            more += may and not want
+            left += want
+    assert left > 100 and more < left / 20
+    assert not len(passages.may_reach(near, i[:0], j[:0], length, share))
+
+
 def test_texts_are_hashed_in_bounded_pieces(monkeypatch):
     texts = pa.array(["a b c d e f g"] * 50 + ["word " * 400, None, "", "x y"])
     whole = [x.tolist() for x in passages.each_shingles(texts)]
