@@ -46,6 +46,7 @@ BLOCK = 512
 COLUMNS = 4096
 LEAD_ROWS = 16
 TABLE = 4096
+DENSE = 1 << 20
 PAIRS = 4096
 
 _REACH = 0xFFFF
@@ -153,7 +154,8 @@ def each_shingles(texts: pa.Array) -> Iterator[np.ndarray]:
     """``text_shingles`` of one text after another."""
     for a, b in pieces(texts):
         number, shingles = joined_shingles(*word_hashes(texts.slice(a, b - a)))
-        yield from np.split(shingles, np.cumsum(np.bincount(number, minlength=b - a))[:-1])
+        ends = np.cumsum(np.bincount(number, minlength=b - a)).tolist()
+        yield from (shingles[x:y] for x, y in zip([0, *ends], ends, strict=False))
 
 
 def passage_windows(docs: DataFrame, words: int = PASSAGE_WORDS, hashes: int = HASHES) -> DataFrame:
@@ -524,14 +526,31 @@ def common_shingles(near: list[np.ndarray], rows: np.ndarray | None = None) -> n
     held = np.bincount(column)
     column = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[column]
     number, column = number[column >= 0], column[column >= 0]
-    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+    times = np.ones(int(column.max(initial=-1)) + 1, np.float32)
+    if len(rows) * len(near) * len(times) > DENSE:
+        number, column, times = merged_columns(number, column, len(times))
+    for low in range(0, len(times), COLUMNS):
         here = (column >= low) & (column < low + COLUMNS)
-        held_by = np.zeros((len(near), min(COLUMNS, int(column.max()) + 1 - low)), np.float32)
+        held_by = np.zeros((len(near), min(COLUMNS, len(times) - low)), np.float32)
         held_by[number[here], column[here] - low] = 1
-        both += held_by[rows] @ held_by.T
+        both += (held_by[rows] * times[low:low + COLUMNS]) @ held_by.T
     return both
 
 
+def merged_columns(number: np.ndarray, column: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells of an indicator matrix with equal columns as one, and how many
+    each stands for: a passage that some stretches share makes as many equal
+    columns as it has shingles.  Columns are equal if 64-bit sums of their cells are."""
+    order = np.argsort(column, kind="stable")
+    number, column = number[order], column[order]
+    cells = np.add.reduceat(mix64((number + 1).astype(U64)), np.searchsorted(column, np.arange(columns)))
+    _, one, times = np.unique(cells, return_index=True, return_counts=True)
+    place = np.full(columns, -1)
+    place[one] = np.arange(len(one))
+    column = place[column]
+    return number[column >= 0], column[column >= 0], times.astype(np.float32)
+
+
 def may_reach(near: list[np.ndarray], i: np.ndarray, j: np.ndarray, length: int, share: float) -> np.ndarray:
     """Which pairs of stretches (i, j) ``reachable_pair`` may leave: ``_held`` of
     all pairs at once, with a bit table per stretch, so that some more are left

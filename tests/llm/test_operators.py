@@ -245,6 +245,21 @@ def test_pairs_of_a_block_are_sifted_at_once(monkeypatch):
     assert not len(passages.may_reach(near, i[:0], j[:0], length, share))
 
 
+def test_equal_columns_count_as_often_as_there_are(monkeypatch):
+    rng = np.random.default_rng(1)
+    for trial in range(20):
+        pool = [rng.integers(0, 60 if trial % 2 else 2**60, 50).astype(np.uint64) for _ in range(4)]
+        near = [np.concatenate([*(pool[k] for k in rng.permutation(4)[:rng.integers(0, 3)]), rng.integers(0, 2**60, 9).astype(np.uint64)]) for _ in range(20)]
+        rows = np.sort(rng.permutation(20)[:rng.integers(1, 20)])
+        monkeypatch.setattr(passages, "DENSE", 0)
+        merged = passages.common_shingles(near, rows)
+        monkeypatch.setattr(passages, "DENSE", 10**12)
+        assert (merged == passages.common_shingles(near, rows)).all()
+    number, column = np.array([0, 1, 0, 1, 2, 0, 1]), np.array([0, 0, 1, 1, 2, 3, 3])
+    cells = passages.merged_columns(number, column, 4)
+    assert sorted(cells[2].tolist()) == [1, 3] and len(cells[0]) == 3
+
+
 def test_texts_are_hashed_in_bounded_pieces(monkeypatch):
     texts = pa.array(["a b c d e f g"] * 50 + ["word " * 400, None, "", "x y"])
     whole = [x.tolist() for x in passages.each_shingles(texts)]
