@@ -91,11 +91,11 @@ def unpacked(ids: bytes) -> dict[int, tuple]:
 
 def span_steps(kept: dict[int, tuple], rows: list[tuple], now: int) -> list[tuple]:
     """Transitions of the ids of a span, ``kept`` brought up to date: ``rows`` (id,
-    at, seq, kind, reason) in order, and the timers that ``now`` has reached for
-    ids with rows and passed for the others, as timers of their own would fire."""
+    kind, at, reason) in order, and the timers that ``now`` has reached for ids
+    with rows and passed for the others, as timers of their own would fire."""
     out: list[tuple] = []
     for i, own in groupby(rows, itemgetter(0)):
-        told = [(kind, when, reason) for _, when, _, kind, reason in own if kind != "clock"]
+        told = [row[1:] for row in own if row[1] != "clock"]
         if told or i in kept:  # clock rows only move the watermark
             kept[i], done = steps(kept.get(i, NEW), told, now)
             out += [(i, *d) for d in done]
@@ -106,24 +106,25 @@ def span_steps(kept: dict[int, tuple], rows: list[tuple], now: int) -> list[tupl
     return out
 
 
-def _frame(out: list[tuple]) -> pd.DataFrame:
-    key, at, seq, status, attempts, next_at, reason = zip(*out, strict=True)
-    return pd.DataFrame({"id": np.array(key, np.int64), "at": np.array(at, "datetime64[us]"), "seq": np.array(seq, np.int64), "status": status,
+def _frame(key: int | list[int], out: list[tuple]) -> pd.DataFrame:
+    at, seq, status, attempts, next_at, reason = zip(*out, strict=True)
+    return pd.DataFrame({"id": key, "at": np.array(at, "datetime64[us]"), "seq": np.array(seq, np.int64), "status": status,
                          "attempts": np.array(attempts, np.int32),
                          "next_at": np.array([NAT if x is None else x for x in next_at], np.int64).view("datetime64[us]"), "reason": reason})
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> list[tuple]:
-    """Rows (id, at, seq, kind, reason) of a span by id, each id's in order of
-    ``(at, seq)``.  Plain lists, as an id has few rows."""
+def _ordered(frames: Iterator[pd.DataFrame], of: str | None = None) -> list[tuple]:
+    """Rows (kind, at, reason) in order of ``(at, seq)``, a missing seq last; with
+    a column ``of``, rows (its value, kind, at, reason) in order of it first.  An
+    id has few rows: plain lists, as a frame's own sort costs more than all else
+    that is done for the id."""
     rows: list[tuple] = []
     for f in frames:
-        if f["at_us"].hasnans:
-            raise ValueError("a row has no time")
-        reasons = [r if isinstance(r, str) else None for r in f["reason"].tolist()]
-        rows += zip(f["id"].tolist(), f["at_us"].tolist(), f["seq"].tolist(), f["kind"].tolist(), reasons, strict=True)
-    rows.sort(key=itemgetter(0, 1, 2))
-    return rows
+        first = f[of].tolist() if of else [0] * len(f)
+        rows += zip(first, f["at_us"].tolist(), f["seq"].tolist(), f["kind"].tolist(), f["reason"].tolist(), strict=True)
+    rows.sort(key=lambda r: (r[0], r[1], r[2] != r[2], r[2]))
+    told = [(i, k, int(a), r if isinstance(r, str) else None) for i, a, _, k, r in rows]
+    return told if of else [t[1:] for t in told]
 
 
 def retry_transitions(events: DataFrame, delay: str = "0 seconds", on_time: str = "event") -> DataFrame:
@@ -133,7 +134,7 @@ def retry_transitions(events: DataFrame, delay: str = "0 seconds", on_time: str
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = unpacked(state.get[0]) if state.exists else {}
-        rows = [] if state.hasTimedOut else _ordered(frames)
+        rows = [] if state.hasTimedOut else _ordered(frames, "id")
         now = (state.getCurrentWatermarkMs() if by_event else state.getCurrentProcessingTimeMs()) * 1000
         out = span_steps(kept, rows, now)
         if not kept:
@@ -147,7 +148,7 @@ def retry_transitions(events: DataFrame, delay: str = "0 seconds", on_time: str
             else:
                 state.setTimeoutDuration(max(1, ms - now // 1000))
         if out:
-            yield _frame(out)
+            yield _frame([o[0] for o in out], [o[1:] for o in out])
 
     at = F.col("at").cast("timestamp")
     e = events.select(F.coalesce("id", F.lit(-1)).cast("long").alias("id"), "kind", at.alias("_at"), F.unix_micros(at).alias("at_us"),

@@ -132,7 +132,7 @@ def test_span_steps_fire_as_timers_of_each_id():
     clock row for an unknown id leaves no state."""
     kept = {i: ("queued", 1, 1_000 * k, 0, 3) for i, k in [(1, 5), (2, 6), (3, 7), (4, 6)]}
     kept[5] = ("done", 1, 0, 0, 2)
-    rows = [(4, 6_000, 0, "clock", None), (5, 6_000, 0, "arrival", None), (8, 6_000, 0, "clock", None), (9, 2_000, 1, "result", "x")]
+    rows = [(4, "clock", 6_000, None), (5, "arrival", 6_000, None), (8, "clock", 6_000, None), (9, "result", 2_000, "x")]
     out = retries.span_steps(kept, rows, 6_000)
     assert sorted((o[0], o[1], o[3], o[4]) for o in out) == [(1, 5_000, "processing", 2), (4, 6_000, "processing", 2), (5, 6_000, "processing", 1)]
     assert {i: k[0] for i, k in kept.items()} == {1: "processing", 2: "queued", 3: "queued", 4: "processing", 5: "processing", 9: ""}
